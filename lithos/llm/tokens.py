@@ -126,24 +126,45 @@ def runs(inside: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, e, np.searchsorted(s, starts)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
+
+def tokens(s: Slice) -> Words:
+    """Lower-cased runs of ASCII letters, digits and bytes beyond ASCII: words without punctuation."""
+    data = _LOWER[s.data]
+    a, b, first = runs(_LETTER[data], s.starts)
+    return Words(a, b, first, data)
+
+
+def points(data: np.ndarray) -> np.ndarray:
+    """Code points before each byte of UTF-8, and in all."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
 def words(s: Slice, lower: bool = False) -> Words:
     data = _LOWER[s.data] if lower else s.data
     a, b, first = runs(~_SPACE[data], s.starts)
     return Words(a, b, first, data)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they lie."""
-    n = len(data)
-    c = np.empty(n + 1, U)
-    c[0] = 0
-    np.cumsum(_BYTE[data] * _power(_P, n)[:n], out=c[1:])
-    h = (c[end] - c[start]) * _power(_P_INV, n + 1)[start]
-    return mix(h + (end - start).astype(U) * U(0xA24BAED4963EE407) + U(seed))
+class SpanHasher:
+    """64-bit hashes of byte spans; equal bytes have equal hashes wherever they lie."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums = np.empty(n + 1, U)
+        self.sums[0] = 0
+        np.cumsum(_BYTE[data] * _power(_P, n)[:n], out=self.sums[1:])
+        self.back = _power(_P_INV, n + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.sums[end] - self.sums[start]) * self.back[start]
+        return mix(h + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
 def word_hash(w: Words) -> np.ndarray:
-    return span_hash(w.data, w.start, w.end)
+    return SpanHasher(w.data)(w.start, w.end)
 
 
 def _step(j: int) -> U:
