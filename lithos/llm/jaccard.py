@@ -332,7 +332,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
     group = components(star).withColumnRenamed("id", "cls").withColumnRenamed("comp", "grp")
     group = cut(group.join(classes.select("cls", "key", "n"), "cls"))
     weight = group.groupBy("grp").agg(F.sum("n").alias("weight"), F.count("*").alias("count"))
-    large = cut(weight.where((F.col("weight") > TREE_WEIGHT) | (F.col("count") > TREE_MEMBERS)).select("grp"))
+    large = cut(weight.where((F.col("weight") > TREE_WEIGHT) | (F.col("count") > TREE_MEMBERS)).select("grp").coalesce(8))
     has_large = large.limit(1).count() > 0
 
     # the sets of one row of each class that is in a group

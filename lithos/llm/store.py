@@ -18,14 +18,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that one task of the component search takes before another is worth its files.
+TASK_ROWS = 200_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp) for each node of edges (a, b): comp is the smallest id it can reach.
 
     Each round lowers every label to the least label among the neighbours of its label's nodes and
     then lets labels jump to their own labels, so paths shrink by a factor per round. Minima are
     combined on the map side, so a node with very many edges costs its partition one row per task;
-    the joins on it are of the kind that Spark splits.
+    the joins on it are of the kind that Spark splits. The number of tasks follows the edges.
     """
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = cut(
         edges.select("a", "b")
         .where("a <> b")
@@ -35,20 +40,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .agg(F.lit(1).alias("x"))
         .drop("x")
     )
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+    tasks = max(1, min(width, -(-both.count() // TASK_ROWS)))
+    both = both.coalesce(tasks)
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp"))
+    label = cut(label.coalesce(tasks))
     for _ in range(rounds):
         near = (
             both.join(label.select(F.col("id").alias("b"), "comp"), "b")
+            .coalesce(tasks)
             .groupBy("a")
             .agg(F.min("comp").alias("m"))
             .select(F.col("a").alias("id"), "m")
         )
-        step = label.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
+        step = label.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp")).coalesce(tasks)
         # hook: a whole old component follows the best label that any member saw; then jump
         hook = step.groupBy("was").agg(F.min("comp").alias("best")).select(F.col("was").alias("comp0"), "best")
-        step = step.join(hook, step.was == hook.comp0).select("id", "was", F.least("comp", "best").alias("comp"))
+        step = step.join(hook, step.was == hook.comp0).select("id", "was", F.least("comp", "best").alias("comp")).coalesce(tasks)
         jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = cut(step.join(jump, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"), "was"))
+        new = cut(step.join(jump, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"), "was").coalesce(tasks))
         moved = new.where("comp <> was").limit(1).count()
         label = new.select("id", "comp")
         if not moved:
