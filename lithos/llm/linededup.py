@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
 from .tokens import _SPACE, U, Slice, SpanHasher, batch_of, mix, points, runs, slices
 
 #: A chunk ends where the rolling hash falls under this share of its range.
@@ -219,10 +218,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed
     cand = rows.join(rep, "h").select("rid", F.struct("no", "h", (F.expr("key = least and not again")).alias("first")).alias("c"))
     # rows with the same key and text give the same chunks; each list is held once
     cand = cand.groupBy("rid").agg(F.collect_set("c").alias("__todo"))
-    bodies = cut(
-        ided.join(cand.withColumnRenamed("rid", "__rid"), "__rid").mapInArrow(
-            _bodies_of(text, "__todo"), "h long, rid long, first boolean, lo int, hi int, body binary, prev array<long>, next array<long>"
-        )
+    # the texts are dealt by row once: this join and the last read the same exchange
+    bodies = ided.join(cand.withColumnRenamed("rid", "__rid"), "__rid").mapInArrow(
+        _bodies_of(text, "__todo"), "h long, rid long, first boolean, lo int, hi int, body binary, prev array<long>, next array<long>"
     )
     first = bodies.where("first").select("h", F.col("body").alias("body0"), "prev", "next").dropDuplicates(["h"])
     gone = bodies.where("not first").select("h", "rid", "lo", "hi", "body").join(first, "h").where("body = body0")
