@@ -25,7 +25,7 @@ LABELLED: tuple[tuple[str, int], ...] = (
     ("http://ads-track.example/c", 1), ("http://ad-server.example/click?id=3", 1), ("http://track.ads-network.example/pixel.gif", 1), ("http://popup-ads.example/banner", 1), ("http://click-tracker.example/redirect", 1),
     ("http://xxx-cams.example/live", 1), ("http://adult-dating.example/meet", 1), ("http://hot-singles.example/chat", 1), ("http://porn-videos.example/watch", 1),
     ("http://free-iphone-prize.example/win", 1), ("http://crypto-doubler.example/earn", 1), ("http://get-rich-quick.example/money", 1), ("http://payday-loans-now.example/cash", 1), ("http://replica-watches.example/sale", 1), ("http://crack-keygen.example/download", 1),
-    ("http://www.casino.example.com/en/8", 1), ("http://m.free-spins.example.net/de/9", 1), ("http://blog.cheap-meds.example.org/fr/4", 1), ("http://ads.example.com/es/7", 1), ("http://www.adult-content.example.net/en/3", 1), ("http://m.track-ads.example.org/en/6", 1), ("http://bet-win.example.com/fr/2", 1), ("http://adult.example.com/de/5", 1), ("http://ads-tracker.example.com/en/1", 1), ("http://pills.example.net/en/2", 1),
+    ("http://www.casino.example.com/en/8", 1), ("http://m.free-spins.example.net/de/9", 1), ("http://blog.cheap-meds.example.org/fr/4", 1), ("http://ads.example.com/es/7", 1), ("http://www.adult-content.example.net/en/3", 1), ("http://m.track-ads.example.org/en/6", 1), ("http://bet-win.example.com/fr/2", 1), ("http://adult.example.com/de/5", 1), ("http://ads-tracker.example.com/en/1", 1), ("http://pills.example.net/en/2", 1), ("http://www.adult-x-videos.example.org/fr/9", 1), ("http://x-adult.example.com/en/4", 1),
     ("http://news.example/en/2041", 0), ("http://www.library.example/catalog/31.html", 0), ("http://blog.gardening.example/en/roses", 0), ("http://university.example/de/physik", 0), ("http://museum.example/fr/expositions", 0), ("http://weather.example/es/madrid", 0),
     ("http://recipes.example/en/bread.html", 0), ("http://www.history-society.example/en/1291/", 0), ("http://docs.python-guide.example/en/3/tutorial", 0), ("http://school.example/news", 0), ("http://m.travel.example/fr/873", 0), ("http://science.example/articles/8423", 0),
     ("http://city-council.example/minutes", 0), ("http://www.hospital.example/en/contact", 0), ("http://forum.linux.example/thread/77", 0), ("http://bank.example/login", 0), ("http://blog.mountains.example/en/7617/", 0), ("http://theater.example/de/1989/", 0),
