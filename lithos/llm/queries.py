@@ -13,6 +13,7 @@ from .langid import identify, train_langid
 from .linededup import line_dedup
 from .packing import pack
 from .quality import quality
+from .secrets import secrets
 from .sharding import shard
 from .toxicity import score_toxicity, train_toxicity
 from .urls import UrlRule, judge_urls
@@ -87,6 +88,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {}
