@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, cut
+from .store import components, cut, sweep
 from .tokens import U, batch_of, mix, shingle_hash, slices, word_hash, words
 
 #: Shingles and members of one tree; a group beyond either is dealt in blocks.
-TREE_WEIGHT, TREE_MEMBERS = 1 << 21, 2048
+TREE_WEIGHT, TREE_MEMBERS = 1 << 22, 4096
 #: Rows that one copy of a pivot's set meets in the pivot join.
 PIVOT_ROWS = 512
 LEAF = 8
@@ -343,6 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
         orphans = base.where("key is null").mapInArrow(_with_class(k, lower), "key long, text string, cls long").join(nullkey, "cls").dropDuplicates(["cls"])
         sets = sets.unionByName(orphans.select("key", "text", "cls").mapInArrow(_shingles_with("cls", k, lower), "cls long, items array<long>"))
     sets = cut(sets)
+    sweep(docs.sparkSession)
 
     small = group.join(large, "grp", "left_anti").select("grp", "cls", F.col("cls").alias("comp"))
     todo = small

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,21 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithos-"))
-    return df.checkpoint()
+    # a checkpoint would carry on the constraints of the plan it cuts, which multiply in a loop
+    name = "spark.sql.constraintPropagation.enabled"
+    was = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, was)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that Spark's cleaner deletes the shuffle and checkpoint files of
+    steps that are over, and the classes generated for them are unloaded."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows that one task of the component search takes before another is worth its files.
@@ -25,8 +40,8 @@ TASK_ROWS = 200_000
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp) for each node of edges (a, b): comp is the smallest id it can reach.
 
-    Each round lowers every label to the least label among the neighbours of its label's nodes and
-    then lets labels jump to their own labels, so paths shrink by a factor per round. Minima are
+    Each round lowers every label to the least label among the neighbours of the nodes under it and then
+    lets labels jump to their own labels, so paths shrink by a factor per round. Minima are
     combined on the map side, so a node with very many edges costs its partition one row per task;
     the joins on it are of the kind that Spark splits. The number of tasks follows the edges.
     """
@@ -53,13 +68,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select(F.col("a").alias("id"), "m")
         )
         step = label.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp")).coalesce(tasks)
-        # hook: a whole old component follows the best label that any member saw; then jump
+        # hook: a label itself follows the best label that any node under it saw; then jump
         hook = step.groupBy("was").agg(F.min("comp").alias("best")).select(F.col("was").alias("comp0"), "best")
         step = step.join(hook, step.was == hook.comp0).select("id", "was", F.least("comp", "best").alias("comp")).coalesce(tasks)
-        jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = cut(step.join(jump, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"), "was").coalesce(tasks))
+        up = step.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        new = cut(step.join(up, "comp").select("id", F.least("up", "comp").alias("comp"), "was").coalesce(tasks))
         moved = new.where("comp <> was").limit(1).count()
         label = new.select("id", "comp")
+        del near, step, hook, up, new
+        sweep(edges.sparkSession)
         if not moved:
             return label
     raise RuntimeError("components did not settle")
