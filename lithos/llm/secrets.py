@@ -34,14 +34,14 @@ ALPHA, FALSE_SHARE, BIN, MOST_BINS = 0.001, 0.01, 0.25, 400
 CLASSES = (20, 32, 48, 64)
 #: Chance that two signs of ordinary text are equal: that of English letters, or for small alphabets
 #: this many times that of a uniform draw.
-TEXT_COINCIDENCE, TEXT_EXCESS = 0.0655, 1.6
+TEXT_COINCIDENCE, TEXT_EXCESS = 0.0655, 2.0
 
 
 def _spans(text: Column, pattern: str, maybe: Column, kind: str) -> Column:
     """array<struct<start, kind, end, body>> of the leftmost non-overlapping matches, in code points.
     Each search takes the gap before a match along, so that lengths add up to places; texts for which
     ``maybe`` is false are not searched."""
-    search = F.lit(f"(?s)(.*?)({pattern})")
+    search = F.lit(f"\\G(?s)(.*?)({pattern})")  # \\G: what follows the last match is searched once
     empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, body: string>>)")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
