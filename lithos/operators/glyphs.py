@@ -86,7 +86,7 @@ def match_glyphs(glyphs: DataFrame, references: DataFrame, group: str = "font",
 def profile_problems(profile: DataFrame) -> DataFrame:
     """Rows whose character, code point and U+ name disagree."""
     name = F.concat(F.lit("U+"), F.lpad(F.hex(F.col("codepoint")), 4, "0"))
-    code = F.conv(F.hex(F.encode("char", "UTF-32BE")), 16, 10).cast("long")
+    code = F.conv(F.hex(F.encode("char", "UTF-32")), 16, 10).cast("long")
     return profile.where((F.length("char") != 1) | (code != F.col("codepoint")) | ((F.col("codepoint") < 65536) & (F.col("unicode") != name)))
 
 
