@@ -105,4 +105,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {}
+_W = "[^\\x20\\x09-\\x0D]"
+
+#: SQL of the queries that SQL can express. The other operators learn, search or place greedily; tests/llm
+#: holds their brute-force versions.
+SQL: dict[str, str] = {
+    "op1_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c >= 2),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+s AS (SELECT d.doc_id, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS l, coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
+  AND NOT n_symbols > 0.1 * word_chars AND NOT 2 * n_dup_lines > len(string_split(t, chr(10))) AND NOT word_chars < 2 * n_words AND NOT word_chars > 14 * n_words
+  AND NOT 2 * len(list_filter(w, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) > n_words AND NOT 2 * len(list_filter(w, lambda x: suffix(x, '!!'))) > n_words
+  AND NOT 10 * len(list_distinct(w)) < n_words AND NOT 2 * len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) > n_words AS kept FROM b""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, chr(1)) ELSE w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+both_ AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, r.c FROM r JOIN both_ ON x = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1""",
+}
