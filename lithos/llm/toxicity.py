@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .tokens import U, SpanHasher, Words, batch_of, mix, points, slices, tokens
 
 #: Rows of each label that training may use, and the bytes of the longest text among them.
-TRAIN_ROWS, TRAIN_BYTES = 1500, 60_000
+TRAIN_ROWS, TRAIN_BYTES = 1000, 40_000
 FEATURES = 1 << 18
 CHUNK = 64
 
@@ -160,11 +160,19 @@ def span_lexicon(docs: list[np.ndarray], toxic: np.ndarray, least: float = 0.005
     return vocab[np.unique(np.array(out, int))]
 
 
+def _listed(lex: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(lex):
+        return np.zeros(x.shape, bool)
+    at = np.searchsorted(lex, x)
+    at[at == len(lex)] = 0
+    return lex[at] == x
+
+
 def train_crf(first: np.ndarray, f: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 60, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Crf:
     """A CRF from labelled tokens, by AdaGrad on the conditional likelihood. first: index of each
     text's first token; f: feature numbers; label: 0 or 1 of each token."""
     model = Crf(np.zeros(FEATURES, np.float32), np.zeros((2, 2)), np.zeros(2))
-    model.weight[: 31] = -0.5
+    model.weight[:31] = -2.0  # what training has not seen is clean
     gw = np.full(FEATURES, 1e-3)
     gm, gs = np.full((2, 2), 1e-3), np.full(2, 1e-3)
     rng = np.random.default_rng(seed)
@@ -221,20 +229,26 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, k
     for _, text, y in sample:
         texts[text] = max(y, texts.get(text, 0))
     toxic = np.array(list(texts.values()), bool)
-    feats, first, spelt, docs_spelt = [], [0], [], []
-    for s in slices(pa.array(list(texts), pa.string())):
+    array = pa.array(list(texts), pa.string())
+    docs_spelt: list[np.ndarray] = []
+    for s in slices(array):
+        w = tokens(s)
+        x = spellings(w)[:-1]
+        docs_spelt += [np.unique(x[:, a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    lex = span_lexicon(docs_spelt, toxic)
+    del docs_spelt
+    feats, marks, first = [], [], [0]
+    for s in slices(array):
         w = tokens(s)
         x = spellings(w)
         feats.append(features(w, x))
-        spelt.append(x[:-1])
-        docs_spelt += [np.unique(x[:-1, a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        marks.append(_listed(lex, x[:-1]).any(0) & np.repeat(toxic[s.first : s.first + s.rows], w.count))
         first += list(first[-1] + np.cumsum(w.count))
     if not feats:
         return Crf(np.full(FEATURES, -3, np.float32), np.zeros((2, 2)), np.zeros(2))
-    f, x, first = np.concatenate(feats, axis=1), np.concatenate(spelt, axis=1), np.array(first)
-    lex = span_lexicon(docs_spelt, toxic)
-    label_of = np.isin(x, lex).any(0) & np.repeat(toxic, np.diff(first))
-    model = train_crf(first, f, label_of)
+    f, first = np.concatenate(feats, axis=1), np.array(first)
+    del feats
+    model = train_crf(first, f, np.concatenate(marks))
     got = _gather(_marginals(model, _emission(model, f), first), first)
     model.blend = _logistic(got, toxic.astype(float))
     return model
