@@ -102,7 +102,7 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 16384, key: str = "do
     for x, c in hist:
         held[next(i for i, b in enumerate(bounds) if x <= b)] += c
     bucket = F.when(F.col("__bin") > 0, F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("__bin"))))
-    pick = lambda values: F.array(*[F.lit(int(v)) for v in values])[F.col("bucket")]
+    pick = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.coalesce("bucket", F.lit(-1)))
     dealt = sized.withColumn("bucket", bucket)
     dealt = dealt.withColumn("__shard", F.when(F.col("bucket").isNotNull(), F.pmod(F.xxhash64(F.col(key), F.col("n_tokens")), pick([-(-c // SHARD_ROWS) or 1 for c in held]))))
     # rows of no bucket need no place; they are dealt by their key
