@@ -202,7 +202,7 @@ def strips(images: DataFrame, group: str = "page", idx: str = "idx") -> DataFram
     """Stacked strips of one picture merged: (group, x1, y1, x2, y2, scale, n). A strip joins the one group
     whose sides and lower edge it meets within a point, at nearly the same scale."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list[float]] = []
         for r in pdf.sort_values(["y1", "x1", idx], kind="stable").itertuples():
             near = [g for g in out if abs(g[0] - r.x1) <= STRIP_EDGE and abs(g[2] - r.x2) <= STRIP_EDGE and abs(g[3] - r.y1) <= STRIP_EDGE and abs(g[4] - r.scale) <= STRIP_SCALE * max(g[4], r.scale)]
