@@ -35,8 +35,14 @@ def _label_key(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+#: Signs outside of which every text is in NFC already. Latin letters up to U+02FF, those
+#: of U+1E00-U+1EFF and ideographs are stable unless a mark stands among them.
+UNSTABLE = "[\\x{300}-\\x{1DFF}\\x{1F00}-\\x{2FFF}\\x{F900}-\\x{10FFFF}\\p{M}]"
+
+
 def nfc(text: Column) -> Column:
-    return _nfc(text)
+    """NFC; only texts that may not be in it leave the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(UNSTABLE), text)), text)
 
 
 def clean_line(text: Column) -> Column:

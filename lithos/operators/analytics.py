@@ -34,7 +34,8 @@ def frequency(docs: DataFrame, kind: str = "single", group: str = "lang", doc: s
     per = document_terms(docs, kind, group, doc, text)
     terms = per.groupBy("volume", "term").agg(F.sum("n").alias("count"), F.count("*").alias("inscription_count"))
     totals = terms.groupBy("volume").agg(F.sum("count").alias("total"))
-    out = terms.join(totals, "volume").join(valid_documents(docs, group, doc, text), "volume")
+    valid = per.groupBy("volume").agg(F.count_distinct("doc").alias("valid")) if kind == "single" else valid_documents(docs, group, doc, text)
+    out = terms.join(totals, "volume").join(valid, "volume")
     return out.select("volume", "term", "count", percent(F.col("count"), F.col("total")).alias("frequency_pct"), "inscription_count", percent(F.col("inscription_count"), F.col("valid")).alias("inscription_pct"))
 
 
