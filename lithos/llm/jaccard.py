@@ -5,12 +5,13 @@
 2. Sets that can link differ in a bounded number of shingles. The hash range is cut into more parts
    than that number, so linked sets agree on a whole non-empty part; every part's digest is a row.
    Only parts shared by different classes go on. No similarity decision is taken here.
-3. Classes that share parts, directly or by steps, form groups. A group of bounded weight is one
+3. Within each part, trees of small bitmaps drop the pairs that sizes and bitmaps rule out; classes that
+   are left together, directly or by steps, form groups. A group of bounded weight is one
    signature tree: nodes hold OR-combined token bitmaps, size ranges and the most tokens that
    colliding bits hide; a dual traversal drops node pairs whose greatest possible overlap is too
    small, and pairs of nodes that are already one component; what is left is compared exactly.
-4. A group over the bound is first joined with its parts' pivots (salted), which links any crowd of
-   near copies in linear work; parts whose members are then still in different components are cut
+4. A group over the bound is first compared along the pairs that hold it together (salted), which links any
+   crowd of near copies in linear work; parts whose members are then still in different components are cut
    into blocks of bounded weight, and trees of block pairs are traversed likewise.
 """
 
@@ -51,7 +52,30 @@ def _digest(x: np.ndarray) -> int:
     return int(mix(np.array([int(mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) ^ len(x)], U)).view(np.int64)[0])
 
 
-_CLASSES = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
+_CLASSES = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary())])
+
+#: Least and greatest bits of the bitmap that stands for a set before the set itself is at hand; it has
+#: two bits or more for each token. A set too large for the greatest has none.
+SKETCH_LEAST, SKETCH_MOST = 256, 1 << 17
+
+
+def _sketch(x: np.ndarray) -> bytes:
+    width = SKETCH_LEAST
+    while width < 2 * len(x):
+        width *= 2
+    if width > SKETCH_MOST:
+        return b""
+    row = np.zeros(width, bool)
+    row[((mix(x) >> U(24)) & U(width - 1)).astype(np.int64)] = True
+    return np.packbits(row).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap of a smaller width, a power of two: halves are laid over each other."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
 
 
 def _classes_of(k: int, lower: bool):
@@ -59,10 +83,12 @@ def _classes_of(k: int, lower: bool):
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             d = np.zeros(b.num_rows, np.int64)
+            bits = [b""] * b.num_rows
             for i, x in _sets(b.column("text"), k, lower):
                 n[i] = len(x)
                 d[i] = _digest(x) if len(x) else 0
-            yield batch_of(_CLASSES, [b.column("key"), n, pa.array(d, mask=n == 0)])
+                bits[i] = _sketch(x) if len(x) else b""
+            yield batch_of(_CLASSES, [b.column("key"), n, pa.array(d, mask=n == 0), pa.array(bits, pa.binary())])
 
     return run
 
@@ -192,23 +218,12 @@ def linked(x: np.ndarray, y: np.ndarray, t: float) -> bool:
 class Tree:
     """Nodes of one level are runs of LEAF nodes of the level below; level 0 is the sets."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(x) for x in sets])
-        least = np.array([int(x[0]) if len(x) else 0 for x in sets], U)
-        self.order = np.lexsort((least, sizes))
-        self.sets = [sets[i] for i in self.order]
-        width = 64
-        while width < 2 * sizes.max() and width < 8192:
-            width *= 2
-        bits = np.zeros((len(sets), width // 8), np.uint8)
-        for i, x in enumerate(self.sets):
-            b = (mix(x) >> U(20)) % U(width)
-            row = np.zeros(width, bool)
-            row[b.astype(np.int64)] = True
-            bits[i] = np.packbits(row)
-        bits = bits.view(U)
-        size = sizes[self.order]
-        hidden = size - np.bitwise_count(bits).sum(1).astype(np.int64)
+    def __init__(self, bits: np.ndarray, size: np.ndarray, first: np.ndarray, hidden: np.ndarray | None = None):
+        """bits (n, words) of the sets' tokens, sizes, a number that is alike for similar sets, and the tokens
+        that share bits, where bits alone don't tell."""
+        self.order = np.lexsort((first, size))
+        bits, size = bits[self.order], size[self.order]
+        hidden = size - np.bitwise_count(bits).sum(1).astype(np.int64) if hidden is None else hidden[self.order]
         self.levels = [(bits, size, size, hidden)]
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, hid = self.levels[-1]
@@ -216,6 +231,20 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(hid, at)))
 
 
+def tree_of(sets: list[np.ndarray]) -> Tree:
+    size = np.array([len(x) for x in sets])
+    least = np.array([int(x[0]) if len(x) else 0 for x in sets], U)
+    width = 64
+    while width < 2 * size.max() and width < 8192:
+        width *= 2
+    bits = np.zeros((len(sets), width // 8), np.uint8)
+    for i, x in enumerate(sets):
+        row = np.zeros(width, bool)
+        row[((mix(x) >> U(20)) % U(width)).astype(np.int64)] = True
+        bits[i] = np.packbits(row)
+    return Tree(bits.view(U), size, least)
+
+
 def _possible(level, i: np.ndarray, j: np.ndarray, other, t: float) -> np.ndarray:
     """Of node pairs i x j: whether sizes and the greatest possible overlap allow a link."""
     bits, lo, hi, hid = level
@@ -226,22 +255,21 @@ def _possible(level, i: np.ndarray, j: np.ndarray, other, t: float) -> np.ndarra
     return fits & (most >= need(lo[i][:, None], olo[j][None, :], t))
 
 
-def tree_links(sets: list[np.ndarray], t: float, comp: np.ndarray | None = None, all_links: bool = False) -> list[tuple[int, int]]:
-    """Links among sets that connect every component (all_links: every link). comp: components that
-    are known already; pairs within one are passed over."""
-    n = len(sets)
-    if n < 2:
-        return []
-    tree = Tree(sets)
+def traverse(tree: Tree, t: float, link, comp: np.ndarray | None = None, all_links: bool = False) -> list[tuple[int, int]]:
+    """Dual traversal: pairs that ``link`` confirms, enough to connect every component (all_links: all of
+    them). comp: components that are known already; pairs within one are passed over."""
+    n = len(tree.order)
     label = np.arange(n) if comp is None else np.unique(comp, return_inverse=True)[1][tree.order]
     found: list[tuple[int, int]] = []
-    top = len(tree.levels) - 1
-    stack = [(top, 0, 0)]
+    stack = [(len(tree.levels) - 1, 0, 0)]
+    if n == 1:
+        return found
     while stack:
         lv, a, b = stack.pop()
         if lv == 0:
-            if (all_links or label[a] != label[b]) and linked(tree.sets[a], tree.sets[b], t):
-                found.append((int(tree.order[a]), int(tree.order[b])))
+            i, j = int(tree.order[a]), int(tree.order[b])
+            if (all_links or label[a] != label[b]) and link(i, j):
+                found.append((i, j))
                 if not all_links:
                     label[label == label[b]] = label[a]
             continue
@@ -261,6 +289,67 @@ def tree_links(sets: list[np.ndarray], t: float, comp: np.ndarray | None = None,
     return found
 
 
+def tree_links(sets: list[np.ndarray], t: float, comp: np.ndarray | None = None, all_links: bool = False) -> list[tuple[int, int]]:
+    if len(sets) < 2:
+        return []
+    return traverse(tree_of(sets), t, lambda i, j: linked(sets[i], sets[j], t), comp, all_links)
+
+
+def _part_edges(t: float):
+    """Sorted (sig, cls, n, bits) rows -> edges that connect the members of each part whose sizes and
+    bitmaps allow a link, by the same traversal without a final comparison."""
+
+    def close(cls, n, bits):
+        width = min((len(b) for b in bits if b), default=SKETCH_LEAST // 8)
+        x = np.stack([_folded(b, width) if b else np.full(width, 255, np.uint8) for b in bits]).view(U)
+        size = np.array(n, np.int64)
+        # a set without a bitmap may hold any token
+        hidden = np.where([bool(b) for b in bits], size - np.bitwise_count(x).sum(1).astype(np.int64), size)
+        got = traverse(Tree(x, size, x[:, 0], hidden), t, lambda i, j: True)
+        return [(cls[i], cls[j]) for i, j in got]
+
+    def run(batches):
+        now, rows, links = None, [], []
+        for b in batches:
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("sig", "cls", "n", "bits")), strict=True):
+                if g != now:
+                    if len(rows) > 1:
+                        links += close(*zip(*rows, strict=True))
+                    now, rows = g, []
+                rows.append(row)
+            if links:
+                yield batch_of(_LINKS, [[x for x, _ in links], [y for _, y in links]])
+                links = []
+        if len(rows) > 1:
+            links += close(*zip(*rows, strict=True))
+        if links:
+            yield batch_of(_LINKS, [[x for x, _ in links], [y for _, y in links]])
+
+    return run
+
+
+def _hopeful(t: float):
+    """Pairs (a, na, xa, b, nb, xb) whose sizes and bitmaps allow a link."""
+
+    def run(batches):
+        for p in batches:
+            na, nb = (p.column(c).to_numpy() for c in ("na", "nb"))
+            ok = (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9)
+            least = need(na, nb, t)
+            xa, xb = p.column("xa"), p.column("xb")
+            for i in np.flatnonzero(ok):
+                x, y = xa[i].as_py(), xb[i].as_py()
+                if x and y:
+                    width = min(len(x), len(y))
+                    x, y = _folded(x, width).view(U), _folded(y, width).view(U)
+                    hidden = min(na[i] - int(np.bitwise_count(x).sum()), nb[i] - int(np.bitwise_count(y).sum()))
+                    ok[i] = int(np.bitwise_count(x & y).sum()) + hidden >= least[i]
+            keep = pa.array(ok)
+            yield batch_of(_LINKS, [p.column("a").filter(keep), p.column("b").filter(keep)])
+
+    return run
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -321,14 +410,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
     are each returned. Other columns are ignored. An empty table gives an empty result.
     """
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = cut(base.mapInArrow(_classes_of(k, lower), "key long, n_shingles long, cls long"))
+    drawn = cut(base.mapInArrow(_classes_of(k, lower), "key long, n_shingles long, cls long, bits binary"))
+    rows = drawn.select("key", "n_shingles", "cls")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"))
 
     sigs = base.select("text").mapInArrow(_signatures_of(k, t, lower), "sig long, cls long")
     shared = sigs.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot <> other").select("sig", "pivot")
     members = cut(sigs.join(shared, "sig").groupBy("sig", "pivot", "cls").agg(F.lit(1).alias("x")).drop("x"))
-    star = members.where("pivot <> cls").groupBy("pivot", "cls").agg(F.lit(1).alias("x")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    star = cut(star)
+    # sizes and bitmaps of the classes rule out most chance pairs before any set is moved: a part of two
+    # classes is one pair, a larger one a tree of bitmaps; beyond the bound of a tree the pivot stands for all
+    counts = members.groupBy("sig").agg(F.count("*").alias("c"))
+    sized = members.join(counts, "sig")
+    edges = sized.where("pivot <> cls").groupBy("pivot", "cls").agg(F.max("c").alias("most"), F.min("c").alias("c")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "c", "most")
+    known = drawn.where("cls is not null").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("n"), "bits")
+    left, right = (known.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in ("a", "b"))
+    duo = edges.where("c = 2").join(left, "a").join(right, "b").select("a", "na", "xa", "b", "nb", "xb").mapInArrow(_hopeful(t), "a long, b long")
+    tree = sized.where(f"c > 2 and c <= {TREE_MEMBERS}").join(known, "cls").select("sig", "cls", "n", "bits")
+    tree = tree.repartition(_width(docs), "sig").sortWithinPartitions("sig", "cls").mapInArrow(_part_edges(t), "a long, b long")
+    crowd = edges.where(f"most > {TREE_MEMBERS}").select("a", "b")
+    star = cut(duo.unionByName(tree).unionByName(crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     group = components(star).withColumnRenamed("id", "cls").withColumnRenamed("comp", "grp")
     group = cut(group.join(classes.select("cls", "key", "n"), "cls"))
     weight = group.groupBy("grp").agg(F.sum("n").alias("weight"), F.count("*").alias("count"))
@@ -358,7 +458,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
         split = (
             parts.groupBy("sig")
             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("w"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("same"))
-            .where("lo <> hi and c > 2")
+            .where("lo <> hi")
         )
         split = split.groupBy("c", "w", "same").agg(F.min("sig").alias("sig"))  # parts with the same members are one
         split = split.select("sig", F.ceil(F.greatest(F.col("w") * 2 / TREE_WEIGHT, F.col("c") * 2 / TREE_MEMBERS)).cast("int").alias("nb"))
