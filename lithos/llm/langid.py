@@ -7,6 +7,7 @@ is nearly as close makes the answer ambiguous.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,22 +87,30 @@ def margins(model_weight: np.ndarray, bias: np.ndarray, array: pa.Array) -> np.n
     return out
 
 
-def learning_sample(docs: DataFrame, lang: str, rows: int, longest: int, key: str) -> list:
+def learning_sample(docs: DataFrame, lang: str, rows: int, longest: int, key: str) -> DataFrame | None:
     """(key, text, lang) of about ``rows`` rows of each language, picked by a hash of the key; twice
     as many at most. Counts cover all rows; texts over ``longest`` bytes aren't trained on."""
     usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("k"), F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
-        return []
+        return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))])
     even = (F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "k"), 11) / F.lit(float(1 << 53))).cast("double")
-    picked = usable.where(F.col("lang").isin(*counts)).where(even < share[F.col("lang")]).where(F.octet_length("text") <= longest).limit(2 * rows * len(counts))
-    return sorted((r.k, r.text, r.lang) for r in picked.toLocalIterator())
+    return usable.where(F.col("lang").isin(*counts)).where(even < share[F.col("lang")]).where(F.octet_length("text") <= longest).limit(2 * rows * len(counts))
 
 
 def train_langid(docs: DataFrame, lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES, steps: int = 300) -> Ecoc:
+    """The model is fitted in one task on the bounded sample; the driver gets its weights."""
     sample = learning_sample(docs, lang, rows, longest, key)
-    return fit([t for _, t, _ in sample], [y for _, _, y in sample], steps)
+    if sample is None:
+        return fit([], [])
+
+    def run(batches):
+        rows = sorted(((k, t, y) for b in batches for k, t, y in zip(*(b.column(c).to_pylist() for c in ("k", "text", "lang")), strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], [y for *_, y in rows], steps))], pa.binary())], ["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([], [])
 
 
 def fit(texts: list[str], langs: list[str], steps: int = 300) -> Ecoc:

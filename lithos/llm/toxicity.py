@@ -1,12 +1,13 @@
 """Toxic spans by a linear-chain conditional random field over two labels.
 
-Training runs on the driver over a bounded sample; scoring is one pass over all texts. Forward and
+Training is one task over a bounded sample; scoring is one pass over all texts. Forward and
 backward recursions treat a slice of texts as one chain that restarts at each text, cut into chunks
 whose transfer matrices are multiplied side by side, so the work is vectorised whatever the lengths.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -209,25 +210,34 @@ def train_crf(first: np.ndarray, f: np.ndarray, label: np.ndarray, epochs: int =
     return model
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES, key: str = "doc_id", label: str = "toxic") -> list:
-    """Up to ``rows`` (text, label) of each label, picked by a hash of the key; texts over ``longest``
+def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Up to ``rows`` rows (k, text, y) of each label, picked by a hash of the key; texts over ``longest``
     bytes are not trained on. A key labelled twice counts with its greatest label. The keys that are
     sent to the scan number 2 * rows at most."""
     lab = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     picked = [lab.where(cond).orderBy(F.xxhash64("k"), "k").limit(rows) for cond in ("y >= 1", "y < 1")]
     picked = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text")).where("text is not null")
-    got = texts.where(F.octet_length("text") <= longest).join(picked, "k").select("k", "text", "y")
-    return sorted((r.k, r.text, int(r.y >= 1)) for r in got.toLocalIterator())
+    return texts.where(F.octet_length("text") <= longest).join(picked, "k").select("k", "text", (F.col("y") >= 1).alias("y"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", label: str = "toxic") -> Crf:
     """A CRF from document labels. Tokens are labelled first (``span_lexicon``); without any toxic
-    example the model scores everything near 0."""
-    sample = learning_sample(docs, labels, rows, key=key, label=label)
-    texts: dict[str, int] = {}
-    for _, text, y in sample:
-        texts[text] = max(y, texts.get(text, 0))
+    example the model scores everything near 0. One task fits the bounded sample; the driver gets the model."""
+
+    def run(batches):
+        rows = sorted(((k, t, y) for b in batches for k, t, y in zip(*(b.column(c).to_pylist() for c in ("k", "text", "y")), strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], [y for *_, y in rows]))], pa.binary())], ["model"])
+
+    made = learning_sample(docs, labels, rows, key=key, label=label).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([], [])
+
+
+def fit(sample: list[str], labels: list[bool]) -> Crf:
+    """A CRF from texts and their labels; equal texts count once, with their greatest label."""
+    texts: dict[str, bool] = {}
+    for text, y in zip(sample, labels, strict=True):
+        texts[text] = y or texts.get(text, False)
     toxic = np.array(list(texts.values()), bool)
     array = pa.array(list(texts), pa.string())
     docs_spelt: list[np.ndarray] = []
