@@ -9,13 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, as in tests on one
+    machine, one of our own; a cluster must name one, since its machines share no local folder."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="lithos-")
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder that the cluster names in spark.checkpoint.dir; a
-    folder of our own is set only where that setting is empty, as in tests on one machine."""
+    """``checkpoint()`` into ``shared_folder``."""
     spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithos-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     # a checkpoint would carry on the constraints of the plan it cuts, which multiply in a loop
     name = "spark.sql.constraintPropagation.enabled"
     was = spark.conf.get(name, "true")
