@@ -29,7 +29,7 @@ RADIUS = 19
 BLOCKS = 4
 #: Words of the items of one pass over the texts, and the words of the longest item that is indexed
 #: by one window; longer items are indexed by consecutive windows of that size.
-PASS_WORDS, ITEM_WORDS = 2_000_000, 4096
+PASS_WORDS, ITEM_WORDS = 500_000, 4096
 
 
 @dataclass
