@@ -11,6 +11,7 @@ from lithos.llm.decontam import drop_leaks
 from lithos.llm.jaccard import near_duplicates
 from lithos.llm.linededup import line_dedup
 from lithos.llm.packing import pack
+from lithos.llm.store import shared_folder
 from lithos.llm.toxicity import drop_toxic, train_toxicity
 
 
@@ -52,12 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents; what each returns is written as Parquet and read again."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="lithos-")
-    at = f"{at.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}_{name}")
