@@ -23,16 +23,15 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
+def plain_label_key(x: str) -> str:
+    flat = unicodedata.normalize("NFD", x.casefold()).translate({ord("đ"): "d", ord("ð"): "d"})
+    bare = " ".join("".join(c for c in flat if not unicodedata.combining(c)).split())
+    return bare.replace("ky hieu", "ki hieu")
+
+
 @F.pandas_udf(StringType())
 def _label_key(s: pd.Series) -> pd.Series:
-    def one(x):
-        if x is None:
-            return None
-        flat = unicodedata.normalize("NFD", x.casefold()).translate({ord("đ"): "d", ord("ð"): "d"})
-        bare = " ".join("".join(c for c in flat if not unicodedata.combining(c)).split())
-        return bare.replace("ky hieu", "ki hieu")
-
-    return s.map(one)
+    return s.map(lambda x: None if x is None else plain_label_key(x))
 
 
 #: Signs outside of which every text is in NFC already. Latin letters up to U+02FF, those
@@ -56,10 +55,9 @@ def label_key(text: Column) -> Column:
     return _label_key(text)
 
 
-def label_remainder(text: Column, key: Column, head_key: Column, label: str, label_key_text: str) -> Column:
+def label_remainder(text: Column, head_key: Column, label: str, label_key_text: str) -> Column:
     """What follows a label on its line: '' for the bare label, null if the line doesn't open with it.
-    key: unused here but kept by callers that precompute it; head_key: ``label_key`` of the text
-    before the first colon. A head that is the label's own beginning, word by word, counts too."""
+    head_key: ``label_key`` of the text before the first colon. A head that is the label's own beginning, word by word, counts too."""
     bare = label.rstrip(":")
     exact = F.regexp_extract(text, f"(?s)^\\Q{bare}\\E(?:\\s*:\\s*(.*)|\\s+(.*)|\\s*)$", 1)
     exact2 = F.regexp_extract(text, f"(?s)^\\Q{bare}\\E(?:\\s*:\\s*(.*)|\\s+(.*)|\\s*)$", 2)

@@ -6,12 +6,12 @@ later windows are by record, of which there are many.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identifiers, label_key, label_remainder
+from ..functions.text import identifiers, label_key, label_remainder, plain_label_key
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,10 @@ class RecordFormat:
     fields: tuple[Field, ...]
     marker: str = "^\\s*<\\s*(\\d+)\\s*>?\\s*(.*)$"
     consecutive: bool = True
-    keys: dict[str, str] = field(default_factory=dict, compare=False)
 
     def label_keys(self) -> dict[str, str]:
-        from ..functions.text import _label_key
-        import pandas as pd
-
         labels = list(dict.fromkeys([self.start, *self.sections, *[f.label for f in self.fields]]))
-        return dict(zip(labels, _label_key.func(pd.Series([x.rstrip(":") for x in labels])), strict=True))
+        return {x: plain_label_key(x.rstrip(":")) for x in labels}
 
 
 def number_records(lines: DataFrame, title: str, volume: str = "volume", order: str = "line_no", text: str = "text") -> DataFrame:
@@ -89,7 +85,7 @@ def parse_records(lines: DataFrame, fmt: RecordFormat) -> DataFrame:
     base = number_records(lines, fmt.title)
     base = base.withColumn("head", label_key(F.substring_index("text", ":", 1)))
     number = F.regexp_extract("text", fmt.title, 1).cast("int")
-    remainder = lambda label: label_remainder(F.col("text"), F.col("head"), F.col("head"), label, keys[label])
+    remainder = lambda label: label_remainder(F.col("text"), F.col("head"), label, keys[label])
 
     heads = base.where("is_title").select(*rec, number.alias("number"))
     pages = base.groupBy(*rec).agg(F.array_sort(F.collect_set("page_number")).alias("pages"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("__src"))
