@@ -109,11 +109,13 @@ def train_urls(table: tuple[tuple[str, int], ...] = LABELLED, steps: int = 1500)
     x, t = _vectors(pa.array(texts, pa.string())), np.array(y, float)
     rare = np.log1p(len(t) / np.maximum((x > 0).sum(0), 1)) ** 2 / 8
     x *= rare
-    w, b = np.zeros(BUCKETS), 0.0
+    # the weights are sums of rows of x, so the descent runs on one coefficient a row
+    k, c, b = x @ x.T, np.zeros(len(t)), 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        w -= 4.0 * (x.T @ (p - t) / len(t) + 2e-4 * w)
+        p = 1 / (1 + np.exp(-(k @ c + b)))
+        c -= 4.0 * ((p - t) / len(t) + 2e-4 * c)
         b -= 1.0 * (p - t).mean()
+    w = x.T @ c
     return UrlModel(w * rare, float(b))
 
 
