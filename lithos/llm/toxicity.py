@@ -61,9 +61,9 @@ def _emission(model: Crf, f: np.ndarray) -> np.ndarray:
     return e.astype(np.float64)
 
 
-def forward_backward(model: Crf, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of label 1, and pair marginals (n, 2, 2) of each token and the one before it (zeros
-    at a text's first). e: emission log-odds; first: index of each text's first token and the end."""
+def forward_backward(model: Crf, e: np.ndarray, first: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of label 1, and if asked for pair marginals (n, 2, 2) of each token and the one before it
+    (zeros at a text's first). e: emission log-odds; first: index of each text's first token and the end."""
     n = len(e)
     if not n:
         return np.empty(0), np.empty((0, 2, 2))
@@ -117,13 +117,15 @@ def forward_backward(model: Crf, e: np.ndarray, first: np.ndarray) -> tuple[np.n
         u, v = u / z, v / z
     z = f0[1:] * b0 + f1[1:] * b1
     one = (f1[1:] * b1 / z).T.reshape(-1)[:n]
+    if not pairs:
+        return one, None
     pair = np.stack([f0[:-1] * a00 * b0, f0[:-1] * a01 * b1, f1[:-1] * a10 * b0, f1[:-1] * a11 * b1])
     pair = np.where(head, 0, pair / pair.sum(0))
     return one, pair.transpose(2, 1, 0).reshape(-1, 2, 2)[:n]
 
 
 def _marginals(model: Crf, e: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return forward_backward(model, e, first)[0]
+    return forward_backward(model, e, first, pairs=False)[0]
 
 
 # ---------------------------------------------------------------- training
@@ -259,8 +261,11 @@ def fit(sample: list[str], labels: list[bool]) -> Crf:
     f, first = np.concatenate(feats, axis=1), np.array(first)
     del feats
     model = train_crf(first, f, np.concatenate(marks))
-    got = _gather(_marginals(model, _emission(model, f), first), first)
-    model.blend = _logistic(got, toxic.astype(float))
+    got = []
+    for lo in range(0, len(toxic), 100):
+        at = first[lo : lo + 101]
+        got.append(_gather(_marginals(model, _emission(model, f[:, at[0] : at[-1]]), at - at[0]), at - at[0]))
+    model.blend = _logistic(np.concatenate(got), toxic.astype(float))
     return model
 
 
