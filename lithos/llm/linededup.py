@@ -185,11 +185,12 @@ def _cutter(text: str, todo: str, keep: list[str], removed: str):
     def run(batches):
         for batch in batches:
             col = batch.column(text)
-            cuts = [[(c["lo"], c["hi"], c["prev"], c["next"]) for c in x] if x else [] for x in batch.column(todo).to_pylist()]
+            lists = batch.column(todo)
             texts: list = []
             spans: list = []
             for s in slices(col):
-                t, r = _without(s, cuts[s.first : s.first + s.rows])
+                cuts = [[(c["lo"], c["hi"], c["prev"], c["next"]) for c in x] if x else [] for x in lists.slice(s.first, s.rows).to_pylist()]
+                t, r = _without(s, cuts)
                 texts += t
                 spans += r
             null = np.asarray(col.is_null())
