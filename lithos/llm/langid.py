@@ -122,11 +122,11 @@ def fit(texts: list[str], langs: list[str], steps: int = 300) -> Ecoc:
     x = np.zeros((len(texts), BUCKETS), np.float32)
     for s in slices(pa.array(texts, pa.string())):
         for g, at in _grams(s):
-            row = np.repeat(np.arange(s.rows), np.diff(at))
-            np.add.at(x, (s.first + row, g.astype(np.int64)), 1)
+            for i in range(s.rows):
+                x[s.first + i] += np.bincount(g[at[i] : at[i + 1]].astype(np.int64), minlength=BUCKETS)
     x /= np.maximum(x.sum(1, keepdims=True), 1)
     scale = 1 / (np.sqrt((x * x).mean(0)) + 1e-4)
-    scale *= 1 / np.sqrt((x * scale > 0).sum(1).mean() + 1)
+    scale *= 1 / np.sqrt(np.count_nonzero(x, axis=1).mean() + 1)
     x *= scale
     y = codes[np.searchsorted(names, langs)].astype(np.float32)
     w, b = np.zeros((BUCKETS, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
