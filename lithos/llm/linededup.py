@@ -1,10 +1,13 @@
 """Removal of passages that texts share, by content-defined chunks of lines.
 
 A text is cut into lines at line breaks and, so that unwrapped prose has lines too, after sentence
-ends. A rolling hash over the last two line hashes sets chunk boundaries, so the same passage is cut
-alike wherever it stands. A chunk of two lines or more, or of one long line, that occurs more than once in the
+ends. A rolling hash over the last two line hashes sets chunk boundaries, so the same passage is mostly
+cut alike wherever it stands; chunks are two lines or more, or one long line. Beside them stand anchors:
+of all shortest runs of lines worth removing that lie in ``PASSAGE`` words from a line on, the one of
+the least hash. What is chosen depends on those words alone, so any ``PASSAGE`` words of whole lines hold
+an anchor that every copy has too. A chunk or anchor that occurs more than once in the
 corpus is kept where it occurs first and removed elsewhere, once its bytes equal the first's. A
-removed chunk then grows over neighbouring lines that equal the neighbours of the first occurrence.
+removed one then grows over neighbouring lines that equal the neighbours of the first occurrence.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import _SPACE, U, Slice, SpanHasher, batch_of, mix, points, runs, slices
+from .tokens import _P, _P_INV, _SPACE, U, Slice, SpanHasher, _power, batch_of, mix, points, runs, slices
 
 #: A chunk ends where the rolling hash falls under this share of its range.
 SHARE = 0.5
 #: Words that make a chunk worth removing, and those of a line that is a chunk by itself.
 CHUNK_WORDS, LINE_WORDS = 12, 24
-#: Lines on either side that a removed chunk may grow over.
+#: Words of whole lines that are always found where they stand again.
+PASSAGE = 50
+#: Lines on either side that a removed chunk may grow over; more where these hold under ``PASSAGE`` words.
 REACH = 8
 
 _STOP = np.zeros(256, bool)
@@ -48,13 +53,13 @@ def lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks(s: Slice):
-    """Line spans and chunk bounds of a slice: (start, end, words, line hash, first line of each chunk,
-    end line of each chunk, row of each chunk)."""
+    """Lines, chunks and anchors of a slice: (start, end, words, line hash, index of each row's first line;
+    first line, end line, hash and row of each chunk or anchor, in order of place, each span once)."""
     a, b, first, n = lines(s)
     h = SpanHasher(s.data)(a, b)
     m = len(a)
     if not m:
-        return a, b, n, h, a, a, a
+        return a, b, n, h, first, a, a, h, a
     before = np.empty(m, U)
     before[0] = 0
     before[1:] = h[:-1]
@@ -69,7 +74,37 @@ def chunks(s: Slice):
     ends[tails] = True
     e = np.flatnonzero(ends) + 1
     st = np.concatenate([[0], e[:-1]])
-    return a, b, n, h, st, e, np.searchsorted(first, st, "right") - 1
+    ok = _worth(n, st, e)
+    hasher = LineHasher(h)
+    x, y = _anchors(n, first, hasher)
+    spans = np.unique(np.concatenate([st[ok] * (m + 1) + e[ok], x * (m + 1) + y]))
+    st, e = spans // (m + 1), spans % (m + 1)
+    return a, b, n, h, first, st, e, hasher(st, e), np.searchsorted(first, st, "right") - 1
+
+
+def _anchors(n: np.ndarray, first: np.ndarray, hasher: LineHasher) -> tuple[np.ndarray, np.ndarray]:
+    """First and end line of the anchors. A run is the fewest lines from one on that are worth
+    removing; each line chooses among the runs that end within ``PASSAGE`` words of its start, or its own if none does."""
+    m = len(n)
+    at = np.concatenate([[0], np.cumsum(n)])
+    end = np.maximum(np.arange(1, m + 1) + (n < LINE_WORDS), np.searchsorted(at, at[:-1] + CHUNK_WORDS))  # never falls
+    whole = end <= np.repeat(first[1:], np.diff(first))
+    x = np.flatnonzero(whole)  # in a row, the lines that open a run come first
+    if not len(x):
+        return x, x
+    end = np.minimum(end, m)
+    g = np.zeros(m, U)
+    g[x] = hasher(x, end[x])
+    runs_of = np.concatenate([[0], np.cumsum(whole)])
+    stop = np.repeat(first[:-1] + np.diff(runs_of[first]), np.diff(first))[x] - 1
+    stop = np.maximum(x, np.minimum(stop, np.searchsorted(at[end], at[x] + PASSAGE, "right") - 1))
+    best, live, k = x.copy(), np.arange(len(x)), 1
+    while len(live := live[x[live] + k <= stop[live]]):
+        j = x[live] + k
+        best[live] = np.where(g[j] < g[best[live]], j, best[live])
+        k += 1
+    best = np.unique(best)
+    return best, end[best]
 
 
 _HASHES = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("key", pa.int64()), ("no", pa.int32()), ("again", pa.bool_())])
@@ -78,10 +113,15 @@ _BODIES = pa.schema(
 )
 
 
-def _chunk_hash(h: np.ndarray, st: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Order-sensitive hash of the line hashes of each chunk, whatever its place."""
-    step = (np.arange(len(h)) - np.repeat(st, e - st)).astype(U)
-    return mix(np.add.reduceat(mix(h + (step + U(1)) * U(0xA0761D6478BD642F)), st) + (e - st).astype(U))
+class LineHasher:
+    """Order-sensitive hashes of runs of lines, whatever their place."""
+
+    def __init__(self, h: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h) * _power(_P, len(h))[: len(h)])])
+        self.back = _power(_P_INV, len(h) + 1)
+
+    def __call__(self, st: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix((self.sums[e] - self.sums[st]) * self.back[st] + (e - st).astype(U) * U(0xA0761D6478BD642F))
 
 
 def _worth(n: np.ndarray, st: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -89,12 +129,16 @@ def _worth(n: np.ndarray, st: np.ndarray, e: np.ndarray) -> np.ndarray:
     return ((e - st >= 2) & (words >= CHUNK_WORDS)) | (words >= LINE_WORDS)
 
 
-def _repeats(g: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Whether a chunk hash stood earlier in the same row."""
+def _repeats(g: np.ndarray, row: np.ndarray, st: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a hash stood earlier in the same row, and whether its first place there overlaps this one."""
     order = np.lexsort((np.arange(len(g)), g, row))
-    same = np.zeros(len(g), bool)
-    same[order[1:]] = (g[order[1:]] == g[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-    return same
+    fresh = np.ones(len(g), bool)
+    fresh[1:] = (g[order[1:]] != g[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+    lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(g)), 0))]
+    same, over = np.empty(len(g), bool), np.empty(len(g), bool)
+    same[order] = ~fresh
+    over[order] = ~fresh & (st[order] < e[lead])
+    return same, over
 
 
 def _hash_rows(batches):
@@ -102,14 +146,13 @@ def _hash_rows(batches):
         key = batch.column("key").to_numpy(zero_copy_only=False)
         rid = batch.column("rid").to_numpy(zero_copy_only=False)
         for s in slices(batch.column("text")):
-            *_, n, h, st, e, row = chunks(s)
+            *_, st, e, g, row = chunks(s)
             if not len(st):
                 continue
-            g = _chunk_hash(h, st, e)
             no = np.arange(len(st)) - np.searchsorted(row, row)
-            ok = _worth(n, st, e)
-            at = s.first + row[ok]
-            yield batch_of(_HASHES, [g[ok].view(np.int64), rid[at], key[at], no[ok].astype(np.int32), _repeats(g, row)[ok]])
+            again, over = _repeats(g, row, st, e)
+            at = s.first + row[~over]
+            yield batch_of(_HASHES, [g[~over].view(np.int64), rid[at], key[at], no[~over].astype(np.int32), again[~over]])
 
 
 def _bodies_of(text: str, todo: str):
@@ -124,7 +167,10 @@ def _bodies_of(text: str, todo: str):
             item = lists.values
             no_, g_, first_ = (np.asarray(item.field(x)) for x in ("no", "h", "first"))
             for s in slices(batch.column(text)):
-                a, b, n, h, st, e, row = chunks(s)
+                a, b, n, h, lines_at, st, e, _, row = chunks(s)
+                words = np.concatenate([[0], np.cumsum(n)])
+                back = np.minimum(st - REACH, np.searchsorted(words, words[st] - PASSAGE))
+                ahead = np.maximum(e + REACH, np.searchsorted(words, words[e] + PASSAGE))
                 out = []
                 raw = s.data.tobytes()
                 edge = np.searchsorted(row, np.arange(s.rows + 1))
@@ -132,11 +178,12 @@ def _bodies_of(text: str, todo: str):
                     c0, c1 = edge[i], edge[i + 1]
                     if c0 == c1:
                         continue
-                    l0, l1 = st[c0], e[c1 - 1]
+                    l0, l1 = lines_at[i], lines_at[i + 1]
                     for q in range(offs[s.first + i], offs[s.first + i + 1]):
-                        x, y = st[c0 + no_[q]], e[c0 + no_[q]]
-                        prev = h[max(l0, x - REACH) : x][::-1] if first_[q] else h[:0]
-                        nxt = h[y : min(l1, y + REACH)] if first_[q] else h[:0]
+                        c = c0 + no_[q]
+                        x, y = st[c], e[c]
+                        prev = h[max(l0, back[c]) : x][::-1] if first_[q] else h[:0]
+                        nxt = h[y : min(l1, ahead[c])] if first_[q] else h[:0]
                         out.append((g_[q], rid[s.first + i], first_[q], x - l0, y - l0, raw[a[x] : b[y - 1]], prev.view(np.int64), nxt.view(np.int64)))
                 if out:
                     yield batch_of(_BODIES, [list(c) for c in zip(*out, strict=True)])

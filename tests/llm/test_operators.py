@@ -228,6 +228,29 @@ def test_line_dedup_spans(spark, docs):
             assert all(where[x] <= i for x in lines_of(docs.text[i][s.start : s.end]))
 
 
+@pytest.mark.parametrize("most", [3, 7, 14, 40])
+def test_line_dedup_finds_every_passage_over_50_words(spark, most):
+    rnd = random.Random(most)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    passages = []
+    for _ in range(60):
+        p = []
+        while sum(map(lambda x: x.count(" ") + 1, p)) <= 50:
+            p.append(say(rnd.randint(1, most)))
+        passages.append(" ".join(p))
+    texts = [f"{say(rnd.randint(3, 9))} {say(rnd.randint(3, 9))} {p} {say(rnd.randint(3, 9))} {say(rnd.randint(3, 9))}" for p in passages for _ in range(4)]
+    got = {r.doc_id: r for r in linededup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        gone = "".join(t[s.start : s.end] for s in got[i].removed).strip()
+        assert gone == ("" if i % 4 == 0 else passages[i // 4]), (most, i)
+
+
+def test_line_dedup_keeps_one_whole_run_of_a_periodic_text(spark):
+    line = "one two three four five six seven eight nine ten."
+    got = linededup.line_dedup(spark.createDataFrame([(1, " ".join([line] * 30))], "doc_id long, text string")).first()
+    assert got.removed and set(got.text.split(". ")) <= {line, line[:-1]}
+
+
 # ---------------------------------------------------------------- op7
 
 
