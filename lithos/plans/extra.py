@@ -119,7 +119,7 @@ def text_problems(spark, sf):
 
 @query()
 def workflow_replay(spark, sf):
-    e = load(spark, sf, "events").where("event_id < 4000")
+    e = load(spark, sf, "events")
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     act = F.element_at(F.array(*[F.lit(a) for a in ("save_content", "detect", "sort_boxes", "next", "statuses", "next", "crop", "next", "save")]), F.least(step, F.lit(9)))
     body = F.element_at(F.array(*[F.lit(p) for p in ('{"text": "ab"}', '{"boxes": [[0, 0, 5, 5], [0, 6, 5, 9]], "damaged": 1}', '{"order": [2, 1]}', "{}", '{"ids": [1], "damaged": true, "level": 2}', "{}", '{"bbox": [0, 0, 9, 9]}', "{}", "{}")]), F.least(step, F.lit(9)))

@@ -2,7 +2,8 @@
 
 from collections import Counter, defaultdict
 
-from lithos.plans import boxes
+from lithos.operators import workflow as W
+from lithos.plans import boxes, extra
 
 
 def test_range_join_takes_all_spans(spark, tmp_path):
@@ -25,3 +26,22 @@ def test_order_gaps_takes_all_events(spark, tmp_path):
         c = Counter(x for x in o if x is not None)
         want.add((g, len(o), o.count(None), ",".join(str(x) for x in range(1, len(o) + 1) if x not in c), sum(v > 1 for v in c.values())))
     assert {tuple(r) for r in boxes.order_gaps(spark, str(tmp_path)).collect()} == want
+
+
+def test_workflow_replay_takes_all_events(spark, tmp_path):
+    events = [(i, i * 31 % 23) for i in range(3900, 4200)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    steps = [
+        ("save_content", {"text": "ab"}), ("detect", {"boxes": [[0, 0, 5, 5], [0, 6, 5, 9]], "damaged": 1}), ("sort_boxes", {"order": [2, 1]}), ("next", {}),
+        ("statuses", {"ids": [1], "damaged": True, "level": 2}), ("next", {}), ("crop", {"bbox": [0, 0, 9, 9]}), ("next", {}), ("save", {}),
+    ]
+    states, done, want = {}, Counter(), set()
+    for _, u in events:
+        done[u] += 1
+        why = None
+        try:
+            states[u] = W.apply(states.get(u) or W.start(10, 10), *steps[min(done[u], 9) - 1])
+        except W.Rejected as e:
+            why = str(e)
+        want.add((str(u), done[u], why is None, why))
+    assert {tuple(r) for r in extra.workflow_replay(spark, str(tmp_path)).collect()} == want and len(want) == 300
