@@ -11,8 +11,8 @@ from ..functions.text import font_key
 
 #: Fixed value: what stands for a character that can't be decoded.
 UNRESOLVED = "□"
-#: Reference rows of one block of the nearest-neighbour search; a block is what a task holds.
-BLOCK = 4096
+#: Reference rows and asking rows of one block of the nearest-neighbour search; a pair of blocks is what a task holds.
+BLOCK, ASKED = 4096, 65536
 
 
 def signature(commands: Column) -> Column:
@@ -48,8 +48,8 @@ def match_glyphs(glyphs: DataFrame, references: DataFrame, group: str = "font",
     point of equal signatures; a blank glyph is a space; of the rest the reference with the least L1
     distance, the lowest code point of equal ones. method says which.
 
-    Only glyphs without an exact match are compared. References are dealt in blocks within their group;
-    each (glyph, block) gives one candidate, so the search keeps one row per block, not per pair.
+    Only glyphs without an exact match are compared. Both sides are dealt in blocks within their group;
+    each (glyph, reference block) gives one candidate, so the search keeps one row per block, not per pair.
     """
     exact = references.groupBy(group, "signature").agg(F.min("codepoint").alias("codepoint"))
     hit = glyphs.join(exact, [group, "signature"]).select("id", "codepoint", F.lit("exact").alias("method"), F.lit(0.0).alias("distance"))
@@ -58,27 +58,30 @@ def match_glyphs(glyphs: DataFrame, references: DataFrame, group: str = "font",
     space = rest.where(blank).select("id", F.lit(32).cast("int").alias("codepoint"), F.lit("blank").alias("method"), F.lit(0.0).alias("distance"))
     rest = rest.where(~blank).select("id", F.col(group).alias("grp"), F.col(vec).cast("array<double>").alias("v"))
     sizes = references.groupBy(group).agg(F.count("*").alias("n")).select(F.col(group).alias("grp"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.join(rest.groupBy("grp").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("lots")), "grp")
     refs = references.select(F.col(group).alias("grp"), F.col("codepoint").cast("int").alias("codepoint"), F.col(vec).cast("array<double>").alias("v")).join(sizes, "grp")
-    refs = refs.withColumn("blk", F.pmod(F.xxhash64("codepoint", "v"), "blocks").cast("int")).select("grp", "blk", "codepoint", "v")
-    ask = rest.join(sizes, "grp").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "blk", "id", "v")
+    refs = refs.withColumn("blk", F.pmod(F.xxhash64("codepoint", "v"), "blocks").cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("grp", "blk", "lot", "codepoint", "v")
+    ask = rest.join(sizes, "grp").withColumn("lot", F.pmod(F.xxhash64("id"), "lots").cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "blk", "lot", "id", "v")
+
+    def rows(t: pa.Table) -> np.ndarray:
+        v = t.column("v").combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
     def nearest(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("codepoint", pa.int32()), ("distance", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        r = np.array(right.column("v").to_pylist(), float)
         code = right.column("codepoint").to_numpy()
         order = np.argsort(code, kind="stable")
-        r, code = r[order], code[order]
-        best, dist = [], []
-        for x in left.column("v").to_pylist():
-            d = np.abs(r - np.array(x)).sum(1)
-            i = int(d.argmin())  # the first of equal ones has the lowest code point
-            best.append(int(code[i]))
-            dist.append(float(d[i]))
-        return pa.table([left.column("id").cast(pa.int64()), pa.array(best, pa.int32()), pa.array(dist)], schema=schema)
-
-    near = ask.groupBy("grp", "blk").cogroup(refs.groupBy("grp", "blk")).applyInArrow(nearest, "id long, codepoint int, distance double")
+        r, code = rows(right)[order], code[order]
+        best, dist = np.zeros(left.num_rows, int), np.zeros(left.num_rows)
+        for i, x in enumerate(rows(left)):
+            d = np.abs(r - x).sum(1)
+            best[i] = d.argmin()  # the first of equal ones has the lowest code point
+            dist[i] = d[best[i]]
+        return pa.table([left.column("id").cast(pa.int64()), pa.array(code[best], pa.int32()), pa.array(dist)], schema=schema)
+
+    near = ask.groupBy("grp", "blk", "lot").cogroup(refs.groupBy("grp", "blk", "lot")).applyInArrow(nearest, "id long, codepoint int, distance double")
     near = near.groupBy("id").agg(F.min(F.struct("distance", "codepoint")).alias("m")).select("id", "m.codepoint", F.lit("nearest").alias("method"), "m.distance")
     return hit.unionByName(space).unionByName(near)
 

@@ -107,7 +107,7 @@ def hit_test(spark, sf):
 SQL["hit_test"] = SQL["hit_test"].replace("SELECT image, idx FROM b", "SELECT DISTINCT image, idx FROM b SEMI JOIN orders ON o_orderkey = image")
 
 
-@query("""WITH p AS (SELECT event_id, user_id % 20 AS g, event_id * 7 % 9000 AS v FROM events), s AS (SELECT c_custkey AS span, c_custkey % 20 AS g, c_custkey * 13 % 9000 AS a, c_custkey * 13 % 9000 + 40 + c_custkey % 200 AS e FROM customer WHERE c_custkey <= 300)
+@query("""WITH p AS (SELECT event_id, user_id % 20 AS g, event_id * 7 % 9000 AS v FROM events), s AS (SELECT c_custkey AS span, c_custkey % 20 AS g, c_custkey * 13 % 9000 AS a, c_custkey * 13 % 9000 + 40 + c_custkey % 200 AS e FROM customer)
 SELECT event_id, span FROM p JOIN s ON p.g = s.g AND v >= a AND v < e""")
 def range_join_intervals(spark, sf):
     p = load(spark, sf, "events").select("event_id", (F.col("user_id") % 20).alias("g"), (F.col("event_id") * 7 % 9000).alias("at"))
@@ -136,17 +136,26 @@ def align_positional(spark, sf):
     return R.align(*_tokens(spark, sf), "item_id")
 
 
-@query(f"WITH {TOKENS}, {BX} SELECT item_id, pos, coalesce(token, 'MISS') AS token, box, box IS NULL AS excluded FROM (SELECT * FROM tok WHERE pos <= 2) FULL JOIN bx USING (item_id, pos)")
+@query(f"""WITH {TOKENS}, bx AS (SELECT l_suppkey % 40 AS item_id, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_partkey AS box
+  FROM lineitem WHERE l_suppkey % 40 IN (SELECT item_id FROM benchmark))
+SELECT item_id, pos, coalesce(token, 'MISS') AS token, box, box IS NULL AS excluded FROM tok FULL JOIN bx USING (item_id, pos)""")
 def align_missing(spark, sf):
-    tok, bx = _tokens(spark, sf)
-    return R.align_missing(tok.where("pos <= 2"), bx, "item_id")
+    """Whole items; the boxes of an item come from many orders, so that there are more of them than tokens."""
+    tok, _ = _tokens(spark, sf)
+    item = F.col("l_suppkey") % 40
+    pos = F.row_number().over(Window.partitionBy(item).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    bx = load(spark, sf, "lineitem").select(item.alias("item_id"), pos.alias("pos"), F.col("l_partkey").alias("box"))
+    return R.align_missing(tok, bx.join(load(spark, sf, "benchmark").select("item_id"), "item_id", "left_semi"), "item_id")
 
 
-@query("WITH s AS (SELECT d1.doc_id AS a, d2.doc_id AS b, d1.text AS x, d2.text AS y FROM documents d1 JOIN documents d2 ON d2.doc_id = d1.doc_id + 1) SELECT a, b, list_sort(string_split(substr(x, 1, 1), '')) = list_sort(string_split(substr(y, 1, 1), '')) AS same FROM s")
+@query("""WITH s AS (SELECT d1.doc_id AS a, d2.doc_id AS b, d1.text AS x, CASE WHEN d1.doc_id % 2 = 0 THEN substr(d1.text, 2) || substr(d1.text, 1, 1) ELSE d2.text END AS y FROM documents d1 JOIN documents d2 ON d2.doc_id = d1.doc_id + 1)
+SELECT a, b, list_sort(string_split(x, '')) = list_sort(string_split(y, '')) AS same FROM s""")
 def multiset_equal(spark, sf):
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("a"), F.substring("text", 1, 1).alias("x"))
-    e = d.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
-    return d.join(e, "a").select("a", "b", R.same_multiset(graphemes(F.col("x")), graphemes(F.col("y"))).alias("same"))
+    """Each whole text against itself, its first character moved to the end, or against the next text."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    e = d.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("z"))
+    y = F.when(F.col("a") % 2 == 0, F.concat(F.expr("substring(x, 2)"), F.substring("x", 1, 1))).otherwise(F.col("z"))
+    return d.join(e, "a").withColumn("y", y).select("a", "b", R.same_multiset(graphemes(F.col("x")), graphemes(F.col("y"))).alias("same"))
 
 
 @query("""WITH l AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_id % 2 = 0),
@@ -158,7 +167,7 @@ def dup_safe_mapping(spark, sf):
     return R.match_once(left, right, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], [F.col("ts2"), F.col("other")]).select("event_id", "other")
 
 
-@query("""WITH o AS (SELECT user_id AS g, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 60 + 1 END AS ord FROM events WHERE event_id < 3000),
+@query("""WITH o AS (SELECT user_id AS g, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 60 + 1 END AS ord FROM events),
 g AS (SELECT g, count(*) AS n, count_if(ord IS NULL) AS n_unassigned, list_sort(list(DISTINCT ord) FILTER (ord IS NOT NULL)) AS have FROM o GROUP BY 1),
 r AS (SELECT g, count(*) AS n_repeated FROM (SELECT g, ord FROM o WHERE ord IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1)
 SELECT g, n, n_unassigned, array_to_string(list_filter(range(1, n + 1), lambda x: NOT list_contains(have, x)), ',') AS missing, coalesce(n_repeated, 0) AS n_repeated FROM g LEFT JOIN r USING (g)""")
@@ -185,14 +194,18 @@ def range_assignment(spark, sf):
 # ---------------------------------------------------------------- glyphs
 
 
-@query("""WITH r AS (SELECT vec_id AS codepoint, embedding[1:16] AS v, label FROM embeddings WHERE vec_id % 3 = 0), q AS (SELECT vec_id AS id, embedding[1:16] AS v, label FROM embeddings WHERE vec_id % 3 = 1),
-p AS (SELECT id, codepoint, list_sum(list_transform(range(1, 17), lambda i: abs(q.v[i]::DOUBLE - r.v[i]::DOUBLE))) AS d FROM q JOIN r USING (label)),
+@query("""WITH r AS (SELECT vec_id AS codepoint, embedding AS v, label, vec_id // 2 % 50 AS sig FROM embeddings WHERE vec_id % 2 = 0), q AS (SELECT vec_id AS id, embedding AS v, label, vec_id // 2 % 100 AS sig FROM embeddings WHERE vec_id % 2 = 1),
+x AS (SELECT id, min(codepoint) AS codepoint FROM q JOIN r USING (label, sig) GROUP BY 1),
+p AS (SELECT id, codepoint, list_sum(list_transform(range(1, len(r.v) + 1), lambda i: abs(q.v[i]::DOUBLE - r.v[i]::DOUBLE))) AS d FROM q JOIN r USING (label) WHERE id NOT IN (SELECT id FROM x)),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, codepoint) AS rn FROM p)
-SELECT id, codepoint::INT AS codepoint, 'nearest' AS method, round(d, 5) AS distance FROM b WHERE rn = 1""")
+SELECT id, codepoint::INT AS codepoint, 'nearest' AS method, round(d, 5) AS distance FROM b WHERE rn = 1 UNION ALL SELECT id, codepoint::INT, 'exact', 0.0 FROM x""")
 def exact_then_nearest(spark, sf):
-    e = load(spark, sf, "embeddings").select("vec_id", F.col("label").alias("font"), F.slice("embedding", 1, 16).alias("pixels"))
-    refs = e.where("vec_id % 3 = 0").select("font", F.concat(F.lit("r"), F.col("vec_id")).alias("signature"), F.col("vec_id").cast("int").alias("codepoint"), "pixels")
-    ask = e.where("vec_id % 3 = 1").select(F.col("vec_id").alias("id"), "font", F.concat(F.lit("q"), F.col("vec_id")).alias("signature"), "pixels")
+    """Rows with an even id are references, those with an odd one are asked; some signatures coincide."""
+    v = F.col("vec_id")
+    e = load(spark, sf, "embeddings").select(v, F.col("label").alias("font"), F.col("embedding").alias("pixels"))
+    sig = lambda n: (F.floor(v / 2) % n).cast("string").alias("signature")
+    refs = e.where("vec_id % 2 = 0").select("font", sig(50), v.cast("int").alias("codepoint"), "pixels")
+    ask = e.where("vec_id % 2 = 1").select(v.alias("id"), "font", sig(100), "pixels")
     return Y.match_glyphs(ask, refs).withColumn("distance", F.round("distance", 5))
 
 
@@ -247,9 +260,13 @@ def status_rollup(spark, sf):
     return M.rollup(load(spark, sf, "customer").select(n.alias("id"), s.alias("status")))
 
 
-@query("SELECT doc_id, (doc_id % 5)::INT = length_grapheme(substr(text, 1, 3)) AND doc_id % 5 > 0 AS bbox_valid, (doc_id % 5)::INT - length_grapheme(substr(text, 1, 3)) AS difference FROM documents")
+@query("""WITH c AS (SELECT doc_id, length_grapheme(text) AS c, (n_chars - n_chars * (doc_id % 5 // 4) + doc_id % 2)::INT AS b FROM documents)
+SELECT doc_id, b = c AND b > 0 AS bbox_valid, (b - c)::INT AS difference FROM c""")
 def count_gate(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", F.size(graphemes(F.substring("text", 1, 3))).alias("c"), (F.col("doc_id") % 5).cast("int").alias("b"))
+    """Graphemes of each whole text against a number of boxes that is its characters, one more, or next to none."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    boxes = (n - n * F.floor(i % 5 / 4) + i % 2).cast("int")
+    d = load(spark, sf, "documents").select("doc_id", F.size(graphemes(F.col("text"))).alias("c"), boxes.alias("b"))
     return V.count_gate(d, "c", "b").select("doc_id", "bbox_valid", "difference")
 
 
