@@ -312,14 +312,43 @@ def test_tree_finds_all_links():
 # ---------------------------------------------------------------- op8
 
 
-def test_sharding(spark, docs):
-    got = run(spark, "op8_sharding")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sharding(spark, sf):
+    docs = pd.read_parquet(SF.parent / sf / "documents.parquet").set_index("doc_id")
+    got = queries.op8_sharding(spark, str(SF.parent / sf)).toPandas().set_index("doc_id")
     assert len(got) == len(docs) and (got["size"] == docs.text.loc[got.index].map(lambda t: len(t.encode()) + 1)).all()
     assert (got.text_crc32 == docs.text.loc[got.index].map(lambda t: zlib.crc32(t.encode()))).all()
     by = got.groupby("shard")
     assert sorted(by.groups) == list(range(8)) and all(sorted(g.slot) == list(range(len(g))) for _, g in by)
     load = by["size"].sum()
     assert load.max() / load.mean() < 1.05
+    # equal texts are in one shard, and a plain packing of the groups loads the shards no more evenly
+    groups = got.join(docs.text).groupby("text")
+    assert (groups.shard.nunique() == 1).all() and (groups.size() > 1).any()
+    each = groups["size"].agg(["sum", "size"]).assign(tokens=groups.tokens.sum()).sort_index()
+    naive = np.zeros(8)
+    for v in sorted(each["sum"], reverse=True):
+        naive[naive.argmin()] += v
+    rows = by.size()
+    assert load.max() <= naive.max() * 1.02 and rows.max() < 1.05 * rows.mean()
+
+
+def test_place_by_brute_force():
+    """Each vector where its dot product with what is left is highest, the lower shard of equal ones."""
+    rnd = random.Random(11)
+    for _ in range(30):
+        n, shards = rnd.randint(1, 40), rnd.randint(1, 5)
+        v = [[rnd.randint(0, 30) for _ in range(3)] for _ in range(n)]
+        total = [sum(x[d] for x in v) or 1 for d in range(3)]
+        unit = [[x[d] * shards / total[d] for d in range(3)] for x in v]
+        left, want = [[1.0] * 3 for _ in range(shards)], [0] * n
+        for i in sorted(range(n), key=lambda i: (-max(unit[i]), i)):
+            dots = [sum(a * b for a, b in zip(s, unit[i], strict=True)) for s in left]
+            want[i] = next(s for s in range(shards) if dots[s] >= max(dots) - 1e-9)
+            left[want[i]] = [a - b for a, b in zip(left[want[i]], unit[i], strict=True)]
+        got = sharding.place(np.array(v, float), shards)
+        load = lambda at: sorted(sum(unit[i][0] for i in range(n) if at[i] == s) for s in range(shards))  # noqa: E731, B023
+        assert got.tolist() == want or np.allclose(load(got), load(want), atol=0.2)
 
 
 def test_sharding_hot_group(spark):
@@ -334,6 +363,18 @@ def test_sharding_hot_group(spark):
     assert np.allclose(*[big[at == s].sum(0) for s in (0, 1)])
 
 
+def test_sharding_cuts_only_what_no_shard_can_take(spark, monkeypatch):
+    """A group over a shard's share is cut, and so are repeats of one key and text; a group that fits is whole."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    rows = [(i, "same text" if i < 400 else f"text {i} " + "x" * (i % 90)) for i in range(1200)] + [(5000, "one row again and again")] * 300 + [(i, "fits a shard") for i in range(6000, 6060)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    assert sorted(got.doc_id) == sorted(r[0] for r in rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    text = dict(rows)
+    shards = got.assign(text=got.doc_id.map(text)).groupby("text").shard.nunique()
+    assert {t for t, n in shards.items() if n > 1} == {"same text", "one row again and again"}
+    assert got.groupby("shard").size().max() < 1.1 * len(rows) / 8
+
+
 # ---------------------------------------------------------------- op9
 
 
