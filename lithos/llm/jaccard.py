@@ -1,10 +1,12 @@
 """Exact Jaccard self-join on word shingles: signature trees inside pigeonhole groups.
 
 1. Every text becomes the set of its distinct k-word shingles (64-bit hashes). Equal sets collapse to
-   one class (64-bit digest), so copies cost nothing further.
+   one class, so copies cost nothing further. A class is named by a 64-bit digest; a second one tells whether
+   two sets share a name, and then all names are drawn anew.
 2. Sets that can link differ in a bounded number of shingles. The hash range is cut into more parts
    than that number, so linked sets agree on a whole non-empty part; every part's digest is a row.
-   Only parts shared by different classes go on. No similarity decision is taken here.
+   Only parts shared by different classes go on, and of parts with the same members one. No similarity
+   decision is taken here.
 3. Within each part, trees of small bitmaps drop the pairs that sizes and bitmaps rule out; classes that
    are left together, directly or by steps, form groups. A group of bounded weight is one
    signature tree: nodes hold OR-combined token bitmaps, size ranges and the most tokens that
@@ -48,11 +50,15 @@ def _sets(array, k: int, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
             yield s.first + i, np.unique(h[at[i] : at[i + 1]])
 
 
-def _digest(x: np.ndarray) -> int:
-    return int(mix(np.array([int(mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U)) ^ len(x)], U)).view(np.int64)[0])
+def _digest(x: np.ndarray, draw: int = 0) -> int:
+    """The 64-bit name of a set under a draw."""
+    salt = U((0x5851F42D4C957F2D + draw * 0xD1342543DE82EF95) & ((1 << 64) - 1))
+    return int(mix(np.array([int(mix(x ^ salt).sum(dtype=U)) ^ len(x)], U)).view(np.int64)[0])
 
 
-_CLASSES = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary())])
+_CLASSES = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("twin", pa.int64()), ("bits", pa.binary())])
+#: Draws of names before two sets that still share one are an error; one is enough but for one table in many.
+DRAWS = 8
 
 #: Least and greatest bits of the bitmap that stands for a set before the set itself is at hand; it has
 #: two bits or more for each token. A set too large for the greatest has none.
@@ -78,17 +84,18 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _classes_of(k: int, lower: bool):
+def _classes_of(k: int, lower: bool, draw: int):
     def run(batches):
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             d = np.zeros(b.num_rows, np.int64)
+            twin = np.zeros(b.num_rows, np.int64)
             bits = [b""] * b.num_rows
             for i, x in _sets(b.column("text"), k, lower):
                 n[i] = len(x)
-                d[i] = _digest(x) if len(x) else 0
-                bits[i] = _sketch(x) if len(x) else b""
-            yield batch_of(_CLASSES, [b.column("key"), n, pa.array(d, mask=n == 0), pa.array(bits, pa.binary())])
+                if len(x):
+                    d[i], twin[i], bits[i] = _digest(x, draw), _digest(x, -1 - draw), _sketch(x)
+            yield batch_of(_CLASSES, [b.column("key"), b.column("th"), n, pa.array(d, mask=n == 0), twin, pa.array(bits, pa.binary())])
 
     return run
 
@@ -158,7 +165,7 @@ def part_signatures(x: np.ndarray, t: float) -> np.ndarray:
 _SIGS = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
 
 
-def _signatures_of(k: int, t: float, lower: bool):
+def _signatures_of(k: int, t: float, lower: bool, draw: int):
     def run(batches):
         for b in batches:
             sigs, ids, held = [], [], 0
@@ -167,7 +174,7 @@ def _signatures_of(k: int, t: float, lower: bool):
                     continue
                 g = part_signatures(x, t)
                 sigs.append(g)
-                ids.append(np.full(len(g), _digest(x), np.int64))
+                ids.append(np.full(len(g), _digest(x, draw), np.int64))
                 held += len(g)
                 if held > 200_000:
                     yield batch_of(_SIGS, [np.concatenate(sigs).view(np.int64), np.concatenate(ids)])
@@ -178,26 +185,6 @@ def _signatures_of(k: int, t: float, lower: bool):
     return run
 
 
-_SHINGLES = pa.schema([("key", pa.int64()), ("items", pa.list_(pa.int64()))])
-
-
-def _shingles_of(k: int, lower: bool):
-    def run(batches):
-        for b in batches:
-            keys, rows, held = b.column("key"), [], 0
-            done = 0
-            for i, x in _sets(b.column("text"), k, lower):
-                rows.append(x.view(np.int64))
-                held += len(x)
-                if held > 500_000 or i == b.num_rows - 1:
-                    offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                    items = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64)))
-                    yield pa.RecordBatch.from_arrays([keys.slice(done, len(rows)), items], schema=_SHINGLES)
-                    done, rows, held = done + len(rows), [], 0
-
-    return run
-
-
 # ---------------------------------------------------------------- signature tree
 
 
@@ -409,18 +396,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
     have an empty set and link with nothing. A null key is kept and orders last. Rows that share a key
     are each returned. Other columns are ignored. An empty table gives an empty result.
     """
-    base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    drawn = cut(base.mapInArrow(_classes_of(k, lower), "key long, n_shingles long, cls long, bits binary"))
-    rows = drawn.select("key", "n_shingles", "cls")
+    return _components_of(docs, k, t, key, text, lower).select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def _components_of(docs: DataFrame, k: int, t: float, key: str, text: str, lower: bool) -> DataFrame:
+    """(key, th, n_shingles, component_id); th is a hash of the text."""
+    base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    for draw in range(DRAWS):
+        drawn = cut(base.mapInArrow(_classes_of(k, lower, draw), "key long, th long, n_shingles long, cls long, twin long, bits binary"))
+        named = drawn.where("cls is not null").groupBy("cls").agg(F.min("twin").alias("x"), F.max("twin").alias("y"))
+        if not named.where("x <> y").limit(1).count():
+            break
+    else:
+        raise RuntimeError("sets with equal digests")
+    rows = drawn.select("key", "th", "n_shingles", "cls")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"))
 
-    sigs = base.select("text").mapInArrow(_signatures_of(k, t, lower), "sig long, cls long")
+    sigs = base.select("text").mapInArrow(_signatures_of(k, t, lower, draw), "sig long, cls long")
     shared = sigs.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot <> other").select("sig", "pivot")
     members = cut(sigs.join(shared, "sig").groupBy("sig", "pivot", "cls").agg(F.lit(1).alias("x")).drop("x"))
+    # parts with the same members are one: a long text has very many parts, near copies of it share most of them
+    counts = members.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("twin"), "cls")).alias("s2"))
+    counts = counts.groupBy("c", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig", "c")
+    sized = cut(members.join(counts, "sig"))
     # sizes and bitmaps of the classes rule out most chance pairs before any set is moved: a part of two
     # classes is one pair, a larger one a tree of bitmaps; beyond the bound of a tree the pivot stands for all
-    counts = members.groupBy("sig").agg(F.count("*").alias("c"))
-    sized = members.join(counts, "sig")
     edges = sized.where("pivot <> cls").groupBy("pivot", "cls").agg(F.max("c").alias("most"), F.min("c").alias("c")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "c", "most")
     known = drawn.where("cls is not null").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("n"), "bits")
     left, right = (known.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")) for x in ("a", "b"))
@@ -437,11 +437,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
 
     # the sets of one row of each class that is in a group
     wanted = group.where("key is not null").select("key", "cls")
-    sets = base.join(wanted, "key").mapInArrow(_shingles_with("cls", k, lower), "cls long, items array<long>")
+    sets = base.join(wanted, "key").mapInArrow(_shingles_with("cls", k, lower, draw), "cls long, items array<long>")
     nullkey = group.where("key is null").select("cls")
     if nullkey.limit(1).count():
-        orphans = base.where("key is null").mapInArrow(_with_class(k, lower), "key long, text string, cls long").join(nullkey, "cls").dropDuplicates(["cls"])
-        sets = sets.unionByName(orphans.select("key", "text", "cls").mapInArrow(_shingles_with("cls", k, lower), "cls long, items array<long>"))
+        orphans = base.where("key is null").mapInArrow(_with_class(k, lower, draw), "key long, text string, cls long").join(nullkey, "cls").dropDuplicates(["cls"])
+        sets = sets.unionByName(orphans.select("key", "text", "cls").mapInArrow(_shingles_with("cls", k, lower, draw), "cls long, items array<long>"))
     sets = cut(sets)
     sweep(docs.sparkSession)
 
@@ -454,7 +454,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
         pivots = cut(_pivot_join(pairs, sets, t))
         known = components(pivots)
         comp = big.join(known, big.cls == known.id, "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
-        parts = members.join(comp, "cls")
+        parts = sized.drop("c").join(comp, "cls")
         split = (
             parts.groupBy("sig")
             .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("w"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("same"))
@@ -474,34 +474,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "
     first = comp.join(classes, comp.id == classes.cls).groupBy("comp").agg(F.min("key").alias("least"))
     named = comp.join(first, "comp").select(F.col("id").alias("cls"), "least")
     named = classes.join(named, "cls", "left").select("cls", F.coalesce("least", "key").alias("component_id"))
-    return rows.join(named, "cls", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    # blank texts are of no class; they stay out of the join, where they would be one task
+    blank = rows.where("cls is null").select("key", "th", "n_shingles", F.col("key").alias("component_id"))
+    return rows.where("cls is not null").join(named, "cls").select("key", "th", "n_shingles", "component_id").unionByName(blank)
 
 
 def _width(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _with_class(k: int, lower: bool):
+def _with_class(k: int, lower: bool, draw: int):
     def run(batches):
         for b in batches:
             d = np.zeros(b.num_rows, np.int64)
             for i, x in _sets(b.column("text"), k, lower):
-                d[i] = _digest(x) if len(x) else 0
+                d[i] = _digest(x, draw) if len(x) else 0
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), pa.array(d)], ["key", "text", "cls"])
 
     return run
 
 
-def _shingles_with(name: str, k: int, lower: bool):
-    """Rows (…, text, cls) -> (cls, items), for rows whose own class is that one."""
+def _shingles_with(name: str, k: int, lower: bool, draw: int):
+    """Rows (…, text, cls) -> (cls, items), for rows whose own class is that one; a class once a task."""
     schema = pa.schema([(name, pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
             cls = b.column(name).to_numpy(zero_copy_only=False)
             ids, rows, held = [], [], 0
             for i, x in _sets(b.column("text"), k, lower):
-                if len(x) and _digest(x) == cls[i]:
+                if len(x) and cls[i] not in seen and _digest(x, draw) == cls[i]:
+                    seen.add(int(cls[i]))
                     ids.append(cls[i])
                     rows.append(x.view(np.int64))
                     held += len(x)
@@ -529,8 +533,11 @@ def _pivot_join(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, t: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the smallest key of each component; rows that link with nothing all stay,
-    and so do rows with a null key."""
-    made = jaccard_components(docs, k, t, key, text)
-    gone = made.where(F.col(key) > F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """docs without all but the smallest key of each component; rows that link with nothing all stay, and so
+    do rows with a null key. Rows of one key with different texts are each judged by their own text;
+    repeated rows stay or go together. Null, empty and blank texts link with nothing; an empty table
+    gives an empty result. Other columns are passed on; keys must fit a long."""
+    made = _components_of(docs, k, t, key, text, True)
+    gone = made.where("key > component_id").select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
+    told = docs.withColumns({"__k": F.col(key).cast("long"), "__h": F.xxhash64(F.col(text).cast("string"))})
+    return told.join(gone, (F.col("__k") == F.col("__key")) & (F.col("__h") == F.col("__th")), "left_anti").drop("__k", "__h")

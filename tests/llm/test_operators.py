@@ -286,6 +286,53 @@ def test_jaccard_crowds(spark, monkeypatch, small):
     assert got == brute_components(dict(enumerate(texts)), 3, 0.8)
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    """A key's rows are judged by their own texts."""
+    a, b, c = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b + " x"), (4, c), (4, c), (5, c), (None, a), (None, b), (6, None), (6, None), (7, " ")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (2, b), (4, c), (4, c), (None, a), (None, b), (6, None), (6, None), (7, " ")]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_sets_that_share_a_name_are_named_anew(spark, monkeypatch):
+    """With names of two bits in the first draw, the second draw gives the result."""
+    real, drawn = jaccard._classes_of, []
+
+    def weak(k, lower, draw):
+        drawn.append(draw)
+        made = real(k, lower, draw)
+
+        def run(batches):
+            for b in made(batches):
+                yield b if draw else b.set_column(3, "cls", pa.array([c if c is None else c % 4 for c in b.column("cls").to_pylist()], pa.int64()))
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_classes_of", weak)
+    texts = {i: " ".join(f"w{i // 2}x{j}" for j in range(20)) for i in range(12)}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert drawn == [0, 1] and got == brute_components(texts, 5, 0.8)
+
+
+def test_parts_with_the_same_members_are_one(spark, monkeypatch):
+    """Near copies of a long text share tens of thousands of parts; rows with a bitmap stay few."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**7)}" for _ in range(60_000)]
+    texts = []
+    for i in range(3):
+        x = list(base)
+        x[100 + i] = "v"
+        texts.append(" ".join(x))
+    seen = []
+    real = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+    sized = next(d for d in seen if set(d.columns) == {"sig", "pivot", "cls", "c"})
+    assert sized.count() <= 3 + 3 * 2
+
+
 def test_part_signatures_meet():
     rng = np.random.default_rng(4)
     for t in (0.9, 0.8):
