@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -508,6 +509,89 @@ def test_secrets(spark, docs):
     assert got[10**6 + 6].spans == "random:4:64" and got[10**6 + 7].spans == "" and got[10**6 + 8].spans == ""
 
 
+def test_exact_tables_by_enumeration():
+    for k, n in ((2, 8), (3, 6), (5, 5)):
+        c = Counter(sum(v * (v - 1) // 2 for v in Counter(x).values()) for x in itertools.product(range(k), repeat=n))
+        tail = secrets.equal_pairs(k)[n]
+        assert all(abs(tail[i] - sum(v for p, v in c.items() if p >= i) / k**n) < 1e-5 for i in range(max(c) + 1))
+    for n in (2, 5, 9):
+        c = Counter(1 + sum(a != b for a, b in itertools.pairwise(x)) for x in itertools.product((0, 1), repeat=n))
+        for r in range(1, n + 1):
+            low, high = (sum(v for q, v in c.items() if ok(q)) / 2**n for ok in (lambda q: q <= r, lambda q: q >= r))  # noqa: B023
+            assert abs(secrets.binomial_runs()[n][r] - min(1, 2 * min(low, high))) < 1e-5
+
+
+def test_battery_by_brute_force(spark):
+    """Every statistic, its p-value and Simes' rule in plain Python; lag correlation over all orders of short strings."""
+    rnd = random.Random(13)
+    code = lambda e, n: "".join(rnd.choice(secrets.SIGNS[e]) for _ in range(n))
+    bodies = ["aB3dE6g", "Zz9Yy8X", "A1B2C3D", "q7w8e9r"] + [code(e, n) for e in secrets.SIGNS for n in (20, 33, 64, 65, 90)] + ["OnlyWordsOfTextWithA1Digit", "somelowercasewords12345", "noDigitsAtAllButLong", "lower_with-dash-and-1", "AAAAAAAAAAAAAAAAAAAAAAA1"]
+    got = {r.body: r for r in secrets.battery(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()}
+    near = lambda a, b: abs(a - b) <= 0.12 * b + 1e-9 or max(a, b) < 1e-6
+    up = lambda z: math.erfc(z / 2**0.5) / 2
+    assert not {"noDigitsAtAllButLong", "lower_with-dash-and-1"} & set(got) and len(got) == len(set(bodies)) - 2
+    for b, r in got.items():
+        kinds = [("base16", "[0-9A-F]+"), ("base16l", "[0-9a-f]+"), ("base32", "[A-Z2-7]+"), ("base36", "[A-Z0-9]+"), ("base36l", "[a-z0-9]+"), ("base64", ".+")]
+        assert r.encoding == next(e for e, p in kinds if re.fullmatch(p, b))
+        signs, n = secrets.SIGNS[r.encoding], len(b)
+        k, v = len(signs), [signs.index(c) + 1 for c in b]
+        pairs = sum(x == y for x, y in itertools.combinations(v, 2))
+        runs = 1 + sum((x > k / 2) != (y > k / 2) for x, y in itertools.pairwise(v))
+        assert (r.n, r.pairs, r.runs) == (n, pairs, runs)
+        mean = n * (n - 1) / 2 / k
+        assert near(r.p_uniform, up((pairs - 0.5 - mean) / (mean * (1 - 1 / k)) ** 0.5) if n > 64 else dict(enumerate(secrets.equal_pairs(k)[n])).get(pairs, 1e-15))
+        assert near(r.p_runs, min(1, 2 * up(max(0, abs(runs - 1 - (n - 1) / 2) - 0.5) / ((n - 1) ** 0.5 / 2))) if n > 64 else secrets.binomial_runs()[n][runs])
+        cells = secrets._cells(r.encoding)
+        assert sorted("".join(cells)) == sorted(signs)
+        chi = sum((sum(c in cell for c in b) - n * len(cell) / k) ** 2 / (n * len(cell) / k) for cell in cells)
+        tail = {1: lambda x: math.erfc((x / 2) ** 0.5), 3: lambda x: math.erfc((x / 2) ** 0.5) + (2 * x / math.pi) ** 0.5 * math.exp(-x / 2), 4: lambda x: math.exp(-x / 2) * (1 + x / 2)}
+        assert abs(r.pooled - chi) < 1e-9 and (chi < 0.5 or near(r.p_pooled, tail[len(cells) - 1](chi)))
+        m = sum(v) / n
+        lag = lambda x: sum((p - m) * (q - m) for p, q in itertools.pairwise(x))  # noqa: B023, E731
+        assert abs(r.lag - lag(v)) < 1e-6
+        if n < 8:
+            every = [lag(x) for x in itertools.permutations(v)]
+            mu = sum(every) / len(every)
+            sd = (sum((x - mu) ** 2 for x in every) / len(every)) ** 0.5
+            assert near(r.p_serial, min(1, 2 * up(abs(lag(v) - mu) / sd)))
+        ps = sorted(r[c] for c in secrets.TESTS)
+        assert abs(r.p - max(1e-300, min(1, *(4 * p / (i + 1) for i, p in enumerate(ps))))) < 1e-9
+    assert got["AAAAAAAAAAAAAAAAAAAAAAA1"].p < 1e-9
+
+
+def test_discoveries_by_brute_force(spark):
+    """Benjamini-Hochberg on exact p-values, class by class; bins may keep strings within one bin of the cutoff."""
+    rnd = random.Random(14)
+    rows = [(i, rnd.choice((21, 27, 40, 200)), 10 ** -rnd.uniform(0, 6) if rnd.random() < 0.6 else rnd.random()) for i in range(2000)]
+    left = {r.i for r in secrets.discoveries(spark.createDataFrame(rows, "i long, n int, p double")).collect()}
+    for n in (21, 27, 40, 200):
+        mine = sorted((p, i) for i, m, p in rows if m == n)
+        cut = max((p for j, (p, _) in enumerate(mine, 1) if p <= secrets.FALSE_SHARE * j / len(mine)), default=0.0)
+        dropped = {i for p, i in mine if i not in left}
+        assert dropped <= {i for p, i in mine if p <= cut} and dropped >= {i for p, i in mine if p < cut / 10 ** (2 * secrets.BIN)}
+
+
+def test_planted_secrets_and_ordinary_strings(spark):
+    """At 32 signs or more nine in ten random strings of each encoding are found; of identifiers out of words one in fifty at most."""
+    rnd = random.Random(15)
+    words = "the quick system writes data into every table when a new session opens and returns rows from storage with names of all users that read them after each long update".split()
+    rows, kind = [], []
+    for e in ("base64", "base36", "base36l", "base32", "base16"):
+        for n in (32, 40, 64):
+            for _ in range(60):
+                rows.append((len(rows), "key " + "".join(rnd.choice(secrets.SIGNS[e]) for _ in range(n)) + " end"))
+                kind.append((e, n))
+    for n in (32, 40, 64):
+        for i in range(200):
+            w = [rnd.choice(words) for _ in range(30)]
+            w = ["".join(w), "".join(x.capitalize() for x in w), "-".join(w).capitalize(), "".join(w).upper()][i % 4]
+            rows.append((len(rows), f"name {w[: n - 2]}{rnd.randrange(10, 99)} end"))
+            kind.append(("ordinary", n))
+    found = Counter(kind[r.doc_id] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.spans.startswith("random:4:") or r.spans.startswith("random:5:"))
+    for k, m in Counter(kind).items():
+        assert found[k] <= 0.02 * m if k[0] == "ordinary" else found[k] >= 0.9 * m, (k, found[k], m)
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op1_quality", "op10_secrets"):
         plan = queries.QUERIES[name](spark, str(SF))._jdf.queryExecution().toString()
