@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from .tokens import _LOWER, U, SpanHasher, batch_of, slices
 
-#: Rows of each language that training may use in expectation (twice that at most), the bytes of the
-#: longest text among them, and the number of languages that a model may hold.
-TRAIN_ROWS, TRAIN_BYTES, LANGUAGES = 400, 60_000, 200
+#: Rows that training may use in expectation: of each language, and of all, which many languages share evenly.
+TRAIN_ROWS, TRAIN_ALL = 400, 8000
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 
@@ -87,43 +86,79 @@ def margins(model_weight: np.ndarray, bias: np.ndarray, array: pa.Array) -> np.n
     return out
 
 
-def learning_sample(docs: DataFrame, lang: str, rows: int, longest: int, key: str) -> DataFrame | None:
-    """(key, text, lang) of about ``rows`` rows of each language, picked by a hash of the key; twice
-    as many at most. Counts cover all rows; texts over ``longest`` bytes aren't trained on."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("k"), F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+def learning_sample(docs: DataFrame, lang: str, rows: int, every: int) -> DataFrame | None:
+    """(text, lang) of about ``rows`` rows of each language, ``every`` of all at most in expectation, picked by a
+    hash of the text, whole texts of any length; equal rows count once. Counts, of different texts within some
+    per cent, cover all rows."""
+    usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows / n))])
-    even = (F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "k"), 11) / F.lit(float(1 << 53))).cast("double")
-    return usable.where(F.col("lang").isin(*counts)).where(even < share[F.col("lang")]).where(F.octet_length("text") <= longest).limit(2 * rows * len(counts))
+    mine = min(rows, every / len(counts))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, mine / n))])
+    even = (F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 11) / F.lit(float(1 << 53))).cast("double")
+    return usable.where(even < share[F.col("lang")]).distinct()
 
 
-def train_langid(docs: DataFrame, lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES, steps: int = 300) -> Ecoc:
-    """The model is fitted in one task on the bounded sample; the driver gets its weights."""
-    sample = learning_sample(docs, lang, rows, longest, key)
+_COUNTS = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("count", pa.list_(pa.float32()))])
+
+
+def _histograms(array: pa.Array):
+    """The n-gram counts of each text, over BUCKETS."""
+    for s in slices(array):
+        grams = _grams(s)
+        for i in range(s.rows):
+            yield sum((np.bincount(g[at[i] : at[i + 1]].astype(np.int64), minlength=BUCKETS) for g, at in grams), np.zeros(BUCKETS, np.int64)).astype(np.float32)
+
+
+def _count_rows(batches):
+    for b in batches:
+        for lang, x in zip(b.column("lang").to_pylist(), _histograms(b.column("text")), strict=True):
+            at = np.flatnonzero(x)
+            yield batch_of(_COUNTS, [[lang], [at.astype(np.int32)], [x[at]]])
+
+
+def train_langid(docs: DataFrame, lang: str = "lang", rows: int = TRAIN_ROWS, every: int = TRAIN_ALL, steps: int = 300) -> Ecoc:
+    """Texts of the sample are counted where they are; one task fits the model on the counts, whose size is
+    bounded by the number of rows; the driver gets its weights. Rows with a null text or language aren't
+    trained on; without any, the model knows no language."""
+    sample = learning_sample(docs, lang, rows, every)
     if sample is None:
         return fit([], [])
 
     def run(batches):
-        rows = sorted(((k, t, y) for b in batches for k, t, y in zip(*(b.column(c).to_pylist() for c in ("k", "text", "lang")), strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], [y for *_, y in rows], steps))], pa.binary())], ["model"])
-
-    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+        langs, at, count = [], [], []
+        for b in batches:
+            langs += b.column("lang").to_pylist()
+            for name, out in (("at", at), ("count", count)):
+                v = b.column(name)
+                offs, flat = np.asarray(v.offsets), np.asarray(v.values)
+                out += [flat[x:y].copy() for x, y in zip(offs[:-1], offs[1:], strict=True)]
+        order = sorted(range(len(langs)), key=lambda i: (langs[i], at[i].tobytes(), count[i].tobytes()))
+        x = np.zeros((len(langs), BUCKETS), np.float32)
+        for row, i in enumerate(order):
+            x[row, at[i]] = count[i]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_counts(x, [langs[i] for i in order], steps))], pa.binary())], ["model"])
+
+    counted = sample.mapInArrow(_count_rows, "lang string, at array<int>, count array<float>")
+    made = counted.repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(made.model) if made else fit([], [])
 
 
 def fit(texts: list[str], langs: list[str], steps: int = 300) -> Ecoc:
-    """Logistic regression of each bit on n-gram shares, by full-batch Adam."""
+    """A model from texts and their languages."""
+    x = np.zeros((len(texts), BUCKETS), np.float32)
+    for i, h in enumerate(_histograms(pa.array(texts, pa.string()))):
+        x[i] = h
+    return fit_counts(x, langs, steps)
+
+
+def fit_counts(x: np.ndarray, langs: list[str], steps: int = 300) -> Ecoc:
+    """Logistic regression of each bit on n-gram shares, by full-batch Adam. x: counts (rows, BUCKETS), overwritten."""
     names = sorted(set(langs))
     if not names:
         return Ecoc([], np.zeros((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     codes = codewords(len(names))
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    for s in slices(pa.array(texts, pa.string())):
-        for g, at in _grams(s):
-            for i in range(s.rows):
-                x[s.first + i] += np.bincount(g[at[i] : at[i + 1]].astype(np.int64), minlength=BUCKETS)
     x /= np.maximum(x.sum(1, keepdims=True), 1)
     scale = 1 / (np.sqrt((x * x).mean(0)) + 1e-4)
     scale *= 1 / np.sqrt(np.count_nonzero(x, axis=1).mean() + 1)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .tokens import U, SpanHasher, Words, batch_of, mix, points, slices, tokens
 
-#: Rows of each label that training may use, and the bytes of the longest text among them.
-TRAIN_ROWS, TRAIN_BYTES = 1000, 40_000
+#: Rows of each label that training may use.
+TRAIN_ROWS = 1000
 FEATURES = 1 << 18
 CHUNK = 64
 
@@ -212,20 +212,22 @@ def train_crf(first: np.ndarray, f: np.ndarray, label: np.ndarray, epochs: int =
     return model
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Up to ``rows`` rows (k, text, y) of each label, picked by a hash of the key; texts over ``longest``
-    bytes are not trained on. A key labelled twice counts with its greatest label. The keys that are
-    sent to the scan number 2 * rows at most."""
+def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Up to ``rows`` rows (k, text, y) of each label, picked by a hash of the key, whole texts of any length. A
+    key labelled twice counts with its greatest label, one of several texts with the least of them. The keys that
+    are sent to the scan number 2 * rows at most. Rows with a null key, label or text aren't trained on."""
     lab = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     picked = [lab.where(cond).orderBy(F.xxhash64("k"), "k").limit(rows) for cond in ("y >= 1", "y < 1")]
     picked = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.where(F.octet_length("text") <= longest).join(picked, "k").select("k", "text", (F.col("y") >= 1).alias("y"))
+    return texts.join(picked, "k").groupBy("k").agg(F.min("text").alias("text"), (F.max("y") >= 1).alias("y"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", label: str = "toxic") -> Crf:
     """A CRF from document labels. Tokens are labelled first (``span_lexicon``); without any toxic
-    example the model scores everything near 0. One task fits the bounded sample; the driver gets the model."""
+    example, and from empty tables, the model scores everything near 0. One task fits the bounded sample
+    (``learning_sample`` says what becomes of nulls and repeated keys); the driver gets the model. Equal
+    texts count once, with their greatest label. Other columns are ignored."""
 
     def run(batches):
         rows = sorted(((k, t, y) for b in batches for k, t, y in zip(*(b.column(c).to_pylist() for c in ("k", "text", "y")), strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
@@ -336,7 +338,8 @@ def score_toxicity(docs: DataFrame, model: Crf, key: str = "doc_id", text: str =
 
 
 def drop_toxic(docs: DataFrame, model: Crf, least: float = 0.5, text: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that score ``least`` or more."""
+    """docs, all columns, without the rows that score ``least`` or more. Null, empty and wordless texts score 0 and
+    stay; repeated rows stay or go together; an empty table stays empty."""
 
     def run(batches):
         for b in batches:

@@ -107,6 +107,53 @@ def test_language_held_out(spark, docs):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.index]).all()
 
 
+def test_loss_decoding_by_brute_force():
+    """Every codeword's logistic loss in plain Python; the least wins, a close runner-up makes the answer ambiguous."""
+    from lithos.llm.langid import Ecoc, codewords, decode
+
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 4, 9):
+        codes = codewords(k)
+        f = rng.normal(size=(200, codes.shape[1])) * 0.7
+        best, score, close = decode(Ecoc([str(i) for i in range(k)], codes, None, None, 0.5), f)
+        for i in range(200):
+            loss = [sum(math.log(1 + math.exp(-f[i, b] * codes[j, b])) for b in range(codes.shape[1])) for j in range(k)]
+            order = sorted(range(k), key=lambda j: loss[j])  # noqa: B023
+            assert best[i] == order[0] and abs(score[i] - 1 / sum(math.exp(loss[order[0]] - x) for x in loss)) < 1e-9
+            assert close[i] == (k > 1 and loss[order[1]] - loss[order[0]] < 0.5)
+
+
+def test_language_margins_by_brute_force():
+    """The mean weight of a text's hashed n-grams, each counted in plain Python through single-gram texts."""
+    from lithos.llm import langid
+
+    rng = np.random.default_rng(4)
+    weight, bias = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3)
+    place = lambda g: int(langid._grams(next(tokens.slices(pa.array([g]))))[len(g) - 1][0][0])
+    texts = ["abcab", "é ü", "", "A", "the cat"]
+    got = langid.margins(weight, bias, pa.array(texts))
+    for t, m in zip(texts, got, strict=True):
+        grams = [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+        want = bias + (sum(weight[place(g)].astype(float) for g in grams) / len(grams) if grams else 0)
+        assert np.allclose(m, want, atol=1e-4)
+
+
+def test_every_language_and_long_texts_are_learnt(spark):
+    """More languages than there were rows for once, and one that only long texts are of."""
+    from lithos.llm.langid import identify, train_langid
+
+    rnd = random.Random(16)
+    vocab = {f"l{i:03}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for i in range(230)}
+    say = lambda lang, n: " ".join(rnd.choice(vocab[lang]) for _ in range(n))
+    rows = [(say(lang, 12_000 if lang == "l229" else 25), lang) for lang in vocab for _ in range(4)]
+    rows += [("same text again and again", "l000")] * 500
+    model = train_langid(spark.createDataFrame(rows, "text string, lang string"), steps=120)
+    assert model.names == sorted(vocab)
+    test = [(i, say(lang, 25), lang) for i, lang in enumerate(vocab)]
+    got = identify(spark.createDataFrame(test, "doc_id long, text string, lang string"), model).toPandas().set_index("doc_id")
+    assert np.mean([got.lang_pred[i] == lang for i, _, lang in test]) > 0.9 and got.lang_pred[229] == "l229"
+
+
 def test_codewords_are_far_apart():
     from lithos.llm.langid import codewords
 
