@@ -3,24 +3,29 @@
 For every benchmark item, windows of the item's own length slide over the texts. Window and item have
 64-bit SimHash fingerprints of their weighted shingles. A multi-index of four 16-bit blocks finds every
 window within RADIUS bits of an item: two fingerprints that near agree up to RADIUS // 4 bits on some
-block, and the index of a block holds all values that near to an item's. Candidates are compared
+block, and the index of a block leads from each value to the items that near. Candidates are compared
 exactly by weighted Jaccard similarity of their shingle multisets.
 
-Windows that share no shingle with any item have similarity 0 and are not fingerprinted. Items are
-held in blocks of bounded weight, one pass over the texts for each block, so what is sent to the
-executors has a proven bound.
+A window of similarity t shares weight t of its item's weight, so it shares one of the item's rarest
+shingles that hold more than 1 - t of it. Postings of those shingles alone tell which items a text may hold,
+and only these are fingerprinted and indexed for that text: the work does not grow with the items that
+have nothing to do with it. Items are held in blocks of bounded weight. A benchmark of several blocks first
+reduces the texts to those that hold a known shingle at all, by a bit table of bounded size, in one scan;
+the passes of the blocks run over what is left, each block leaving the driver before the next is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
 from .tokens import U, SpanHasher, batch_of, mix, points, shingle_hash, slices, tokens
 
 #: Bits within which all fingerprints are found. A pair of similarity 0.8 differs in 9.6 of 64 bits on
@@ -28,8 +33,10 @@ from .tokens import U, SpanHasher, batch_of, mix, points, shingle_hash, slices,
 RADIUS = 19
 BLOCKS = 4
 #: Words of the items of one pass over the texts, and the words of the longest item that is indexed
-#: by one window; longer items are indexed by consecutive windows of that size.
+#: by one window; longer items are indexed by consecutive windows of that size, the last of which ends with the item.
 PASS_WORDS, ITEM_WORDS = 500_000, 4096
+#: Greatest bits of the table of all known shingles; windows that are fingerprinted at once; items of one index.
+TABLE_BITS, STEP, INDEXED = 1 << 30, 1 << 14, 64
 
 
 @dataclass
@@ -42,10 +49,12 @@ class Items:
     count: np.ndarray
     at: np.ndarray
     rare: float  # weight of a shingle that no item holds
-    known: np.ndarray  # sorted shingles of all items, and their weights
+    known: np.ndarray  # sorted shingles of all items, their weights and the items that hold each
     weight: np.ndarray
+    df: np.ndarray
     print_: np.ndarray  # fingerprints
     k: int
+    place: np.ndarray  # of each of ``shingle`` in ``known``
     index: dict = field(default_factory=dict)
 
 
@@ -70,22 +79,27 @@ def _exact(w):
 
 
 def build(ids: list[int], texts: list[str], k: int = 5) -> Items:
-    """Items with no word are left out."""
+    """Items with no word are left out; long ones are cut into windows of ITEM_WORDS words."""
     keep, size, per = [], [], []
     for s in slices(pa.array(texts, pa.string())):
         w = tokens(s)
         h, at = shingle_hash(SpanHasher(w.data)(w.start, w.end), w.first, k)
         for i in range(s.rows):
-            if w.count[i]:
+            n = int(w.count[i])
+            starts = [*range(0, n - ITEM_WORDS, ITEM_WORDS), max(0, n - ITEM_WORDS)] if n else []
+            for x in starts:
+                m = min(n, ITEM_WORDS)
                 keep.append(ids[s.first + i])
-                size.append(int(w.count[i]))
-                per.append(h[at[i] : at[i + 1]])
+                size.append(m)
+                per.append(h[at[i] + x : at[i] + x + max(1, m - k + 1)])
     uniq = [np.unique(x, return_counts=True) for x in per]
     flat = np.concatenate([u for u, _ in uniq]) if uniq else np.empty(0, U)
     known, df = np.unique(flat, return_counts=True)
     n = max(1, len(per))
     weight = _exact(np.log1p(n / np.maximum(df, 1)))
-    items = Items(np.array(keep, np.int64), np.array(size, np.int64), flat, np.concatenate([c for _, c in uniq]) if uniq else np.empty(0, int), np.concatenate([[0], np.cumsum([len(u) for u, _ in uniq])]).astype(int), float(_exact(np.log1p(n))), known, weight, np.empty(0, U), k)
+    counts = np.concatenate([c for _, c in uniq]) if uniq else np.empty(0, int)
+    at = np.concatenate([[0], np.cumsum([len(u) for u, _ in uniq])]).astype(int)
+    items = Items(np.array(keep, np.int64), np.array(size, np.int64), flat, counts, at, float(_exact(np.log1p(n))), known, weight, df, np.empty(0, U), k, np.searchsorted(known, flat))
     items.print_ = np.array([_pack((_bits(mix(u)) * (weigh(items, u) * c)[:, None]).sum(0, keepdims=True))[0] for u, c in uniq], U)
     return items
 
@@ -96,17 +110,67 @@ def _around() -> np.ndarray:
     return v[np.bitwise_count(v) <= RADIUS // BLOCKS]
 
 
-def _index(items: Items, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(items of that size, (BLOCKS, 65536) whether a block value is near that of an item)."""
-    if size not in items.index:
-        rows = np.flatnonzero(items.size == size)
-        near = np.zeros((BLOCKS, 1 << 16), bool)
-        ball = _around()
+def _postings(items: Items, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(items, index of each known shingle's first, weight of each of ``shingle`` in its item, weight of each item). Of
+    each item the rarest shingles are listed whose weight is just over 1 - least of it."""
+    if ("rare", least) not in items.index:
+        n = len(items.ids)
+        part = items.count * items.weight[items.place]
+        owner = np.repeat(np.arange(n), np.diff(items.at))
+        total = np.bincount(owner, weights=part, minlength=n)
+        order = np.lexsort((items.place, items.df[items.place], owner))
+        before = np.cumsum(part[order]) - part[order]
+        before -= before[items.at[:-1]][owner]  # owners stand in their order
+        listed = order[before <= (1 - least) * total[owner] + 1e-6]
+        listed = listed[np.argsort(items.place[listed], kind="stable")]
+        items.index["rare", least] = owner[listed], np.searchsorted(items.place[listed], np.arange(len(items.known) + 1)), part, total
+    return items.index["rare", least]
+
+
+def _flat(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the entries of rows in a list of lists, and how many each row has."""
+    n = first[rows + 1] - first[rows]
+    return np.repeat(first[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+
+def _live(items: Items, held: np.ndarray, least: float) -> np.ndarray:
+    """Items of which the known shingles ``held`` (distinct places) hold ``least`` of the weight."""
+    lists, first, part, total = _postings(items, least)
+    some = np.unique(lists[_flat(first, held)[0]])
+    if not len(some):
+        return some
+    at, n = _flat(items.at, some)
+    there = held[np.minimum(np.searchsorted(held, items.place[at]), len(held) - 1)] == items.place[at]
+    shared = np.bincount(np.repeat(np.arange(len(some)), n), weights=np.where(there, part[at], 0), minlength=len(some))
+    return some[shared >= least * total[some] - 1e-6]
+
+
+class Index:
+    """The multi-index: for each block, from its 65536 values to the items (bits of a word) that near."""
+
+    BALL = _around()
+
+    def __init__(self):
+        self.table = np.zeros((BLOCKS, 1 << 16), U)
+        self.prints: list[int] = []
+
+    def fill(self, prints: np.ndarray) -> None:
+        for v in self.prints:
+            for b in range(BLOCKS):
+                self.table[b, self.BALL ^ ((v >> 16 * b) & 0xFFFF)] = 0
+        self.prints = [int(v) for v in prints]
+        for j, v in enumerate(self.prints):
+            for b in range(BLOCKS):
+                self.table[b, self.BALL ^ ((v >> 16 * b) & 0xFFFF)] |= U(1 << j)
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, rows of prints within RADIUS bits of it)."""
+        got = np.zeros(len(prints), U)
         for b in range(BLOCKS):
-            for v in np.unique((items.print_[rows] >> U(16 * b)) & U(0xFFFF)):
-                near[b, ball ^ int(v)] = True
-        items.index[size] = (rows, near)
-    return items.index[size]
+            got |= self.table[b, ((prints >> U(16 * b)) & U(0xFFFF)).astype(np.int64)]
+        for j, v in enumerate(self.prints):
+            rows = np.flatnonzero(got & U(1 << j))
+            yield j, rows[np.bitwise_count(prints[rows] ^ U(v)) <= RADIUS]
 
 
 def similarity(items: Items, i: int, window: np.ndarray) -> float:
@@ -121,108 +185,101 @@ def similarity(items: Items, i: int, window: np.ndarray) -> float:
     return float((np.minimum(a, b) * w).sum() / (np.maximum(a, b) * w).sum())
 
 
-def match(items: Items, h: np.ndarray, sh: np.ndarray, hit: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-    """Of one text: (item row, similarity, first word, end word), the best window of each item.
-    h: word hashes; sh: shingle hashes; hit: positions of shingles that some item holds."""
-    n, k = len(h), items.k
-    sizes = np.unique(items.size)
-    out: dict[int, tuple[float, int, int]] = {}
-
-    def offer(i: int, sim: float, a: int, b: int):
-        if sim >= least and (i not in out or sim > out[i][0]):
-            out[i] = (sim, a, b)
-
-    longest = int(sizes[-1])
-    cut = np.flatnonzero(np.diff(hit) > longest)
-    lo, hi = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
-    for x, y in zip(np.maximum(lo - longest, 0), np.minimum(hi + longest + k, n), strict=True):
-        if y - x < k:
-            part = sh  # a text of under k words: its one shingle
-        else:
-            part = sh[x : y - k + 1]
-        v = _bits(mix(part)) * weigh(items, part)[:, None]
-        sums = np.concatenate([np.zeros((1, 64)), np.cumsum(v, axis=0)])
-        holds = np.zeros(len(part) + 1, int)
-        inside = hit[(hit >= x) & (hit < x + len(part))] - x
-        holds[inside + 1] = 1
-        holds = np.cumsum(holds)
-        for size in sizes:
-            span = max(1, int(size) - k + 1)  # shingles of a window
-            if size < k and n != size:
-                continue  # an item of under k words is one shingle, of a whole text only
-            if len(part) < span:
-                start = np.array([0])  # a text shorter than the item is one window
-                span_ = len(part)
-            else:
-                span_ = span
-                start = np.arange(len(part) - span + 1)
-            start = start[holds[start + span_] > holds[start]]
-            if not len(start):
-                continue
-            rows, near = _index(items, int(size))
-            prints = _pack(sums[start + span_] - sums[start])
-            ok = np.zeros(len(prints), bool)
-            for b in range(BLOCKS):
-                ok |= near[b][((prints >> U(16 * b)) & U(0xFFFF)).astype(np.int64)]
-            start, prints = start[ok], prints[ok]
-            for i in rows:
-                good = np.bitwise_count(prints ^ items.print_[i]) <= RADIUS
-                for p in start[good]:
-                    offer(int(i), similarity(items, int(i), part[p : p + span_]), int(x + p), int(min(n, x + p + max(int(size), 1))))
+def match(items: Items, n: int, sh: np.ndarray, hit: np.ndarray, place: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+    """Of one text of n words: (item row, similarity, first word, end word), the best window of each item.
+    sh: shingle hashes; hit: positions of shingles that some item holds; place: which of the known ones they are."""
+    k, out = items.k, {}
+    live = _live(items, np.unique(place), least)
+    live = live[(items.size[live] >= k) | (items.size[live] == n)]  # an item of under k words is one shingle, of a whole text only
+    index = items.index.setdefault("blocks", Index())
+    for size in np.unique(items.size[live]):
+        span = min(len(sh), max(1, int(size) - k + 1))  # shingles of a window; a text shorter than the item is one
+        same = live[items.size[live] == size]
+        for lo in range(0, len(same), INDEXED):
+            rows = same[lo : lo + INDEXED]
+            index.fill(items.print_[rows])
+            own = hit[np.isin(place, items.place[_flat(items.at, rows)[0]])]
+            for x, y in _starts(own, span, len(sh)):
+                part = sh[x : y + span]
+                sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_bits(mix(part)) * weigh(items, part)[:, None], axis=0)])
+                for j, found in index.near(_pack(sums[span:] - sums[:-span])):
+                    i = int(rows[j])
+                    for p in found:
+                        sim = similarity(items, i, part[p : p + span])
+                        if sim >= least and (i not in out or sim > out[i][0]):
+                            out[i] = (sim, int(x + p), int(min(n, x + p + int(size))))
     return [(i, *v) for i, v in sorted(out.items())]
 
 
-_OUT = pa.schema([("key", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
+def _starts(hit: np.ndarray, span: int, n: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of at most STEP window starts; each of the windows holds a hit."""
+    lo, hi = np.maximum(hit - span + 1, 0), np.minimum(hit, n - span)
+    cut = np.flatnonzero(lo[1:] > hi[:-1] + 1)
+    for x, y in zip(lo[np.concatenate([[0], cut + 1])], hi[np.concatenate([cut, [len(hit) - 1]])] + 1, strict=True):
+        for z in range(int(x), int(y), STEP):
+            yield z, min(z + STEP, int(y))
+
+
+_OUT = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _leaks(items: Items, array: pa.Array, least: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item row, similarity, start, end) of a batch; offsets are code points."""
+    if not len(items.known):
+        return
+    _, first, *_ = _postings(items, least)
+    rare = np.diff(first) > 0
     for s in slices(array):
         w = tokens(s)
-        h = SpanHasher(w.data)(w.start, w.end)
-        sh, at = shingle_hash(h, w.first, items.k)
-        hit = np.flatnonzero(_member(items, sh))
-        for i in np.unique(np.searchsorted(at, hit, "right") - 1):
-            mine = hit[(hit >= at[i]) & (hit < at[i + 1])] - at[i]
+        sh, at = shingle_hash(SpanHasher(w.data)(w.start, w.end), w.first, items.k)
+        hit, place = _known(items, sh)
+        for i in np.unique(np.searchsorted(at, hit[rare[place]], "right") - 1):
+            lo, hi = np.searchsorted(hit, at[i : i + 2])
             a, b = w.first[i], w.first[i + 1]
-            found = match(items, h[a:b], sh[at[i] : at[i + 1]], mine, least)
+            found = match(items, int(b - a), sh[at[i] : at[i + 1]], hit[lo:hi] - at[i], place[lo:hi], least)
             if found:
                 cp = points(s.data[s.starts[i] : s.starts[i + 1]])
                 for row, sim, x, y in found:
                     yield s.first + int(i), row, sim, int(cp[w.start[a + x] - s.starts[i]]), int(cp[w.end[a + y - 1] - s.starts[i]])
 
 
-def _member(items: Items, sh: np.ndarray) -> np.ndarray:
-    """Whether items hold each shingle: a bit table first, then a search among what passes."""
-    if not len(items.known):
-        return np.zeros(len(sh), bool)
+def _table(size: int) -> np.ndarray:
+    """A bit table for that many shingles, 16 bits each and TABLE_BITS at most."""
+    return np.zeros(min(TABLE_BITS, 1 << max(16, int(size * 16).bit_length())) // 8, np.uint8)
+
+
+def _mark(table: np.ndarray, sh: np.ndarray) -> None:
+    at = sh & U(len(table) * 8 - 1)
+    np.bitwise_or.at(table, (at >> U(3)).astype(np.int64), (1 << (at & U(7)).astype(np.uint8)).astype(np.uint8))
+
+
+def _marked(table: np.ndarray, sh: np.ndarray) -> np.ndarray:
+    at = sh & U(len(table) * 8 - 1)
+    return (table[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+
+
+def _known(items: Items, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the shingles that items hold, and their places in ``known``: a bit table first, then a search
+    among what passes."""
     table = items.index.get("bits")
     if table is None:
-        table = np.zeros(1 << max(16, int(len(items.known) * 16).bit_length()), bool)
-        table[(items.known & U(len(table) - 1)).astype(np.int64)] = True
-        items.index["bits"] = table
-    ok = table[(sh & U(len(table) - 1)).astype(np.int64)]
-    some = np.flatnonzero(ok)
+        table = items.index["bits"] = _table(len(items.known))
+        _mark(table, items.known)
+    some = np.flatnonzero(_marked(table, sh))
     at = np.searchsorted(items.known, sh[some])
     at[at == len(items.known)] = 0
-    ok[some] = items.known[at] == sh[some]
-    return ok
+    ok = items.known[at] == sh[some]
+    return some[ok], at[ok]
 
 
 def passes(benchmark: DataFrame, item_key: str = "item_id", text: str = "text", k: int = 5) -> Iterator[Items]:
-    """The items in blocks of about PASS_WORDS words, in the order of their keys; each block is read on its own.
-    Long items are cut into windows of ITEM_WORDS words."""
+    """The items in blocks of about PASS_WORDS words, in the order of their keys; a block is built when it is asked for."""
     rows = benchmark.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     ids, texts, held = [], [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
-        w = r.t.split()
-        for j in range(0, max(1, len(w)), ITEM_WORDS):
-            part = w[j : j + ITEM_WORDS]
-            if j and len(part) < k:
-                continue
-            ids.append(r.i)
-            texts.append(" ".join(part))
-            held += len(part)
+        ids.append(r.i)
+        texts.append(r.t)
+        held += int(tokens(next(slices(pa.array([r.t], pa.string())))).first[-1])
         if held >= PASS_WORDS:
             yield build(ids, texts, k)
             ids, texts, held = [], [], 0
@@ -230,43 +287,97 @@ def passes(benchmark: DataFrame, item_key: str = "item_id", text: str = "text",
         yield build(ids, texts, k)
 
 
+def _holds_any(table: np.ndarray, k: int, text: str):
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for s in slices(b.column(text)):
+                w = tokens(s)
+                sh, at = shingle_hash(SpanHasher(w.data)(w.start, w.end), w.first, k)
+                hit = np.flatnonzero(_marked(table, sh))
+                keep[s.first + np.unique(np.searchsorted(at, hit, "right") - 1)] = True
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _found(base: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, k: int, run) -> list[DataFrame]:
+    """run(items), a function over batches of base(key, th, text), for each block of items: lazily for a benchmark of
+    one block; of more, one by one over the texts that hold any of their shingles."""
+    blocks = passes(benchmark, item_key, item_text, k)
+    schema = "key long, th long, item_id long, similarity double, start long, end long"
+    one, two = next(blocks, None), next(blocks, None)
+    if one is None or two is None:
+        return [base.mapInArrow(run(x), schema) for x in (one,) if x is not None]
+    del one, two
+    words = benchmark.agg(F.sum(F.length(item_text)).alias("n")).first().n // 2
+    table = _table(int(words))
+    for items in passes(benchmark, item_key, item_text, k):
+        _mark(table, items.known)
+    some = cut(base.mapInArrow(_holds_any(table, k, "text"), base.schema))
+    del table
+    return [cut(some.mapInArrow(run(items), schema)) for items in passes(benchmark, item_key, item_text, k)]
+
+
+def _base(docs: DataFrame, key: str, text: str) -> DataFrame:
+    t = F.col(text).cast("string")
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(t).alias("th"), t.alias("text"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """(key, item_id, similarity, start, end): each text and item that share a passage, with the most
-    similar window of the text, in code points. Words are lower-cased runs of letters and digits.
+    similar window of the text, in code points. Words are lower-cased runs of letters and digits; keys must fit a long.
 
-    Null and wordless texts and items match nothing. An item of under ``k`` words is one shingle and
-    matches only texts of those words alone. A text shorter than an item is one window. Items whose
-    key or rows repeat give a row each, and so do repeated texts. Other columns are ignored. Without
-    items or texts the result is empty."""
-    base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    out = None
-    for items in passes(benchmark, item_key, "text", k):
+    Null and wordless texts and items match nothing, and items with a null key are left out. An item of under
+    ``k`` words is one shingle and matches only texts of those words alone. A text shorter than an item is one
+    window; of an item of over ITEM_WORDS words each window of that size gives a row. Of equally similar windows
+    the first counts. Items whose key or rows repeat give a row each, and so do repeated texts. Other columns are
+    ignored. Without items or texts the result is empty."""
 
-        def run(batches, items=items):
+    def finder(items: Items):
+        def run(batches):
             for b in batches:
                 found = list(_leaks(items, b.column("text"), least))
                 if found:
                     rows = pa.array([x[0] for x in found])
-                    yield batch_of(_OUT, [b.column("key").take(rows), items.ids[[x[1] for x in found]], [x[2] for x in found], [x[3] for x in found], [x[4] for x in found]])
+                    yield batch_of(_OUT, [b.column("key").take(rows), b.column("th").take(rows), items.ids[[x[1] for x in found]], [x[2] for x in found], [x[3] for x in found], [x[4] for x in found]])
+
+        return run
 
-        got = base.mapInArrow(run, "key long, item_id long, similarity double, start long, end long")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = base.select("key", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).where("false")
-    return out.withColumnRenamed("key", key)
+    base = _base(docs, key, text)
+    made = _found(base, benchmark, item_key, "text", k, finder)
+    if not made:
+        return base.select(F.col("key").alias(key), *[F.lit(0).cast(t).alias(c) for c, t in (("item_id", "long"), ("similarity", "double"), ("start", "long"), ("end", "long"))]).where("false")
+    return reduce(DataFrame.unionByName, made).drop("th").withColumnRenamed("key", key)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, k: int = 5, text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """docs, all columns, without the rows that share a passage with an item."""
-    out = docs
-    for items in passes(benchmark, item_key, "text", k):
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """docs, all columns, without the rows that share a passage with an item. Null and wordless texts stay, repeated
+    rows stay or go together, and an empty table or benchmark takes nothing away."""
+    blocks = passes(benchmark, item_key, "text", k)
+    one, two = next(blocks, None), next(blocks, None)
+    if one is None:
+        return docs
+    if two is None:
 
-        def run(batches, items=items):
+        def run(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for x in _leaks(items, b.column(text), least):
+                for x in _leaks(one, b.column(text), least):
                     keep[x[0]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return docs.mapInArrow(run, docs.schema)
+    del one, two
+
+    def finder(items: Items):
+        def run(batches):
+            for b in batches:
+                rows = pa.array(sorted({x[0] for x in _leaks(items, b.column("text"), least)}), pa.int64())
+                yield batch_of(_OUT, [b.column("key").take(rows), b.column("th").take(rows), *[pa.nulls(len(rows), f.type) for f in list(_OUT)[2:]]])
+
+        return run
+
+    gone = reduce(DataFrame.unionByName, _found(_base(docs, key, text), benchmark, item_key, "text", k, finder)).select(F.col("key").alias("__key"), F.col("th").alias("__th")).distinct()
+    told = docs.withColumns({"__k": F.col(key).cast("long"), "__h": F.xxhash64(F.col(text).cast("string"))})
+    return told.join(gone, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__th")), "left_anti").drop("__k", "__h")

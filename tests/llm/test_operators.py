@@ -515,12 +515,70 @@ def test_decontamination_brute_force():
     assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(want) > 10
 
 
+def test_decontamination_of_like_items_by_brute_force():
+    """Items out of a few templates, so that many share shingles: all pairs of similarity 0.8 or more but one in a hundred."""
+    rnd = random.Random(17)
+    vocab = [f"w{i}" for i in range(400)]
+    frames = [[rnd.choice(vocab) for _ in range(12)] for _ in range(4)]
+    items = []
+    for i in range(120):
+        f = frames[i % 4]
+        items.append(" ".join(f[:6] + [rnd.choice(vocab) for _ in range(rnd.randint(3, 12))] + f[6:]))
+    it = decontam.build(list(range(len(items))), items)
+    texts = []
+    for x in items:
+        w = x.split()
+        if rnd.random() < 0.5:
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        texts.append(" ".join([rnd.choice(vocab) for _ in range(rnd.randrange(25))] + w + [rnd.choice(vocab) for _ in range(rnd.randrange(25))]))
+    got = {(r, i): v for r, i, v, _, _ in decontam._leaks(it, pa.array(texts), 0.8)}
+    want = {}
+    s = next(tokens.slices(pa.array(texts)))
+    w = tokens.tokens(s)
+    sh, at = tokens.shingle_hash(tokens.SpanHasher(w.data)(w.start, w.end), w.first, 5)
+    for r in range(s.rows):
+        x = sh[at[r] : at[r + 1]]
+        for i, size in enumerate(it.size):
+            span = min(len(x), max(1, size - 4))
+            if np.isin(x, it.shingle[it.at[i] : it.at[i + 1]]).any():
+                best = max(decontam.similarity(it, i, x[p : p + span]) for p in range(len(x) - span + 1))
+                if best >= 0.8:
+                    want[r, i] = best
+    assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.01 * len(want) and len(want) > 60
+    assert all(want[p] >= v - 1e-9 for p, v in got.items())
+
+
+def test_long_items_have_no_lost_tail(monkeypatch):
+    monkeypatch.setattr(decontam, "ITEM_WORDS", 20)
+    item = [f"t{i}" for i in range(43)]
+    it = decontam.build([7], [" ".join(item)])
+    assert it.size.tolist() == [20, 20, 20]
+    for a, b in ((0, 20), (20, 40), (23, 43)):
+        assert {x[1] for x in decontam._leaks(it, pa.array(["a b " + " ".join(item[a:b]) + " c d"]), 0.8)}
+    assert decontam.build([1, 2], ["a,b", "x" * 9]).size.tolist() == [2, 1]
+
+
+def test_work_does_not_grow_with_unrelated_items():
+    """The pairs that are fingerprinted are those of a text's own items, however many there are."""
+    rnd = random.Random(18)
+    items = [" ".join(f"v{rnd.randrange(3000)}" for _ in range(20)) for _ in range(4000)]
+    text = pa.array([" ".join(["a b c", items[3], "d e f", items[2500]])])
+    few, many = decontam.build([0, 1], [items[3], items[2500]]), decontam.build(list(range(4000)), items)
+    h = next(tokens.slices(text))
+    w = tokens.tokens(h)
+    sh, _ = tokens.shingle_hash(tokens.SpanHasher(w.data)(w.start, w.end), w.first, 5)
+    assert [len(decontam._live(x, np.unique(decontam._known(x, sh)[1]), 0.8)) for x in (few, many)] == [2, 2]
+    assert [x[1] for x in decontam._leaks(many, text, 0.8)] == [3, 2500]
+
+
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "PASS_WORDS", 30)
     bench = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(20))) for i in range(6)], "item_id long, text string")
-    df = spark.createDataFrame([(i, f"a b {' '.join(f't{i}x{j}' for j in range(20))} c") for i in range(8)], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == {(i, i) for i in range(6)}
-    assert {r.doc_id for r in decontam.drop_leaks(df, bench).collect()} == {6, 7}
+    rows = [(i, f"a b {' '.join(f't{i}x{j}' for j in range(20))} c") for i in range(8)]
+    df = spark.createDataFrame([*rows, (7, rows[0][1]), (None, rows[1][1]), (9, None)], "doc_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    monkeypatch.setattr(decontam, "PASS_WORDS", 30)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == whole == {(i, i) for i in range(6)} | {(7, 0), (None, 1)}
+    assert sorted((r.doc_id, r.text) for r in decontam.drop_leaks(df, bench).collect() if r.text) == sorted(rows[6:])
 
 
 # ---------------------------------------------------------------- op10
