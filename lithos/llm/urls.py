@@ -1,10 +1,12 @@
 """URL verdicts: listed rules first, else logistic regression on hashed character n-grams.
 
-The classifier is trained on the driver from a small labelled table of hosts and paths.
+The classifier is trained on the driver from a small labelled table of hosts and paths, made by a rule from
+common words.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,21 +19,38 @@ from .tokens import U, SpanHasher, slices
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
 
-#: A small labelled table; 1 marks advertising, gambling, pills, malware and trackers.
-LABELLED: tuple[tuple[str, int], ...] = (
-    ("http://casino-win.example/play", 1), ("http://www.best-casino-online.example/bonus", 1), ("http://m.casino-royal-spins.example/en/21", 1),
-    ("http://free-bets.example/join", 1), ("http://sports-betting-tips.example/bets", 1), ("http://poker-bonus.example/free", 1), ("http://win-big-slots.example/spin", 1), ("http://lottery-winner.example/claim", 1),
-    ("http://cheap-pills.example/order", 1), ("http://buy-viagra-online.example/cheap", 1), ("http://discount-pharmacy.example/pills", 1), ("http://diet-pills-fast.example/buy", 1),
-    ("http://ads-track.example/c", 1), ("http://ad-server.example/click?id=3", 1), ("http://track.ads-network.example/pixel.gif", 1), ("http://popup-ads.example/banner", 1), ("http://click-tracker.example/redirect", 1),
-    ("http://xxx-cams.example/live", 1), ("http://adult-dating.example/meet", 1), ("http://hot-singles.example/chat", 1), ("http://porn-videos.example/watch", 1),
-    ("http://free-iphone-prize.example/win", 1), ("http://crypto-doubler.example/earn", 1), ("http://get-rich-quick.example/money", 1), ("http://payday-loans-now.example/cash", 1), ("http://replica-watches.example/sale", 1), ("http://crack-keygen.example/download", 1),
-    ("http://www.casino.example.com/en/8", 1), ("http://m.free-spins.example.net/de/9", 1), ("http://blog.cheap-meds.example.org/fr/4", 1), ("http://ads.example.com/es/7", 1), ("http://www.adult-content.example.net/en/3", 1), ("http://m.track-ads.example.org/en/6", 1), ("http://bet-win.example.com/fr/2", 1), ("http://adult.example.com/de/5", 1), ("http://ads-tracker.example.com/en/1", 1), ("http://pills.example.net/en/2", 1), ("http://www.adult-x-videos.example.org/fr/9", 1), ("http://x-adult.example.com/en/4", 1),
-    ("http://news.example/en/2041", 0), ("http://www.library.example/catalog/31.html", 0), ("http://blog.gardening.example/en/roses", 0), ("http://university.example/de/physik", 0), ("http://museum.example/fr/expositions", 0), ("http://weather.example/es/madrid", 0),
-    ("http://recipes.example/en/bread.html", 0), ("http://www.history-society.example/en/1291/", 0), ("http://docs.python-guide.example/en/3/tutorial", 0), ("http://school.example/news", 0), ("http://m.travel.example/fr/873", 0), ("http://science.example/articles/8423", 0),
-    ("http://city-council.example/minutes", 0), ("http://www.hospital.example/en/contact", 0), ("http://forum.linux.example/thread/77", 0), ("http://bank.example/login", 0), ("http://blog.mountains.example/en/7617/", 0), ("http://theater.example/de/1989/", 0),
-    ("http://novels.example/chapter/12", 0), ("http://maps.example/route", 0), ("http://m.football.example/es/2547/", 0), ("http://www.bakery.example/menu", 0), ("http://orchestra.example/en/1837/", 0), ("http://encyclopedia.example/wiki/Tower", 0), ("http://astronomy.example/en/8824/", 0), ("http://blog.things.example/en/1524/", 0),
-    ("http://www.reading.example.com/en/8", 0), ("http://m.weather.example.net/de/9", 0), ("http://blog.cooking.example.org/fr/4", 0), ("http://nature.example.com/es/7", 0), ("http://www.teaching.example.net/en/3", 0), ("http://m.anthology.example.org/en/6", 0), ("http://thinking.example.com/fr/2", 0), ("http://rethink.example.com/de/5", 0), ("http://other.example.com/en/1", 0), ("http://string.example.net/en/2", 0), ("http://theory.example.org/en/3", 0),
-)
+#: Words of unwanted hosts by class, words of others, and what stands beside either. ``labelled`` makes
+#: the table out of them.
+UNWANTED = {
+    "gambling": "casino poker bet bets betting slots lottery jackpot roulette spins bingo gambling",
+    "pills": "pills viagra cialis pharmacy meds steroids",
+    "ads": "ads adserver tracker tracking popup banner clicks pixel",
+    "adult": "adult xxx porn sex cams escort dating singles nude",
+    "scams": "prize winner payday loans doubler get-rich replica crack keygen warez phishing giveaway",
+    "farms": "spam linkfarm link-farm backlinks seo-links doorway autoblog content-farm",
+}
+WANTED = (
+    "news library garden university museum weather recipes history guide school travel science council hospital forum bank mountain theater novel maps football bakery orchestra wiki astronomy "
+    "reading teaching cooking nature nothing another mother weather thinking rather together there these those other nation station relation action question mention stone tower river house horse "
+    "north south water winter summer letter paper market street bridge castle island forest flower animal doctor nurse lawyer engineer builder painter singer writer player runner driver farmer "
+    "physics chemistry biology geology algebra poetry opera ballet sculpture ceramic textile harbor airport railway tram bicycle kitchen window door table lamp chair carpet mirror fabric cotton "
+    "wool silk linen bread cheese butter coffee tea honey sugar apple pear plum cherry grape lemon orange onion carrot potato tomato pepper garlic basil rosemary thyme"
+)
+BESIDE = ("", "best-{}", "{}-online", "my{}", "{}-world", "the-{}", "{}hub", "{}-4u", "top-{}", "city-{}", "{}-x", "royal-{}")
+PREFIXES, ENDS, PATHS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "example"), ("/", "/en/12", "/de/7/", "/fr/5.html", "/es/311", "/index", "/a/b")
+
+
+def labelled() -> list[tuple[str, int]]:
+    """A small labelled table: 1 marks unwanted hosts. Every word stands alone and in compounds; prefixes,
+    ends and paths go round alike for both labels, so they tell nothing."""
+    out = []
+    for label, words in ((1, " ".join(UNWANTED.values()).split()), (0, WANTED.split())):
+        for i, w in enumerate(words):
+            for j in range(6 if label else 3):
+                n = 7 * i + j
+                name = BESIDE[0 if j == 0 else 1 + n % (len(BESIDE) - 1)] or "{}"
+                out.append((f"http://{PREFIXES[(n + j) % 4]}{name.format(w)}.{ENDS[(n // 2 + j) % 4]}{PATHS[n % 7]}", label))
+    return out
 
 
 @dataclass(frozen=True)
@@ -92,21 +111,21 @@ class UrlModel:
     bias: float
 
 
-def _marked(host: str, path: str) -> str:
+def marked(host: Column, path: Column) -> Column:
     """Host and path as one string; digits of the path are one sign, so numbers don't tell pages apart."""
-    return "^" + host + "$" + "".join("0" if c.isdigit() else c for c in path) + "$"
+    return F.concat(F.lit("^"), host, F.lit("$"), F.regexp_replace(path, "[0-9]", "0"), F.lit("$"))
+
+
+def _marked(url: str) -> str:
+    host, slash, path = url.partition("://")[2].partition("/")
+    return f"^{host.lower()}${re.sub('[0-9]', '0', (slash + path).partition('?')[0].partition('#')[0])}$"
 
 
-def train_urls(table: tuple[tuple[str, int], ...] = LABELLED, steps: int = 1500) -> UrlModel:
+def train_urls(table: list[tuple[str, int]] | None = None, steps: int = 1500) -> UrlModel:
     """Full-batch gradient descent with a ridge. An n-gram weighs less the more rows of the table hold
     it, so that what most hosts share tells little."""
-    texts, y = [], []
-    for url, label in table:
-        rest = url.partition("://")[2]
-        host, slash, path = rest.partition("/")
-        texts.append(_marked(host.lower(), (slash + path).partition("?")[0].partition("#")[0]))
-        y.append(label)
-    x, t = _vectors(pa.array(texts, pa.string())), np.array(y, float)
+    table = labelled() if table is None else table
+    x, t = _vectors(pa.array([_marked(u) for u, _ in table], pa.string())), np.array([y for _, y in table], float)
     rare = np.log1p(len(t) / np.maximum((x > 0).sum(0), 1)) ** 2 / 8
     x *= rare
     # the weights are sums of rows of x, so the descent runs on one coefficient a row
@@ -144,17 +163,16 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], model: UrlModel | None =
     are each judged; an empty table gives an empty result."""
     model = model or train_urls()
     base = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("marked", marked(F.col("host"), F.col("path")))
 
     def run(batches):
         for b in batches:
-            host, path = b.column("host").to_pylist(), b.column("path").to_pylist()
-            score = url_scores(model, pa.array([_marked(h, p) for h, p in zip(host, path, strict=True)], pa.string()))
-            score[[not h and not p for h, p in zip(host, path, strict=True)]] = 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
+            score = url_scores(model, b.column("marked"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])
 
     kind = base.schema["key"].dataType.simpleString()
     scored = base.mapInArrow(run, f"key {kind}, host string, path string, rule string, score double")
+    scored = scored.withColumn("score", F.when((F.col("host") == "") & (F.col("path") == ""), 0.0).otherwise(F.col("score")))
     said = F.when(F.col("score") >= least, "block").otherwise("allow")
     for r in rules:
         said = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(said)

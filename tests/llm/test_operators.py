@@ -211,6 +211,33 @@ def test_urls(spark):
     assert (urls.url_scores(m, pa.array(new)) >= 0.5).tolist() == [True, True, False, False]
 
 
+def test_url_classifier_held_out():
+    table = urls.labelled()
+    right = caught = wrong = bad = 0
+    for fold in range(5):
+        m = urls.train_urls([r for i, r in enumerate(table) if i % 5 != fold])
+        held = [r for i, r in enumerate(table) if i % 5 == fold]
+        for s, (_, y) in zip(urls.url_scores(m, pa.array([urls._marked(u) for u, _ in held])), held, strict=True):
+            right += (s >= 0.5) == y
+            caught, bad, wrong = caught + (y and s >= 0.5), bad + y, wrong + (not y and s >= 0.5)
+    assert right >= 0.95 * len(table) and caught >= 0.95 * bad and wrong <= 0.02 * (len(table) - bad)
+    m = urls.train_urls()  # hosts whose words are all outside the table
+    fresh = ["http://www.carpenter.example.net/en/5", "https://blog.saxophone.example.org/", "http://m.philosophy.example.com/de/3", "http://tractor-museum.example/a", "http://thermostat.example.com/fr/1", "http://m.ththth.example.net/en/120/"]
+    assert (urls.url_scores(m, pa.array([urls._marked(u) for u in fresh])) < 0.5).all()
+    farms = ["https://spam-farm.example.org/en/1", "http://www.spam-farm.example.com/", "http://blog.adult-x.example.net/fr/3", "http://m.online-casino-royal.example.net/x"]
+    assert (urls.url_scores(m, pa.array([urls._marked(u) for u in farms])) >= 0.5).all()
+
+
+def test_url_scores_by_brute_force():
+    m = urls.train_urls(urls.labelled()[::9], steps=50)
+    place = lambda g: next(int(h) for h, k in zip(urls._grams(pa.array([g]))[1], [k for k in urls.ORDERS for _ in range(len(g) - k + 1)], strict=True) if k == len(g))
+    for u in ("http://www.a-casino.example.com/en/77?x#y", "http://x/", "http://m.weather.example.org"):
+        t = urls._marked(u)
+        grams = {place(t[i : i + k]) for k in urls.ORDERS for i in range(len(t) - k + 1)}
+        z = sum(m.weight[g] for g in grams) / len(grams) ** 0.5 + m.bias
+        assert abs(urls.url_scores(m, pa.array([t]))[0] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 # ---------------------------------------------------------------- op5
 
 
