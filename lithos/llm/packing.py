@@ -1,10 +1,11 @@
 """Packing into optimal length buckets and token-budget batches.
 
 The global histogram of lengths goes to the driver (bounded: lengths beyond EXACT share bins of
-relative width 2^-FINE), where dynamic programming with a convex hull finds the bucket bounds of
-least padding. Batches of a bucket hold as many rows as the token budget allows at the bucket's
-length. A row's place in its bucket is its place in a small hashed shard plus the shard's offset, so
-no bucket is ever in one task.
+relative width 2^-FINE, each of which counts as its longest), where dynamic programming with a convex hull
+finds the bucket bounds of least padding. They are optimal if no row is longer than EXACT; else padding
+exceeds the optimum by less than 2^-FINE, a thousandth, of the tokens of those rows. Batches of a bucket hold as
+many rows as the token budget allows at the bucket's length. A row's place in its bucket is its place in a small
+hashed shard plus the shard's offset, so no bucket is ever in one task; repeats of a key go as counts.
 """
 
 from __future__ import annotations
@@ -88,33 +89,37 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 16384, key: str = "do
     bucket but the last is full.
 
     A row without tokens (null, empty or blank text) is in no batch: bucket, bound, batch and slot are
-    null. Repeated rows are packed each. Other columns are ignored. An empty table gives an empty result.
+    null. A length that equals a bound is in its bucket; rows of a bucket stand in hashed shards and there by
+    key and length. Repeated rows are packed each. Other columns are ignored. An empty table gives an empty
+    result.
     """
     n = F.coalesce(tokens if tokens is not None else word_count(F.col(text).cast("string")), F.lit(0)).cast("long")
     # key and length only: the texts are read once, and lengths are at hand for histogram and places
-    base = cut(docs.select(F.col(key), n.alias("n_tokens")))
-    sized = base.withColumn("__bin", bin_of(F.col("n_tokens")))
-    hist = [(r["__bin"], r["c"]) for r in sized.where("__bin > 0").groupBy("__bin").agg(F.count("*").alias("c")).collect()]
+    base = cut(docs.select(F.col(key).alias("key"), n.alias("n_tokens")).groupBy("key", "n_tokens").agg(F.count("*").alias("c")))
+    rows = base.where("n_tokens > 0").groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.sum("c").alias("c"))
+    hist = [(r.longest, r.c) for r in rows.collect()]
     bounds = optimal_bounds(hist, buckets)
-    if not bounds:
-        return base.select(key, "n_tokens", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("bound", "long"), ("batch", "long"), ("slot", "long"))])
     held = [0] * len(bounds)
     for x, c in hist:
         held[next(i for i, b in enumerate(bounds) if x <= b)] += c
-    bucket = F.when(F.col("__bin") > 0, F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("__bin"))))
-    pick = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.coalesce("bucket", F.lit(-1)))
-    dealt = sized.withColumn("bucket", bucket)
-    dealt = dealt.withColumn("__shard", F.when(F.col("bucket").isNotNull(), F.pmod(F.xxhash64(F.col(key), F.col("n_tokens")), pick([-(-c // SHARD_ROWS) or 1 for c in held]))))
-    # rows of no bucket need no place; they are dealt by their key
-    spread = F.coalesce(F.col("__shard"), F.pmod(F.xxhash64(F.lit("none"), F.col(key)), F.lit(1 << 20)))
-    dealt = dealt.withColumn("__shard", spread)
-    w = Window.partitionBy("bucket", "__shard").orderBy(F.col(key), F.col("n_tokens"))
-    placed = dealt.withColumn("__in", F.row_number().over(w) - 1)
-    counts = dealt.where("bucket is not null").groupBy("bucket", "__shard").agg(F.count("*").alias("c"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("copy")
+    # blocks of at most SHARD_ROWS repeats: what of a hot key is in one task is small
+    blocks = base.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / SHARD_ROWS)))).withColumn("c", F.least(F.lit(SHARD_ROWS).cast("long"), F.col("c") - F.col("blk") * SHARD_ROWS))
+    none = blocks.where("n_tokens <= 0").select("key", "n_tokens", copies).select(F.col("key").alias(key), "n_tokens", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("bound", "long"), ("batch", "long"), ("slot", "long"))])
+    if not bounds:
+        return none
+    bucket = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("n_tokens")))
+    pick = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket"))
+    dealt = blocks.where("n_tokens > 0").withColumn("bucket", bucket)
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "n_tokens", "blk"), pick([-(-c // SHARD_ROWS) or 1 for c in held])))
+    before = Window.partitionBy("bucket", "shard").orderBy("key", "n_tokens", "blk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    counts = dealt.groupBy("bucket", "shard").agg(F.sum("c").alias("c"))
     # one row for each SHARD_ROWS rows: small, and dealt by bucket
-    offs = counts.withColumn("__off", F.sum("c").over(Window.partitionBy("bucket").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "__shard", F.coalesce("__off", F.lit(0)).alias("__off"))
-    at = F.col("__off") + F.col("__in")
+    offs = counts.withColumn("off", F.sum("c").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "shard", F.coalesce("off", F.lit(0)).alias("off"))
+    at = F.col("off") + F.col("inside") + F.col("copy")
     room = pick([max(1, budget // b) for b in bounds])
-    return placed.join(offs, ["bucket", "__shard"], "left").select(
-        key, "n_tokens", "bucket", pick(bounds).cast("long").alias("bound"), F.floor(at / room).cast("long").alias("batch"), F.when(F.col("bucket").isNotNull(), at % room).cast("long").alias("slot")
+    numbered = placed.join(offs, ["bucket", "shard"]).select("*", copies).select(
+        F.col("key").alias(key), "n_tokens", "bucket", pick(bounds).cast("long").alias("bound"), F.floor(at / room).cast("long").alias("batch"), (at % room).cast("long").alias("slot")
     )
+    return numbered.unionByName(none)

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lithos.llm import decontam, jaccard, linededup, packing, queries, secrets, sharding, store, tokens, toxicity, urls
 
@@ -263,6 +264,26 @@ def test_packing(spark, docs, monkeypatch):
         assert full.nunique() <= 1 and sorted(g.batch.unique()) == list(range(g.batch.max() + 1))
 
 
+def test_packing_of_long_and_repeated_rows(spark, monkeypatch):
+    """Beyond EXACT padding is within a thousandth of those rows' tokens of the optimum; repeats of a key are each placed."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 7)
+    monkeypatch.setattr(packing, "EXACT", 50)
+    rnd = random.Random(19)
+    sizes = [rnd.randint(1, 60) for _ in range(300)] + [rnd.randint(50, 200_000) for _ in range(300)]
+    rows = [(i, n) for i, n in enumerate(sizes)] + [(9999, 33)] * 100 + [(9999, 0)] * 30 + [(None, None)] * 3
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n int"), 6, tokens=F.col("n")).toPandas()
+    assert Counter(zip(got.doc_id.fillna(-1).astype(int), got.n_tokens, strict=True)) == Counter((-1 if i is None else i, n or 0) for i, n in rows)
+    put = got[got.n_tokens > 0]
+    for _, g in put.groupby("bucket"):
+        assert g.bound.nunique() == 1 and g.bound.iloc[0] == g.n_tokens.max()
+        room = max(1, 16384 // int(g.bound.iloc[0]))
+        assert sorted((g.batch * room + g.slot).astype(int)) == list(range(len(g))) and g.slot.max() < room
+    hist = Counter(put.n_tokens)
+    best = packing.optimal_bounds(sorted(hist.items()), 6)
+    waste = sum(c * (min(b for b in best if b >= x) - x) for x, c in hist.items())
+    assert (put.bound - put.n_tokens).sum() <= waste + sum(x * c for x, c in hist.items() if x > 50) / 1024
+
+
 # ---------------------------------------------------------------- op6
 
 
