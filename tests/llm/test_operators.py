@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm import decontam, jaccard, linededup, packing, queries, secrets, sharding, store, tokens, toxicity, urls
+from lithos.llm import decontam, jaccard, linededup, packing, quality, queries, secrets, sharding, store, tokens, toxicity, urls
 
 SF = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +98,41 @@ def test_quality(spark, docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_rules_are_ordered_by_what_is_left(spark, docs):
+    rnd = random.Random(20)
+    for _ in range(50):
+        rows = [tuple(rnd.random() < p for p in (0.5, 0.4, 0.1, 0.05)) for _ in range(60)]
+        cost = [rnd.choice((1.0, 2.0, 5.0)) for _ in range(4)]
+        left, want, todo = list(rows), [], [0, 1, 2, 3]
+        while todo:
+            rate = {i: sum(r[i] for r in left) / cost[i] for i in todo}
+            i = min(todo, key=lambda i: (-rate[i], cost[i], i))  # noqa: B023
+            want.append(i)
+            todo.remove(i)
+            left = [r for r in left if not r[i]]
+        assert quality.greedy(list(Counter(rows).items()), cost) == want
+    rules = quality.default_rules()
+    base = quality.base_statistics(spark.read.parquet(str(SF / "documents.parquet")).select("doc_id", "text"))
+    got = quality.order_rules(base, rules)
+    assert sorted(r.name for r in got) == sorted(r.name for r in rules)
+    for order in (rules, rules[::-1], got):  # the verdict does not depend on the order
+        names = base.select(quality.cascade(order).isNull().alias("ok")).where("ok").count()
+        assert names == base.where(~F.coalesce(quality.cascade(rules).isNotNull(), F.lit(False))).count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in SF.iterdir():
+        c.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM '{t}'")
+    want = c.execute(queries.SQL[name]).df()
+    got = queries.QUERIES[name](spark, str(SF)).toPandas()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(tuple, got[cols].astype(object).values.tolist())) == sorted(map(tuple, want[cols].astype(object).values.tolist()))
+
+
 # ---------------------------------------------------------------- op2, op4
 
 
