@@ -382,6 +382,26 @@ def test_line_dedup_keeps_one_whole_run_of_a_periodic_text(spark):
     assert got.removed and set(got.text.split(". ")) <= {line, line[:-1]}
 
 
+def test_line_dedup_of_short_passages(spark):
+    """What README says of passages of two to twelve nine-word lines that stand in two rows: wholly removed shares."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts, meta = [], []
+    for n in (2, 3, 4, 5, 6, 8, 12):
+        for _ in range(60):
+            p = "\n".join(say(9) for _ in range(n))
+            for c in range(2):
+                texts.append("\n".join([say(9) for _ in range(rnd.randint(1, 5))] + [p] + [say(9) for _ in range(rnd.randint(1, 5))]))
+                meta.append((n, p, c))
+    whole = Counter()
+    for r in linededup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        n, p, c = meta[r.doc_id]
+        gone = "".join(texts[r.doc_id][s.start : s.end] for s in r.removed).strip()
+        assert gone in ("", p) if c else not gone  # nothing else, and nothing of the first
+        whole[n] += gone == p
+    assert whole[2] >= 0.2 * 60 and whole[3] >= 0.4 * 60 and whole[4] >= 0.9 * 60 and all(whole[n] == 60 for n in (5, 6, 8, 12))
+
+
 # ---------------------------------------------------------------- op7
 
 
@@ -789,19 +809,82 @@ def test_native_operators_run_no_python(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def brute_leaks(it, texts):
+    """(text, item) pairs whose best window of the item's size has similarity 0.8 or more, windows that share nothing left out."""
+    want = set()
+    for s in tokens.slices(pa.array(texts)):
+        w = tokens.tokens(s)
+        sh, at = tokens.shingle_hash(tokens.SpanHasher(w.data)(w.start, w.end), w.first, it.k)
+        for r in range(s.rows):
+            x = sh[at[r] : at[r + 1]]
+            for i, size in enumerate(it.size):
+                span = min(len(x), max(1, size - it.k + 1))
+                hit = np.flatnonzero(np.isin(x, it.shingle[it.at[i] : it.at[i + 1]]))
+                if (size >= it.k or w.count[r] == size) and any(decontam.similarity(it, i, x[p : p + span]) >= 0.8 for p in {p for h in hit for p in range(max(0, h - span + 1), min(h, len(x) - span) + 1)}):
+                    want.add((s.first + r, i))
+    return want
+
+
+def whole_runs(text, words):
+    """Every shortest run of whole lines from a line on that has so many words."""
+    ln = [x.split() for x in re.split(r"\n|(?<=[.!?])[ \t\r\x0b\x0c]", text)]
+    ln = [x for x in ln if x]
+    for i in range(len(ln)):
+        run, j = [], i
+        while j < len(ln) and sum(map(len, run)) < words:
+            run, j = [*run, tuple(ln[j])], j + 1
+        if sum(map(len, run)) >= words:
+            yield tuple(run)
+
+
 def test_pipeline_by_brute_force(spark):
+    """Each stage on what the one before it kept."""
     import corpus_pipeline
 
     sf = str(SF)
-    spark_docs = spark.read.parquet(f"{sf}/documents.parquet")
-    tox = corpus_pipeline.toxicity(spark, spark_docs, sf).toPandas()
-    lab = pd.read_parquet(SF / "labels.parquet").set_index("doc_id")
-    clean = lab.index[lab.toxic == 0]
-    assert tox.doc_id.isin(clean).sum() >= 0.95 * spark_docs.toPandas().doc_id.isin(clean).sum()
-    near = corpus_pipeline.near_copies(spark, spark_docs, sf).toPandas()
-    comp = brute_components(spark_docs.toPandas().set_index("doc_id").text.to_dict(), 5, 0.8)
-    assert sorted(near.doc_id) == sorted(i for i, c in comp.items() if i == c)
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    assert out.doc_id.is_unique and set(out.doc_id) <= set(tox.doc_id) and len(out) > 0.5 * len(tox)
-    leaked = {r.doc_id for r in queries.op9_decontamination(spark, sf).collect()}
-    assert not leaked & set(out.doc_id)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, made = docs.toPandas(), {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, spark.createDataFrame(before, docs.schema), sf).toPandas()
+        made[name] = before, now
+        before = now
+    assert list(made) == ["toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "packing"]
+
+    old, new = made["toxicity"]
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    score = toxicity.score_toxicity(docs, model).toPandas().set_index("doc_id").score
+    assert sorted(new.doc_id) == sorted(score.index[score < 0.5])
+    lab = pd.read_parquet(SF / "labels.parquet").set_index("doc_id").toxic
+    clean = old.doc_id[old.doc_id.map(lab) == 0]
+    assert clean.isin(new.doc_id).mean() >= 0.97
+
+    old, new = made["line_dedup"]
+    was, left = old.set_index("doc_id").text, new.set_index("doc_id").text
+    assert all(WORD.search(t) is not None or t == was[i] for i, t in left.items()) and (new.n_chars == new.text.str.len()).all()
+    seen: dict = {}
+    for i in sorted(was.index):  # a text without a passage of 50 words that stands in a smaller row stays whole where no shorter one does
+        for r in whole_runs(was[i], 50):
+            seen.setdefault(r, i)
+    for i, t in left.items():
+        assert all(seen.get(r, i) >= i for r in whole_runs(t, 50)), i
+    gone = set(was.index) - set(left.index)
+    lines_of = lambda t: {x.strip() for x in re.split(r"\n|(?<=[.!?])\s", t) if x.strip()}
+    stands = Counter(x for t in was for x in lines_of(t))
+    assert all(all(stands[x] > 1 for x in lines_of(was[i])) for i in gone)
+
+    old, new = made["ngram_jaccard_join"]
+    comp = brute_components(old.set_index("doc_id").text.to_dict(), 5, 0.8)
+    assert sorted(new.doc_id) == sorted(i for i, c in comp.items() if i == c)
+
+    old, new = made["decontamination"]
+    bench = pd.read_parquet(SF / "benchmark.parquet")
+    it = decontam.build(bench.item_id.tolist(), bench.text.tolist())
+    bad = {old.doc_id.iloc[r] for r, _ in brute_leaks(it, old.text.tolist())}
+    assert set(new.doc_id) == set(old.doc_id) - bad
+
+    old, new = made["packing"]
+    n = old.set_index("doc_id").text.map(lambda t: len(WORD.findall(t)))
+    got = new.set_index("doc_id")
+    bounds = packing.optimal_bounds(sorted(Counter(x for x in n if x).items()), 12)
+    assert got.n_tokens.to_dict() == n.to_dict() and got[got.n_tokens > 0].bound.to_dict() == {i: min(b for b in bounds if b >= x) for i, x in n.items() if x}
+    assert sorted(corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "bound", "batch", "slot").collect()) == sorted(new[["doc_id", "n_tokens", "bound", "batch", "slot"]].itertuples(index=False, name=None))
