@@ -16,14 +16,15 @@ from lithos.llm.toxicity import drop_toxic, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity model rejects."""
+    """Without the documents that the toxicity model, trained on all labels of docs, rejects. Null, empty and
+    wordless texts stay; without labels nothing goes."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return drop_toxic(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without passages that stand elsewhere already; a document that had words and has none left is
-    a copy and goes."""
+    a copy and goes. Null, empty and blank texts stay."""
     out = line_dedup(docs, removed="__removed")
     out = out.where((F.size("__removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     fresh = F.when(F.size("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -31,17 +32,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8. The smallest doc_id stays;
+    null, empty and blank texts, and a null doc_id, are in no group and stay."""
     return near_duplicates(docs, k=5, t=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a passage of the benchmark."""
+    """Without the documents that hold a passage of the benchmark; null, empty and wordless texts hold none."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of all that is left."""
+    """Length buckets and batches of all that is left; null, empty and blank texts are in no batch."""
     return pack(docs)
 
 
