@@ -17,25 +17,20 @@ def tokenised(docs: DataFrame, group: str, doc: str, text: str) -> DataFrame:
 
 def document_terms(docs: DataFrame, kind: str = "single", group: str = "lang", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(volume, doc, term, n): counted within each document first, so that a term crosses the network
-    once for each document at most."""
+    once for each document at most. A null term with n = 0 stands for each document that has a word."""
     segs = tokenised(docs, group, doc, text)
     terms = F.flatten("segs") if kind == "single" else F.flatten(F.transform("segs", pairs))
-    return segs.select("volume", "doc", F.explode(terms).alias("term")).groupBy("volume", "doc", "term").agg(F.count("*").alias("n"))
-
-
-def valid_documents(docs: DataFrame, group: str = "lang", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(volume, valid): documents that have a word."""
-    t = tokenised(docs, group, doc, text)
-    return t.where(F.size("segs") > 0).groupBy("volume").agg(F.count_distinct("doc").alias("valid"))
+    every = F.when(F.size("segs") > 0, F.concat(terms, F.array(F.lit(None).cast("string"))))  # explode drops a null array
+    return segs.select("volume", "doc", F.explode(every).alias("term")).groupBy("volume", "doc", "term").agg(F.count("term").alias("n"))
 
 
 def frequency(docs: DataFrame, kind: str = "single", group: str = "lang", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(volume, term, count, frequency_pct, inscription_count, inscription_pct)."""
-    per = document_terms(docs, kind, group, doc, text)
-    terms = per.groupBy("volume", "term").agg(F.sum("n").alias("count"), F.count("*").alias("inscription_count"))
-    totals = terms.groupBy("volume").agg(F.sum("count").alias("total"))
-    valid = per.groupBy("volume").agg(F.count_distinct("doc").alias("valid")) if kind == "single" else valid_documents(docs, group, doc, text)
-    out = terms.join(totals, "volume").join(valid, "volume")
+    """(volume, term, count, frequency_pct, inscription_count, inscription_pct). Texts are tokenised once: totals and terms
+    read the same exchange, for which both need all of its columns."""
+    terms = document_terms(docs, kind, group, doc, text).groupBy("volume", "term").agg(F.sum("n").alias("count"), F.count("*").alias("inscription_count"))
+    totals = terms.groupBy("volume").agg(F.sum("count").alias("total"), F.max(F.when(F.col("term").isNull(), F.col("inscription_count"))).alias("valid"))
+    # count > 0 leaves the null terms out; a condition on term would be pushed below the exchange
+    out = terms.where("count > 0").join(totals, "volume")
     return out.select("volume", "term", "count", percent(F.col("count"), F.col("total")).alias("frequency_pct"), "inscription_count", percent(F.col("inscription_count"), F.col("valid")).alias("inscription_pct"))
 
 
