@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut
 from .tokens import _P, _P_INV, _SPACE, U, Slice, SpanHasher, _power, batch_of, mix, points, runs, slices
 
 #: A chunk ends where the rolling hash falls under this share of its range.
@@ -262,7 +263,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed
     ided = spare.withColumn("__rid", F.xxhash64(F.col(key), F.col(text)))
     base = ided.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.col("__rid").alias("rid"), F.col(text).alias("text"))
     rows = base.mapInArrow(_hash_rows, "h long, rid long, key long, no int, again boolean")
-    rep = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1").select("h", "least")
+    # small, and cut so that the join has an exchange on either side: Spark splits a hot hash only then
+    rep = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1").select("h", "least"))
     cand = rows.join(rep, "h").select("rid", F.struct("no", "h", (F.expr("key = least and not again")).alias("first")).alias("c"))
     # rows with the same key and text give the same chunks; each list is held once
     cand = cand.groupBy("rid").agg(F.collect_set("c").alias("__todo"))
