@@ -82,6 +82,26 @@ def unletterbox(b: Box, gain: Column, pad_x: Column, pad_y: Column, width: Colum
     return [one(b.x1, pad_x, width).alias("x1"), one(b.y1, pad_y, height).alias("y1"), one(b.x2, pad_x, width).alias("x2"), one(b.y2, pad_y, height).alias("y2")]
 
 
+def stride_size(side: Column, stride: int = 32) -> Column:
+    """The next multiple of the stride."""
+    return (F.ceil(side / stride) * stride).cast("int")
+
+
+def letterbox(width: Column, height: Column, side_w: int = 640, side_h: int = 640, mode: str = "stride", scale_up: bool = True, stride: int = 32) -> list[Column]:
+    """Numbers of a picture scaled into a frame: ratios, new size, paddings of one side, borders in pixels.
+    mode: ``stride`` pads to a multiple of the stride, ``frame`` to the whole frame, ``fill`` stretches."""
+    if mode not in ("stride", "frame", "fill"):
+        raise ValueError(mode)
+    rw, rh = F.lit(float(side_w)) / width, F.lit(float(side_h)) / height
+    if mode != "fill":
+        r = F.least(rw, rh, *([] if scale_up else [F.lit(1.0)]))
+        rw = rh = r
+    new_w, new_h = F.rint(width * rw).cast("int"), F.rint(height * rh).cast("int")
+    pads = [(F.pmod(side - new, F.lit(stride)) if mode == "stride" else side - new) / 2 for side, new in ((F.lit(side_w), new_w), (F.lit(side_h), new_h))]
+    border = [F.rint(p + d).cast("int") for p in pads for d in (-0.1, 0.1)]
+    return [rw.alias("ratio_w"), rh.alias("ratio_h"), new_w.alias("new_w"), new_h.alias("new_h"), pads[0].alias("pad_x"), pads[1].alias("pad_y"), *[b.alias(n) for b, n in zip(border, ("left", "right", "top", "bottom"), strict=True)]]
+
+
 def crop_size(b: Box, side: int = CROP_SIDE) -> tuple[Column, Column, Column]:
     """(scale, width, height) of a crop whose longest side is at most ``side``; half to even, 1 at least."""
     w, h = b.x2 - b.x1, b.y2 - b.y1
@@ -123,3 +143,15 @@ def moved(b: Box, dx: Column, dy: Column, width: Column, height: Column) -> list
     mx = F.least(F.greatest(dx, -b.x1), width - b.x2)
     my = F.least(F.greatest(dy, -b.y1), height - b.y2)
     return [(b.x1 + mx).alias("x1"), (b.y1 + my).alias("y1"), (b.x2 + mx).alias("x2"), (b.y2 + my).alias("y2")]
+
+
+def corner_resized(b: Box, corner: str, x: Column, y: Column, width: Column, height: Column) -> list[Column]:
+    """A box whose corner (``top_left`` …) went to (x, y), kept in the picture and one pixel wide and high at least."""
+    v, _, h = corner.partition("_")
+    if v not in ("top", "bottom") or h not in ("left", "right"):
+        raise ValueError(corner)
+    x1 = F.greatest(F.lit(0.0), F.least(x, b.x2 - 1)) if h == "left" else b.x1
+    x2 = F.least(width, F.greatest(x, b.x1 + 1)) if h == "right" else b.x2
+    y1 = F.greatest(F.lit(0.0), F.least(y, b.y2 - 1)) if v == "top" else b.y1
+    y2 = F.least(height, F.greatest(y, b.y1 + 1)) if v == "bottom" else b.y2
+    return [x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")]

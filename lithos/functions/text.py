@@ -125,6 +125,19 @@ def font_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, "^[A-Z]{6}\\+", "")), "[^\\p{L}\\p{N}]", "")
 
 
+#: Endings of font names that name a style; the first that fits counts.
+STYLES = ("bolditalic", "regular", "oblique", "italic", "normal", "bold")
+
+
+def font_style(name: Column) -> Column:
+    """struct(family, style) of a font's name; style is null where the name has no such ending or is nothing else."""
+    key = font_key(name)
+    style = F.lit(None).cast("string")
+    for s in reversed(STYLES):
+        style = F.when(F.endswith(key, F.lit(s)) & (key != s), s).otherwise(style)
+    return F.struct(F.when(style.isNull(), key).otherwise(F.substring(key, F.lit(1), F.length(key) - F.length(style))).alias("family"), style.alias("style"))
+
+
 def hex_codes(run: Column) -> Column:
     """16-bit codes of a run of hexadecimal digits; an odd run gives none."""
     clean = F.regexp_replace(run, "\\s", "")

@@ -103,3 +103,17 @@ def embedded_fonts(fonts: DataFrame) -> DataFrame:
 def best_reference(fonts: DataFrame, references: DataFrame) -> DataFrame:
     """The reference file of each font key: least style priority, then least file name."""
     return fonts.join(references, "key").groupBy("key").agg(F.min(F.struct("style_priority", "file")).alias("m")).select("key", "m.file")
+
+
+def encoded_font(name: Column, tokens: list[str], exact: bool = False) -> Column:
+    """Whether a font is one of those to decode: its name holds a token, or (exact) equals one but for
+    subset tag, case and signs."""
+    if exact:
+        return font_key(name).isin(*[font_key(F.lit(t)) for t in tokens]) if tokens else F.lit(False)
+    return F.exists(F.array(*[F.lit(t) for t in tokens]).cast("array<string>"), lambda t: F.contains(name, t))
+
+
+def profile_json(profile: DataFrame) -> DataFrame:
+    """One JSON member a row, (signature, member), in the order of signatures: a sorted profile file by lines."""
+    body = F.to_json(F.struct("glyph", "codepoint", "unicode", "char"))
+    return profile.select("signature", F.concat(F.to_json(F.array("signature")).substr(F.lit(2), F.length(F.to_json(F.array("signature"))) - 2), F.lit(": "), body).alias("member")).orderBy("signature")

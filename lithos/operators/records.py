@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def titled(sections: Column, title: str | Column) -> Column:
@@ -60,6 +64,28 @@ def leaf_fields(json: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))))
 
 
+@F.pandas_udf(ArrayType(StructType().add("path", "string").add("value", "string")))
+def _leaves(texts: pd.Series) -> pd.Series:
+    def walk(text):
+        todo = [("$", json.loads(text))] if text is not None else []
+        while todo:
+            path, v = todo.pop()
+            if isinstance(v, dict):
+                todo += [(f"{path}.{k}", x) for k, x in reversed(v.items())]
+            elif isinstance(v, list):
+                todo += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+            else:
+                yield {"path": path, "value": v if v is None or isinstance(v, str) else json.dumps(v)}
+
+    return texts.map(lambda t: list(walk(t)))
+
+
+def tree_leaves(json_text: Column) -> Column:
+    """Scalar leaves of JSON at any depth, in document order: array<struct<path, value>>, paths like
+    ``$.a[0].b``. Null is a leaf with a null value; an empty object or list has none; a null text has no leaves."""
+    return _leaves(json_text)
+
+
 def history(images: DataFrame, saved: DataFrame, contains: str = "", statuses: tuple[str, ...] = ("Done", "Not Done"), name: str = "image") -> DataFrame:
     """images with Done where a saved document exists, filtered by name and status."""
     out = images.join(saved.select(F.col(name), F.lit(True).alias("__s")).distinct(), name, "left")

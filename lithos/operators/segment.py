@@ -182,3 +182,37 @@ def split_output(records: DataFrame, fmt: RecordFormat) -> tuple[DataFrame, Data
     seq = sequence_issues(records, fmt).select("volume", "number", F.lit(None).cast("array<int>").alias("pages"), "errors", F.lit(None).cast(issues.schema["warnings"].dataType).alias("warnings"), F.lit(None).cast("array<string>").alias("lines"))
     bad = records.where(F.size("errors") > 0).select("volume", "number").distinct()
     return records.join(bad, ["volume", "number"], "left_anti"), issues.unionByName(seq)
+
+
+class ParseError(ValueError):
+    """A volume has a record that can't be parsed, or record numbers that don't fit."""
+
+
+def first_errors(records: DataFrame, fmt: RecordFormat) -> DataFrame:
+    """(volume, error): what strict parsing of a volume would stop at. Errors of the numbering come first, then
+    those of the first record that has any; volumes without errors are left out."""
+    seq = sequence_issues(records, fmt).select("volume", F.lit(0).cast("long").alias("rec"), F.get("errors", F.lit(0)).alias("error"))
+    own = records.where(F.size("errors") > 0).select("volume", F.col("rec").cast("long").alias("rec"), F.get("errors", F.lit(0)).alias("error"))
+    return seq.unionByName(own).groupBy("volume").agg(F.min_by("error", F.struct("rec", "error")).alias("error"))
+
+
+def parse_strict(lines: DataFrame, fmt: RecordFormat) -> DataFrame:
+    """The records of parse_records if no volume has an error; else ParseError with the first volume's."""
+    records = parse_records(lines, fmt)
+    bad = first_errors(records, fmt).orderBy("volume").limit(1).collect()
+    if bad:
+        raise ParseError(f"{bad[0]['volume']}: {bad[0]['error']}")
+    return records
+
+
+def record_issues(records: DataFrame) -> DataFrame:
+    """(volume, rec, level, text): every error and warning of every record, one a row."""
+    err = records.select("volume", "rec", F.explode("errors").alias("text")).select("volume", "rec", F.lit("error").alias("level"), "text")
+    warn = records.select("volume", "rec", F.explode("warnings").alias("w")).select("volume", "rec", F.lit("warning").alias("level"), F.col("w.kind").alias("text"))
+    return err.unionByName(warn)
+
+
+def line_places(lines: DataFrame, page: str = "page_number", order: str = "line_no") -> DataFrame:
+    """lines with place: their number within the page by y0 rounded half to even to two decimals, x0, and input order."""
+    w = Window.partitionBy(page).orderBy(F.bround("y0", 2), "x0", order)
+    return lines.withColumn("place", F.row_number().over(w))

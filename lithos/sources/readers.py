@@ -143,3 +143,98 @@ def load_config(text: str) -> VolumeConfig:
     _exact(foot, {"pattern", "size"}, "footnote")
     fmt = RecordFormat(java_pattern(d["title"]), d["start"], tuple(d["sections"]), tuple(fields), java_pattern(d["marker"]), bool(d["consecutive"]))
     return VolumeConfig(fmt, float(d["margins"]["top"]), float(d["margins"]["bottom"]), foot["pattern"], float(foot["size"]))
+
+
+def repeated_stems(pictures: DataFrame, stem: str = "stem") -> DataFrame:
+    """(stem, n) of names that more than one picture has; a folder is usable only where there are none."""
+    return pictures.groupBy(stem).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@dataclass(frozen=True)
+class Project:
+    """A volume's configuration with its files, resolved against the folder of the configuration."""
+
+    volume: VolumeConfig
+    files: dict[str, str]
+    fonts: dict[str, str]
+    show_metadata: bool
+
+
+def _kind(value, kinds: tuple, where: str, ok: bool = True):
+    if not isinstance(value, kinds) or (isinstance(value, bool) and bool not in kinds) or not ok:
+        raise ValueError(f"{where}: {value!r}")
+    return value
+
+
+def _word(value, where: str) -> str:
+    return _kind(value, (str,), where, isinstance(value, str) and bool(value.strip()))
+
+
+def load_project(text: str, folder: str) -> Project:
+    """The nested file layout (fixed names of members): sources, paths, fonts, page filter, record format.
+
+    Key sets are closed and every value is checked; what is wrong is named by its path in the ValueError."""
+    import re
+    from pathlib import Path
+
+    d = _kind(strict_json(text), (dict,), "root")
+    _exact({k: v for k, v in d.items() if k != "gradio"}, {"input_pdf_path", "paths", "encoded_fonts", "page_filter", "records"}, "root")
+    at = lambda value, where: str(Path(folder, Path(_word(value, where)).expanduser()).resolve())
+    for where, value, keys in (("paths", d["paths"], {"output_json", "glyph_profile"}), ("page_filter", d["page_filter"], {"margins", "footnotes"}), ("records", d["records"], {"title_pattern", "metadata", "content", "face_marker_pattern", "require_consecutive_numbers"})):
+        _exact(_kind(value, (dict,), where), keys, where)
+    files = {"input_pdf_path": at(d["input_pdf_path"], "input_pdf_path")} | {k: at(v, f"paths.{k}") for k, v in d["paths"].items()}
+    show = False
+    if "gradio" in d:
+        ui = dict(_kind(d["gradio"], (dict,), "gradio"))
+        show = _kind(ui.pop("show_metadata_fields", False), (bool,), "gradio.show_metadata_fields")
+        _exact(ui, {"image_dir", "output_dir"}, "gradio")
+        files |= {k: at(v, f"gradio.{k}") for k, v in ui.items()}
+    fonts = {_word(k, "encoded_fonts"): at(v, f"encoded_fonts.{k}") for k, v in _kind(d["encoded_fonts"], (dict,), "encoded_fonts").items()}
+    names = ["".join(c for c in k.casefold() if c.isalnum()) for k in fonts]
+    _kind(names, (list,), "encoded_fonts: names that are alike", len(set(names)) == len(names))
+    margins, foot, rec = d["page_filter"]["margins"], d["page_filter"]["footnotes"], d["records"]
+    _exact(_kind(margins, (dict,), "page_filter.margins"), {"top", "bottom"}, "page_filter.margins")
+    for k, v in margins.items():
+        _kind(v, (int, float), f"page_filter.margins.{k}", not isinstance(v, (int, float)) or v >= 0)
+    pattern, size = None, 0.0
+    if foot is not None:
+        _exact(_kind(foot, (dict,), "page_filter.footnotes"), {"start_pattern", "max_font_size"}, "page_filter.footnotes")
+        pattern, size = _word(foot["start_pattern"], "start_pattern"), foot["max_font_size"]
+        _kind(size, (int, float), "max_font_size", not isinstance(size, (int, float)) or size > 0)
+    content = _kind(rec["content"], (dict,), "records.content")
+    _exact(content, {"start_heading", "section_headings"}, "records.content")
+    heads = _kind(content["section_headings"], (list,), "section_headings", bool(content["section_headings"]))
+    for h in heads:
+        _word(h, "section_headings")
+    fields = []
+    for i, f in enumerate(_kind(rec["metadata"], (list,), "records.metadata", bool(rec["metadata"]))):
+        where = f"records.metadata[{i}]"
+        _exact(_kind(f, (dict,), where), {"label", "field", "type", "required"}, where)
+        name = _word(f["field"], f"{where}.field")
+        _kind(name, (str,), f"{where}.field", name not in {x.name for x in fields} | {"so_van_bia", "noi_dung"})
+        _kind(f["type"], (str,), f"{where}.type", f["type"] in ("string", "identifiers"))
+        fields.append(Field(_word(f["label"], f"{where}.label"), name, f["type"], _kind(f["required"], (bool,), f"{where}.required")))
+    found = {}
+    for name, group in (("title_pattern", "number"), ("face_marker_pattern", "id"), ("start_pattern", None)):
+        p = pattern if name == "start_pattern" else _word(rec[name], f"records.{name}")
+        if p is None:
+            continue
+        try:
+            found[name] = re.compile(p)
+        except re.error as e:
+            raise ValueError(f"{name}: {e}") from e
+        if group is not None and group not in found[name].groupindex:
+            raise ValueError(f"{name}: group {group} is needed")
+    fmt = RecordFormat(
+        _numbered(found["title_pattern"], "number"), _word(content["start_heading"], "start_heading"), tuple(heads), tuple(fields),
+        _numbered(found["face_marker_pattern"], "id", "rest"), _kind(rec["require_consecutive_numbers"], (bool,), "require_consecutive_numbers"),
+    )
+    return Project(VolumeConfig(fmt, float(margins["top"]), float(margins["bottom"]), pattern and java_pattern(pattern), float(size)), files, fonts, show)
+
+
+def _numbered(pattern, *groups: str) -> str:
+    """A pattern in Java's spelling; the parser reads its groups by number, so the named ones must come first."""
+    have = [pattern.groupindex.get(g, 0) for g in groups]
+    if have != list(range(1, len(groups) + 1)):
+        raise ValueError(f"{pattern.pattern}: groups {groups} must be the first")
+    return java_pattern(pattern.pattern)

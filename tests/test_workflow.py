@@ -72,3 +72,64 @@ def test_display(spark):
     bases = spark.createDataFrame([(1, "ABCDEF+Palatino"), (1, "Ariel")], "page int, base string")
     fonts = spark.createDataFrame([(1, "Palatino-Bold"), (1, "Times")], "page int, font string")
     assert {r.base: r.font for r in D.font_of_page(bases, fonts).collect()} == {"ABCDEF+Palatino": "Palatino-Bold", "Ariel": None}
+
+
+def rejected(state, action, payload, why):
+    with pytest.raises(W.Rejected, match=why):
+        W.apply(state, action, payload)
+
+
+def test_fields():
+    s = W.start(10, 10, {"Text": "永", "Note": "a"}, {"Text": "永寺", "Note": "b"})
+    s = W.apply(s, "field", {"path": "Note", "value": "c"})
+    assert s["draft"] == {"Text": "永寺", "Note": "c"}
+    rejected(s, "field", {"path": "No", "value": ""}, "path")
+    rejected(s, "field", {"path": "Note", "value": 1}, "value")
+    assert W.apply(s, "undo", {})["draft"] == {"Text": "永寺", "Note": "b"} and W.apply(s, "original", {})["draft"] == {"Text": "永", "Note": "a"}
+    rejected(W.apply(s, "field", {"path": "Text", "value": "  "}), "save_content", {"title": "Text"}, "text")
+    s = W.apply(s, "save_content", {"title": "Text"})
+    assert s["text"] == "永寺" and s["step"] == W.BOXES
+    rejected(s, "field", {"path": "Note", "value": ""}, "step")
+    rejected(W.apply(s, "undo", {}), "add", {"bbox": [0, 0, 1, 1]}, "content")
+
+
+def test_selection_and_commit():
+    s = go(THREE, ("select", {"id": 1}), ("select", {"id": 3, "toggle": True}))
+    assert s["selected"] == ["1", "3"] and s["active"] == "3"
+    assert W.apply(s, "select", {"id": 3, "toggle": True})["active"] == "1"
+    rejected(s, "select", {"id": 9}, "id")
+    boxes = {"3": [0, 20, 9, 30], "1": {"bbox": [0, 0, 9, 9]}, "new": [50, 50, 60, 60]}
+    t = W.apply(s, "commit_boxes", {"boxes": boxes, "active": "new", "selected": ["3", "new", "gone"], "orders": {"1": 3, "3": 1, "new": 2}, "statuses": {"3": "damaged"}, "damage_levels": {"3": 2}, "suspiciouses": {"new": True}})
+    assert [t["boxes"][i]["bbox"] for i in "123"] == [[0, 0, 9, 9], [0, 20, 9, 30], [50, 50, 60, 60]]
+    assert t["order"] == ["2", "3", "1"] and t["selected"] == ["2", "3"] and t["active"] == "3"
+    assert t["boxes"]["2"]["level"] == 2 and t["boxes"]["3"]["suspicious"]
+    assert W.apply(s, "commit_boxes", {"boxes": boxes, "orders": {"1": 1, "3": 1, "new": 2}})["order"] == []
+    rejected(s, "commit_boxes", {"boxes": {"1": [0, 0, 900, 9]}}, "bbox")
+    assert W.apply(s, "commit_boxes", {"boxes": boxes, "selection_cleared": True, "selected": ["1"]})["selected"] == []
+
+
+def test_flags_of_one_box():
+    s = go(THREE, ("sort_boxes", {"order": [1, 2, 3]}), ("next", {}), text="永□@")
+    assert s["boxes"]["2"]["unknown"] and s["boxes"]["2"]["damaged"] and s["boxes"]["3"]["unavailable_font"]
+    t = W.apply(s, "suspicious", {"id": 1, "value": True})
+    assert t["boxes"]["1"]["suspicious"]
+    rejected(s, "suspicious", {"id": 7, "value": True}, "id")
+    t = W.apply(t, "status", {"id": 1, "status": "damaged", "unknown": True})["boxes"]["1"]
+    assert t["unknown"] and not t["suspicious"]
+    t = W.apply(s, "status", {"id": 1, "status": "intact", "expert_prediction": True, "damage_level": 3})["boxes"]["1"]
+    assert t["damaged"] and t["level"] == 3
+    rejected(s, "status", {"id": 1, "status": "damaged", "damage_level": 4}, "level")
+    rejected(s, "status", {"id": 1, "status": "damaged", "suspicious": 1}, "flags")
+
+
+def test_alignment_is_preserved():
+    s = go(THREE, ("sort_boxes", {"order": [2, 3, 1]}), ("next", {}), ("reorder_text", {"tokens": list("樂永寺")}), ("back", {}), ("sort_boxes", {"order": [2, 3, 1]}), ("save_content", {"text": "永寺樂"}), ("next", {}))
+    assert s["tokens"] == list("樂永寺")
+    s = W.apply(W.apply(W.apply(s, "back", {}), "sort_boxes", {"order": [1, 2, 3]}), "next", {})
+    assert s["tokens"] == list("永寺樂")
+
+
+def test_saved_crop():
+    s = go(THREE, ("sort_boxes", {"order": [1, 2, 3]}), ("next", {}), ("statuses", {"ids": [1], "damaged": True, "level": 1}), ("next", {}), ("crop", {"bbox": [0, 0, 50, 50]}), ("save_crop", {}))
+    assert s["crop_saved"] and not W.apply(s, "crop", {"bbox": [0, 0, 9, 9]})["crop_saved"]
+    rejected(go(THREE), "save_crop", {}, "step")
