@@ -11,11 +11,11 @@ import numpy as np
 import pytest
 
 from lithos.operators import boxes as B
-from lithos.plans import boxes, corpus, extra
+from lithos.plans import boxes, corpus, documents, extra
 
 SF = Path("/root/testdata/sf0.001")
-QUERIES = corpus.QUERIES | boxes.QUERIES | extra.QUERIES
-SQL = corpus.SQL | boxes.SQL | extra.SQL
+QUERIES = corpus.QUERIES | boxes.QUERIES | extra.QUERIES | documents.QUERIES
+SQL = corpus.SQL | boxes.SQL | extra.SQL | documents.SQL
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="tables are not here")
 
 
