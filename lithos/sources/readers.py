@@ -11,9 +11,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_key
 from ..operators.segment import Field, RecordFormat
+from .arrays import read_array, repeated_keys, split_elements
 
-#: Suffixes of pictures, kinds of record files from lowest to highest priority.
+#: Suffixes of pictures, those of pictures that give codes, kinds of record files from lowest to highest priority.
 PICTURES = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp", ".bmp")
+CODED = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp")
 KINDS = ("valid", "tag-corrected", "manual-review")
 
 
@@ -34,31 +36,19 @@ def strict_json(text: str):
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.json") -> DataFrame:
-    """Elements of JSON arrays, one file an array, with their file's name and their place in it."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select("value", F.col("_metadata.file_name").alias("file"))
-    kind = schema if isinstance(schema, str) else f"array<{schema.simpleString()}>"
-    if isinstance(schema, str) and not schema.startswith("array<"):
-        kind = f"array<struct<{schema}>>"
-    parsed = F.from_json("value", kind, {"mode": "FAILFAST"})
-    return raw.select("file", F.posexplode(parsed).alias("index", "record")).select("file", "index", "record.*")
+    """Elements of JSON arrays, one array a file of any size, with their file's name, its place among the files by
+    casefolded name, and their place in it. Broken text and keys that are repeated at any depth are errors."""
+    rows = read_array(spark, path, schema, glob)
+    name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("file"), "file_order", "index", "record.*")
 
 
 def duplicate_key_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """(file, error) of files that aren't JSON or repeat a key at any depth. Python reads each file once,
-    in batches, where Spark's own parser keeps the last of equal keys silently."""
-
-    def run(batches):
-        for pdf in batches:
-            bad = []
-            for name, text in zip(pdf["file"], pdf["value"], strict=True):
-                try:
-                    strict_json(text)
-                except ValueError as e:
-                    bad.append((name, f"{type(e).__name__}: {e}"))
-            yield type(pdf)(bad, columns=["file", "error"])
-
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("file"), "value")
-    return raw.mapInPandas(run, "file string, error string")
+    """(file, element) of the first element of each file that isn't JSON or repeats a key at any depth, where Spark's own parser
+    silently keeps the last of equal keys."""
+    rows = split_elements(spark, path, glob).where(repeated_keys(F.col("value")))
+    name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return rows.groupBy(name.alias("file")).agg(F.min("index").alias("element"))
 
 
 def classify(files: DataFrame, name: str = "file") -> DataFrame:
@@ -79,14 +69,19 @@ def volume_number(name):
     return F.regexp_extract(name, "(?i)Tap-([0-9]+)", 1).cast("int")
 
 
-def list_pictures(spark: SparkSession, path: str) -> DataFrame:
+def list_pictures(spark: SparkSession, path: str, suffixes: tuple[str, ...] = PICTURES) -> DataFrame:
     """(path, file, stem, code) of the pictures of a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).where(F.lower("file").rlike(f"({'|'.join(x.replace('.', '[.]') for x in PICTURES)})$"))
+    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).where(F.lower("file").rlike(f"({'|'.join(x.replace('.', '[.]') for x in suffixes)})$"))
     stem = F.regexp_replace("file", "\\.[^.]+$", "")
     return files.withColumn("stem", stem).withColumn("code", normalize_key(F.col("stem")))
 
 
+def picture_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct codes of a folder's pictures, of the suffixes that give codes."""
+    return list_pictures(spark, path, CODED).select("code").distinct()
+
+
 def used_codes(streams: DataFrame, font: str = "font") -> DataFrame:
     """Distinct (font, code) of hexadecimal runs ``<…>`` in streams(font, content)."""
     from ..functions.text import hex_codes

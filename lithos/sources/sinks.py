@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import tempfile
+import textwrap
 import unicodedata
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,34 +21,24 @@ from ..functions.text import bad_characters
 from ..operators.relational import upsert
 
 
-def replace_file(path: str | Path, data: bytes) -> None:
-    """Writes beside the target, syncs, and renames over it."""
+@contextmanager
+def replacing(path: str | Path) -> Iterator[BinaryIO]:
+    """A file beside the target that takes its place, synced, when the block ends well, and goes when it fails."""
     path = Path(path)
-    fd, tmp = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    try:
-        with os.fdopen(fd, "wb") as f:
-            f.write(data)
+    with tempfile.NamedTemporaryFile(dir=path.parent, prefix=f".{path.name}.", delete=False) as f:
+        try:
+            yield f
             f.flush()
             os.fsync(f.fileno())
-        os.replace(tmp, path)
-    except BaseException:
-        Path(tmp).unlink(missing_ok=True)
-        raise
+            os.replace(f.name, path)
+        except BaseException:
+            os.unlink(f.name)
+            raise
 
 
-@contextmanager
-def all_or_nothing(paths: Iterable[str | Path]) -> Iterator[None]:
-    """Restores every file, or its absence, if the block fails."""
-    before = {Path(p): Path(p).read_bytes() if Path(p).exists() else None for p in paths}
-    try:
-        yield
-    except BaseException:
-        for p, data in before.items():
-            if data is None:
-                p.unlink(missing_ok=True)
-            else:
-                replace_file(p, data)
-        raise
+def replace_file(path: str | Path, data: bytes) -> None:
+    with replacing(path) as f:
+        f.write(data)
 
 
 def check_text(value, path: str = "$") -> None:
@@ -74,15 +67,17 @@ def _stream_lines(df: DataFrame) -> Iterator[str]:
 
 
 def write_json_array(df: DataFrame, path: str | Path, pretty: bool = False) -> int:
-    """One array in one local file, rows in their order, a partition at a time on the driver; large
-    results belong in ``write_json_lines``."""
-    out, n = [], 0
-    for line in _stream_lines(df):
-        row = json.loads(line)
-        check_text(row)
-        out.append(json.dumps(row, ensure_ascii=False, indent=2) if pretty else line)
-        n += 1
-    replace_file(path, (("[\n" if pretty else "[") + (",\n" if pretty else ",").join(out) + ("\n]\n" if pretty else "]\n")).encode())
+    """One array in one local file, rows in their order. Rows go through the driver to the file one by one; arrays that tasks
+    write are in ``arrays.write_arrays``."""
+    n = 0
+    with replacing(path) as f:
+        for line in _stream_lines(df):
+            row = json.loads(line)
+            check_text(row)
+            f.write(((",\n" if pretty else ",") if n else ("[\n" if pretty else "[")).encode())
+            f.write((json.dumps(row, ensure_ascii=False, indent=2) if pretty else line).encode())
+            n += 1
+        f.write((b"\n]\n" if pretty else b"]\n") if n else (b"[\n\n]\n" if pretty else b"[]\n"))
     return n
 
 
@@ -91,29 +86,30 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_csv_bom(df: DataFrame, path: str | Path) -> None:
-    """A small report as one CSV file with a byte order mark, header first."""
+    """A report as one local CSV file with a byte order mark, header first, row by row."""
     import csv
     import io
 
-    buf = io.StringIO()
-    w = csv.writer(buf, lineterminator="\n")
-    w.writerow(df.columns)
-    for r in df.toLocalIterator():
-        w.writerow(["" if v is None else v for v in r])
-    replace_file(path, b"\xef\xbb\xbf" + buf.getvalue().encode())
+    with replacing(path) as f:
+        text = io.TextIOWrapper(f, "utf-8-sig", newline="", write_through=True)
+        w = csv.writer(text, lineterminator="\n")
+        w.writerow(df.columns)
+        for r in df.toLocalIterator():
+            w.writerow(["" if v is None else v for v in r])
+        text.detach()
 
 
 def write_zip(arrays: dict[str, DataFrame], path: str | Path) -> dict[str, int]:
-    """Each DataFrame as one JSON array in a ZIP file."""
-    import io
-
-    buf, n = io.BytesIO(), {}
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+    """Each DataFrame as one JSON array in a ZIP file, element by element."""
+    n = dict.fromkeys(arrays, 0)
+    with replacing(path) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
         for name, df in arrays.items():
-            rows = [json.loads(x) for x in _stream_lines(df)]
-            z.writestr(f"{name}.json", json.dumps(rows, ensure_ascii=False, indent=2) + "\n")
-            n[name] = len(rows)
-    replace_file(path, buf.getvalue())
+            with z.open(f"{name}.json", "w", force_zip64=True) as member:
+                for line in _stream_lines(df):
+                    text = json.dumps(json.loads(line), ensure_ascii=False, indent=2)
+                    member.write(((",\n" if n[name] else "[\n") + textwrap.indent(text, "  ")).encode())
+                    n[name] += 1
+                member.write(b"\n]\n" if n[name] else b"[]\n")
     return n
 
 
@@ -131,9 +127,12 @@ def save_registry(old: DataFrame, new: DataFrame, path: str, key: str = "image",
 
 
 def swap_if_unchanged(path: str | Path, expected: dict, document: dict) -> None:
-    """Replaces a JSON file only if it still holds what was read."""
+    """Replaces a JSON file only if it still holds what was read. A lock on a file beside it keeps other writers out between the
+    comparison and the swap."""
     path = Path(path)
-    if json.loads(path.read_text()) != expected:
-        raise RuntimeError(f"{path.name} has changed")
     check_text(document)
-    replace_file(path, (json.dumps(document, ensure_ascii=False, indent=2) + "\n").encode())
+    with open(path.with_name(f".{path.name}.lock"), "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if json.loads(path.read_text()) != expected:
+            raise RuntimeError(f"{path.name} has changed")
+        replace_file(path, (json.dumps(document, ensure_ascii=False, indent=2) + "\n").encode())

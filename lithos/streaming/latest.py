@@ -1,36 +1,30 @@
-"""Latest row per key over a stream, each batch merged into a versioned table. An extension."""
+"""Latest row per key over a stream, each batch added to a registry at the cost of the batch. An extension."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.relational import winners
+from ..sources.registry import Registry
 
+#: Files of a bucket from which on a batch also compacts it.
+FILES = 8
 
-def latest_table(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete version under root."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not fs.exists(at):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{root}/{max(done, key=lambda n: int(n[1:]))}") if done else None
+
+def latest_table(spark: SparkSession, root: str, key: str, order: list[str], version: int | None = None) -> DataFrame | None:
+    """The last row of each key, as of the newest version or an earlier one; None before the first batch."""
+    rows = Registry(spark, root, key, order).read(version)
+    return None if rows is None else rows.drop("first_seq")
 
 
 def start_latest(stream: DataFrame, root: str, checkpoint: str, key: str, order: list[str], available_now: bool = True) -> StreamingQuery:
-    """Keeps one row per key, the last by ``order``. A batch that is run again writes its version anew from
-    the version before it, so restarts change nothing."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = winners(batch, [key], [F.desc(c) for c in order])
-        old = None
-        if epoch:
-            old = spark.read.parquet(f"{root}/v{epoch - 1}")
-        both = rows if old is None else winners(old.unionByName(rows), [key], [F.desc(c) for c in order])
-        both.write.mode("overwrite").parquet(f"{root}/v{epoch}")
-
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
+    """Keeps one row per key, the last by ``order``. A batch that is run again, as after a restart, finds itself committed
+    and changes nothing."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        registry = Registry(batch.sparkSession, root, key, order)
+        registry.upsert(batch, "stream", epoch)
+        registry.compact(FILES)
+
+    w = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("append")
     return (w.trigger(availableNow=True) if available_now else w).start()
