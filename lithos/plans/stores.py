@@ -84,7 +84,7 @@ def incremental_source(spark, sf):
 
 @query(f"""WITH {_FACES}, q AS (SELECT o_orderkey, (CASE WHEN o_orderkey % 4 = 0 THEN '00' ELSE '' END) || (o_custkey * 10 + o_orderkey % 3) || (CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '' END) AS code FROM orders),
 m AS (SELECT q.o_orderkey, q.code, coalesce(a.code, b.code) AS matched, coalesce(a.name, b.name) AS name, coalesce(a.i, b.i) AS i, coalesce(a.face, b.face) AS face
-  FROM q LEFT JOIN f a ON a.code = q.code LEFT JOIN f b ON regexp_full_match(q.code, '[0-9]+') AND b.code = ltrim(q.code, '0'))
+  FROM q LEFT JOIN f a ON a.code = q.code LEFT JOIN f b ON regexp_full_match(q.code, '[0-9]+') AND b.code = try_cast(q.code AS HUGEINT)::VARCHAR)
 SELECT o_orderkey, code, CASE WHEN matched IS NULL THEN 0 ELSE 1 END AS matches, name, i AS "index", face::INT AS face FROM m""")
 def indexed_lookup(spark, sf):
     """Pictures of orders by their code, with leading zeros or none, in the index of the cached source."""
