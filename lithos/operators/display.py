@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MISSING, font_key
+from ..functions.text import MISSING, font_key, hex_codes
 
 #: A gap of this many mean character heights is a space; tolerance of a baseline in points.
 GAP_HEIGHTS, BASELINE = 1.5, 0.02
@@ -38,35 +38,74 @@ def token_of_box(order: Column, tokens: Column, box: Column) -> Column:
     return F.when(at > 0, F.get(tokens, (at - 1).cast("int")))
 
 
-def font_runs(streams: DataFrame) -> DataFrame:
-    """(page, font, x, y, codes) of text operators in streams(page, content): ``/Font size Tf``, a text
-    matrix, and a run of hexadecimal digits; odd runs are skipped, equal ones are one."""
-    from ..functions.text import hex_codes
-
-    num = "(-?[0-9.]+)"
-    pattern = f"/([A-Za-z0-9_+.-]+)\\s+[0-9.]+\\s+Tf[^<]*?{num}\\s+{num}\\s+Tm[^<]*<([0-9A-Fa-f\\s]+)>"
-    parts = [F.regexp_extract_all("content", F.lit(pattern), i) for i in (1, 2, 3, 4)]
-    rows = streams.select("page", F.explode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("font", "x", "y", "run"), strict=True)])).alias("r"))
-    rows = rows.select("page", "r.font", F.round(F.col("r.x").cast("double"), 2).alias("x"), F.round(F.col("r.y").cast("double"), 2).alias("y"), hex_codes(F.col("r.run")).alias("codes"))
-    return rows.where(F.size("codes") > 0).dropDuplicates()
-
-
-def align_runs(spans: DataFrame, runs: DataFrame) -> DataFrame:
-    """spans(page, span, y, codes) with the font of the run on their baseline that shares the longest
-    prefix of codes; ties between fonts leave the font null."""
-    r = runs.select(F.col("page").alias("__page"), F.col("y").alias("__y"), "font", F.col("codes").alias("__c"))
-    # baselines within the tolerance lie in the same or a neighbouring cell
-    s = spans.withColumn("__cell", F.explode(F.array(*[F.floor(F.col("y") / BASELINE) + i for i in (-1, 0, 1)])))
-    r = r.withColumn("__rc", F.floor(F.col("__y") / BASELINE))
-    both = s.join(r, (F.col("page") == F.col("__page")) & (F.col("__cell") == F.col("__rc")) & (F.abs(F.col("y") - F.col("__y")) <= BASELINE + 1e-9))
-    same = F.transform("codes", lambda c, i: c == F.coalesce(F.get("__c", i), F.lit(-1)))
-    upto = F.coalesce(F.array_position(same, False) - 1, F.lit(-1))
-    lcp = F.when(upto < 0, F.size("codes")).otherwise(upto)
-    both = both.withColumn("lcp", lcp).where("lcp > 0")
-    best = both.groupBy("page", "span", "font").agg(F.max("lcp").alias("lcp"))
-    w = Window.partitionBy("page", "span")
-    best = best.withColumn("m", F.max("lcp").over(w)).where("lcp = m").groupBy("page", "span").agg(F.when(F.count("*") == 1, F.first("font")).alias("font"))
-    return spans.join(best, ["page", "span"], "left")
+#: A number of a content stream, and an operator that shows a run: a text matrix, a font by its resource, and the text as one
+#: group of hexadecimal digits or an array of them.
+_NUMBER = "[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)"
+_SHOW = f"(?s){_NUMBER}\\s+{_NUMBER}\\s+{_NUMBER}\\s+{_NUMBER}\\s+({_NUMBER})\\s+({_NUMBER})\\s+Tm\\s+/([^\\s/]+)\\s+{_NUMBER}\\s+Tf\\s+(\\[.*?\\]\\s*TJ|<[0-9A-Fa-f\\s]+>\\s*Tj)"
+
+
+def font_runs(streams: DataFrame, fonts: DataFrame, height: str | None = None) -> DataFrame:
+    """(page, run, name, font, x, y, codes) of the text operators of streams(page, content), for the resources of fonts(page, resource, name, font).
+
+    All groups of an array count as one run of 16-bit codes; a run of no or of half codes is skipped, as is one whose font isn't among ``fonts``.
+    Equal runs are one, at the place of the first. With the column ``height`` of a page, y is counted from its top."""
+    parts = [F.regexp_extract_all("content", F.lit(_SHOW), i) for i in (1, 2, 3, 4)]
+    names = ("x", "y", "resource", "show")
+    shown = streams.select("page", *([height] if height else []), F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)])).alias("run", "r"))
+    y = F.col("r.y").cast("double")
+    hexadecimal = F.array_join(F.regexp_extract_all("r.show", F.lit("<([0-9A-Fa-f\\s]+)>"), 1), "")
+    shown = shown.select("page", "run", F.col("r.resource").alias("resource"), F.col("r.x").cast("double").alias("x"), (F.col(height) - y if height else y).alias("y"), hex_codes(hexadecimal).alias("codes"))
+    runs = shown.where(F.size("codes") > 0).join(fonts, ["page", "resource"])
+    same = ["page", "name", "font", "x", "y", "codes"]
+    return runs.groupBy(*same).agg(F.min("run").alias("run")).select("page", "run", *same[1:])
+
+
+def assign_fonts(chars: DataFrame, runs: DataFrame, fonts: DataFrame) -> DataFrame:
+    """chars(page, span, pos, name, x, y, code) with the font of each, among the fonts(page, name, font) of their page and name.
+
+    Where there is one, it is that. Of several, runs(page, run, name, font, x, y, codes) tell, place by place of a span in order: first those that
+    begin at the place of a character, by their longest common beginning with the rest of the span (of equal ones the first run); then,
+    for characters still without, runs of their baseline at any offset, by the longest stretch that they share with
+    the rest of the span, if all of that length name one font. A stretch sets the font of all its characters. pos counts from 0
+    without gaps; what no run tells is null.
+
+    Characters meet runs by page, name and baseline cell, then by code; equal stretches are islands on a diagonal of places, so no pair of texts is compared place by place."""
+    key, span = ["page", "name"], ["page", "span"]
+    listed = fonts.select("page", "name", "font").distinct().groupBy(*key).agg(F.count("*").alias("__n"), F.min("font").alias("__only"))
+    known = chars.join(listed, key, "left")
+    open_ = known.where("__n > 1").select("page", "name", "span", "pos", "x", "y", "code")
+    r = runs.select("page", "name", "run", "font", F.col("x").alias("rx"), F.col("y").alias("ry"), "codes")
+    # spans that have a character on the baseline of a run
+    cells = open_.select("page", "name", "span", "y", F.explode(F.array(*[F.floor(F.col("y") / (2 * BASELINE)) + i for i in (-1, 0, 1)])).alias("cell"))
+    close = cells.join(r.select("page", "name", "run", "ry", F.floor(F.col("ry") / (2 * BASELINE)).alias("cell")), [*key, "cell"]).where(F.abs(F.col("y") - F.col("ry")) <= BASELINE)
+    pairs = close.select("page", "name", "span", "run").distinct()
+    places = r.select("page", "name", "run", "font", "rx", "ry", F.posexplode("codes").alias("off", "code"))
+    met = pairs.join(open_, [*key, "span"]).join(places, [*key, "run", "code"])
+    # equal neighbours of both texts lie on one diagonal; how far they go on from each place is the common stretch
+    diagonal = Window.partitionBy("page", "span", "run", F.col("pos") - F.col("off"))
+    met = met.withColumn("isle", F.col("pos") - F.row_number().over(diagonal.orderBy("pos")))
+    ends = Window.partitionBy("page", "span", "run", F.col("pos") - F.col("off"), "isle")
+    met = met.withColumn("length", F.max("pos").over(ends) - F.col("pos") + 1)
+    near = lambda a, b: F.round(a, 2) == F.round(b, 2)
+    starts = met.where((F.col("off") == 0) & near("x", "rx") & near("y", "ry"))
+    first = starts.groupBy(*span, "pos").agg(F.max_by(F.struct("length", "font"), F.struct("length", -F.col("run"))).alias("s"))
+    on_line = met.where(F.abs(F.col("y") - F.col("ry")) <= BASELINE)
+    longest = on_line.groupBy(*span, "pos", "length").agg(F.min("font").alias("low"), F.max("font").alias("high")).groupBy(*span, "pos")
+    any_ = longest.agg(F.max("length").alias("length"), F.max_by(F.struct("low", "high"), "length").alias("f"))
+    any_ = any_.where("f.low = f.high").select(*span, "pos", F.struct("length", F.col("f.low").alias("font")).alias("a"))
+    told = open_.select(*span, "pos").join(first, [*span, "pos"], "left").join(any_, [*span, "pos"], "left")
+    rows = told.groupBy(*span).agg(F.array_sort(F.collect_list(F.struct("pos", "s", "a"))).alias("p"))
+    kind = runs.schema["font"].dataType.simpleString()
+
+    def put(have: Column, pos: Column, found: Column) -> Column:
+        return F.transform(have, lambda v, j: F.when((j >= pos) & (j < pos + found["length"]), found["font"]).otherwise(v))
+
+    have = F.transform("p", lambda p: F.lit(None).cast(kind))
+    have = F.aggregate("p", have, lambda h, p: F.when(p["s"].isNull(), h).otherwise(put(h, p["pos"], p["s"])))
+    have = F.aggregate("p", have, lambda h, p: F.when(p["a"].isNull() | F.get(h, p["pos"]).isNotNull(), h).otherwise(put(h, p["pos"], p["a"])))
+    given = rows.select(*span, F.posexplode(have).alias("pos", "__font"))
+    out = known.join(given, [*span, "pos"], "left")
+    return out.withColumn("font", F.when(F.col("__n") == 1, F.col("__only")).otherwise(F.col("__font"))).drop("__n", "__only", "__font")
 
 
 def font_of_page(bases: DataFrame, fonts: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ import numpy as np
 import pytest
 
 from lithos.operators import boxes as B
-from lithos.plans import boxes, corpus, documents, extra, stores
+from lithos.plans import boxes, corpus, documents, extra, pages, stores
 
 SF = Path("/root/testdata/sf0.001")
-QUERIES = corpus.QUERIES | boxes.QUERIES | extra.QUERIES | documents.QUERIES | stores.QUERIES
-SQL = corpus.SQL | boxes.SQL | extra.SQL | documents.SQL | stores.SQL
+QUERIES = corpus.QUERIES | boxes.QUERIES | extra.QUERIES | documents.QUERIES | pages.QUERIES | stores.QUERIES
+SQL = corpus.SQL | boxes.SQL | extra.SQL | documents.SQL | pages.SQL | stores.SQL
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="tables are not here")
 
 

@@ -1,6 +1,7 @@
 """Sessions of actions, displayed tokens and fonts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,16 +65,65 @@ def test_display(spark):
     assert one.select(D.missing_spacing(F.array(*[F.lit(x) for x in ("永", "MISS", "MISS")])).alias("x")).first().x == "永MISS MISS"
     assert one.select(D.annotations_text(F.create_map(*[F.lit(x) for x in ("10", "庚", "2", "乙", "1", "甲")])).alias("x")).first().x == "甲乙庚"
     assert one.select(D.token_of_box(F.array(F.lit(3), F.lit(1)), F.array(F.lit("a"), F.lit("b")), F.lit(1)).alias("x")).first().x == "b"
-    st = spark.createDataFrame([(1, "/F1 10 Tf 1 0 0 1 5.001 7.5 Tm <00410042> Tj /F2 9 Tf 1 0 0 1 6 9 Tm <004> Tj")], "page int, content string")
-    runs = D.font_runs(st)
-    assert [(r.font, r.x, r.y, r.codes) for r in runs.collect()] == [("F1", 5.0, 7.5, [65, 66])]
-    spans = spark.createDataFrame([(1, 1, 7.51, [65, 66, 67]), (1, 2, 7.6, [65])], "page int, span int, y double, codes array<int>")
-    assert {r.span: r.font for r in D.align_runs(spans, runs).collect()} == {1: "F1", 2: None}
+    st = spark.createDataFrame([(1, "1 0 0 1 5.5 7. Tm /F1 10 Tf <0041 0042> Tj 1 0 0 -1 6 .9 Tm\n/F1 9 Tf [<0041>-20<00420043> 3] TJ 1 0 0 1 5.5 7 Tm /F1 8 Tf <00410042>Tj 1 0 0 1 1 1 Tm /F1 9 Tf <004> Tj 1 0 0 1 1 1 Tm /F9 9 Tf <0041> Tj", 100.0)], "page int, content string, h double")
+    fonts = spark.createDataFrame([(1, "F1", "n", 11)], "page int, resource string, name string, font int")
+    assert sorted((r.run, r.name, r.font, r.x, r.y, r.codes) for r in D.font_runs(st, fonts).collect()) == [(0, "n", 11, 5.5, 7.0, [65, 66]), (1, "n", 11, 6.0, 0.9, [65, 66, 67])]
+    assert sorted(r.y for r in D.font_runs(st, fonts, "h").collect()) == [93.0, 99.1]
     bases = spark.createDataFrame([(1, "ABCDEF+Palatino"), (1, "Ariel")], "page int, base string")
     fonts = spark.createDataFrame([(1, "Palatino-Bold"), (1, "Times")], "page int, font string")
     assert {r.base: r.font for r in D.font_of_page(bases, fonts).collect()} == {"ABCDEF+Palatino": "Palatino-Bold", "Ariel": None}
 
 
+def plain_fonts(text, places, runs):
+    """The rule of ``assign_fonts`` for one span, place by place; runs: (x, y, codes, font) in order."""
+
+    def shared(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    have = [None] * len(text)
+    for i, (x, y) in enumerate(places):
+        found = [(shared(text[i:], c), f) for rx, ry, c, f in runs if (round(rx, 2), round(ry, 2), c[0]) == (round(x, 2), round(y, 2), text[i])]
+        if found:
+            n, f = max(found, key=lambda m: m[0])
+            have[i : i + n] = [f] * n
+    for i, (_, y) in enumerate(places):
+        if have[i] is None:
+            found = [(shared(text[i:], c[o:]), f) for _, ry, c, f in runs if abs(ry - y) <= 0.02 for o in range(len(c))]
+            n = max((m[0] for m in found), default=0)
+            if n and len({f for m, f in found if m == n}) == 1:
+                have[i : i + n] = [f for m, f in found if m == n][:1] * n
+    return have
+
+
+def test_runs_at_any_offset_by_plain_python(spark):
+    rnd, chars, runs, want = random.Random(8), [], [], {}
+    for page in range(30):
+        lines = [rnd.choice((50.0, 50.01, 50.1, 80.0)) for _ in range(rnd.randint(1, 6))]
+        here = [(10.0 * rnd.randint(0, 4), y, [rnd.randint(1, 4) for _ in range(rnd.randint(1, 9))], rnd.choice(("f", "g", "h"))) for y in lines]
+        runs += [(page, i, "n", f, x, y, c) for i, (x, y, c, f) in enumerate(here)]
+        for span in range(4):
+            y, x = rnd.choice((50.0, 50.02, 80.0, 81.0)), 10.0 * rnd.randint(0, 3)
+            text = [rnd.randint(1, 4) for _ in range(rnd.randint(1, 12))]
+            if rnd.random() < 0.7:  # pieces of runs
+                text = (rnd.choice(here)[2] + rnd.choice(here)[2])[rnd.randint(0, 2) :] or text
+            places = [(x + 10.0 * i, y) for i in range(len(text))]
+            chars += [(page, span, i, "n", px, py, c) for i, ((px, py), c) in enumerate(zip(places, text, strict=True))]
+            want |= {(page, span, i): f for i, f in enumerate(plain_fonts(text, places, here))}
+    fonts = [(p, "n", f) for p in range(30) for f in ("f", "g")] + [(99, "n", "only")]
+    chars += [(99, 0, 0, "n", 0.0, 0.0, 7), (98, 0, 0, "n", 0.0, 0.0, 7)]
+    want |= {(99, 0, 0): "only", (98, 0, 0): None}
+    out = D.assign_fonts(
+        spark.createDataFrame(chars, "page int, span int, pos int, name string, x double, y double, code int"),
+        spark.createDataFrame(runs, "page int, run int, name string, font string, x double, y double, codes array<int>"),
+        spark.createDataFrame(fonts, "page int, name string, font string"),
+    )
+    got = {(r.page, r.span, r.pos): r.font for r in out.collect()}
+    assert got == want and len({*want.values()}) == 5
+
+
 def rejected(state, action, payload, why):
     with pytest.raises(W.Rejected, match=why):
         W.apply(state, action, payload)
