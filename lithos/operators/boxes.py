@@ -1,4 +1,4 @@
-"""Character boxes: fusion of two detectors, suppression, reading order, strips."""
+"""Character boxes: fusion of two detectors, suppression, simple order, strips."""
 
 from __future__ import annotations
 
@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box, coverage, iou, rounded
 from ..functions.groups import map_groups
 
-#: Fixed values of the detectors and of the reading order.
+#: Fixed values of the detectors.
 IOU, CONTAIN, DAMAGE_SCORE = 0.5, 0.8, 0.3
 NMS_BEFORE, NMS_AFTER = 30_000, 5_000
-EDGE, OVERLAP, GAP, ROUNDS = 10, 0.4, 300, 5
-INSIDE_OVERLAP, INSIDE = 0.7, 0.3
-SMALL = 0.6
 STRIP_EDGE, STRIP_SCALE = 1.0, 0.03
 
 
@@ -93,219 +90,6 @@ def nms(boxes: DataFrame, least_iou: float = 0.2, before: int = NMS_BEFORE, afte
     return kept.withColumn("__r", top).where(F.col("__r") <= after).drop("__r")
 
 
-# ---------------------------------------------------------------- reading order
-
-
-class _Sets:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-#: Pairs of groups that are looked at at once; boxes of an image that plain loops order faster than arrays.
-PAIRS_AT_ONCE, FEW = 1 << 21, 24
-
-
-def _grouped(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the order of their labels (0, 1, …), and where each label starts."""
-    order = np.argsort(label, kind="stable")
-    return order, np.searchsorted(label[order], np.arange(label.max() + 1))
-
-
-def _hulls(b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    order, at = _grouped(label)
-    return np.concatenate([np.minimum.reduceat(b[order, :2], at), np.maximum.reduceat(b[order, 2:], at)], axis=1)
-
-
-def _merge(b: np.ndarray, label: np.ndarray, linked) -> np.ndarray:
-    """Labels after joining groups whose hulls ``linked`` says belong together; some rows of hulls are held
-    against all at a time."""
-    h = _hulls(b, label)
-    s = _Sets(len(h))
-    rows = max(1, PAIRS_AT_ONCE // len(h))
-    for lo in range(0, len(h), rows):
-        i, j = np.nonzero(linked(h[lo : lo + rows], h))
-        for x, y in zip((i + lo)[i + lo < j].tolist(), j[i + lo < j].tolist(), strict=True):
-            s.join(x, y)
-    roots = np.array([s.find(i) for i in range(len(h))])
-    return np.unique(roots[label], return_inverse=True)[1]
-
-
-def _span(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairwise shared width over the smaller width, and vertical gap (negative where they overlap)."""
-    w = np.minimum(p[:, None, 2], q[None, :, 2]) - np.maximum(p[:, None, 0], q[None, :, 0])
-    least = np.minimum((p[:, 2] - p[:, 0])[:, None], (q[:, 2] - q[:, 0])[None, :])
-    gap = np.maximum(p[:, None, 1], q[None, :, 1]) - np.minimum(p[:, None, 3], q[None, :, 3])
-    return np.clip(w, 0, None) / np.maximum(least, 1e-9), gap
-
-
-def _columns(b: np.ndarray) -> np.ndarray:
-    """Labels of columns. The first free box opens one; a free box joins if a side is within EDGE of that side of the
-    whole column so far and its top or bottom within EDGE of the column's bottom or top. Boxes are gone through in
-    their order, again and again, until none joins."""
-    label = np.full(len(b), -1)
-    columns = 0
-    for i in range(len(b)):
-        if label[i] >= 0:
-            continue
-        label[i] = columns
-        x1, y1, x2, y2 = b[i]
-        free = np.flatnonzero(label < 0)
-        at, added = 0, False  # boxes of ``free`` from this place on are still to come in this round
-        while len(free):
-            c = b[free]
-            fits = ((np.abs(c[:, 0] - x1) <= EDGE) | (np.abs(c[:, 2] - x2) <= EDGE)) & ((np.abs(c[:, 1] - y2) <= EDGE) | (np.abs(c[:, 3] - y1) <= EDGE))
-            ahead = np.flatnonzero(fits[at:])
-            if len(ahead):
-                at += int(ahead[0])
-                j, added = free[at], True
-                label[j] = columns
-                x1, y1, x2, y2 = min(x1, b[j, 0]), min(y1, b[j, 1]), max(x2, b[j, 2]), max(y2, b[j, 3])
-                free = np.delete(free, at)
-            elif added:
-                at, added = 0, False
-            else:
-                break
-        columns += 1
-    return label
-
-
-def reading_order(b: np.ndarray) -> np.ndarray:
-    """Order of the boxes (n, 4): columns from right to left, each from top to bottom. Hulls of groups are
-    axis-aligned. Narrow characters off the middle of their column form its double lines, read right, then left."""
-    if len(b) <= FEW:
-        return np.array(_order_of_few(b.tolist()), int)
-
-    def stacked(p, q):
-        wide, gap = _span(p, q)
-        return (wide > OVERLAP) & (gap < GAP)
-
-    def nested(p, q):
-        wide, gap = _span(p, q)
-        area = lambda h: (h[:, 2] - h[:, 0]) * (h[:, 3] - h[:, 1])
-        w = np.clip(np.minimum(p[:, None, 2], q[None, :, 2]) - np.maximum(p[:, None, 0], q[None, :, 0]), 0, None)
-        inside = w * np.clip(-gap, 0, None) / np.maximum(np.minimum(area(p)[:, None], area(q)[None, :]), 1e-9)
-        return (wide > INSIDE_OVERLAP) & (inside > INSIDE)
-
-    label = _columns(b)
-    for _ in range(ROUNDS):
-        if not label.max():
-            break
-        new = _merge(b, label, stacked)
-        if new.max() == label.max():
-            break
-        label = new
-    if label.max():
-        label = _merge(b, label, nested)
-    h = _hulls(b, label)
-    rows_of, at = _grouped(label)
-    at = np.append(at, len(b))
-    middle = (b[:, 0] + b[:, 2]) / 2
-    order: list[int] = []
-    for g in np.lexsort((h[:, 1], -h[:, 0])):
-        rows = rows_of[at[g] : at[g + 1]]
-        width = b[rows, 2] - b[rows, 0]
-        full = np.median(width[width >= SMALL * width.max()])
-        mid = (h[g, 0] + h[g, 2]) / 2
-        down = np.lexsort((rows, b[rows, 1]))
-        small = ((width <= SMALL * full) & (np.abs(middle[rows] - mid) > 0.1 * full))[down]
-        rows = rows[down]
-        if small.any():
-            # of each run of small ones the right come first
-            run = np.cumsum(np.append(True, small[1:] != small[:-1]))
-            rows = rows[np.lexsort((np.arange(len(rows)), small & (middle[rows] < mid), run))]
-        order += rows.tolist()
-    return np.array(order)
-
-
-def _order_of_few(b: list[list[float]]) -> list[int]:
-    """``reading_order`` by plain loops."""
-    groups: list[tuple[list[float], list[int]]] = []
-    free = list(range(len(b)))
-    while free:
-        rows = [free[0]]
-        x1, y1, x2, y2 = b[free[0]]
-        free, grew = free[1:], True
-        while grew and free:
-            grew, left = False, []
-            for i in free:
-                p = b[i]
-                if (abs(p[0] - x1) <= EDGE or abs(p[2] - x2) <= EDGE) and (abs(p[1] - y2) <= EDGE or abs(p[3] - y1) <= EDGE):
-                    x1, y1, x2, y2 = min(x1, p[0]), min(y1, p[1]), max(x2, p[2]), max(y2, p[3])
-                    rows.append(i)
-                    grew = True
-                else:
-                    left.append(i)
-            free = left
-        groups.append(([x1, y1, x2, y2], rows))
-
-    def merged(linked) -> list:
-        s = _Sets(len(groups))
-        for i in range(1, len(groups)):
-            p = groups[i][0]
-            for j in range(i):
-                q = groups[j][0]
-                w, gap = min(p[2], q[2]) - max(p[0], q[0]), max(p[1], q[1]) - min(p[3], q[3])
-                if w > 0 and linked(w / max(min(p[2] - p[0], q[2] - q[0]), 1e-9), w, gap, p, q):
-                    s.join(i, j)
-        out: dict[int, tuple[list[float], list[int]]] = {}
-        for i, (h, rows) in enumerate(groups):
-            r = s.find(i)
-            if r in out:
-                g = out[r][0]
-                out[r] = [min(g[0], h[0]), min(g[1], h[1]), max(g[2], h[2]), max(g[3], h[3])], out[r][1] + rows
-            else:
-                out[r] = h, rows
-        return list(out.values())
-
-    for _ in range(ROUNDS):
-        before = len(groups)
-        if before > 1:
-            groups = merged(lambda wide, w, gap, p, q: wide > OVERLAP and gap < GAP)
-        if len(groups) == before:
-            break
-    if len(groups) > 1:
-        area = lambda h: (h[2] - h[0]) * (h[3] - h[1])
-        groups = merged(lambda wide, w, gap, p, q: wide > INSIDE_OVERLAP and w * max(-gap, 0) / max(min(area(p), area(q)), 1e-9) > INSIDE)
-    order: list[int] = []
-    for h, rows in sorted(groups, key=lambda g: (-g[0][0], g[0][1])):
-        rows = sorted(rows, key=lambda i: (b[i][1], i))
-        width = [b[i][2] - b[i][0] for i in rows]
-        most = SMALL * max(width)
-        wide = sorted(w for w in width if w >= most)
-        full, mid = (wide[(len(wide) - 1) // 2] + wide[len(wide) // 2]) / 2, (h[0] + h[2]) / 2
-        note: list[int] = []
-        for i, w in zip(rows, width, strict=True):
-            off = (b[i][0] + b[i][2]) / 2 - mid
-            if w <= SMALL * full and abs(off) > 0.1 * full:
-                note.append(i)
-                continue
-            order += sorted(note, key=lambda i: b[i][0] + b[i][2] < 2 * mid)  # noqa: B023
-            order.append(i)
-            note = []
-        order += sorted(note, key=lambda i: b[i][0] + b[i][2] < 2 * mid)  # noqa: B023
-    return order
-
-
-def full_order(boxes: DataFrame, group: str = "image", idx: str = "idx") -> DataFrame:
-    """Reading position of every box of an image, equal boxes included."""
-
-    def order(c: dict[str, np.ndarray]):
-        by = reading_order(np.stack([c[k].astype(float) for k in ("x1", "y1", "x2", "y2")], axis=1))
-        return by, {"reading_pos": np.arange(1, len(by) + 1)}
-
-    return map_groups(boxes, [group], [idx], order, ["x1", "y1", "x2", "y2"], "reading_pos int")
-
-
 def strips(images: DataFrame, group: str = "page", idx: str = "idx") -> DataFrame:
     """Stacked strips of one picture merged: (group, x1, y1, x2, y2, scale, n). A strip joins the one group
     whose sides and lower edge it meets within a point, at nearly the same scale."""

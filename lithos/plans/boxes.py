@@ -11,6 +11,7 @@ from ..functions.text import graphemes
 from ..operators import boxes as B
 from ..operators import glyphs as Y
 from ..operators import missing as M
+from ..operators import reading
 from ..operators import records as N
 from ..operators import relational as R
 from ..operators import validate as V
@@ -329,4 +330,4 @@ def nms_greedy(spark, sf):
 
 @query()
 def reading_order_full(spark, sf):
-    return B.full_order(_boxes(spark, sf).drop("score")).select("image", "idx", "reading_pos")
+    return reading.full_order(_boxes(spark, sf).drop("score")).select("image", "idx", "reading_pos")

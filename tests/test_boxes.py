@@ -5,13 +5,12 @@ import zipfile
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lithos.functions import geometry as G
 from lithos.operators import boxes as B
 from lithos.operators import glyphs as Y
+from lithos.operators import reading
 from lithos.operators import validate as V
 from lithos.sources import readers, sinks
 from lithos.streaming.latest import latest_table, start_latest
@@ -52,18 +51,11 @@ def test_orders(spark):
     df = spark.createDataFrame([("i", k, x, 0.0, x + 10, 10.0) for k, x in enumerate((0.0, 20.0, 40.0))], BOX)
     assert [r.x1 for r in B.simple_order(df).orderBy("reading_pos").collect()] == [40, 20, 0]
     col = spark.createDataFrame([("i", k, 100.0 - 50 * (k // 3), 12.0 * (k % 3), 120.0 - 50 * (k // 3), 12.0 * (k % 3) + 10) for k in range(6)] + [("j", 0, 0.0, 0.0, 1.0, 1.0), ("j", 1, 0.0, 0.0, 1.0, 1.0)], BOX)
-    got = B.full_order(col)
+    got = reading.full_order(col)
     assert [r.idx for r in got.where("image = 'i'").orderBy("reading_pos").collect()] == list(range(6))
     assert got.where("image = 'j'").count() == 2  # equal boxes stay
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(*[st.integers(0, 500)] * 2, *[st.integers(1, 60)] * 2), max_size=25))
-def test_order_is_a_permutation(rows):
-    b = np.array([[x, y, x + w, y + h] for x, y, w, h in rows], float).reshape(-1, 4)
-    assert sorted(B.reading_order(b)) == list(range(len(b)))
-
-
 def test_nms_and_strips(spark):
     rng = np.random.default_rng(1)
     rows = [("i", k, *map(float, (x, y, x + 20, y + 20)), float(s), 0) for k, (x, y, s) in enumerate(zip(rng.integers(0, 60, 40), rng.integers(0, 60, 40), rng.random(40), strict=True))]

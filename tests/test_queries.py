@@ -1,16 +1,11 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
-import itertools
 import math
-import random
-import statistics
 from pathlib import Path
 
 import duckdb
-import numpy as np
 import pytest
 
-from lithos.operators import boxes as B
 from lithos.plans import boxes, corpus, documents, extra, pages, stores
 
 SF = Path("/root/testdata/sf0.001")
@@ -46,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_is_checked():
-    assert set(QUERIES) - set(SQL) == {"nms_greedy", "reading_order_full", "workflow_replay"}  # the last is in test_whole
+    assert set(QUERIES) - set(SQL) == {"nms_greedy", "reading_order_full", "workflow_replay"}  # in test_reading and test_whole
 
 
 def images(duck):
@@ -69,71 +64,3 @@ def test_nms_greedy(spark, duck):
                 kept.append((idx, x1, y1, x2, y2))
         want |= {(image, k[0], k[0] % 2) for k in kept}
     assert {tuple(r) for r in boxes.nms_greedy(spark, str(SF)).collect()} == want
-
-
-def plain_order(b):
-    """The reading order by its definition, with loops over all pairs."""
-    hull = lambda c: (min(b[i][0] for i in c), min(b[i][1] for i in c), max(b[i][2] for i in c), max(b[i][3] for i in c))
-    groups, free = [], list(range(len(b)))
-    while free:
-        col, grew = [free.pop(0)], True
-        while grew:
-            grew = False
-            for i in list(free):
-                x1, y1, x2, y2 = hull(col)
-                if (abs(b[i][0] - x1) <= 10 or abs(b[i][2] - x2) <= 10) and (abs(b[i][1] - y2) <= 10 or abs(b[i][3] - y1) <= 10):
-                    col.append(i)
-                    free.remove(i)
-                    grew = True
-        groups.append(col)
-
-    def join(groups, ok):
-        h, label = [hull(g) for g in groups], list(range(len(groups)))
-        for i in range(len(groups)):
-            for j in range(i):
-                if ok(h[i], h[j]):
-                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-        return [[k for g, x in zip(groups, label, strict=True) if x == y for k in g] for y in sorted(set(label))]
-
-    shared = lambda p, q: max(0, min(p[2], q[2]) - max(p[0], q[0]))
-    wide = lambda p, q: shared(p, q) / min(p[2] - p[0], q[2] - q[0])
-    gap = lambda p, q: max(p[1], q[1]) - min(p[3], q[3])
-    area = lambda p: (p[2] - p[0]) * (p[3] - p[1])
-    for _ in range(5):
-        new = join(groups, lambda p, q: wide(p, q) > 0.4 and gap(p, q) < 300)
-        if len(new) == len(groups):
-            break
-        groups = new
-    groups = join(groups, lambda p, q: wide(p, q) > 0.7 and shared(p, q) * max(0, -gap(p, q)) / min(area(p), area(q)) > 0.3)
-    out = []
-    for g in sorted(groups, key=lambda g: (-hull(g)[0], hull(g)[1])):
-        width = {i: b[i][2] - b[i][0] for i in g}
-        full = statistics.median(w for w in width.values() if w >= 0.6 * max(width.values()))
-        mid, x = (hull(g)[0] + hull(g)[2]) / 2, {i: (b[i][0] + b[i][2]) / 2 for i in g}
-        small = lambda i: width[i] <= 0.6 * full and abs(x[i] - mid) > 0.1 * full  # noqa: B023, E731
-        for is_small, run in itertools.groupby(sorted(g, key=lambda i: (b[i][1], i)), small):
-            out += sorted(run, key=lambda i: x[i] < mid) if is_small else run  # noqa: B023
-    return out
-
-
-def test_reading_order_full(spark, duck):
-    want = set()
-    for image, rows in images(duck).items():
-        want |= {(image, rows[i][0], n) for n, i in enumerate(plain_order([r[1:5] for r in rows]), 1)}
-    assert {tuple(r) for r in boxes.reading_order_full(spark, str(SF)).collect()} == want
-
-
-def test_reading_order_of_columns(monkeypatch):
-    """Hand-made columns, and random pages, with few and with all pairs of groups at once."""
-    page = [(100, 0, 120, 20), (101, 22, 121, 40), (60, 0, 80, 20), (99, 42, 119, 60), (62, 22, 82, 44), (20, 0, 40, 18), (19, 21, 41, 39)]
-    assert B.reading_order(np.array(page, float)).tolist() == plain_order(page) == [0, 1, 3, 2, 4, 5, 6]
-    chain = [(100, 0, 120, 20), (125, 25, 145, 45), (108, 24, 128, 44), (116, 50, 136, 70)]  # the second only meets the column's later extent
-    assert B._columns(np.array(chain, float)).tolist() == [0, 1, 0, 0]
-    rnd = random.Random(4)
-    for n in (1, 2, 5, 17, 40):
-        for _ in range(40):
-            b = [(x, y, x + rnd.randint(8, 60), y + rnd.randint(8, 40)) for x, y in ((rnd.randint(0, 120), rnd.randint(0, 900)) for _ in range(n))]
-            monkeypatch.setattr(B, "PAIRS_AT_ONCE", rnd.choice((1, 60, 1 << 21)))
-            for few in (0, 100):  # by arrays and by plain loops
-                monkeypatch.setattr(B, "FEW", few)
-                assert B.reading_order(np.array(b, float)).tolist() == plain_order(b)
