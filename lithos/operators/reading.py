@@ -19,6 +19,8 @@ from ..functions.groups import map_groups
 EDGE, STACKED, NESTED, GAP, ROUNDS, RASTER, SHARED = 10, 0.4, 0.7, 300, 5, 4, 0.1
 #: Fixed values of small characters: tolerance of a side, area of the smaller and of both that two sub-columns share.
 SIDE, PART, BOTH = 5, 0.3, 0.2
+#: Boxes of a page up to which a column looks at all of them.
+FEW = 24
 
 Box = Sequence[float]
 Rect = tuple[float, ...]  # x, y of left top, right top, right bottom, left bottom
@@ -62,25 +64,22 @@ def hull(points: set[tuple[int, int]]) -> list[tuple[int, int]]:
 def least_rectangle(points: set[tuple[int, int]]) -> list[tuple[float, float]]:
     """Corners of the rectangle of least area around points; one of its sides lies on a side of their hull. Of equal ones the
     one that lies straightest."""
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    x1, y1, x2, y2 = min(xs), min(ys), max(xs), max(ys)
-    straight = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
-    if points.issuperset(straight):
-        return straight
     h = hull(points)
-    if len(h) == 2:
-        return [h[0], h[1], h[1], h[0]]
-    best, lean, corners = math.inf, math.inf, straight
-    for (ax, ay), (bx, by) in zip(h, h[1:] + h[:1], strict=True):
-        n = math.hypot(bx - ax, by - ay)
-        ux, uy = (bx - ax) / n, (by - ay) / n
-        along, across = [x * ux + y * uy for x, y in h], [y * ux - x * uy for x, y in h]
+    if len(h) < 3:
+        return [h[0], h[-1], h[-1], h[0]]
+    best, lean, found = math.inf, math.inf, None
+    ax, ay = h[-1]
+    for bx, by in h:
+        dx, dy = bx - ax, by - ay
+        ax, ay = bx, by
+        along, across = [x * dx + y * dy for x, y in h], [y * dx - x * dy for x, y in h]
         a1, a2, c1, c2 = min(along), max(along), min(across), max(across)
-        area, slant = (a2 - a1) * (c2 - c1), min(abs(ux), abs(uy))
+        square = dx * dx + dy * dy
+        area, slant = (a2 - a1) * (c2 - c1) / square, min(abs(dx), abs(dy)) / math.sqrt(square)
         if area < best * (1 - 1e-9) or (area <= best * (1 + 1e-9) and slant < lean):
-            best, lean = area, slant
-            corners = [(a * ux - c * uy, a * uy + c * ux) for a, c in ((a1, c1), (a2, c1), (a2, c2), (a1, c2))]
-    return corners
+            best, lean, found = area, slant, (dx, dy, square, a1, a2, c1, c2)
+    dx, dy, square, a1, a2, c1, c2 = found
+    return [((a * dx - c * dy) / square, (a * dy + c * dx) / square) for a, c in ((a1, c1), (a2, c1), (a2, c2), (a1, c2))]
 
 
 def _whole(v: float) -> int:
@@ -92,10 +91,11 @@ def rectangle(boxes: Sequence[Box]) -> Rect:
     """The least rectangle around boxes as they are drawn on the raster, its corners clockwise from the left top, by their angle
     around the middle."""
     drawn = [[int(int(v) / RASTER) for v in b] for b in boxes]
-    x1, y1, x2, y2 = min(b[0] for b in drawn), min(b[1] for b in drawn), max(b[2] for b in drawn), max(b[3] for b in drawn)
-    points = {(x, y) for b in drawn for x in (b[0], b[2]) for y in (b[1], b[3])}
-    if x1 < x2 and y1 < y2 and points.issuperset(((x1, y1), (x2, y1), (x2, y2), (x1, y2))):
+    x1, y1, x2, y2 = [f(side) for f, side in zip((min, min, max, max), zip(*drawn, strict=True), strict=True)]
+    points = {(x, y) for b in drawn for x in (b[0], b[2]) for y in (b[1], b[3])} if len(drawn) > 1 else None
+    if x1 < x2 and y1 < y2 and (points is None or points.issuperset(((x1, y1), (x2, y1), (x2, y2), (x1, y2)))):
         return tuple(RASTER * v for v in (x1, y1, x2, y1, x2, y2, x1, y2))
+    points = points or {(x1, y1), (x2, y1), (x2, y2), (x1, y2)}
     corners = [(_whole(x), _whole(y)) for x, y in least_rectangle(points)]
     mx, my = sum(p[0] for p in corners) / 4, sum(p[1] for p in corners) / 4
     corners.sort(key=lambda p: math.atan2(p[1] - my, p[0] - mx))
@@ -196,37 +196,43 @@ def merged(regions: list[Region], boxes: Sequence[Box], linked: Callable[[Rect,
 
 def columns(b: Sequence[Box]) -> list[list[int]]:
     """The first free box opens a column; a free box joins if its left or right side is within EDGE of that side of the whole column so far, and its
-    top or bottom within EDGE of the column's bottom or top. Boxes are gone through in order, again and again, until none joins."""
-    size, sides = 2 * EDGE, ((0, 1, 3), (0, 3, 1), (2, 1, 3), (2, 3, 1))
+    top or bottom within EDGE of the column's bottom or top. Boxes are gone through in order, again and again, until none joins.
+    On pages of many boxes, cells find those that can join."""
+    n, size, sides = len(b), 2 * EDGE, ((0, 1, 3), (0, 3, 1), (2, 1, 3), (2, 3, 1))
     cells: list[dict[tuple, list[int]]] = [{}, {}, {}, {}]
-    for i, box in enumerate(b):
-        for cell, (x, y, _) in zip(cells, sides, strict=True):
-            cell.setdefault((box[x] // size, box[y] // size), []).append(i)
-    free, out = [True] * len(b), []
-    for i, box in enumerate(b):
+    if n > FEW:
+        for i, box in enumerate(b):
+            for cell, (x, y, _) in zip(cells, sides, strict=True):
+                cell.setdefault((box[x] // size, box[y] // size), []).append(i)
+
+    def close(ends: list[float]) -> list[int]:
+        found = set()
+        for cell, (x, y, other) in zip(cells, sides, strict=True):  # a top meets the bottom, a bottom the top
+            for cx in {(ends[x] - EDGE) // size, (ends[x] + EDGE) // size}:
+                for cy in {(ends[other] - EDGE) // size, (ends[other] + EDGE) // size}:
+                    found.update(cell.get((cx, cy), ()))
+        return sorted(found)
+
+    free, out = [True] * n, []
+    for i in range(n):
         if not free[i]:
             continue
-        free[i], column, ends, at, added = False, [i], list(box), 0, False
-        while len(b) > 1:
-            ahead = len(b)  # the next box from ``at`` on that fits
-            for cell, (x, y, other) in zip(cells, sides, strict=True):
-                to_x, to_y = ends[x], ends[other]  # a top meets the bottom, a bottom the top
-                for cx in {(to_x - EDGE) // size, (to_x + EDGE) // size}:
-                    for cy in {(to_y - EDGE) // size, (to_y + EDGE) // size}:
-                        for j in cell.get((cx, cy), ()):
-                            if j >= ahead:
-                                break
-                            if j >= at and free[j] and abs(b[j][x] - to_x) <= EDGE and abs(b[j][y] - to_y) <= EDGE:
-                                ahead = j
-            if ahead < len(b):
-                p = b[ahead]
-                free[ahead], at, added = False, ahead + 1, True
-                column.append(ahead)
-                ends = [min(ends[0], p[0]), min(ends[1], p[1]), max(ends[2], p[2]), max(ends[3], p[3])]
-            elif added:
-                at, added = 0, False
+        free[i], column, at, added = False, [i], 0, False
+        x1, y1, x2, y2 = b[i]
+        while True:
+            for j in range(at, n) if n <= FEW else close([x1, y1, x2, y2]):
+                if j >= at and free[j]:
+                    p = b[j]
+                    if (-EDGE <= p[0] - x1 <= EDGE or -EDGE <= p[2] - x2 <= EDGE) and (-EDGE <= p[1] - y2 <= EDGE or -EDGE <= p[3] - y1 <= EDGE):
+                        break
             else:
-                break
+                if not added:
+                    break
+                at, added = 0, False
+                continue
+            free[j], at, added = False, j + 1, True
+            column.append(j)
+            x1, y1, x2, y2 = min(x1, p[0]), min(y1, p[1]), max(x2, p[2]), max(y2, p[3])
         out.append(column)
     return out
 
