@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, coverage, iou, rounded
+from ..functions.geometry import Box, coverage, iou, overlaps, rounded
 from ..functions.groups import map_groups
 
 #: Fixed values of the detectors.
@@ -16,6 +16,34 @@ NMS_BEFORE, NMS_AFTER = 30_000, 5_000
 STRIP_EDGE, STRIP_SCALE = 1.0, 0.03
 
 
+#: Tolerance of areas of triangles.
+_NEAR = 1e-6
+#: Side of a cell of the grid on which boxes meet: some characters wide, so that most boxes lie in one or two.
+CELL = 256.0
+
+
+def meeting(a: DataFrame, b: DataFrame, group: str, pa: str, pb: str, cell: float = CELL) -> DataFrame:
+    """Rows of a and b, of the same ``group``, whose boxes (columns x1 … y2 with the prefixes pa and pb) meet, edges included; each pair once.
+
+    Boxes are dealt to the cells of a grid that they touch and meet there; a pair counts in the cell of the left upper corner of what it shares. So an
+    image of any number of boxes is joined cell by cell, not box by box, and a crowded one by many tasks. Boxes without
+    extent are points; a null coordinate or a right side left of the left one meets nothing."""
+
+    def dealt(df: DataFrame, p: Box) -> DataFrame:
+        at = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+        return df.where((p.x1 <= p.x2) & (p.y1 <= p.y2)).withColumn("__cx", at(p.x1, p.x2)).withColumn("__cy", at(p.y1, p.y2))
+
+    p, q = Box.of(pa), Box.of(pb)
+    both = dealt(a, p).join(dealt(b, q), [group, "__cx", "__cy"]).where(overlaps(p, q))
+    here = (F.floor(F.greatest(p.x1, q.x1) / cell) == F.col("__cx")) & (F.floor(F.greatest(p.y1, q.y1) / cell) == F.col("__cy"))
+    return both.where(here).drop("__cx", "__cy")
+
+
+def prefixed(boxes: DataFrame, group: str, idx: str, prefix: str) -> DataFrame:
+    """(group, prefix, prefix_x1 …): boxes named for a join."""
+    return boxes.select(group, F.col(idx).alias(prefix), *[F.col(c).alias(f"{prefix}_{c}") for c in ("x1", "y1", "x2", "y2")])
+
+
 def damage_boxes(raw: DataFrame) -> DataFrame:
     """Boxes above the score, with whole coordinates, half to even."""
     return raw.where(F.col("score") > DAMAGE_SCORE).select("image", "idx", *rounded(Box.of()))
@@ -26,14 +54,11 @@ def fuse(damage: DataFrame, ocr: DataFrame, least_iou: float = IOU, contain: flo
 
     A text box with that IoU with a damage box goes. A damage box that instead covers, or is covered by, a text box
     takes the extent of the one with most coverage, the first of equal ones; that text box goes too, and
-    damage boxes promoted to the same box are one. Damage boxes come first. The join has the image as
-    its equality key.
+    damage boxes promoted to the same box are one. Damage boxes come first. Boxes meet on a grid.
     """
-    d = damage.select("image", F.col("idx").alias("d"), *[F.col(c).alias(f"d_{c}") for c in ("x1", "y1", "x2", "y2")])
-    o = ocr.select("image", F.col("idx").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
+    d, o = prefixed(damage, "image", "idx", "d"), prefixed(ocr, "image", "idx", "o")
     a, b = Box.of("d_"), Box.of("o_")
-    meets = (a.x1 < b.x2) & (b.x1 < a.x2) & (a.y1 < b.y2) & (b.y1 < a.y2)
-    pairs = d.join(o, "image").where(meets).withColumn("iou", iou(a, b)).withColumn("cover", coverage(a, b))
+    pairs = meeting(d, o, "image", "d_", "o_").withColumn("iou", iou(a, b)).withColumn("cover", coverage(a, b))
     pairs = pairs.where((F.col("iou") >= least_iou) | (F.col("cover") >= contain))
     same = pairs.where(F.col("iou") >= least_iou).select("image", "o").distinct()
     rest = pairs.where(F.col("iou") < least_iou).join(same, ["image", "o"], "left_anti")
@@ -114,8 +139,64 @@ def face_candidates(images: DataFrame, width: float = 60, height: float = 35, pi
 
 
 def grouped_hits(boxes: DataFrame, area: DataFrame, group: str) -> DataFrame:
-    """Boxes that a marquee of their group meets, edges included."""
+    """Boxes that a marquee of their group meets, edges included, once for each."""
     m = area.select(F.col(group), *[F.col(c).alias(f"m_{c}") for c in ("x1", "y1", "x2", "y2")])
-    a, b = Box.of(), Box.of("m_")
-    meets: Column = (a.x1 <= b.x2) & (b.x1 <= a.x2) & (a.y1 <= b.y2) & (b.y1 <= a.y2)
-    return boxes.join(m, group).where(meets).drop("m_x1", "m_y1", "m_x2", "m_y2")
+    return meeting(boxes, m, group, "", "m_").select(*boxes.columns)
+
+
+def unseen(first: DataFrame, second: DataFrame, least: float = IOU, group: str = "image", idx: str = "idx") -> DataFrame:
+    """Boxes of ``first`` that none of ``second``, in the same group, has found as well: no one shares more than ``least`` of their union or of the smaller one.
+    Shared sides count a point more, as pixels do; the area of a first box counts in whole points."""
+    b = second.select(group, *[F.col(c).alias(f"s_{c}") for c in ("x1", "y1", "x2", "y2")], *[(F.col(c) + 1).alias(f"t_{c}") for c in ("x2", "y2")], F.col("x1").alias("t_x1"), F.col("y1").alias("t_y1"))
+    wide = first.select(group, idx, *[F.col(c).alias(f"f_{c}") for c in ("x1", "y1", "x2", "y2")], F.col("x1").alias("g_x1"), F.col("y1").alias("g_y1"), (F.col("x2") + 1).alias("g_x2"), (F.col("y2") + 1).alias("g_y2"))
+    p, q = Box.of("f_"), Box.of("s_")
+    side = lambda lo1, hi1, lo2, hi2: F.greatest(F.least(hi1, hi2) - F.greatest(lo1, lo2) + 1, F.lit(0.0))
+    both = side(p.x1, p.x2, q.x1, q.x2) * side(p.y1, p.y2, q.y1, q.y2)
+    one, other = ((p.x2 - p.x1) * (p.y2 - p.y1)).cast("long"), (q.x2 - q.x1) * (q.y2 - q.y1)
+    union, smaller = one + other - both, F.least(one.cast("double"), other)
+    found = meeting(wide, b, group, "g_", "t_").where(((union > 0) & (both / F.nullif(union, F.lit(0.0)) > least)) | ((smaller > 0) & (both / F.nullif(smaller, F.lit(0.0)) > least)))
+    return first.join(found.select(group, idx).distinct(), [group, idx], "left_anti")
+
+
+def points_in(points: DataFrame, quads: DataFrame, group: str) -> DataFrame:
+    """points(group, x, y, …) with the rows of quads(group, qx1, qy1, … qx4, qy4, …) that hold them: those where the areas of the triangles between the point
+    and the sides of one half of the quadrangle add up to that half, so the border belongs to it."""
+    corner = [(F.col(f"qx{i}"), F.col(f"qy{i}")) for i in (1, 2, 3, 4)]
+    ends = [f([c[k] for c in corner]) for k in (0, 1) for f in (lambda c: F.least(*c) - _NEAR, lambda c: F.greatest(*c) + _NEAR)]
+    q = quads.withColumns(dict(zip(("__q_x1", "__q_x2", "__q_y1", "__q_y2"), ends, strict=True)))
+    p = points.withColumns({f"__p_{c}{i}": F.col(c) for c in ("x", "y") for i in (1, 2)})
+    here = (F.col("x"), F.col("y"))
+
+    def triangle(a, b, c) -> Column:
+        return F.abs(a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1])) / 2
+
+    def holds(a, b, c) -> Column:
+        return F.abs(triangle(a, b, c) - triangle(here, b, c) - triangle(a, here, c) - triangle(a, b, here)) < _NEAR
+
+    found = meeting(p, q, group, "__p_", "__q_").where(holds(corner[0], corner[1], corner[2]) | holds(corner[0], corner[2], corner[3]))
+    return found.drop(*[c for c in found.columns if c.startswith(("__p_", "__q_"))])
+
+
+def anchored_rows(chips: DataFrame, group: str, idx: str = "idx") -> DataFrame:
+    """chips(group, idx, left, top, bottom, …) with row and place, counted from 1. In their order, a chip joins the first row whose top is nearer to its own than
+    half its height, 8 at least, and takes the row's top up and its bottom down with it; else it opens a row. Rows are read from the top, chips of a row
+    from the left. The rows of a group so far are the state of a fold over its chips."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"))))
+    empty = F.struct(F.filter(F.array(F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"))), lambda r: F.lit(False)).alias("rows"), F.filter(F.array(F.lit(0)), lambda r: F.lit(False)).alias("at"))
+
+    def step(acc: Column, c: Column) -> Column:
+        rows, at = acc["rows"], acc["at"]
+        fits = F.transform(rows, lambda r: F.abs(r["top"] - c["top"]) < F.greatest(F.lit(8.0), (c["bottom"] - c["top"]) / 2))
+        found = F.array_position(fits, True).cast("int")
+        one = F.struct(c["top"].alias("top"), c["bottom"].alias("bottom"))
+        grown = F.transform(rows, lambda r, i: F.when(i + 1 == found, F.struct(F.least(r["top"], c["top"]).alias("top"), F.greatest(r["bottom"], c["bottom"]).alias("bottom"))).otherwise(r))
+        new = F.when(found > 0, grown).otherwise(F.concat(rows, F.array(one)))
+        return F.struct(new.alias("rows"), F.concat(at, F.array(F.when(found > 0, found).otherwise(F.size(rows) + 1))).alias("at"))
+
+    folded = chips.groupBy(group).agg(items.alias("c")).select(group, "c", F.aggregate("c", empty, step).alias("f"))
+    rows = F.col("f.rows")
+    down = F.transform(rows, lambda r, i: (F.size(F.filter(rows, lambda o, j: (o["top"] < r["top"]) | ((o["top"] == r["top"]) & (j <= i))))).cast("int"))
+    placed = folded.select(group, F.posexplode("c").alias("n", "e"), F.col("f.at").alias("at"), down.alias("down"))
+    placed = placed.select(group, F.col("e.i").alias(idx), F.element_at("down", F.get("at", "n")).alias("row"))
+    left = F.row_number().over(Window.partitionBy(group, "row").orderBy("left", idx)).alias("place")
+    return chips.join(placed, [group, idx]).select(*chips.columns, "row", left)

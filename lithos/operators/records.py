@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 
 def titled(sections: Column, title: str | Column) -> Column:
@@ -64,26 +60,35 @@ def leaf_fields(json: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))))
 
 
-@F.pandas_udf(ArrayType(StructType().add("path", "string").add("value", "string")))
-def _leaves(texts: pd.Series) -> pd.Series:
-    def walk(text):
-        todo = [("$", json.loads(text))] if text is not None else []
-        while todo:
-            path, v = todo.pop()
-            if isinstance(v, dict):
-                todo += [(f"{path}.{k}", x) for k, x in reversed(v.items())]
-            elif isinstance(v, list):
-                todo += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
-            else:
-                yield {"path": path, "value": v if v is None or isinstance(v, str) else json.dumps(v)}
+def json_depth(text: Column) -> Column:
+    """How deep arrays and objects of a JSON text are nested: its brackets outside strings, counted."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), zero, step, lambda acc: acc["most"])
 
-    return texts.map(lambda t: list(walk(t)))
 
+def tree_leaves(df: DataFrame, text: str, depth: int | None = None) -> DataFrame:
+    """df without ``text``, a row for each scalar leaf of that JSON at any depth, with its path, like ``$.a[0].b``, and value as text.
 
-def tree_leaves(json_text: Column) -> Column:
-    """Scalar leaves of JSON at any depth, in document order: array<struct<path, value>>, paths like
-    ``$.a[0].b``. Null is a leaf with a null value; an empty object or list has none; a null text has no leaves."""
-    return _leaves(json_text)
+    Null is a leaf with a null value; an empty object or list has none; a null text has no leaves; broken JSON and repeated keys are errors. Each level is
+    one ``variant_explode``, which passes leaves on, so all is one stage without Python. The levels are counted first, unless ``depth`` gives a bound."""
+    df = df.where(F.col(text).isNotNull())
+    if depth is None:
+        depth = df.agg(F.max(json_depth(F.col(text)))).first()[0] or 0
+    keep = [c for c in df.columns if c != text]
+    rows = df.select(*keep, F.lit("$").alias("path"), F.parse_json(text).alias("__v"))
+    for _ in range(depth):
+        rows = rows.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("__v").outer()))
+        inside = F.when(F.col("key").isNotNull(), F.concat("path", F.lit("."), "key")).otherwise(F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        leaf = F.col("pos").isNull()
+        rows = rows.select(*keep, F.when(leaf, F.col("path")).otherwise(inside).alias("path"), F.when(leaf, F.col("__v")).otherwise(F.col("value")).alias("__v"))
+    rows = rows.where(~F.schema_of_variant("__v").isin("OBJECT<>", "ARRAY<VOID>"))
+    return rows.select(*keep, "path", F.expr("__v::string").alias("value"))
 
 
 def history(images: DataFrame, saved: DataFrame, contains: str = "", statuses: tuple[str, ...] = ("Done", "Not Done"), name: str = "image") -> DataFrame:

@@ -51,9 +51,7 @@ PAIRS = f"p AS (SELECT a.image, a.idx AS d, c.idx AS o, {INTER} / ({AREA_A} + {A
 def iou_pairs(spark, sf):
     b = _boxes(spark, sf)
     d, o = b.where("idx % 2 = 1"), b.where("idx % 2 = 0")
-    d = d.select("image", F.col("idx").alias("d"), *[F.col(c).alias(f"d_{c}") for c in ("x1", "y1", "x2", "y2")])
-    o = o.select("image", F.col("idx").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
-    p = d.join(o, "image").where(G.intersection(G.Box.of("d_"), G.Box.of("o_")) > 0)
+    p = B.meeting(B.prefixed(d, "image", "idx", "d"), B.prefixed(o, "image", "idx", "o"), "image", "d_", "o_").where(G.intersection(G.Box.of("d_"), G.Box.of("o_")) > 0)
     return p.select("image", "d", "o", F.round(G.iou(G.Box.of("d_"), G.Box.of("o_")), 6).alias("iou"), F.round(G.coverage(G.Box.of("d_"), G.Box.of("o_")), 6).alias("coverage"))
 
 
@@ -120,21 +118,22 @@ def range_join_intervals(spark, sf):
 # ---------------------------------------------------------------- ordinals
 
 TOKENS = "tok AS (SELECT item_id, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM (SELECT item_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM benchmark))"
-BX = "bx AS (SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_partkey AS box FROM lineitem WHERE l_orderkey IN (SELECT item_id FROM benchmark))"
+BX = "bx AS (SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_partkey AS box FROM lineitem)"
 
 
-def _tokens(spark, sf):
+def _tokens(spark, sf) -> DataFrame:
     t = F.split(F.regexp_replace("text", "\\s+", " "), " ")
-    b = load(spark, sf, "benchmark")
-    tok = b.select("item_id", F.posexplode(t).alias("p", "token")).select("item_id", (F.col("p") + 1).alias("pos"), "token")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    bx = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_id"), pos.alias("pos"), F.col("l_partkey").alias("box")).join(b.select("item_id"), "item_id", "left_semi")
-    return tok, bx
+    return load(spark, sf, "benchmark").select("item_id", F.posexplode(t).alias("p", "token")).select("item_id", (F.col("p") + 1).alias("pos"), "token")
 
 
-@query(f"WITH {TOKENS}, {BX} SELECT item_id, pos, token, box, box IS NULL AS excluded FROM tok FULL JOIN bx USING (item_id, pos)")
+@query(f"""WITH {TOKENS}, {BX}, ot AS (SELECT o_orderkey AS item, pos, token FROM orders JOIN tok ON item_id = o_orderkey % 40)
+SELECT item, pos, token, box, box IS NULL AS excluded FROM ot FULL JOIN bx USING (item, pos)""")
 def align_positional(spark, sf):
-    return R.align(*_tokens(spark, sf), "item_id")
+    """Every order is an item: its lines are boxes, and its tokens those of one of the 40 benchmark texts."""
+    tok = load(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 40).alias("item_id")).join(_tokens(spark, sf), "item_id").drop("item_id")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    bx = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), pos.alias("pos"), F.col("l_partkey").alias("box"))
+    return R.align(tok, bx, "item")
 
 
 @query(f"""WITH {TOKENS}, bx AS (SELECT l_suppkey % 40 AS item_id, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_partkey AS box
@@ -142,7 +141,7 @@ def align_positional(spark, sf):
 SELECT item_id, pos, coalesce(token, 'MISS') AS token, box, box IS NULL AS excluded FROM tok FULL JOIN bx USING (item_id, pos)""")
 def align_missing(spark, sf):
     """Whole items; the boxes of an item come from many orders, so that there are more of them than tokens."""
-    tok, _ = _tokens(spark, sf)
+    tok = _tokens(spark, sf)
     item = F.col("l_suppkey") % 40
     pos = F.row_number().over(Window.partitionBy(item).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     bx = load(spark, sf, "lineitem").select(item.alias("item_id"), pos.alias("pos"), F.col("l_partkey").alias("box"))
@@ -331,3 +330,57 @@ def nms_greedy(spark, sf):
 @query()
 def reading_order_full(spark, sf):
     return reading.full_order(_boxes(spark, sf).drop("score")).select("image", "idx", "reading_pos")
+
+
+# ---------------------------------------------------------------- points, rows
+
+_QUAD = "q AS (SELECT image, idx, x1 AS ax, y1 AS ay, x2 AS kx, y1 + idx AS ky, x2 - idx AS cx, y2 AS cy, x1 + 2 AS dx, y2 + 3 AS dy FROM b)"
+
+
+def _tri(a: str, b: str, c: str) -> str:
+    return f"abs({a}x * ({b}y - {c}y) + {b}x * ({c}y - {a}y) + {c}x * ({a}y - {b}y)) / 2"
+
+
+def _half(a: str, b: str, c: str) -> str:
+    return f"abs({_tri(a, b, c)} - {_tri('p', b, c)} - {_tri(a, 'p', c)} - {_tri(a, b, 'p')}) < 1e-6"
+
+
+@query(f"""WITH {BOXES}, {_QUAD}, p AS (SELECT image, idx AS pt, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py FROM b)
+SELECT image, pt, idx FROM p JOIN q USING (image) WHERE ({_half('a', 'k', 'c')}) OR ({_half('a', 'c', 'd')})""")
+def points_in_quads(spark, sf):
+    """Middles of boxes in slanted quadrangles made of the boxes of their image."""
+    b = _boxes(spark, sf)
+    x, y = G.Box.of().mid
+    p = b.select("image", F.col("idx").alias("pt"), x.alias("x"), y.alias("y"))
+    k = F.col("idx")
+    corners = ((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y1") + k), (F.col("x2") - k, F.col("y2")), (F.col("x1") + 2, F.col("y2") + 3))
+    q = b.select("image", "idx", *[c.alias(f"q{n}{i}") for i, xy in enumerate(corners, 1) for n, c in zip("xy", xy, strict=True)])
+    return B.points_in(p, q, "image").select("image", "pt", "idx")
+
+
+_PX = "greatest(least(a.x2, c.x2) - greatest(a.x1, c.x1) + 1, 0) * greatest(least(a.y2, c.y2) - greatest(a.y1, c.y1) + 1, 0)"
+
+
+@query(f"""WITH {BOXES}, {D} SELECT image, idx FROM d a WHERE NOT EXISTS (SELECT 1 FROM o c WHERE c.image = a.image
+  AND ({_PX} / ({AREA_A} + {AREA_C} - {_PX}) > 0.5 OR {_PX} / least({AREA_A}, {AREA_C}) > 0.5))""")
+def unseen_boxes(spark, sf):
+    """Boxes of one detector that the other one hasn't found as well."""
+    b = _boxes(spark, sf)
+    return B.unseen(b.where("idx % 2 = 1"), b.where("idx % 2 = 0")).select("image", "idx")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, (event_id * 53 % 1000)::DOUBLE AS l, (event_id * 37 % 400)::DOUBLE AS t, (event_id * 37 % 400 + 8 + event_id % 40)::DOUBLE AS b FROM events),
+f(user_id, n, rs, pl) AS (SELECT user_id, 0::BIGINT, []::STRUCT(t DOUBLE, b DOUBLE)[], []::BIGINT[] FROM c WHERE idx = 1
+  UNION ALL SELECT user_id, n + 1, CASE WHEN hit IS NULL THEN list_append(rs, {'t': t, 'b': b}) ELSE list_transform(rs, lambda r, i: CASE WHEN i = hit THEN {'t': least(r.t, t), 'b': greatest(r.b, b)} ELSE r END) END, list_append(pl, coalesce(hit, len(rs) + 1))
+  FROM (SELECT f.*, c.t, c.b, nullif(list_position(list_transform(rs, lambda r: abs(r.t - c.t) < greatest(8, (c.b - c.t) / 2)), true), 0) AS hit FROM f JOIN c ON c.user_id = f.user_id AND c.idx = f.n + 1)),
+d AS (SELECT user_id, rs, pl FROM f WHERE n = (SELECT max(idx) FROM c WHERE c.user_id = f.user_id)),
+p AS (SELECT user_id, unnest(range(1, len(pl) + 1)) AS idx, unnest(pl) AS pl, rs FROM d),
+r AS (SELECT c.*, len(list_filter(rs, lambda o, j: o.t < rs[pl].t OR (o.t = rs[pl].t AND j <= pl))) AS ro FROM p JOIN c USING (user_id, idx))
+SELECT user_id, idx, ro::INT AS "row", (row_number() OVER (PARTITION BY user_id, ro ORDER BY l, idx))::INT AS place FROM r""")
+def anchored_rows(spark, sf):
+    """Events of a user as chips on a page, grouped to rows in the order in which they came."""
+    k = F.col("event_id")
+    top = (k * 37 % 400).cast("double")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    chips = load(spark, sf, "events").select("user_id", idx.alias("idx"), (k * 53 % 1000).cast("double").alias("left"), top.alias("top"), (top + 8 + k % 40).alias("bottom"))
+    return B.anchored_rows(chips, "user_id").select("user_id", "idx", "row", "place")

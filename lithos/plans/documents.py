@@ -163,7 +163,7 @@ SELECT o_orderkey, t.fullkey AS path, t.atom->>'$' AS value FROM j, json_tree(j.
 def tree_leaves(spark, sf):
     s = lambda c: F.to_json(F.array(c))
     doc = F.concat(F.lit('{"a": {"k": ['), F.col("o_orderkey").cast("string"), F.lit(', '), F.substring(s("o_orderpriority"), F.lit(2), F.length(s("o_orderpriority")) - 2), F.lit(', null, {"c": '), s("o_orderstatus"), F.lit('}]}, "e": {}, "t": true, "n": '), F.col("o_custkey").cast("string"), F.lit("}"))
-    return load(spark, sf, "orders").select("o_orderkey", F.explode(N.tree_leaves(doc)).alias("l")).select("o_orderkey", "l.path", "l.value")
+    return N.tree_leaves(load(spark, sf, "orders").select("o_orderkey", doc.alias("doc")), "doc")
 
 
 # ---------------------------------------------------------------- fonts and files

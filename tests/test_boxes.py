@@ -136,3 +136,56 @@ def test_stream(spark, tmp_path):
         s = spark.readStream.schema("k int, seq int, v string").parquet(str(src))
         start_latest(s, str(tmp_path / "out"), str(tmp_path / "ck"), "k", ["seq"]).awaitTermination()
     assert {(r.k, r.v) for r in latest_table(spark, str(tmp_path / "out"), "k", ["seq"]).collect()} == {(1, "c"), (2, "b")}
+
+
+def test_boxes_meet_on_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for cell in (7.0, 64.0):
+        a, b = (np.concatenate([np.c_[xy, xy + wh], [[0, 0, 90, 90], [64, 64, 64, 64], [-20, -30, -7, 0], [14, 7, 3, 9]]]) for xy, wh in ((rng.integers(-50, 200, (60, 2)), rng.integers(0, 40, (60, 2))) for _ in range(2)))
+        mk = lambda m, p: spark.createDataFrame([(int(k % 2), k, *map(float, r)) for k, r in enumerate(m)] + [(0, 99, None, 0.0, 1.0, 1.0)], f"image int, {p} int, {p}_x1 double, {p}_y1 double, {p}_x2 double, {p}_y2 double")
+        got = sorted((r.a, r.b) for r in B.meeting(mk(a, "a"), mk(b, "b"), "image", "a_", "b_", cell).collect())
+        want = [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if i % 2 == j % 2 and p[0] <= p[2] and q[0] <= q[2] and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]]
+        assert got == want
+
+
+def test_a_crowded_image_is_joined_cell_by_cell(spark):
+    """30 000 boxes of one image: rows compared follow the pairs that meet, where all pairs would be 225 millions."""
+    n = 30_000
+    k = F.col("id")
+    x, y = (k * 7919 % 6000).cast("double"), (k * 104729 % 6000).cast("double")
+    boxes = spark.range(n).select(F.lit("i").alias("image"), k.cast("int").alias("idx"), x.alias("x1"), y.alias("y1"), (x + 10 + k % 40).alias("x2"), (y + 10 + k % 31).alias("y2"))
+    d, o = (B.prefixed(boxes.where(f"idx % 2 = {m}"), "image", "idx", p) for p, m in (("d", 1), ("o", 0)))
+    met = B.meeting(d, o, "image", "d_", "o_")
+    rows = boxes.toPandas().to_numpy()[:, 1:].astype(float)
+    a, b = rows[1::2], rows[0::2]
+    want = sum(int(((b[:, 1] <= r[3]) & (b[:, 3] >= r[1]) & (b[:, 2] <= r[4]) & (b[:, 4] >= r[2])).sum()) for r in a)
+    assert met.count() == want
+    cells = lambda m: np.concatenate([[(cx, cy) for cx in range(int(r[1] // B.CELL), int(r[3] // B.CELL) + 1) for cy in range(int(r[2] // B.CELL), int(r[4] // B.CELL) + 1)] for r in m])
+    compared = sum(np.unique(cells(a), axis=0, return_counts=True)[1].astype(float) ** 2)
+    assert compared < n * n / 4 / 200
+
+
+def test_points_quadrangles_and_unseen_boxes(spark):
+    p = spark.createDataFrame([("i", 5.0, 5.0, 1), ("i", 0.0, 0.0, 2), ("i", 9.0, 1.0, 3), ("j", 5.0, 5.0, 4), ("i", None, 1.0, 5)], "image string, x double, y double, k int")
+    q = spark.createDataFrame([("i", 0.0, 0.0, 10.0, 5.0, 10.0, 15.0, 0.0, 10.0, "q")], "image string, qx1 double, qy1 double, qx2 double, qy2 double, qx3 double, qy3 double, qx4 double, qy4 double, name string")
+    assert sorted((r.k, r.name) for r in B.points_in(p, q, "image").collect()) == [(1, "q"), (2, "q")]
+    mk = lambda rows: spark.createDataFrame([("i", k, *map(float, r)) for k, r in enumerate(rows)], BOX)
+    first = mk([(0, 0, 10, 10), (20, 0, 30, 10), (50, 50, 60, 60), (100, 0, 101, 1)])
+    assert [r.idx for r in B.unseen(first, mk([(1, 1, 10, 10), (24, 4, 26, 6), (57, 50, 67, 60), (101, 1, 102, 2)])).orderBy("idx").collect()] == [2]
+
+
+def test_anchored_rows(spark):
+    chips = [(1, 0.0, 10.0, 30.0), (2, 0.0, 18.0, 38.0), (3, 5.0, 1.0, 21.0), (4, 1.0, 11.5, 20.0), (5, 0.0, 60.0, 64.0), (6, 0.0, 53.0, 57.0), (7, 0.0, 46.0, 50.0)]
+    got = B.anchored_rows(spark.createDataFrame([("g", *c) for c in chips], "g string, idx int, left double, top double, bottom double"), "g").collect()
+    # the fourth is near the first row's own top, but that has moved up; the last is near the sixth, whose row took its top along
+    rows, at = [], {}
+    for i, _, top, bottom in chips:
+        hit = next((r for r in rows if abs(r[0] - top) < max(8, (bottom - top) / 2)), None)
+        if hit is None:
+            rows.append(hit := [top, []])
+        hit[0] = min(hit[0], top)
+        hit[1].append(i)
+    for n, r in enumerate(sorted(rows, key=lambda r: r[0]), 1):
+        for place, i in enumerate(sorted(r[1], key=lambda i: chips[i - 1][1]), 1):
+            at[i] = n, place
+    assert {r.idx: (r.row, r.place) for r in got} == at and len(rows) == 3

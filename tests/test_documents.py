@@ -72,7 +72,25 @@ def test_payload():
     assert C.payload_problem("crop", '{"crop": {"bbox": [1, 2, 3, 4]}}') == "crop" and C.payload_problem("boxes", "1") == "json"
 
 
+def plain_leaves(value, path="$"):
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in plain_leaves(v, f"{path}.{k}")]
+    if isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in plain_leaves(v, f"{path}[{i}]")]
+    return [(path, value if value is None or isinstance(value, str) else json.dumps(value))]
+
+
 def test_leaves(spark):
-    d = spark.createDataFrame([(1, '{"b": {"x": [1.5, [true, null]]}, "a": "q", "e": [], "o": {}}'), (2, None), (3, "7")], "i int, j string")
-    got = {r.i: [tuple(x) for x in r.l or []] for r in d.select("i", N.tree_leaves(F.col("j")).alias("l")).collect()}
-    assert got == {1: [("$.b.x[0]", "1.5"), ("$.b.x[1][0]", "true"), ("$.b.x[1][1]", None), ("$.a", "q")], 2: [], 3: [("$", "7")]}
+    texts = ['{"b": {"x": [1.5, [true, null]]}, "a": "q", "e": [], "o": {}}', None, "7", "null", "[]", '[[[[["deep"]]]], {"k[0].x": "}{[\\\\", "\\"]": "\\\\"}]', '{"漢": {"é": [[], {}, [{}], "\\u00e9", -0.5, 12345678901]}}']
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    got = {}
+    for r in N.tree_leaves(d, "j").collect():
+        got.setdefault(r.i, []).append((r.path, r.value))
+    want = {i: plain_leaves(json.loads(t)) for i, t in enumerate(texts) if t is not None}
+    assert {i: sorted(v, key=str) for i, v in got.items()} == {i: sorted(v, key=str) for i, v in want.items() if v}
+    assert [r.d for r in d.select(N.json_depth(F.col("j")).alias("d")).collect()] == [3, None, 0, 0, 1, 5, 4]
+    plan = N.tree_leaves(d, "j")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    for bad in ('{"a": {"b": 1, "b": 2}}', '{"a": '):
+        with pytest.raises(Exception):  # noqa: B017
+            N.tree_leaves(spark.createDataFrame([(1, bad)], "i int, j string"), "j").collect()
