@@ -1,21 +1,20 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 Each rule is a boolean expression that rejects a text. Costs and selectivities are measured on a
-sample; the next rule is always the one with the most rejections per second among what the rules before it
+sample of the rows that reach the rules, in one job; the next rule is always the one with the most rejections per second among what the rules before it
 leave, and a text that one rule rejects is not shown to the next. The verdict does not depend on the order.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample on which rules are measured, in expectation, and how often a timed rule sees each, so that
-#: a job's fixed time, which is taken off, doesn't hide the rule's.
-SAMPLE_ROWS, REPEATS = 1000, 5
+#: Rows that the sample is picked from, in expectation, how often a timed rule sees each, and from which time on it counts,
+#: when the code has been compiled.
+SAMPLE_ROWS, REPEATS, WARM = 1000, 6, 4
 
 #: The white space that ends a word, and symbols.
 SPACE, SYMBOLS = "\\x20\\x09-\\x0D", "#*$%&|<>"
@@ -103,33 +102,34 @@ def greedy(patterns: list[tuple[tuple[bool, ...], int]], cost: list[float]) -> l
     return out
 
 
+def base_failed() -> Column:
+    """Under 50 words, or over half of the words in repeated 3-word windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def order_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, key: str = "doc_id") -> list[Rule]:
-    """Rules in the order of ``greedy`` on a sample of about ``rows`` rows picked by a hash of the key
-    from the whole table; docs must have the columns of ``base_statistics``."""
+    """Rules in the order of ``greedy``, by their rejections and costs on the rows of a sample that don't fail the base rule, since only those
+    reach them. The sample is of about ``rows`` rows, picked by a hash of the key from the whole table; docs must have the
+    columns of ``base_statistics``. One job does it: the clock is read between the rules of each row."""
     rules = sorted(rules, key=lambda r: r.name)
-    total = docs.select(key).count()
-    share = min(1.0, rows / max(1, total))
+    if not rules:
+        return rules
+    share = min(1.0, rows / max(1, docs.select(key).count()))
     even = F.shiftrightunsigned(F.xxhash64(F.lit("rules"), F.col(key)), 11) / F.lit(float(1 << 53))
+    # kept, so that the statistics are columns and not expressions inside the filter and the rules
     sample = docs.where(even < share).persist()
-    try:
-        hit = [F.coalesce(r.rejects, F.lit(False)) for r in rules]
-        flags = [f"r{i}" for i in range(len(rules))]
-        patterns = [(tuple(r[:-1]), r[-1]) for r in sample.select(*[h.alias(f) for h, f in zip(hit, flags, strict=True)]).groupBy(*flags).count().collect()]
-        copies = sample.coalesce(1).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-        def seconds(rule: Column) -> float:
-            took = []
-            for _ in range(2):
-                began = time.perf_counter()
-                copies.agg(F.count_if(rule & (F.col("__copy") > 0))).collect()
-                took.append(time.perf_counter() - began)
-            return min(took)
-
-        idle = seconds(F.col("n_words") < 0)
-        cost = [max(seconds(h) - idle, 1e-4) for h in hit]
-    finally:
-        sample.unpersist()
-    return [rules[i] for i in greedy(patterns, cost)]
+    copies = sample.where(~base_failed()).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    clock = F.call_function("reflect", F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+    # fields of a struct are evaluated in order; the copy's number keeps a rule from being evaluated once for all copies
+    steps = [clock.alias("t0")]
+    for i, r in enumerate(rules):
+        steps += [(F.coalesce(r.rejects, F.lit(False)) & (F.col("__copy") > 0)).alias(f"r{i}"), clock.alias(f"t{i + 1}")]
+    timed = copies.select("__copy", F.struct(*steps).alias("m"))
+    spent = [F.sum(F.when(F.col("__copy") >= WARM, F.col(f"m.t{i + 1}") - F.col(f"m.t{i}")).otherwise(0)).alias(f"c{i}") for i in range(len(rules))]
+    seen = timed.groupBy(*[F.col(f"m.r{i}").alias(f"r{i}") for i in range(len(rules))]).agg(F.count_if(F.col("__copy") == 1).alias("n"), *spent).collect()
+    sample.unpersist()
+    cost = [max(float(sum(r[f"c{i}"] for r in seen)), 1.0) for i in range(len(rules))]
+    return [rules[i] for i in greedy([(tuple(r[: len(rules)]), r["n"]) for r in seen], cost)]
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -149,7 +149,5 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, key: str = "doc_id
     returned; other columns are ignored; an empty table gives an empty result."""
     base = base_statistics(docs.select(F.col(key), F.col(text).cast("string").alias("text")))
     rules = order_rules(base, default_rules() if rules is None else rules, key=key)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return base.select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.when(failed, F.lit("base")).otherwise(cascade(rules)).isNull()).alias("kept")
-    )
+    kept = F.when(base_failed(), F.lit(False)).otherwise(cascade(rules).isNull())
+    return base.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"))

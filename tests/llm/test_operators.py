@@ -120,6 +120,23 @@ def test_rules_are_ordered_by_what_is_left(spark, docs):
         assert names == base.where(~F.coalesce(quality.cascade(rules).isNotNull(), F.lit(False))).count()
 
 
+def test_rules_are_measured_on_rows_that_reach_them(spark):
+    """Rows that fail the base rule would give another order: one rule rejects most of them, but few of the others."""
+    long = " ".join(f"word{i} more{i}" for i in range(60))
+    rows = [(i, "too short zz") for i in range(300)] + [(300 + i, f"{long} {'yy' if i % 4 == 0 else 'zz' if i % 20 == 1 else 'n'}") for i in range(300)]
+    base = quality.base_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    rules = [quality.Rule(w, F.contains("text", F.lit(w))) for w in ("zz", "yy")]
+    assert [r.name for r in quality.order_rules(base, rules)] == ["yy", "zz"]
+    assert [r.name for r in quality.order_rules(base.withColumn("n_words", F.lit(99).cast("long")), rules)] == ["zz", "yy"]
+    assert {r.name for r in quality.order_rules(base.where("false"), rules)} == {"yy", "zz"}
+    assert quality.order_rules(base, []) == []
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rules", "rules")
+    quality.order_rules(base, quality.default_rules())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("rules")) <= 4
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
