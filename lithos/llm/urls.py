@@ -1,13 +1,14 @@
 """URL verdicts: listed rules first, else logistic regression on hashed character n-grams.
 
-The classifier is trained on the driver from a small labelled table of hosts and paths, made by a rule from
-common words.
+The classifier is trained on the driver, once a process, from a small labelled table of URLs that a rule makes of the words of
+some topics. Of a path only its words count, so the pages of a host have one verdict unless their words differ.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,37 +20,47 @@ from .tokens import U, SpanHasher, slices
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
 
-#: Words of unwanted hosts by class, words of others, and what stands beside either. ``labelled`` makes
-#: the table out of them.
+#: Words of unwanted pages and of others, by topic. ``labelled`` makes the table out of them.
 UNWANTED = {
-    "gambling": "casino poker bet bets betting slots lottery jackpot roulette spins bingo gambling",
-    "pills": "pills viagra cialis pharmacy meds steroids",
-    "ads": "ads adserver tracker tracking popup banner clicks pixel",
-    "adult": "adult xxx porn sex cams escort dating singles nude",
-    "scams": "prize winner payday loans doubler get-rich replica crack keygen warez phishing giveaway",
-    "farms": "spam linkfarm link-farm backlinks seo-links doorway autoblog content-farm",
+    "gambling": "casino poker betting slots lottery jackpot roulette spins bingo gambling bonus wager",
+    "pills": "pills viagra cialis pharmacy meds steroids dosage cheap generic prescription",
+    "adult": "adult porn xxx cams escort dating singles nude erotic hotties",
+    "scams": "prize winner payday loans doubler miracle millionaire giveaway riches claim",
+    "piracy": "warez crack keygen torrent nulled serial cracked unlocked",
+    "advertising": "adserver tracker popup banner clicks pixel popunder affiliate",
+    "farms": "spam backlinks linkbuilding doorway autoblog spinner clickbait replica",
 }
-WANTED = (
-    "news library garden university museum weather recipes history guide school travel science council hospital forum bank mountain theater novel maps football bakery orchestra wiki astronomy "
-    "reading teaching cooking nature nothing another mother weather thinking rather together there these those other nation station relation action question mention stone tower river house horse "
-    "north south water winter summer letter paper market street bridge castle island forest flower animal doctor nurse lawyer engineer builder painter singer writer player runner driver farmer "
-    "physics chemistry biology geology algebra poetry opera ballet sculpture ceramic textile harbor airport railway tram bicycle kitchen window door table lamp chair carpet mirror fabric cotton "
-    "wool silk linen bread cheese butter coffee tea honey sugar apple pear plum cherry grape lemon orange onion carrot potato tomato pepper garlic basil rosemary thyme"
-)
-BESIDE = ("", "best-{}", "{}-online", "my{}", "{}-world", "the-{}", "{}hub", "{}-4u", "top-{}", "city-{}", "{}-x", "royal-{}")
-PREFIXES, ENDS, PATHS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "example"), ("/", "/en/12", "/de/7/", "/fr/5.html", "/es/311", "/index", "/a/b")
-
-
-def labelled() -> list[tuple[str, int]]:
-    """A small labelled table: 1 marks unwanted hosts. Every word stands alone and in compounds; prefixes,
-    ends and paths go round alike for both labels, so they tell nothing."""
-    out = []
-    for label, words in ((1, " ".join(UNWANTED.values()).split()), (0, WANTED.split())):
-        for i, w in enumerate(words):
-            for j in range(6 if label else 3):
-                n = 7 * i + j
-                name = BESIDE[0 if j == 0 else 1 + n % (len(BESIDE) - 1)] or "{}"
-                out.append((f"http://{PREFIXES[(n + j) % 4]}{name.format(w)}.{ENDS[(n // 2 + j) % 4]}{PATHS[n % 7]}", label))
+WANTED = {
+    "learning": "university library school science history lecture course research museum archive",
+    "nature": "garden mountain river forest weather animal flower island botany climate",
+    "kitchen": "recipes cooking bakery bread coffee vegetable kitchen dinner cheese orange",
+    "arts": "theater orchestra painting poetry sculpture gallery concert novel ballet photography",
+    "trades": "engineer builder carpenter mechanic electrician farmer tailor plumber workshop tools",
+    "health": "hospital doctor nurse clinic dentist patient therapy medicine fitness wellness",
+    "town": "council station harbor bridge market street parking mayor district townhall",
+    "travel": "travel airport railway bicycle hotel tourism camping ferry passport guide",
+    "software": "software developer manual network database compiler server release tutorial github",
+    "news": "newspaper journal editor report weekly magazine opinion politics economy interview",
+}
+#: How words stand in hosts and paths, and ends of hosts.
+HOSTS = ("{0}.{e}", "{0}-{1}.{e}", "www.{0}{1}.{e}", "{1}.{0}.{e}", "the{0}.{e}", "my-{0}-{1}.{e}", "{0}online.{e}", "blog.{0}{1}.{e}")
+PATHS = ("/", "/{2}", "/{2}/{3}.html", "/{2}-{3}", "/{1}/{2}", "/page/{3}", "/{3}?id=7")
+ENDS = ("com", "net", "org", "info", "co.uk", "io", "example")
+
+
+def labelled(rounds: int = 3) -> list[tuple[str, int, tuple[str, ...]]]:
+    """A small labelled table: URL, 1 where it is unwanted, and the words that stand in it. A URL has up to four words of one topic; each word
+    comes first in ``rounds`` hosts. Hosts, ends and paths go round alike for both labels, so they tell nothing."""
+    out, n = [], 0
+    for label, topics in ((1, UNWANTED), (0, WANTED)):
+        for words in map(str.split, topics.values()):
+            for i, _ in enumerate(words):
+                for j in range(rounds):
+                    four = [words[(i + k * (j + 1) + k) % len(words)] for k in range(4)]
+                    form = HOSTS[n % len(HOSTS)].replace("{e}", ENDS[n // 2 % len(ENDS)]) + PATHS[n // 3 % len(PATHS)]
+                    used = tuple(w for k, w in enumerate(four) if f"{{{k}}}" in form)
+                    out.append((f"http://{form.format(*four)}", label, used))
+                    n += 1
     return out
 
 
@@ -112,19 +123,27 @@ class UrlModel:
 
 
 def marked(host: Column, path: Column) -> Column:
-    """Host and path as one string; digits of the path are one sign, so numbers don't tell pages apart."""
-    return F.concat(F.lit("^"), host, F.lit("$"), F.regexp_replace(path, "[0-9]", "0"), F.lit("$"))
+    """Host and the words of the path (four letters or more in a row, A-Z lower-cased, without ``html``) as one string."""
+    lower = F.translate(path, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.regexp_extract_all(lower, F.lit("[a-z]{4,}"), 0), lambda w: w != "html")
+    return F.concat(F.lit("^"), host, F.lit("$"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("/"), w)), ""), F.lit("$"))
 
 
 def _marked(url: str) -> str:
     host, slash, path = url.partition("://")[2].partition("/")
-    return f"^{host.lower()}${re.sub('[0-9]', '0', (slash + path).partition('?')[0].partition('#')[0])}$"
+    words = [w for w in re.findall("[a-z]{4,}", (slash + path).partition("?")[0].partition("#")[0].lower()) if w != "html"]
+    return f"^{host.lower()}${''.join('/' + w for w in words)}$"
+
+
+@cache
+def default_model() -> UrlModel:
+    """Trained on the whole of ``labelled``, once a process."""
+    return train_urls([(u, y) for u, y, _ in labelled()])
 
 
-def train_urls(table: list[tuple[str, int]] | None = None, steps: int = 1500) -> UrlModel:
+def train_urls(table: list[tuple[str, int]], steps: int = 1500) -> UrlModel:
     """Full-batch gradient descent with a ridge. An n-gram weighs less the more rows of the table hold
     it, so that what most hosts share tells little."""
-    table = labelled() if table is None else table
     x, t = _vectors(pa.array([_marked(u) for u, _ in table], pa.string())), np.array([y for _, y in table], float)
     rare = np.log1p(len(t) / np.maximum((x > 0).sum(0), 1)) ** 2 / 8
     x *= rare
@@ -161,7 +180,7 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], model: UrlModel | None =
     ``block`` where the model's score is ``least`` or more. A null url and one without :// have empty
     host and path, fit no rule and are allowed with score 0. Only key and url are read; repeated rows
     are each judged; an empty table gives an empty result."""
-    model = model or train_urls()
+    model = model or default_model()
     base = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("marked", marked(F.col("host"), F.col("path")))
 
