@@ -94,3 +94,17 @@ def extraction_summary(records: DataFrame, issues: DataFrame, number: str = "num
     rows = rows.unionByName(issues.where(F.size("errors") > 0).select(F.lit("i").alias("kind"), F.col(number).alias("number")))
     bad = F.col("kind") == "i"
     return rows.agg(F.count_if(F.col("kind") == "r").alias("valid"), F.count_distinct(F.when(bad, F.col("number"))).alias("invalid"), F.count_if(bad & F.col("number").isNull()).alias("unassigned"))
+
+
+def extraction_report(records: DataFrame, issues: DataFrame, missing: str, volume: str = "volume", number: str = "number") -> DataFrame:
+    """(volume, total, valid, invalid, invalid_numbers, missing_numbers, unassigned) of each volume of records(volume, …) and issues(volume, number, errors): distinct
+    numbers with errors, in order, those with an error that holds ``missing``, and errors without a number. Volumes without either are left out."""
+    bad = issues.where(F.size("errors") > 0).select(volume, F.col(number).alias("n"), F.exists("errors", lambda e: F.contains(e, F.lit(missing))).alias("lacks"))
+    rows = records.select(volume, F.lit(None).cast(issues.schema[number].dataType).alias("n"), F.lit(None).cast("boolean").alias("lacks")).unionByName(bad)
+    record = F.col("lacks").isNull()
+    out = rows.groupBy(volume).agg(
+        F.count_if(record).alias("valid"), F.array_sort(F.collect_set(F.when(~record, F.col("n")))).alias("invalid_numbers"),
+        F.array_sort(F.collect_set(F.when(F.col("lacks"), F.col("n")))).alias("missing_numbers"), F.count_if(~record & F.col("n").isNull()).alias("unassigned"),
+    )
+    invalid = F.size("invalid_numbers").cast("long")
+    return out.select(volume, (F.col("valid") + invalid).alias("total"), "valid", invalid.alias("invalid"), "invalid_numbers", "missing_numbers", "unassigned")

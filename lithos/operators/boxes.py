@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,22 +115,27 @@ def nms(boxes: DataFrame, least_iou: float = 0.2, before: int = NMS_BEFORE, afte
 
 
 def strips(images: DataFrame, group: str = "page", idx: str = "idx") -> DataFrame:
-    """Stacked strips of one picture merged: (group, x1, y1, x2, y2, scale, n). A strip joins the one group
-    whose sides and lower edge it meets within a point, at nearly the same scale."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[float]] = []
-        for r in pdf.sort_values(["y1", "x1", idx], kind="stable").itertuples():
-            near = [g for g in out if abs(g[0] - r.x1) <= STRIP_EDGE and abs(g[2] - r.x2) <= STRIP_EDGE and abs(g[3] - r.y1) <= STRIP_EDGE and abs(g[4] - r.scale) <= STRIP_SCALE * max(g[4], r.scale)]
-            if len(near) == 1:
-                g = near[0]
-                g[0], g[1], g[2], g[3], g[4], g[5] = min(g[0], r.x1), min(g[1], r.y1), max(g[2], r.x2), max(g[3], r.y2), max(g[4], r.scale), g[5] + 1
-            else:
-                out.append([r.x1, r.y1, r.x2, r.y2, r.scale, 1])
-        return pd.DataFrame([[key[0], *g] for g in out], columns=[group, "x1", "y1", "x2", "y2", "scale", "n"])
-
-    kind = images.schema[group].dataType.simpleString()
-    return images.groupBy(group).applyInPandas(run, f"`{group}` {kind}, x1 double, y1 double, x2 double, y2 double, scale double, n int")
+    """Stacked strips of one picture merged: (group, x1, y1, x2, y2, scale, n). From top to bottom, a strip joins the one group
+    whose sides and lower edge it meets within a point, at nearly its scale; where it fits none or several it opens one. The groups
+    so far are the state of a fold over a page's strips."""
+    named = ("x1", "y1", "x2", "y2", "scale")
+    items = F.array_sort(F.collect_list(F.struct("y1", "x1", F.col(idx).alias("i"), "x2", "y2", "scale")))
+    kind = "array<struct<x1:double,y1:double,x2:double,y2:double,scale:double,n:int>>"
+
+    def step(groups: Column, r: Column) -> Column:
+        close = lambda a, b: F.abs(a - b) <= STRIP_EDGE
+        fits = F.transform(groups, lambda g: close(g["x1"], r["x1"]) & close(g["x2"], r["x2"]) & close(g["y2"], r["y1"]) & (F.abs(g["scale"] - r["scale"]) <= STRIP_SCALE * r["scale"]))
+        one = F.struct(*[r[c].cast("double").alias(c) for c in named], F.lit(1).alias("n"))
+
+        def grown(g: Column) -> Column:
+            ends = [F.least(g["x1"], r["x1"]), F.least(g["y1"], r["y1"]), F.greatest(g["x2"], r["x2"]), F.greatest(g["y2"], r["y2"]), F.greatest(g["scale"], r["scale"])]
+            return F.struct(*[e.cast("double").alias(c) for e, c in zip(ends, named, strict=True)], (g["n"] + 1).alias("n"))
+
+        only = F.size(F.filter(fits, lambda f: f)) == 1
+        return F.when(only, F.transform(groups, lambda g, i: F.when(F.get(fits, i), grown(g)).otherwise(g))).otherwise(F.concat(groups, F.array(one)))
+
+    folded = images.groupBy(group).agg(items.alias("s")).select(group, F.explode(F.aggregate("s", F.expr(f"cast(array() as {kind})"), step)).alias("g"))
+    return folded.select(group, "g.*")
 
 
 def face_candidates(images: DataFrame, width: float = 60, height: float = 35, pixels: float = 150) -> DataFrame:

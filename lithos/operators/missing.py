@@ -24,53 +24,79 @@ def place(page, y):
 
 
 def inscriptions(lines: DataFrame, title: str, label: str, page_count: int) -> DataFrame:
-    """(volume, rec, ids, start, end): ids of the labelled line and of the lines of digits after it while the
-    value is empty or ends in / , or ;. An inscription ends where the next one starts."""
+    """(volume, rec, ids, start, end): ids of the first labelled line and of the lines of digits and separators after it while the
+    value is empty or ends in / , or ;, in order and with repeats. An inscription ends where the next one starts."""
     w = Window.partitionBy("volume").orderBy("line_no")
     seen = w.rowsBetween(Window.unboundedPreceding, 0)
     l = lines.withColumn("rec", F.sum(F.col("text").rlike(title).cast("int")).over(seen)).where("rec > 0")  # noqa: E741
     rec = Window.partitionBy("volume", "rec").orderBy("line_no")
     opens = F.col("text").rlike(label)
     l = l.withColumn("value", F.when(opens, F.regexp_replace("text", label, "")))  # noqa: E741
-    l = l.withColumn("digits", F.col("text").rlike("^\\s*[0-9][0-9\\s/,;.]*$"))  # noqa: E741
-    open_after = F.when(opens, F.trim("value").rlike("(^|[/,;])$")).when(F.col("digits"), F.trim("text").rlike("[/,;]$")).otherwise(F.lit(False))
+    l = l.withColumn("digits", F.col("text").rlike("^[0-9\\s/.,;–-]+$"))  # noqa: E741
+    # a line of white space leaves the value as it was
+    open_after = F.when(opens, F.rtrim("value").rlike("(^|[/,;])$")).when(F.col("digits"), F.rtrim("text").rlike("(^|[/,;])$")).otherwise(F.lit(False))
     l = l.withColumn("goes_on", open_after).withColumn("label_no", F.min(F.when(opens, F.col("line_no"))).over(Window.partitionBy("volume", "rec")))  # noqa: E741
     l = l.withColumn("before", F.lag("goes_on").over(rec))  # noqa: E741
     after = F.col("line_no") > F.col("label_no")
     stop = F.min(F.when(after & ~(F.col("digits") & F.coalesce("before", F.lit(False))), F.col("line_no"))).over(Window.partitionBy("volume", "rec"))
     part = l.withColumn("stop", stop).where((F.col("line_no") >= F.col("label_no")) & (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))))
     ids = part.groupBy("volume", "rec").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("value", "text").alias("t")))).alias("v"))
-    ids = ids.select("volume", "rec", F.array_distinct(F.transform(F.regexp_extract_all(F.array_join(F.transform("v", lambda x: x["t"]), " "), F.lit("[0-9]+"), 0), lambda i: normalize_key(i))).alias("ids"))
+    ids = ids.select("volume", "rec", F.transform(F.regexp_extract_all(F.array_join(F.transform("v", lambda x: x["t"]), " "), F.lit("[0-9]+"), 0), lambda i: normalize_key(i)).alias("ids"))
     spans = l.groupBy("volume", "rec").agg(F.min(F.struct("line_no", place(F.col("page_number"), F.col("y0")).alias("at"))).alias("s"))
     nxt = F.lead("start").over(Window.partitionBy("volume").orderBy("rec"))
     spans = spans.select("volume", "rec", F.col("s.at").alias("start")).withColumn("end", F.coalesce(nxt, F.lit((page_count + 1) * PAGE)))
     return spans.join(ids, ["volume", "rec"], "left").withColumn("ids", F.coalesce("ids", F.expr("cast(array() as array<string>)")))
 
 
-def plan(wanted: DataFrame, records: DataFrame, pictures: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def faces_of(records: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(volume, rec, pos, page, idx, …): pictures(volume, idx, page, y0, y1, …) in the records(volume, rec, start, end) that hold them, numbered
+    from 1 by their place. On its last page a picture must end above the next record."""
+    pics = pictures.withColumn("at", place(F.col("page"), F.col("y0")))
+    inside = interval_join(pics, records.select("volume", "rec", "start", "end"), "volume", PAGE)
+    if "y1" in pictures.columns:
+        inside = inside.where((F.col("page") < F.floor(F.col("end") / PAGE)) | (place(F.col("page"), F.col("y1")) <= F.col("end")))
+    return inside.withColumn("pos", F.row_number().over(Window.partitionBy("volume", "rec").orderBy("at", "idx"))).drop("at", "start", "end")
+
+
+def plan(wanted: DataFrame, records: DataFrame, pictures: DataFrame, overrides: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """(id, status, page, idx) for wanted(id), records of ``inscriptions`` and pictures(volume, idx, page, y0, …).
 
-    An id is planned if one record names it once and the record's pictures are as many as its ids: the
+    An id is planned if it stands in one record, whose ids differ from each other and are as many as its pictures: the
     pictures are taken in order. Otherwise it needs review; without any record it is not found. An
-    override(id, page, idx) wins. Pictures meet records by a binned interval join.
+    override(id, page, idx) wins. If ``errors`` has any row, a volume could not be read, so an id may stand there
+    too: what was planned needs review. Pictures meet records by a binned interval join.
     """
-    pics = pictures.withColumn("at", place(F.col("page"), F.col("y0")))
-    inside = interval_join(pics, records.select("volume", "rec", "start", "end"), "volume", PAGE)
-    inside = inside.withColumn("pos", F.row_number().over(Window.partitionBy("volume", "rec").orderBy("at", "idx")))
+    inside = faces_of(records, pictures)
     n = inside.groupBy("volume", "rec").agg(F.count("*").alias("n_pics"))
-    named = records.select("volume", "rec", F.size("ids").alias("n_ids"), F.posexplode("ids").alias("p", "id")).withColumn("pos", F.col("p") + 1)
-    opts = wanted.join(named, "id", "left").join(n, ["volume", "rec"], "left").join(inside.select("volume", "rec", "pos", "page", "idx"), ["volume", "rec", "pos"], "left")
-    opts = opts.withColumn("exact", (F.col("n_ids") == F.col("n_pics")))
-    out = opts.groupBy("id").agg(F.count("rec").alias("n"), F.min("exact").alias("exact"), F.min("page").alias("page"), F.min("idx").alias("idx"))
+    named = records.select("volume", "rec", (F.size("ids") == F.size(F.array_distinct("ids"))).alias("differ"), F.size("ids").alias("n_ids"), F.posexplode("ids").alias("p", "id")).withColumn("pos", F.col("p") + 1)
+    opts = wanted.select("id").distinct().join(named, "id", "left").join(n, ["volume", "rec"], "left").join(inside.select("volume", "rec", "pos", "page", "idx"), ["volume", "rec", "pos"], "left")
+    opts = opts.withColumn("exact", F.col("differ") & (F.col("n_ids") == F.col("n_pics")))
+    out = opts.groupBy("id").agg(F.count_distinct("volume", "rec").alias("n"), F.min("exact").alias("exact"), F.min("page").alias("page"), F.min("idx").alias("idx"))
     status = F.when(F.col("n") == 0, "not_found").when((F.col("n") == 1) & F.coalesce("exact", F.lit(False)), "planned").otherwise("needs_review")
     out = out.withColumn("status", status)
     if overrides is not None:
         o = overrides.select("id", F.col("page").alias("__p"), F.col("idx").alias("__i"))
         out = out.join(o, "id", "left").withColumn("status", F.when(F.col("__p").isNotNull(), "planned").otherwise(F.col("status"))).withColumn("page", F.coalesce("__p", "page")).withColumn("idx", F.coalesce("__i", "idx"))
+    if errors is not None:
+        some = errors.limit(1).agg((F.count("*") > 0).alias("__e"))  # one row
+        out = out.join(F.broadcast(some), F.lit(True)).withColumn("status", F.when(F.col("__e") & (F.col("status") == "planned"), "needs_review").otherwise(F.col("status")))
     ok = F.col("status") == "planned"
     return out.select("id", "status", F.when(ok, F.col("page")).alias("page"), F.when(ok, F.col("idx")).alias("idx"))
 
 
+def plan_record(ids: list[str], records: DataFrame, pictures: DataFrame, pages: tuple[int, int]) -> DataFrame:
+    """(id, page, idx) for a record whose pages are known: the pictures from the first to the last page are taken in order. As many as
+    the ids they must be; otherwise, or where no record names these ids in this order, it is an error."""
+    spark = records.sparkSession
+    named = records.where(F.col("ids") == F.array(*[F.lit(i) for i in ids])).agg(F.count("*").alias("n"))
+    here = pictures.where(F.col("page").between(*pages)).withColumn("pos", F.row_number().over(Window.orderBy("page", "y0", "idx")))
+    told = here.agg(F.count("*").alias("m")).join(named, F.lit(True)).select(
+        F.when(F.col("n") != 1, F.raise_error(F.concat(F.col("n").cast("string"), F.lit(" records have these ids")))).when(F.col("m") != len(ids), F.raise_error(F.concat(F.col("m").cast("string"), F.lit(" pictures")))).otherwise(F.lit(True)).alias("ok")
+    )
+    wanted = spark.createDataFrame(list(enumerate(ids, 1)), "pos int, id string")
+    return wanted.join(F.broadcast(told), F.col("ok")).join(here, "pos").select("id", "page", "idx")
+
+
 #: Statuses of candidates, the one that counts first.
 STATUS_ORDER = ("needs_review", "extracted", "planned", "already_exists", "not_found")
 

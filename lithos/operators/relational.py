@@ -117,6 +117,14 @@ def islands(df: DataFrame, group: str, number: str) -> DataFrame:
     return d.withColumn("__r", run).groupBy(group, "__r").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("length")).drop("__r")
 
 
+def ranges_text(df: DataFrame, group: str, number: str, most: int = 4) -> DataFrame:
+    """(group, ranges): the runs of a group's distinct numbers in words, like ``1–3, 7``; of more than ``most`` runs the first and last two."""
+    runs = islands(df, group, number).withColumn("t", F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat(F.col("first").cast("string"), F.lit("–"), F.col("last").cast("string"))))
+    parts = runs.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda x: x["t"]).alias("p"))
+    short = F.concat(F.slice("p", 1, 2), F.array(F.lit("…")), F.slice("p", -2, 2))
+    return parts.select(group, F.array_join(F.when(F.size("p") > most, short).otherwise(F.col("p")), ", ").alias("ranges"))
+
+
 def assign_range(df: DataFrame, group: str, selected: str, order: list[Column], start: str, current: str) -> DataFrame:
     """Selected rows get start, start + 1, …; conflict marks new orders that unselected rows hold."""
     w = Window.partitionBy(group, selected).orderBy(*order)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import analytics as A
+from ..operators import boxes as B
 from ..operators import display as D
+from ..operators import missing as M
+from ..operators import relational as R
+from ..operators import validate as V
 from .corpus import load
 
 QUERIES: dict = {}
@@ -62,3 +67,172 @@ def glyph_runs(spark, sf):
     runs = texts(_RUNS).withColumn("codes", code).withColumnRenamed("id", "run")
     spans = texts(_SPANS).select("page", "name", F.col("id").alias("span"), F.posexplode(code).alias("pos", "code"), (F.col("x") + _STEP * F.col("pos")).alias("x"), "y")
     return D.assign_fonts(spans, runs, runs.select("page", "name", "font")).select("page", "span", "pos", "font")
+
+
+#: Content of a page: an array of two groups, a run of half a code, a plain run, and one of a font that isn't listed.
+_STREAM = "'q 1 0 0 1 ' || p_size || '.5 ' || p_partkey % 90 || '. Tm' || chr(10) || '/F' || p_partkey % 3 || ' 9 Tf [<00' || 41 + p_partkey % 8 || '>-20 <0042 0043>] TJ 1 0 0 1 5 7 Tm /F1 9 Tf <004> Tj -1 0 0 1 .5 -7 Tm /F' || p_partkey % 4 || ' 8.5 Tf <0' || p_partkey % 10 || '44> Tj'"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS page, {_STREAM} AS c FROM part),
+n AS (SELECT page, '([+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+))' AS num, c FROM s),
+r AS (SELECT page, unnest(regexp_extract_all(c, '(?s)' || num || '\\s+' || num || '\\s+Tm\\s+/([^\\s/]+)\\s+[0-9.]+\\s+Tf\\s+(\\[.*?\\]\\s*TJ|<[0-9A-Fa-f\\s]+>\\s*Tj)')) AS m, num FROM n),
+g AS (SELECT page, regexp_extract(m, num || '\\s+' || num || '\\s+Tm', 1)::DOUBLE AS x, regexp_extract(m, num || '\\s+' || num || '\\s+Tm', 2)::DOUBLE AS y, regexp_extract(m, '/([^\\s/]+)', 1) AS res,
+  regexp_replace(array_to_string(regexp_extract_all(regexp_extract(m, '(?s)Tf(.*)', 1), '<([^>]*)>', 1), ''), '\\s', '', 'g') AS h FROM r)
+SELECT page, x, y, 'Base' AS name, res AS font, array_to_string(list_transform(range(len(h) // 4), lambda i: (('0x' || h[i * 4 + 1:i * 4 + 4])::INT)::VARCHAR), ',') AS codes FROM g WHERE len(h) > 0 AND len(h) % 4 = 0 AND res IN ('F0', 'F1', 'F2')""")
+def stream_runs(spark, sf):
+    """Runs of the text operators of made-up page contents, for the three listed fonts of each page."""
+    part = load(spark, sf, "part")
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    content = F.concat(
+        F.lit("q 1 0 0 1 "), text(F.col("p_size")), F.lit(".5 "), text(k % 90), F.lit(". Tm\n/F"), text(k % 3), F.lit(" 9 Tf [<00"), text(41 + k % 8), F.lit(">-20 <0042 0043>] TJ 1 0 0 1 5 7 Tm /F1 9 Tf <004> Tj -1 0 0 1 .5 -7 Tm /F"),
+        text(k % 4), F.lit(" 8.5 Tf <0"), text(k % 10), F.lit("44> Tj"),
+    )
+    fonts = part.select(k.alias("page"), F.explode(F.array(*[F.lit(f"F{i}") for i in range(3)])).alias("resource")).select("page", "resource", F.lit("Base").alias("name"), F.col("resource").alias("font"))
+    runs = D.font_runs(part.select(k.alias("page"), content.alias("content")), fonts)
+    return runs.select("page", "x", "y", "name", "font", F.array_join(F.transform("codes", text), ",").alias("codes"))
+
+
+@query("""WITH b AS (SELECT p_partkey % 40 AS page, 'ABCDEF+' || p_name || (CASE WHEN p_partkey % 3 = 0 THEN '-Bold' ELSE '' END) AS base FROM part GROUP BY ALL), f AS (SELECT p_partkey % 40 AS page, upper(p_name) || (CASE WHEN p_partkey % 5 = 0 THEN ' Bold MT' ELSE '' END) AS font FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL),
+k AS (SELECT b.page, base, font, regexp_replace(lower(substr(base, 8)), '[^\\p{L}\\p{N}]', '', 'g') AS x, regexp_replace(lower(font), '[^\\p{L}\\p{N}]', '', 'g') AS y FROM b LEFT JOIN f USING (page)),
+m AS (SELECT *, CASE WHEN x = y THEN 1000000 WHEN starts_with(x, y) OR starts_with(y, x) THEN least(length(x), length(y)) END AS s FROM k),
+t AS (SELECT page, base, max(s) AS s FROM m GROUP BY 1, 2)
+SELECT page, base, CASE WHEN count(DISTINCT font) = 1 THEN min(font) END AS font FROM t LEFT JOIN m USING (page, base, s) GROUP BY 1, 2""")
+def page_fonts(spark, sf):
+    """The font of a page that a base name of it means."""
+    k, part = F.col("p_partkey"), load(spark, sf, "part")
+    bases = part.select((k % 40).alias("page"), F.concat(F.lit("ABCDEF+"), "p_name", F.when(k % 3 == 0, "-Bold").otherwise("")).alias("base")).distinct()
+    fonts = part.where(k % 2 == 0).select((k % 40).alias("page"), F.concat(F.upper("p_name"), F.when(k % 5 == 0, " Bold MT").otherwise("")).alias("font")).distinct()
+    return D.font_of_page(bases, fonts)
+
+
+# ---------------------------------------------------------------- pictures of a volume
+
+_IMG = """i AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS idx, l_partkey % 2 AS s, (l_partkey % 2 * 200 + l_suppkey % 3 * 0.75)::DOUBLE AS x1, l_partkey % 2 * 200 + 180 + l_suppkey % 3 * 0.75::DOUBLE AS x2,
+  2 + l_suppkey % 9 * 0.015625::DOUBLE AS scale FROM lineitem),
+c AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY idx * 50 - s * 50 - idx % 3 * 0.5, x1, idx) AS n, x1, (idx * 50 - s * 50 - idx % 3 * 0.5)::DOUBLE AS y1, x2, (idx * 50 + 50 - s * 50)::DOUBLE AS y2, scale FROM i)"""
+
+
+@query(f"""WITH RECURSIVE {_IMG},
+f(page, k, g) AS (SELECT page, 0::BIGINT, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, scale DOUBLE, n INT)[] FROM c WHERE n = 1
+  UNION ALL SELECT page, k + 1, CASE WHEN len(list_filter(hit, lambda h: h)) = 1
+    THEN list_transform(g, lambda o, j: CASE WHEN hit[j] THEN {{'x1': least(o.x1, x1), 'y1': least(o.y1, y1), 'x2': greatest(o.x2, x2), 'y2': greatest(o.y2, y2), 'scale': greatest(o.scale, scale), 'n': o.n + 1}} ELSE o END)
+    ELSE list_append(g, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'scale': scale, 'n': 1}}) END
+  FROM (SELECT f.*, c.* EXCLUDE (page, n), list_transform(g, lambda o: abs(o.x1 - c.x1) <= 1 AND abs(o.x2 - c.x2) <= 1 AND abs(o.y2 - c.y1) <= 1 AND abs(o.scale - c.scale) <= 0.03 * c.scale) AS hit FROM f JOIN c ON c.page = f.page AND c.n = f.k + 1)),
+d AS (SELECT page, unnest(g) AS o FROM f WHERE k = (SELECT max(n) FROM c WHERE c.page = f.page)) SELECT page, o.x1 AS x1, o.y1 AS y1, o.x2 AS x2, o.y2 AS y2, o.scale AS scale, o.n AS n FROM d""")
+def face_strips(spark, sf):
+    """Strips in two stacks a page, some a little off, as pictures."""
+    idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    stack, off = F.col("l_partkey") % 2, F.col("l_suppkey") % 3 * 0.75
+    i = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), idx.alias("idx"), (stack * 200 + off).cast("double").alias("x1"), (stack * 200 + 180 + off).cast("double").alias("x2"), stack.alias("s"), (2 + F.col("l_suppkey") % 9 * 0.015625).alias("scale"))
+    y1, y2 = F.col("idx") * 50 - F.col("s") * 50 - F.col("idx") % 3 * 0.5, F.col("idx") * 50 + 50 - F.col("s") * 50
+    return B.strips(i.withColumn("y1", y1.cast("double")).withColumn("y2", y2.cast("double")))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+r AS (SELECT '00' || k AS id FROM c UNION ALL SELECT ' ' || n FROM c UNION ALL SELECT '' FROM c UNION ALL SELECT 'A0' || k % 50 FROM c UNION ALL SELECT (k * 3)::VARCHAR || ' ' FROM c),
+z AS (SELECT DISTINCT CASE WHEN regexp_full_match(trim(id), '[0-9]+') THEN (trim(id)::HUGEINT)::VARCHAR ELSE trim(id) END AS id FROM r WHERE trim(id) <> '')
+SELECT id, id IN (SELECT o_custkey::VARCHAR FROM orders) AS found FROM z""")
+def requested_ids(spark, sf):
+    """Ids that a report names, at its top and in its groups, and whether the volumes have them."""
+    k = F.col("c_custkey")
+    s = lambda c: c.cast("string")
+    groups = F.array(F.struct(F.array(F.lit(""), F.concat(F.lit("A0"), s(k % 50))).alias("missing_ids")), F.struct(F.array(F.concat(s(k * 3), F.lit(" "))).alias("missing_ids")))
+    report = load(spark, sf, "customer").select(F.array(F.concat(F.lit("00"), s(k)), F.concat(F.lit(" "), s(F.col("c_nationkey")))).alias("missing_ids"), groups.alias("groups"))
+    wanted = M.requested(report)
+    there = wanted.intersect(load(spark, sf, "orders").select(s(F.col("o_custkey")).alias("id")))
+    return wanted.join(there.withColumn("found", F.lit(True)), "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+#: Lines of a record by its key modulo 5, and the ids that they name.
+_LINES = {0: ("{k} / 0{k}1", "99"), 1: ("", "   ", "7, {k}", "9"), 2: ("5 /", "{k}–2 ;", " 004.", "8"), 3: ("3, ", "{k}; x", "1"), 4: ("{k},{k}", "2")}
+_IDS = {0: ("{k}", "{k}1"), 1: ("7", "{k}"), 2: ("5", "{k}", "2", "4"), 3: ("3",), 4: ("{k}", "{k}")}
+
+
+def _case(of: dict, item) -> str:
+    return "CASE k % 5 " + " ".join(f"WHEN {n} THEN [{', '.join(item(t) for t in parts)}]" for n, parts in of.items()) + " END"
+
+
+def _sql_text(t: str) -> str:
+    return "('" + t.replace("{k}", "' || k || '") + "')::HUGEINT::VARCHAR"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, 'V' || o_custkey % 20 AS volume, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS rec FROM orders)
+SELECT volume, rec, array_to_string({_case(_IDS, _sql_text)}, ',') AS ids, rec * 1000000::BIGINT + 1000 AS "start", CASE WHEN rec = max(rec) OVER (PARTITION BY volume) THEN 100001 * 1000000::BIGINT ELSE (rec + 1) * 1000000::BIGINT + 1000 END AS "end" FROM o""")
+def inscription_ids(spark, sf):
+    """Ids and places of records, from the lines of volumes; ids go on in lines of digits while the value is open."""
+    k = F.col("o_orderkey")
+    o = load(spark, sf, "orders").select(k.alias("k"), F.concat(F.lit("V"), (F.col("o_custkey") % 20).cast("string")).alias("volume"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey")).alias("page_number"))
+    text = lambda t: F.concat(*[x for i, part in enumerate(t.split("{k}")) for x in ((F.col("k").cast("string"),) if i else ()) + ((F.lit(part),) if part else ())] or [F.lit("")])
+    own = F.array()
+    for n, parts in _LINES.items():
+        own = F.when(F.col("k") % 5 == n, F.array(F.concat(F.lit("Ids: "), text(parts[0])), *[text(t) for t in parts[1:]])).otherwise(own.cast("array<string>"))
+    lines = F.concat(F.array(F.concat(F.lit("BIA "), F.col("k").cast("string")), F.lit("12 / 13")), own, F.array(F.lit("end"), F.lit("Ids: 1000")))
+    rows = o.select("volume", "page_number", F.posexplode(lines).alias("n", "text"))
+    rows = rows.select("volume", "page_number", (F.col("page_number") * 100 + F.col("n")).alias("line_no"), (10.0 + F.col("n")).alias("y0"), "text")
+    got = M.inscriptions(rows, "^BIA [0-9]+$", "^Ids: ", 100_000)
+    return got.select("volume", "rec", F.array_join("ids", ",").alias("ids"), "start", "end")
+
+
+_PLAN = """o AS (SELECT o_orderkey AS k, o_orderkey % 10 AS volume, row_number() OVER (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey) AS rec FROM orders),
+n AS (SELECT volume, rec, unnest(CASE WHEN k % 7 = 0 THEN [k, k] WHEN k % 11 = 0 THEN [k, k + 22] ELSE [k, k + 10000000] END)::VARCHAR AS id, generate_subscripts([1, 2], 1) AS pos, k % 7 > 0 AS differ FROM o),
+p AS (SELECT volume, rec, row_number() OVER (PARTITION BY volume, rec ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, rec AS page, l_linenumber::INT AS idx FROM lineitem JOIN o ON k = l_orderkey WHERE l_linenumber <= 3 AND l_quantity < 40),
+c AS (SELECT volume, rec, count(*) AS m FROM p GROUP BY 1, 2),
+w AS (SELECT DISTINCT (k + (k % 3) * 5000000)::VARCHAR AS id FROM o),
+a AS (SELECT w.id, count(DISTINCT n.volume * 1000000 + n.rec) AS hits, min(CASE WHEN differ AND m = 2 THEN 1 ELSE 0 END) AS exact, min(page) AS page, min(idx) AS idx FROM w LEFT JOIN n USING (id) LEFT JOIN c USING (volume, rec) LEFT JOIN p USING (volume, rec, pos) GROUP BY 1),
+s AS (SELECT id, CASE WHEN id::BIGINT % 13 = 0 THEN 'planned' WHEN hits = 0 THEN 'not_found' WHEN hits = 1 AND exact = 1 THEN 'planned' ELSE 'needs_review' END AS status, CASE WHEN id::BIGINT % 13 = 0 THEN 5 ELSE page END AS page, CASE WHEN id::BIGINT % 13 = 0 THEN 1 ELSE idx END AS idx FROM a)"""
+
+
+@query(f"""WITH {_PLAN} SELECT id, status, CASE WHEN status = 'planned' THEN page END AS page, CASE WHEN status = 'planned' THEN idx END AS idx, false AS unread FROM s
+UNION ALL SELECT id, CASE WHEN status = 'planned' THEN 'needs_review' ELSE status END, NULL, NULL, true FROM s""")
+def picture_plan(spark, sf):
+    """Pictures for wanted ids, with overrides, once when all volumes were read and once when one was not."""
+    k = F.col("o_orderkey")
+    o = load(spark, sf, "orders").select(k.alias("k"), (k % 10).alias("volume"), F.row_number().over(Window.partitionBy(k % 10).orderBy(k)).alias("rec"))
+    key = F.col("k")
+    ids = F.when(key % 7 == 0, F.array(key, key)).when(key % 11 == 0, F.array(key, key + 22)).otherwise(F.array(key, key + 10_000_000))
+    start = (F.col("rec") * M.PAGE).cast("long")
+    records = o.select("volume", "rec", F.transform(ids, lambda i: i.cast("string")).alias("ids"), start.alias("start"), (start + M.PAGE).alias("end"))
+    line = load(spark, sf, "lineitem").where("l_linenumber <= 3 AND l_quantity < 40").join(o, F.col("l_orderkey") == key)
+    # ties of a line number are told apart by their height
+    y = F.col("l_linenumber") * 100 + F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    pics = line.select("volume", F.col("l_linenumber").cast("int").alias("idx"), F.col("rec").alias("page"), y.cast("double").alias("y0"), (y + 9).cast("double").alias("y1"))
+    wanted = o.select((key + key % 3 * 5_000_000).cast("string").alias("id"))
+    over = wanted.distinct().where(F.col("id").cast("long") % 13 == 0).select("id", F.lit(5).alias("page"), F.lit(1).alias("idx"))
+    none, some = spark.createDataFrame([], "error string"), load(spark, sf, "nation").select(F.col("n_name").alias("error"))
+    both = [M.plan(wanted, records, pics, over, e).withColumn("unread", F.lit(u)) for e, u in ((none, False), (some, True))]
+    return both[0].unionByName(both[1])
+
+
+# ---------------------------------------------------------------- orders and reports
+
+
+@query("""WITH g AS (SELECT l_orderkey AS k, list(l_linenumber::INT) AS l FROM lineitem GROUP BY 1), o AS (SELECT k, l, CASE WHEN k % 5 = 0 THEN list_append(l[2:], l[2]) WHEN k % 7 = 0 THEN l[2:] ELSE list_reverse(l) END AS p FROM (SELECT k, list_sort(l) AS l FROM g))
+SELECT k AS o_orderkey, list_sort(p) = l AS ok FROM o""")
+def order_permutation(spark, sf):
+    """Whether an order of boxes is a permutation of them: some lack one, some repeat another instead."""
+    g = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("int"))).alias("l"))
+    k, l = F.col("o_orderkey"), F.col("l")  # noqa: E741
+    rest = F.expr("slice(l, 2, greatest(size(l) - 1, 0))")
+    p = F.when(k % 5 == 0, F.concat(rest, F.array(F.get(l, F.lit(1))))).when(k % 7 == 0, rest).otherwise(F.reverse(l))
+    return g.select("o_orderkey", V.permutation_ok(p, l).alias("ok"))
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, event_id * 7 % 60 AS n FROM events), r AS (SELECT user_id, n, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS g FROM d),
+i AS (SELECT user_id, min(n) AS a, CASE WHEN min(n) = max(n) THEN min(n)::VARCHAR ELSE min(n) || '–' || max(n) END AS t FROM r GROUP BY user_id, g), l AS (SELECT user_id, list(t ORDER BY a) AS p FROM i GROUP BY 1)
+SELECT user_id, array_to_string(CASE WHEN len(p) > 4 THEN p[1:2] || ['…'] || p[-2:] ELSE p END, ', ') AS ranges FROM l""")
+def conflict_ranges(spark, sf):
+    return R.ranges_text(load(spark, sf, "events").select("user_id", (F.col("event_id") * 7 % 60).alias("n")), "user_id", "n")
+
+
+@query("""WITH e AS (SELECT user_id % 12 AS volume, event_id % 40 AS n, event_id % 5 AS c FROM events), b AS (SELECT volume, nullif(n, 7) AS n, c = 1 AS lacks FROM e WHERE c IN (1, 2))
+SELECT volume, count(*) FILTER (c = 0) + any_value(invalid) AS total, count(*) FILTER (c = 0) AS valid, any_value(invalid) AS invalid, any_value(i) AS invalid_numbers, any_value(l) AS missing_numbers, any_value(u) AS unassigned FROM e JOIN
+(SELECT volume, count(DISTINCT n) AS invalid, array_to_string(list_sort(list(DISTINCT n) FILTER (n IS NOT NULL)), ',') AS i, coalesce(array_to_string(list_sort(list(DISTINCT n) FILTER (lacks AND n IS NOT NULL)), ','), '') AS l, count(*) FILTER (n IS NULL) AS u FROM b GROUP BY 1) USING (volume) GROUP BY 1""")
+def extraction_report(spark, sf):
+    """Of each volume the numbers with errors and those that lack a section; c = 3 has warnings only."""
+    e = load(spark, sf, "events").select((F.col("user_id") % 12).alias("volume"), (F.col("event_id") % 40).alias("n"), (F.col("event_id") % 5).alias("c"))
+    errors = F.when(F.col("c") == 1, F.array(F.lit("no face"), F.lit("lacks Text"))).when(F.col("c") == 2, F.array(F.lit("no face"))).otherwise(F.expr("cast(array() as array<string>)"))
+    issues = e.where("c IN (1, 2, 3)").select("volume", F.nullif("n", F.lit(7)).alias("number"), errors.alias("errors"))
+    out = A.extraction_report(e.where("c = 0"), issues, "lacks Text")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("volume", "total", "valid", "invalid", text("invalid_numbers"), text("missing_numbers"), "unassigned")

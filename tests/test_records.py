@@ -155,3 +155,33 @@ def test_decades(spark):
     assert [(r.decade_start, r["count"]) for r in A.decades(d).orderBy("decade_start").collect()] == [(1620, 1), (1630, 0), (1640, 0), (1650, 1)]
     y = A.with_years(spark.createDataFrame([("1628 1700",), ("x",)], "t string"), "t", "exclude").collect()
     assert [(r.status, r.year) for r in y] == [("multiple_years", None), ("missing_year", None)]
+
+
+def test_planner_odds(spark):
+    """Repeated ids, unread volumes, pictures that reach into the next record, ids that go on after blank lines, and a record whose pages are known."""
+    text = ["BIA 1", "Ký hiệu:", "  ", "7, 7 ;", "x", "Ký hiệu: 99", "BIA 2", "Ký hiệu: 8 –", "9"]
+    l = spark.createDataFrame([(1, i, t, 1 + (i > 5), 50.0 + i) for i, t in enumerate(text)], "volume int, line_no int, text string, page_number int, y0 double")  # noqa: E741
+    records = M.inscriptions(l, "^BIA [0-9]+$", "^Ký hiệu: ?", 3)
+    assert {r.rec: r.ids for r in records.collect()} == {1: ["7", "7"], 2: ["8"]}
+    pics = spark.createDataFrame([(1, 1, 1, 60.0, 70.0), (1, 2, 1, 80.0, 90.0), (1, 3, 2, 10.0, 56.5), (1, 4, 2, 57.0, 99.0)], "volume int, idx int, page int, y0 double, y1 double")
+    assert sorted((r.rec, r.pos, r.idx) for r in M.faces_of(records, pics).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 4)]
+    want = spark.createDataFrame([("7",), ("8",), ("8",), ("5",)], "id string")
+    plan = lambda **more: {r.id: (r.status, r.idx) for r in M.plan(want, records, pics, **more).collect()}
+    assert plan() == {"7": ("needs_review", None), "8": ("planned", 4), "5": ("not_found", None)}
+    errors = spark.createDataFrame([("tap_4",)], "config string")
+    over = spark.createDataFrame([("5", 9, 2)], "id string, page int, idx int")
+    assert plan(errors=errors.where("false"), overrides=over)["5"] == ("planned", 2)
+    assert plan(errors=errors, overrides=over) == {"7": ("needs_review", None), "8": ("needs_review", None), "5": ("needs_review", None)}
+    assert sorted(map(tuple, M.plan_record(["7", "7"], records, pics, (1, 1)).collect())) == [("7", 1, 1), ("7", 1, 2)]
+    for ids, pages, why in ((["7", "7"], (1, 2), "4 pictures"), (["1"], (1, 1), "0 records")):
+        with pytest.raises(Exception, match=why):
+            M.plan_record(ids, records, pics, pages).collect()
+
+
+def test_ranges_and_report(spark):
+    d = spark.createDataFrame([("a", n) for n in (3, 1, 2, 7, 7)] + [("b", n) for n in (1, 3, 5, 6, 9, 11)] + [("c", n) for n in (1, 3, 5, 8)], "g string, n int")
+    assert {r.g: r.ranges for r in R.ranges_text(d, "g", "n").collect()} == {"a": "1–3, 7", "b": "1, 3, …, 9, 11", "c": "1, 3, 5, 8"}
+    records = spark.createDataFrame([("v",), ("v",), ("w",)], "volume string")
+    issues = spark.createDataFrame([("v", 5, ["lacks Text"]), ("v", 5, ["other"]), ("v", 2, ["other", "it lacks Text here"]), ("v", None, ["lacks Text"]), ("v", 9, []), ("u", 1, ["x"])], "volume string, number int, errors array<string>")
+    got = {r.volume: tuple(r)[1:] for r in A.extraction_report(records, issues, "lacks Text").collect()}
+    assert got == {"v": (4, 2, 2, [2, 5], [2, 5], 1), "w": (1, 1, 0, [], [], 0), "u": (1, 0, 1, [1], [], 0)}
