@@ -22,7 +22,7 @@ from .store import cut
 #: Fixed value: consecutive nodes that have one parent.
 ARITY = 16
 #: Levels by which the region in which a frontier meets grows each round.
-RISE = 6
+RISE = 3
 #: Rows of one batch that a task emits.
 EMIT = 4096
 
