@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import alignment as L
 from ..operators import analytics as A
 from ..operators import boxes as B
 from ..operators import display as D
@@ -236,3 +237,81 @@ def extraction_report(spark, sf):
     out = A.extraction_report(e.where("c = 0"), issues, "lacks Text")
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("volume", "total", "valid", "invalid", text("invalid_numbers"), text("missing_numbers"), "unassigned")
+
+
+# ---------------------------------------------------------------- alignment
+
+#: Orders as documents: their lines are boxes. By the key modulo 8 the alignment before is the same, in another order, of other signs, without ids, or of a text that
+#: lacks signs or has too many.
+_ALIGN = """b AS (SELECT l_orderkey AS k, l_orderkey % 8 AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, chr((65 + l_suppkey % 6)::INT) AS sign FROM lineitem),
+g AS (SELECT k, m, count(*) AS n, list(sign ORDER BY pos) AS signs FROM b GROUP BY 1, 2),
+d AS (SELECT k, m, n, CASE m WHEN 4 THEN signs[:-2] WHEN 5 THEN signs || ['X', 'Y'] WHEN 6 THEN signs || ['X', 'Y'] WHEN 7 THEN signs || ['Z'] WHEN 2 THEN signs[2:] || ['Q'] ELSE signs END AS chars,
+  CASE m WHEN 4 THEN 'missing_text' WHEN 5 THEN 'extra_text' WHEN 6 THEN 'extra_text' WHEN 7 THEN 'other' END AS kind, CASE WHEN m IN (5, 6) THEN ['X', 'Y'] ELSE []::VARCHAR[] END AS excluded, CASE m WHEN 5 THEN ['e1', 'e2'] ELSE []::VARCHAR[] END AS extra FROM g),
+o AS (SELECT b.k, b.m, pos, CASE WHEN b.m = 1 THEN n + 1 - pos ELSE pos END AS was, CASE WHEN b.m = 4 AND pos = n THEN 'MISS' ELSE sign END AS token, CASE WHEN b.m = 3 AND pos = 1 THEN NULL ELSE 't' || pos END AS id FROM b JOIN g USING (k)),
+h AS (SELECT k, count(*) FILTER (pos = was) AS same, count(id) AS ids, list(token) FILTER (token <> 'MISS') AS held FROM o GROUP BY 1),
+s AS (SELECT d.*, same = n AND list_sort(coalesce(held, []::VARCHAR[]) || excluded) = list_sort(chars) AS keep, ids = n AND len(extra) = len(excluded) AS named FROM d JOIN h USING (k)),
+r AS (SELECT k, pos, pos AS uid, CASE WHEN keep THEN token WHEN len(chars) = n OR kind = 'extra_text' THEN chars[pos] WHEN kind = 'missing_text' THEN coalesce(chars[pos], 'MISS') END AS token, CASE WHEN keep AND named THEN id ELSE pos::VARCHAR END AS id FROM s JOIN o USING (k)
+  UNION ALL SELECT k, n + i, NULL, CASE WHEN keep THEN excluded[i] ELSE chars[n + i] END, CASE WHEN keep AND named THEN extra[i] ELSE (n + i)::VARCHAR END FROM (SELECT *, unnest(range(1, 3)) AS i FROM s WHERE kind = 'extra_text'))"""
+
+
+def _lines_of(spark, sf) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), pos.alias("pos"), F.chr(65 + F.col("l_suppkey") % 6).alias("sign"))
+
+
+@query(f"WITH {_ALIGN} SELECT k AS image, pos::INT AS pos, uid::INT AS uid, token, CASE WHEN token IS NOT NULL THEN id END AS token_id FROM r")
+def kept_alignment(spark, sf):
+    """What documents keep of their alignment when boxes, order or text have changed."""
+    b = _lines_of(spark, sf)
+    m = F.col("image") % 8
+    docs = b.groupBy("image").agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign"))), lambda x: x["sign"]).alias("s"))
+    more = lambda *t: F.concat("s", F.array(*[F.lit(x) for x in t]))
+    chars = F.when(m == 4, F.slice("s", 1, F.greatest(F.col("n") - 1, F.lit(0)))).when(m.isin(5, 6), more("X", "Y")).when(m == 7, more("Z")).when(m == 2, F.concat(F.slice("s", 2, F.col("n")), F.array(F.lit("Q")))).otherwise(F.col("s"))
+    kind = F.when(m == 4, "missing_text").when(m.isin(5, 6), "extra_text").when(m == 7, "other")
+    left = F.when(m.isin(5, 6), F.array(F.lit("X"), F.lit("Y")))
+    docs = docs.select("image", "n", chars.alias("chars"), kind.alias("kind"), left.alias("excluded"), F.when(m == 5, F.array(F.lit("e1"), F.lit("e2"))).alias("extra_ids"))
+    old = b.join(docs.select("image", "n"), "image")
+    token = F.when((m == 4) & (F.col("pos") == F.col("n")), "MISS").otherwise(F.col("sign"))
+    name = F.when((m != 3) | (F.col("pos") != 1), F.concat(F.lit("t"), F.col("pos").cast("string")))
+    old = old.select("image", F.col("pos").alias("uid"), F.when(m == 1, F.col("n") + 1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), token.alias("token"), name.alias("token_id"))
+    return L.realigned(docs, b.select("image", F.col("pos").alias("uid"), "pos"), old)
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, chr((65 + l_suppkey % 3)::INT) AS token FROM lineitem),
+n AS (SELECT k, count(*) AS n FROM b GROUP BY 1), w AS (SELECT k, n + 1 - pos AS pos, CASE WHEN k % 5 = 0 AND pos = 1 THEN 'Q' ELSE token END AS token FROM b JOIN n USING (k) WHERE NOT (k % 7 = 0 AND pos = 1)),
+c AS (SELECT *, row_number() OVER (PARTITION BY k, token ORDER BY pos) AS q FROM b), v AS (SELECT *, row_number() OVER (PARTITION BY k, token ORDER BY pos) AS q FROM w)
+SELECT k AS image, v.pos::INT AS pos, token, 't' || c.pos AS token_id, true AS accepted FROM v JOIN c USING (k, token, q) WHERE k % 5 > 0 AND k % 7 > 0 UNION ALL SELECT k, pos::INT, token, 't' || pos, false FROM b WHERE k % 5 = 0 OR k % 7 = 0""")
+def rearranged_tokens(spark, sf):
+    """Signs in the opposite order, with their tokens; sequences that lack a sign or have another are refused."""
+    b = _lines_of(spark, sf).withColumn("token", F.chr(65 + (F.ascii("sign") - 65) % 3)).drop("sign")
+    k = F.col("image")
+    n = b.groupBy("image").agg(F.count("*").cast("int").alias("n"))
+    w = b.join(n, "image").where(~((k % 7 == 0) & (F.col("pos") == 1)))
+    w = w.select("image", (F.col("n") + 1 - F.col("pos")).alias("pos"), F.when((k % 5 == 0) & (F.col("pos") == 1), "Q").otherwise(F.col("token")).alias("token"))
+    return L.resequenced(b.withColumn("token_id", F.concat(F.lit("t"), F.col("pos").cast("string"))), w)
+
+
+@query("""WITH b AS (SELECT event_id AS uid, user_id AS image, CASE WHEN event_id % 3 = 0 THEN 'intact' ELSE 'damaged' END AS status, CASE WHEN event_id % 3 > 0 THEN 1 + event_id % 2 END AS lvl, event_id % 3 = 1 AND event_id % 4 = 0 AS u, event_id % 5 = 0 AND NOT (event_id % 3 = 1 AND event_id % 4 = 0) AS f, false AS e, event_id % 3 = 2 AND event_id % 7 = 0 AS s,
+  CASE event_id % 11 WHEN 0 THEN '□' WHEN 1 THEN '@' WHEN 2 THEN 'MISS' ELSE 'x' END AS t FROM events),
+p AS (SELECT *, CASE WHEN image % 17 = 3 AND uid % 9 = 0 THEN 'lost' WHEN uid % 2 = 0 THEN 'damaged' ELSE 'intact' END AS ns, CASE WHEN image % 17 = 5 AND uid % 8 = 0 THEN 4 WHEN uid % 4 = 0 THEN 3 END AS nl,
+  CASE WHEN uid % 6 = 0 THEN true ELSE u END AS nu, CASE WHEN uid % 10 = 1 THEN true ELSE f END AS nf, CASE WHEN uid % 10 = 2 THEN true ELSE e END AS ne, CASE WHEN uid % 10 = 3 THEN false ELSE s END AS nx FROM b),
+k AS (SELECT image, bool_and(ns <> 'lost' AND (nl IS NULL OR nl <= 3)) AND NOT (image % 17 = 7 AND count(*) FILTER (uid % 5 = 0) > 0) AND image % 17 <> 9 AS ok FROM p GROUP BY 1),
+a AS (SELECT p.*, nu AND NOT u AS du, (nf AND NOT f) OR (ne AND NOT e) OR (nx AND NOT s) AS dx FROM p),
+c AS (SELECT *, nu AND (du OR NOT dx) AS cu, nf AND NOT du AS cf, ne AND NOT du AS ce, nx AND NOT du AS cx, ns = 'damaged' OR t = '□' AS hurt FROM a)
+SELECT image, uid, CASE WHEN NOT ok THEN status WHEN t = '□' THEN 'damaged' ELSE ns END AS status, CASE WHEN NOT ok THEN lvl WHEN hurt THEN nl END::INT AS damage_level, CASE WHEN NOT ok THEN u ELSE t = '□' OR (cu AND hurt AND t NOT IN ('@', 'MISS')) END AS unknown,
+  CASE WHEN NOT ok THEN f ELSE (cf OR t = '@') AND t NOT IN ('□', 'MISS') END AS unavailable_font, CASE WHEN NOT ok THEN e ELSE ce AND t NOT IN ('□', 'MISS') END AS expert_prediction, CASE WHEN NOT ok THEN s ELSE cx AND t NOT IN ('□', 'MISS') END AS suspicious, ok AS accepted FROM c JOIN k USING (image)""")
+def replaced_statuses(spark, sf):
+    """Statuses of all boxes of a user, replaced as a whole; updates with an unknown status, a level of 4, a box too few or one twice are refused."""
+    k, image = F.col("event_id"), F.col("user_id")
+    b = load(spark, sf, "events").select(
+        image.alias("image"), k.alias("uid"), F.when(k % 3 == 0, "intact").otherwise("damaged").alias("status"), F.when(k % 3 > 0, 1 + k % 2).cast("int").alias("damage_level"), ((k % 3 == 1) & (k % 4 == 0)).alias("unknown"),
+        ((k % 5 == 0) & ~((k % 3 == 1) & (k % 4 == 0))).alias("unavailable_font"), F.lit(False).alias("expert_prediction"), ((k % 3 == 2) & (k % 7 == 0)).alias("suspicious"),
+        F.when(k % 11 == 0, "□").when(k % 11 == 1, "@").when(k % 11 == 2, "MISS").otherwise("x").alias("token"),
+    )
+    i, u = F.col("image") % 17, F.col("uid")
+    new = b.where(~((i == 7) & (u % 5 == 0))).select(
+        "image", "uid", F.when((i == 3) & (u % 9 == 0), "lost").when(u % 2 == 0, "damaged").otherwise("intact").alias("status"), F.when((i == 5) & (u % 8 == 0), 4).when(u % 4 == 0, 3).cast("int").alias("damage_level"), F.when(u % 6 == 0, True).alias("unknown"),
+        F.when(u % 10 == 1, True).alias("unavailable_font"), F.when(u % 10 == 2, True).alias("expert_prediction"), F.when(u % 10 == 3, False).alias("suspicious"),
+    )
+    new = new.unionByName(new.where(F.col("image") % 17 == 9))
+    return L.replaced_statuses(b, new).drop("token")
