@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_key
+
 
 def titled(sections: Column, title: str | Column) -> Column:
     return F.filter(sections, lambda s: s["title"] == title)
@@ -16,6 +18,24 @@ def compatible(sections: Column, heading: str) -> Column:
     return (F.size(hit) == 1) & F.get(hit, F.lit(0))["text"].isNotNull()
 
 
+def screened_faces(faces: DataFrame, heading: str, codes: DataFrame | None = None, key: str = "ky_hieu", sections: str = "sections") -> DataFrame:
+    """faces with face_key, the normalised code, and dropped: null for faces that go on, else why they don't: ``no_id``, without a code; ``incompatible``, without
+    exactly one section of that heading that has a text; ``no_image``, where codes(code) of pictures are given and have none for it."""
+    out = faces.withColumn("face_key", normalize_key(F.col(key)))
+    fits = F.coalesce(compatible(F.col(sections), heading), F.lit(False))
+    why = F.when(F.col("face_key").isNull(), "no_id").when(~fits, "incompatible")
+    if codes is None:
+        return out.withColumn("dropped", why)
+    seen = codes.select(F.col("code").alias("face_key")).distinct().withColumn("__seen", F.lit(True))
+    return out.join(seen, "face_key", "left").withColumn("dropped", why.when(F.col("__seen").isNull(), "no_image")).drop("__seen")
+
+
+def drop_counts(screened: DataFrame, group: str) -> DataFrame:
+    """(group, total, kept, no_id, incompatible, no_image) of ``screened_faces``."""
+    of = lambda why: F.count_if(F.col("dropped").eqNullSafe(F.lit(why))).alias(why or "kept")
+    return screened.groupBy(group).agg(F.count("*").alias("total"), *[of(w) for w in (None, "no_id", "incompatible", "no_image")])
+
+
 def section_text(sections: Column, title: str) -> Column:
     """The text of the one section of a title; null where there is none or more than one."""
     hit = titled(sections, title)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics as A
+from ..operators import records as N
 from ..operators import relational as R
 from ..operators import segment as S
 
@@ -146,9 +147,32 @@ def winner_regroup(spark, sf):
     return R.regroup(R.merge_faces(_faces(spark, sf))).withColumn("faces", F.array_join("faces", ","))
 
 
-@query(f"WITH {FACES} SELECT volume, count(*) AS total, count_if(face_key IN ('0', '7')) AS without_image, count_if(priority > 3) AS incompatible FROM faces GROUP BY 1")
+SCREENED = """f AS (SELECT o_orderkey, o_orderstatus AS volume, CASE WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 2 = 0 THEN '00' || o_custkey % 500 ELSE (o_custkey % 500)::VARCHAR END AS code, substr(o_orderpriority, 1, 1)::INT AS p FROM orders),
+c AS (SELECT DISTINCT (c_custkey * 3 % 500)::VARCHAR AS code FROM customer), k AS (SELECT *, CASE WHEN trim(code) <> '' THEN (trim(code)::INT)::VARCHAR END AS face_key FROM f),
+s AS (SELECT o_orderkey, volume, face_key, CASE WHEN face_key IS NULL THEN 'no_id' WHEN p IN (2, 3, 4) THEN 'incompatible' WHEN face_key NOT IN (SELECT code FROM c) THEN 'no_image' END AS dropped FROM k)"""
+
+
+def _screened(spark, sf) -> DataFrame:
+    """By priority a face has its section, two of it, one without a text, none, or one among others."""
+    k = F.col("o_orderkey")
+    number = (F.col("o_custkey") % 500).cast("string")
+    code = F.when(k % 11 == 0, " ").when(k % 2 == 0, F.concat(F.lit("00"), number)).otherwise(number)
+    part = lambda title, text: F.struct(F.lit(title).alias("title"), F.lit(text).cast("string").alias("text"))
+    p = F.substring("o_orderpriority", 1, 1).cast("int")
+    sections = F.when(p == 1, F.array(part("Text", "x"))).when(p == 2, F.array(part("Text", "x"), part("Text", "y"))).when(p == 3, F.array(part("Text", None))).when(p == 4, F.array(part("Note", "x"))).otherwise(F.array(part("Note", "x"), part("Text", "")))
+    faces = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("volume"), code.alias("ky_hieu"), sections.alias("sections"))
+    codes = load(spark, sf, "customer").select((F.col("c_custkey") * 3 % 500).cast("string").alias("code"))
+    return N.screened_faces(faces, "Text", codes)
+
+
+@query(f"WITH {SCREENED} SELECT o_orderkey, volume, face_key, dropped FROM s")
+def screened_faces(spark, sf):
+    return _screened(spark, sf).select("o_orderkey", "volume", "face_key", "dropped")
+
+
+@query(f"WITH {SCREENED} SELECT volume, count(*) AS total, count_if(dropped IS NULL) AS kept, count_if(dropped = 'no_id') AS no_id, count_if(dropped = 'incompatible') AS incompatible, count_if(dropped = 'no_image') AS no_image FROM s GROUP BY 1")
 def merge_drop_counts(spark, sf):
-    return _faces(spark, sf).groupBy("volume").agg(F.count("*").alias("total"), F.count_if(F.col("face_key").isin("0", "7")).alias("without_image"), F.count_if(F.col("priority") > 3).alias("incompatible"))
+    return N.drop_counts(_screened(spark, sf), "volume")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
