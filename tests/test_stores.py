@@ -14,6 +14,7 @@ from lithos.sources import arrays as A
 from lithos.sources import commits as C
 from lithos.sources import readers
 from lithos.sources.cache import RecordCache
+from lithos.sources.fonts import synchronize_fonts
 from lithos.sources.registry import Registry
 
 
@@ -285,3 +286,23 @@ def test_bytes_written_follow_the_batch(spark, tmp_path):
     new = {p: s for p, s in sizes(root).items() if p not in big}
     assert sum(new.values()) < sum(big.values()) / 50 and all(sizes(root)[p] == s for p, s in big.items())
     assert registry.read().where("v = 'x'").count() == 5 and registry.read().count() == 40_000
+
+
+# ---------------------------------------------------------------- fonts of a project
+
+
+def test_fonts_are_written_back_where_they_changed(spark, tmp_path):
+    kind = "name string, xref int, type string, ext string, encoding string"
+    rows = [("ABCDEF+Nom Na-Bold", 3, "Type0", "cff", "Identity-H"), ("GHIJKL+nomna bold", 9, "Type0", "ttf", "Identity-V"), ("Other", 4, "Type0", "ttf", "Identity-H"), ("Plain", 5, "TrueType", "ttf", "Identity-H")]
+    fonts = spark.createDataFrame(rows, kind)
+    (tmp_path / "conf").mkdir()
+    at = tmp_path / "conf" / "tap_1.json"
+    at.write_text(json.dumps({"title": "é", "encoded_fonts": {"Old": "x.ttf"}, "last": 1}))
+    references = spark.createDataFrame([("nomnabold", str(tmp_path / "fonts" / f), p) for f, p in (("b.ttf", 1), ("a.ttf", 1), ("0.ttf", 2))], "key string, file string, style_priority int")
+    done = synchronize_fonts(at, fonts, references)
+    assert (done.found, done.missing, done.changed) == (("ABCDEF+Nom Na-Bold",), ("Other",), True)
+    text = at.read_text()
+    assert json.loads(text) == {"title": "é", "encoded_fonts": {"ABCDEF+Nom Na-Bold": "../fonts/a.ttf"}, "last": 1} and "é" in text
+    stamp = at.stat().st_mtime_ns
+    assert not synchronize_fonts(at, fonts, references).changed and at.stat().st_mtime_ns == stamp
+    assert synchronize_fonts(at, fonts, references.where("false")).missing == ("ABCDEF+Nom Na-Bold", "Other") and json.loads(at.read_text())["encoded_fonts"] == {}
