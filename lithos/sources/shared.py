@@ -13,7 +13,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     a temporary one; a cluster must name one, since its machines share no local folder."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lithos-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
