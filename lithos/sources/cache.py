@@ -92,13 +92,9 @@ class RecordCache:
         """(code, file, gen, index, face); of some buckets only if named: their files alone are read."""
         v = read_version(self.root)
         names = [f"index/{b}" for b in (range(self.buckets) if buckets is None else buckets) if f"index/{b}" in v.schemas]
-        parts = [read_output(self.spark, self.root, n, v.number) for n in names]
-        if not parts:
+        if not names:
             return self.spark.createDataFrame([], "code string, file string, gen long, index long, face int")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return self._live(rows, v)
+        return self._live(read_output(self.spark, self.root, names, v.number), v)
 
     def locate(self, images: DataFrame, image: str = "image") -> DataFrame:
         """images with the place of their face: (code, matches, file, index, face). The code is the name without its suffix; where no

@@ -42,6 +42,17 @@ def store_of(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else os.path.abspath(root))
 
 
+def schema_text(schema: StructType) -> str:
+    """A schema as it is noted: anything may be null, as Parquet reads it, so that batches differ only by their types."""
+
+    def loose(x):
+        if isinstance(x, dict):
+            return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else v if k == "metadata" else loose(v) for k, v in x.items()}
+        return [loose(v) for v in x] if isinstance(x, list) else x
+
+    return json.dumps(loose(json.loads(schema.json())))
+
+
 def version_numbers(root: str) -> list[int]:
     store, at = store_of(root)
     found = store.get_file_info(pafs.FileSelector(f"{at}/versions", allow_not_found=True))
@@ -95,13 +106,16 @@ def parquet_files(root: str, under: str) -> list[str]:
     return sorted(f.path[len(at) + 1 :] for f in found if f.is_file and f.base_name.endswith(".parquet") and not f.base_name.startswith((".", "_")))
 
 
-def read_output(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """One output as of a version; its files are immutable, so a later commit doesn't disturb the reader."""
+def read_output(spark: SparkSession, root: str, name: str | Sequence[str], version: int | None = None) -> DataFrame:
+    """An output, or several of one schema together, as of a version; files are immutable, so a later commit doesn't disturb the reader."""
+    names = [name] if isinstance(name, str) else list(name)
     v = read_version(root, version)
-    if name not in v.schemas:
-        raise KeyError(f"{root} has no output {name!r}")
-    schema = StructType.fromJson(json.loads(v.schemas[name]))
-    files = [f"{root.rstrip('/')}/{f}" for f in v.files.get(name, [])]
+    if unknown := [n for n in names if n not in v.schemas]:
+        raise KeyError(f"{root} has no output {unknown[0]!r}")
+    if len({v.schemas[n] for n in names}) != 1:
+        raise ValueError(f"outputs of several schemas: {names}")
+    schema = StructType.fromJson(json.loads(v.schemas[names[0]]))
+    files = [f"{root.rstrip('/')}/{f}" for n in names for f in v.files.get(n, [])]
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
@@ -127,10 +141,10 @@ def commit(
             for path in parquet_files(root, f"data/{tx}/{name}"):
                 part = f"{name}/{unquote(path.rsplit('/', 2)[1].split('=', 1)[1])}" if name in split else name
                 files.setdefault(part, []).append(path)
-                schemas[part] = schema.json()
+                schemas[part] = schema_text(schema)
             if name not in split:
                 files.setdefault(name, [])
-                schemas[name] = schema.json()
+                schemas[name] = schema_text(schema)
         return publish(root, Version(before.number + 1, files, schemas, before.notes | (notes or {})))
     except BaseException:
         discard(root, tx)
@@ -199,10 +213,10 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         files = {k: [] if self.overwrite and k in self.replace else list(v) for k, v in self.before.files.items()}
-        schemas = self.before.schemas | dict.fromkeys(self.replace, self.schema.json())
+        schemas = self.before.schemas | dict.fromkeys(self.replace, schema_text(self.schema))
         for name, path, _ in sorted(f for m in messages if m for f in m.files):
             files.setdefault(name, []).append(path)
-            schemas.setdefault(name, self.schema.json())
+            schemas.setdefault(name, schema_text(self.schema))
         publish(self.root, Version(self.before.number + 1, files, schemas, self.before.notes))
 
     def abort(self, messages) -> None:

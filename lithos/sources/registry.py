@@ -43,18 +43,10 @@ class Registry:
         rows = rows.repartition(self.buckets, "bucket")
         return commit(self.spark, self.root, {"bucket": rows}, expected=before.number, notes=notes, split={"bucket": "bucket"})
 
-    def _rows(self, v: Version, names: Sequence[str]) -> DataFrame | None:
-        parts = [read_output(self.spark, self.root, n, v.number) for n in names]
-        rows = parts[0] if parts else None
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows
-
     def read(self, version: int | None = None) -> DataFrame | None:
         """The registry as of a version; None before the first batch."""
         v = read_version(self.root, version)
-        rows = self._rows(v, sorted(v.files))
-        return None if rows is None else self._latest(rows)
+        return self._latest(read_output(self.spark, self.root, sorted(v.files), v.number)) if v.files else None
 
     def compact(self, least: int = 4) -> Version:
         """Rewrites the buckets that have at least so many files, each to one."""
@@ -62,5 +54,5 @@ class Registry:
         many = [n for n in sorted(v.files) if len(v.files[n]) >= least]
         if not many:
             return v
-        rows = self._bucketed(self._latest(self._rows(v, many))).repartition(len(many), "bucket")
+        rows = self._bucketed(self._latest(read_output(self.spark, self.root, many, v.number))).repartition(len(many), "bucket")
         return commit(self.spark, self.root, {"bucket": rows}, replace=many, expected=v.number, split={"bucket": "bucket"})

@@ -286,6 +286,9 @@ def test_bytes_written_follow_the_batch(spark, tmp_path):
     new = {p: s for p, s in sizes(root).items() if p not in big}
     assert sum(new.values()) < sum(big.values()) / 50 and all(sizes(root)[p] == s for p, s in big.items())
     assert registry.read().where("v = 'x'").count() == 5 and registry.read().count() == 40_000
+    # a batch whose columns may be null, where those of the others could not
+    registry.upsert(spark.createDataFrame([(3, 2, None)], "k long, seq int, v string"))
+    assert registry.read().where("v is null").count() == 1 and registry.compact(2).number == 4 and registry.read().count() == 40_000
 
 
 # ---------------------------------------------------------------- fonts of a project
