@@ -20,7 +20,8 @@ def requested(report: DataFrame) -> DataFrame:
 
 
 def place(page, y):
-    return (page * PAGE + F.round(y * 100)).cast("long")
+    """A long: as an integer it would end at page 2147."""
+    return page.cast("long") * PAGE + F.round(y * 100).cast("long")
 
 
 def inscriptions(lines: DataFrame, title: str, label: str, page_count: int) -> DataFrame:
