@@ -170,7 +170,7 @@ def inscription_ids(spark, sf):
         own = F.when(F.col("k") % 5 == n, F.array(F.concat(F.lit("Ids: "), text(parts[0])), *[text(t) for t in parts[1:]])).otherwise(own.cast("array<string>"))
     lines = F.concat(F.array(F.concat(F.lit("BIA "), F.col("k").cast("string")), F.lit("12 / 13")), own, F.array(F.lit("end"), F.lit("Ids: 1000")))
     rows = o.select("volume", "page_number", F.posexplode(lines).alias("n", "text"))
-    rows = rows.select("volume", "page_number", (F.col("page_number") * 100 + F.col("n")).alias("line_no"), (10.0 + F.col("n")).alias("y0"), "text")
+    rows = rows.select("volume", "page_number", (F.col("page_number").cast("long") * 100 + F.col("n")).alias("line_no"), (10.0 + F.col("n")).alias("y0"), "text")
     got = M.inscriptions(rows, "^BIA [0-9]+$", "^Ids: ", 100_000)
     return got.select("volume", "rec", F.array_join("ids", ",").alias("ids"), "start", "end")
 
@@ -192,7 +192,7 @@ def picture_plan(spark, sf):
     o = load(spark, sf, "orders").select(k.alias("k"), (k % 10).alias("volume"), F.row_number().over(Window.partitionBy(k % 10).orderBy(k)).alias("rec"))
     key = F.col("k")
     ids = F.when(key % 7 == 0, F.array(key, key)).when(key % 11 == 0, F.array(key, key + 22)).otherwise(F.array(key, key + 10_000_000))
-    start = (F.col("rec") * M.PAGE).cast("long")
+    start = F.col("rec").cast("long") * M.PAGE
     records = o.select("volume", "rec", F.transform(ids, lambda i: i.cast("string")).alias("ids"), start.alias("start"), (start + M.PAGE).alias("end"))
     line = load(spark, sf, "lineitem").where("l_linenumber <= 3 AND l_quantity < 40").join(o, F.col("l_orderkey") == key)
     # ties of a line number are told apart by their height

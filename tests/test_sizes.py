@@ -10,3 +10,13 @@ def test_places_beyond_page_2147(spark):
     lines = spark.createDataFrame([(1, 1, "BIA 1", 5000, 50.0), (1, 2, "Ids: 7", 5000, 60.0)], "volume int, line_no int, text string, page_number int, y0 double")
     (r,) = M.inscriptions(lines, "^BIA", "^Ids: ", 100_000).collect()
     assert (r.ids, r.start, r.end) == (["7"], 5000 * M.PAGE + 5000, 100_001 * M.PAGE)
+
+
+def test_picture_plan_beyond_record_2147(spark, tmp_path):
+    n = 25_000  # 2500 records a volume
+    spark.range(1, n + 1).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    line = spark.range(1, n + 1).select(F.col("id").alias("l_orderkey"), F.explode(F.array(F.lit(1), F.lit(2))).alias("l_linenumber"))
+    line.select("*", F.lit(1).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.lit(1.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([("A",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = {(r.id, r.unread): (r.status, r.page, r.idx) for r in P.picture_plan(spark, str(tmp_path)).where("id in ('24993', '24990')").collect()}
+    assert rows == {("24993", False): ("planned", 2500, 1), ("24993", True): ("needs_review", None, None), ("24990", False): ("needs_review", None, None), ("24990", True): ("needs_review", None, None)}
