@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lithos.operators import display as D
 from lithos.operators import missing as M
+from lithos.operators import relational as R
 from lithos.plans import pages as P
 
 
@@ -29,3 +30,9 @@ def test_fonts_without_broadcast(spark):
     got = D.assign_fonts(chars, runs, runs.select("page", "name", "font"))
     assert [(r.pos, r.font) for r in got.orderBy("pos").collect()] == [(0, "a"), (1, "a"), (2, "b")]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_multisets_without_interpreted_order(spark):
+    d = spark.createDataFrame([(["b", None, "a"], ["a", "b", None]), (["a", "a"], ["a"]), (None, ["a"])], "a array<string>, b array<string>").select(R.same_multiset(F.col("a"), F.col("b")).alias("same"))
+    assert [r.same for r in d.collect()] == [True, False, None]
+    assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
