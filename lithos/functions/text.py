@@ -79,10 +79,10 @@ def normalize_key(value: Column, strip: bool = True) -> Column:
     return F.when(v != "", out) if strip else out
 
 
-def segments(text: Column) -> Column:
+def segments(text: Column, normal: bool = False) -> Column:
     """array<array<string>>: lower-cased Latin words; white space parts words, anything else segments.
-    What follows a summary heading is cut off."""
-    low = F.lower(F.translate(nfc(text), "Ðð", "Đđ"))
+    What follows a summary heading is cut off. With ``normal`` the text is in NFC already."""
+    low = F.lower(F.translate(text if normal else nfc(text), "Ðð", "Đđ"))
     cut = F.regexp_replace(low, SUMMARY, "")
     parts = F.transform(F.split(cut, "[^\\p{IsLatin}\\s]+"), lambda s: F.array_remove(F.split(s, "\\s+"), ""))
     return F.filter(parts, lambda p: F.size(p) > 0)

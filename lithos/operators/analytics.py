@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decade, has_summary, pairs, percent, segments, years
+from ..functions.text import decade, has_summary, nfc, pairs, percent, segments, years
 
 RARE = 20
 
@@ -16,9 +16,10 @@ def tokenised(docs: DataFrame, group: str, doc: str, text: str) -> DataFrame:
 
 
 def document_terms(docs: DataFrame, kind: str = "single", group: str = "lang", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(volume, doc, term, n): counted within each document first, so that a term crosses the network
-    once for each document at most. A null term with n = 0 stands for each document that has a word."""
-    segs = tokenised(docs, group, doc, text)
+    """(volume, doc, term, n): counted within each document first, where the rows of a document are: whole texts cross the network, which
+    are smaller than their terms. A null term with n = 0 stands for each document that has a word."""
+    rows = docs.select(F.col(group).alias("volume"), F.col(doc).alias("doc"), nfc(F.col(text)).alias("text")).repartition("volume", "doc")  # Python loses how rows are dealt
+    segs = rows.select("volume", "doc", segments(F.col("text"), True).alias("segs"))
     terms = F.flatten("segs") if kind == "single" else F.flatten(F.transform("segs", pairs))
     every = F.when(F.size("segs") > 0, F.concat(terms, F.array(F.lit(None).cast("string"))))  # explode drops a null array
     return segs.select("volume", "doc", F.explode(every).alias("term")).groupBy("volume", "doc", "term").agg(F.count("term").alias("n"))

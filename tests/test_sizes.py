@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lithos.operators import analytics as A
 from lithos.operators import display as D
 from lithos.operators import missing as M
 from lithos.operators import relational as R
@@ -36,3 +37,11 @@ def test_multisets_without_interpreted_order(spark):
     d = spark.createDataFrame([(["b", None, "a"], ["a", "b", None]), (["a", "a"], ["a"]), (None, ["a"])], "a array<string>, b array<string>").select(R.same_multiset(F.col("a"), F.col("b")).alias("same"))
     assert [r.same for r in d.collect()] == [True, False, None]
     assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_cross_the_network_once(spark):
+    docs = spark.createDataFrame([("a", 1, "x y x"), ("a", 1, "y"), ("a", 2, "x")], "lang string, doc_id int, text string")
+    got = A.document_terms(docs)
+    assert {(r.doc, r.term): r.n for r in got.collect()} == {(1, "x"): 2, (1, "y"): 2, (1, None): 0, (2, "x"): 1, (2, None): 0}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(volume#" in plan and ", term#" not in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
