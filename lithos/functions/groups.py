@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, dict[str, np.ndarray]]], inputs: list[str], added: str = "") -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[..., tuple[np.ndarray, dict[str, np.ndarray]]], inputs: list[str], added: str = "", together: bool = False) -> DataFrame:
     """For each group, fn gets the columns ``inputs`` in ``order`` and returns the places of the rows to keep and
-    new columns for them. One group at most is carried from batch to batch; a group is held whole."""
+    new columns for them. With ``together`` it gets the rows of many groups and the number of each row's group. One group at most is carried from
+    batch to batch; a group is held whole. Rows that already lie together by some of the keys are not dealt again: a window asks for that, as repartition can't."""
     names = df.columns
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *([added] if added else [])])
 
@@ -37,7 +39,10 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[d
         return np.flatnonzero(new)
 
     def _done(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        cols = {c: pdf[c].to_numpy() for c in inputs}
+        cols = {c: pdf[c].to_numpy()[: edges[-1]] for c in inputs}
+        if together:
+            keep, new = fn(cols, np.repeat(np.arange(len(edges) - 1), np.diff(edges)))
+            return pdf.iloc[keep].assign(**new)
         rows, more = [], []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             keep, new = fn({c: v[lo:hi] for c, v in cols.items()})
@@ -46,4 +51,5 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[d
         out = pdf.iloc[np.concatenate(rows)]
         return out.assign(**{c: np.concatenate([m[c] for m in more]) for c in (more[0] if more else {})})
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*names).mapInPandas(run, schema)
+    dealt = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n > 0").select(*names)
+    return dealt.mapInPandas(run, schema)

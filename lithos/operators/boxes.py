@@ -96,21 +96,25 @@ def nms(boxes: DataFrame, least_iou: float = 0.2, before: int = NMS_BEFORE, afte
     top = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("score"), "idx"))
     pool = boxes.withColumn("__r", top).where(F.col("__r") <= before).drop("__r")
 
-    def best_first(c: dict[str, np.ndarray]):
-        by = np.lexsort((c["idx"], -c["score"]))
-        x1, y1, x2, y2 = (c[k][by].astype(float) for k in ("x1", "y1", "x2", "y2"))
-        area = (x2 - x1) * (y2 - y1)
-        alive = np.ones(len(by), bool)
-        for i in range(len(by)):
-            if not alive[i]:
-                continue
-            w = np.minimum(x2[i], x2[i + 1 :]) - np.maximum(x1[i], x1[i + 1 :])
-            h = np.minimum(y2[i], y2[i + 1 :]) - np.maximum(y1[i], y1[i + 1 :])
-            both = np.clip(w, 0, None) * np.clip(h, 0, None)
-            alive[i + 1 :] &= ~(both / np.maximum(area[i] + area[i + 1 :] - both, 1e-12) > least_iou)
-        return by[alive], {}
-
-    kept = map_groups(pool, ["image", "cls"], ["idx"], best_first, ["idx", "score", "x1", "y1", "x2", "y2"])
+    def best_first(c: dict[str, np.ndarray], group: np.ndarray):
+        # all groups of a batch at once: in each round the best box left of every group stays, and drops others of its group
+        left = np.lexsort((c["idx"], -c["score"], group))
+        box = np.stack([c[k].astype(float) for k in ("x1", "y1", "x2", "y2")])
+        area = (box[2] - box[0]) * (box[3] - box[1])
+        stay = []
+        while len(left):
+            first = np.ones(len(left), bool)
+            first[1:] = group[left[1:]] != group[left[:-1]]
+            best = left[first]
+            stay.append(best)
+            of = best[np.cumsum(first) - 1][~first]
+            left = left[~first]
+            low, high = np.maximum(box[:2, of], box[:2, left]), np.minimum(box[2:, of], box[2:, left])
+            both = np.clip(high - low, 0, None).prod(axis=0)
+            left = left[~(both / np.maximum(area[of] + area[left] - both, 1e-12) > least_iou)]
+        return np.sort(np.concatenate(stay)), {}
+
+    kept = map_groups(pool, ["image", "cls"], ["idx"], best_first, ["idx", "score", "x1", "y1", "x2", "y2"], together=True)
     return kept.withColumn("__r", top).where(F.col("__r") <= after).drop("__r")
 
 

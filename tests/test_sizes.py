@@ -3,11 +3,16 @@
 from pyspark.sql import functions as F
 
 from lithos.operators import analytics as A
+from lithos.operators import boxes as B
 from lithos.operators import display as D
 from lithos.operators import missing as M
 from lithos.operators import relational as R
+from lithos.operators import segment as S
+from lithos.plans import boxes as Q
 from lithos.plans import pages as P
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_places_beyond_page_2147(spark):
     lines = spark.createDataFrame([(1, 1, "BIA 1", 5000, 50.0), (1, 2, "Ids: 7", 5000, 60.0)], "volume int, line_no int, text string, page_number int, y0 double")
@@ -45,3 +50,38 @@ def test_terms_cross_the_network_once(spark):
     assert {(r.doc, r.term): r.n for r in got.collect()} == {(1, "x"): 2, (1, "y"): 2, (1, None): 0, (2, "x"): 1, (2, None): 0}
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(volume#" in plan and ", term#" not in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
+
+
+def exchanges(df) -> list[str]:
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+
+
+def test_boxes_are_dealt_once(spark):
+    assert len(exchanges(Q.nms_greedy(spark, SF))) == 2 and len(exchanges(Q.reading_order_full(spark, SF))) == 1
+
+
+def test_nms_over_batches(spark):
+    rows = [(g, i, 0, float(i), 0.0, i + 10.0, 10.0, s) for g in range(30) for i, s in enumerate((0.5, 0.9, 0.4, 0.9))]
+    boxes = spark.createDataFrame(rows, "image int, idx int, cls int, x1 double, y1 double, x2 double, y2 double, score double").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted((r.image, r.idx) for r in B.nms(boxes, 0.9).collect()) == [(g, i) for g in range(30) for i in range(4)]
+        assert sorted((r.image, r.idx) for r in B.nms(boxes, 0.75).collect()) == [(g, i) for g in range(30) for i in (1, 3)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_positions_are_not_dealt(spark):
+    assert not any("pos#" in x for x in exchanges(Q.align_positional(spark, SF)))
+    rows = spark.createDataFrame([(1, ["a", "b"], [7]), (2, None, [8, 9]), (3, ["c"], None), (4, None, None)], "item int, tokens array<string>, boxes array<int>")
+    assert sorted(map(tuple, R.align_rows(rows, "item").collect()), key=lambda r: r[:2]) == [(1, 1, "a", 7, False), (1, 2, "b", None, True), (2, 1, None, 8, False), (2, 2, None, 9, False), (3, 1, "c", None, True)]
+
+
+def test_issues_in_one_pass_without_details(spark):
+    fmt = S.RecordFormat(title="^R ([0-9]+)$", start="Text", sections=(), fields=(S.Field("Ids:", "ids", "identifiers", True),))
+    lines = spark.createDataFrame([("v", i, t, 1) for i, t in enumerate(("R 1", "stray", "Ids: <7>", "Text", "loose", "<7>", "- x", "R 2", "x"))], "volume string, line_no int, text string, page_number int")
+    whole, bare = (S.parse_records(lines, fmt, d) for d in (True, False))
+    kinds = lambda df: [(r.rec, r.errors, [w.kind for w in r.warnings]) for r in df.orderBy("rec").collect()]
+    assert kinds(whole) == kinds(bare) == [(1, [], ["before_metadata", "unmarked_content"]), (2, ["missing heading Text"], ["before_metadata"])]
+    assert all(w.detail is None for r in bare.collect() for w in r.warnings) and all(w.detail for r in whole.collect() for w in r.warnings)
+    assert "Union\n" not in S.record_issues(whole.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
