@@ -82,6 +82,14 @@ def align(tokens: DataFrame, boxes: DataFrame, group: str, position: str = "pos"
     return out.withColumn("token", F.when(F.col("__t").isNull(), token).otherwise(F.col("token"))).withColumn("excluded", F.col("__b").isNull()).drop("__t", "__b")
 
 
+def align_rows(df: DataFrame, group: str, position: str = "pos") -> DataFrame:
+    """``align`` for groups that are rows (group, tokens array, boxes array): both are in order, so nothing is exchanged. A null array is empty."""
+    n = F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in ("tokens", "boxes")])
+    have = F.coalesce(F.size("boxes"), F.lit(0))
+    rows = df.withColumn("__at", F.when(n > 0, F.sequence(F.lit(0), n - 1))).select(group, "tokens", "boxes", have.alias("__have"), F.explode("__at").alias("__i"))
+    return rows.select(group, (F.col("__i") + 1).alias(position), F.get("tokens", "__i").alias("token"), F.get("boxes", "__i").alias("box"), (F.col("__i") >= F.col("__have")).alias("excluded"))
+
+
 def align_missing(tokens: DataFrame, boxes: DataFrame, group: str, position: str = "pos") -> DataFrame:
     return align(tokens, boxes, group, position, MISSING)
 

@@ -131,10 +131,11 @@ def _tokens(spark, sf) -> DataFrame:
 SELECT item, pos, token, box, box IS NULL AS excluded FROM ot FULL JOIN bx USING (item, pos)""")
 def align_positional(spark, sf):
     """Every order is an item: its lines are boxes, and its tokens those of one of the 40 benchmark texts."""
-    tok = load(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 40).alias("item_id")).join(_tokens(spark, sf), "item_id").drop("item_id")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    bx = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), pos.alias("pos"), F.col("l_partkey").alias("box"))
-    return R.align(tok, bx, "item")
+    texts = load(spark, sf, "benchmark").select("item_id", F.split(F.regexp_replace("text", "\\s+", " "), " ").alias("tokens"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    bx = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l_partkey"]).alias("boxes"))
+    both = load(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 40).alias("item_id")).join(bx, "item", "full")
+    return R.align_rows(both.join(F.broadcast(texts), "item_id", "left").drop("item_id"), "item")
 
 
 @query(f"""WITH {TOKENS}, bx AS (SELECT l_suppkey % 40 AS item_id, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_partkey AS box
