@@ -76,22 +76,26 @@ def section_texts(content: DataFrame, keys: list[str], order: str = "line_no", t
     return rows.select(*keys, "first_no", F.regexp_replace(joined, "^\\s+|\\s+$", "").alias("body"))
 
 
-def parse_records(lines: DataFrame, fmt: RecordFormat) -> DataFrame:
+def parse_records(lines: DataFrame, fmt: RecordFormat, details: bool = True) -> DataFrame:
     """lines(volume, line_no, text, page_number) -> one row per record: (volume, rec, number, pages,
     metadata map, ids, faces, errors, warnings, lines). A record whose metadata can't be read has errors
-    and null faces, and its source lines stand in ``lines``; others are not affected."""
+    and null faces, and its source lines stand in ``lines``; others are not affected. Without ``details`` warnings come without texts, which then
+    are collected nowhere."""
     keys = fmt.label_keys()
     rec = ["volume", "rec"]
-    base = number_records(lines, fmt.title)
-    base = base.withColumn("head", label_key(F.substring_index("text", ":", 1)))
+    # Python loses how rows are dealt, so it comes first
+    base = number_records(lines.withColumn("head", label_key(F.substring_index("text", ":", 1))), fmt.title)
     number = F.regexp_extract("text", fmt.title, 1).cast("int")
+    told = lambda c: c if details else F.lit(None).cast("string")
     remainder = lambda label: label_remainder(F.col("text"), F.col("head"), label, keys[label])
 
-    heads = base.where("is_title").select(*rec, number.alias("number"))
-    pages = base.groupBy(*rec).agg(F.array_sort(F.collect_set("page_number")).alias("pages"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("__src"))
+    base = base.withColumn("rest", F.when(~F.col("is_title"), remainder(fmt.start)))
+    base = base.withColumn("start_no", F.min(F.when(F.col("rest").isNotNull(), F.col("line_no"))).over(Window.partitionBy(*rec)))
+    heads = base.groupBy(*rec).agg(
+        F.max(F.when(F.col("is_title"), number)).alias("number"), F.array_sort(F.collect_set("page_number")).alias("pages"),
+        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("__src"), F.max("start_no").isNotNull().alias("has_start"),
+    )
     body = base.where("not is_title")
-    w = Window.partitionBy(*rec)
-    body = body.withColumn("rest", remainder(fmt.start)).withColumn("start_no", F.min(F.when(F.col("rest").isNotNull(), F.col("line_no"))).over(w))
 
     # metadata: the longest label that fits opens a field, and lines without one go on with it
     meta = body.where(F.col("start_no").isNull() | (F.col("line_no") < F.col("start_no")))
@@ -101,21 +105,20 @@ def parse_records(lines: DataFrame, fmt: RecordFormat) -> DataFrame:
         name, value = F.when(got.isNotNull(), f.name).otherwise(name), F.when(got.isNotNull(), got).otherwise(value)
     meta = meta.withColumn("opens", name).withColumn("value", value)
     meta = meta.withColumn("field", carry(F.col("opens"), rec)).withColumn("value", F.when(F.col("opens").isNotNull(), F.col("value")).otherwise(F.col("text")))
-    stray = meta.where("field is null").select(*rec, F.struct("line_no", F.lit("before_metadata").alias("kind"), F.col("page_number").alias("page"), F.lit(None).cast("string").alias("face"), F.col("text").alias("detail")).alias("w"))
+    stray = meta.where("field is null").select(*rec, F.struct("line_no", F.lit("before_metadata").alias("kind"), F.col("page_number").alias("page"), F.lit(None).cast("string").alias("face"), told(F.col("text")).alias("detail")).alias("w"))
     fields = meta.where("field is not null and value <> ''").groupBy(*rec, "field").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("v"))
     fields = fields.select(*rec, F.struct("field", F.trim(F.array_join(F.transform("v", lambda x: x["value"]), " ")).alias("value")).alias("kv"))
     fields = fields.groupBy(*rec).agg(F.map_from_entries(F.collect_list("kv")).alias("found"))
 
-    has_start = body.groupBy(*rec).agg(F.max("start_no").isNotNull().alias("has_start"))
-    records = heads.join(pages, rec).join(has_start, rec, "left").join(fields, rec, "left")
+    records = heads.join(fields, rec, "left")
     get = lambda n: F.coalesce(F.try_element_at("found", F.lit(n)), F.lit(""))
     ids = F.array_distinct(F.flatten(F.array(*[identifiers(get(f.name)) for f in fmt.fields if f.type == "identifiers"] or [F.expr("cast(array() as array<string>)")])))
-    errors = [F.when(~F.coalesce("has_start", F.lit(False)), F.lit(f"missing heading {fmt.start}"))]
+    errors = [F.when(~F.col("has_start"), F.lit(f"missing heading {fmt.start}"))]
     for f in fmt.fields:
         if f.required:
-            errors.append(F.when(F.coalesce("has_start", F.lit(False)) & (get(f.name) == ""), F.lit(f"missing metadata {f.label}")))
+            errors.append(F.when(F.col("has_start") & (get(f.name) == ""), F.lit(f"missing metadata {f.label}")))
             if f.type == "identifiers":
-                errors.append(F.when(F.coalesce("has_start", F.lit(False)) & (get(f.name) != "") & (F.size(identifiers(get(f.name))) == 0), F.lit(f"unreadable identifiers {f.label}")))
+                errors.append(F.when(F.col("has_start") & (get(f.name) != "") & (F.size(identifiers(get(f.name))) == 0), F.lit(f"unreadable identifiers {f.label}")))
     records = records.withColumn("metadata", F.create_map(*[x for f in fmt.fields for x in (F.lit(f.name), get(f.name))])).withColumn("ids", ids)
     records = records.withColumn("fatal", F.array_compact(F.array(*errors))).drop("found", "has_start")
 
@@ -136,11 +139,11 @@ def parse_records(lines: DataFrame, fmt: RecordFormat) -> DataFrame:
     content = content.withColumn("face", carry(F.col("mark_id"), [*rec, "run"]))
     content = content.withColumn("line", F.when(F.col("mark").isNotNull(), F.trim(F.regexp_extract("text", fmt.marker, 2))).otherwise(F.col("text")))
     known = F.array_contains("ids", F.col("face"))
-    unknown = content.where(F.col("mark_id").isNotNull() & ~F.array_contains("ids", F.col("mark_id"))).groupBy(*rec, "mark_id").agg(F.min_by(F.struct("line_no", F.lit("unknown_marker").alias("kind"), F.col("page_number").alias("page"), F.col("mark_id").alias("face"), F.col("text").alias("detail")), "line_no").alias("w")).select(*rec, "w")
+    unknown = content.where(F.col("mark_id").isNotNull() & ~F.array_contains("ids", F.col("mark_id"))).groupBy(*rec, "mark_id").agg(F.min_by(F.struct("line_no", F.lit("unknown_marker").alias("kind"), F.col("page_number").alias("page"), F.col("mark_id").alias("face"), told(F.col("text")).alias("detail")), "line_no").alias("w")).select(*rec, "w")
     lines_ = content.where("not (mark is not null and line = '')").withColumn("known", F.coalesce(known, F.lit(False)))
     texts = section_texts(lines_.select(*rec, "face", "section", "line_no", F.col("line").alias("text")), [*rec, "face", "section"])
     loose = lines_.where("face is null").groupBy(*rec, "section").agg(F.min("line_no").alias("line_no"), F.min("page_number").alias("page"), F.array_sort(F.collect_list(F.struct("line_no", F.col("line").alias("t")))).alias("l"))
-    loose = loose.select(*rec, F.struct("line_no", F.lit("unmarked_content").alias("kind"), "page", F.lit(None).cast("string").alias("face"), F.concat_ws("\n", F.col("section"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("detail")).alias("w"))
+    loose = loose.select(*rec, F.struct("line_no", F.lit("unmarked_content").alias("kind"), "page", F.lit(None).cast("string").alias("face"), told(F.concat_ws("\n", F.col("section"), F.array_join(F.transform("l", lambda x: x["t"]), "\n"))).alias("detail")).alias("w"))
     faces = texts.groupBy(*rec, "face").agg(F.array_sort(F.collect_list(F.struct("first_no", F.col("section").alias("title"), "body"))).alias("s"), F.min("first_no").alias("first_no"))
     faces = faces.select(*rec, F.struct("first_no", F.col("face").alias("id"), F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["body"].alias("text"))).alias("sections")).alias("f"))
     faces = faces.groupBy(*rec).agg(F.array_sort(F.collect_list("f")).alias("have"))
@@ -207,9 +210,10 @@ def parse_strict(lines: DataFrame, fmt: RecordFormat) -> DataFrame:
 
 def record_issues(records: DataFrame) -> DataFrame:
     """(volume, rec, level, text): every error and warning of every record, one a row."""
-    err = records.select("volume", "rec", F.explode("errors").alias("text")).select("volume", "rec", F.lit("error").alias("level"), "text")
-    warn = records.select("volume", "rec", F.explode("warnings").alias("w")).select("volume", "rec", F.lit("warning").alias("level"), F.col("w.kind").alias("text"))
-    return err.unionByName(warn)
+    err = F.transform("errors", lambda e: F.struct(F.lit("error").alias("level"), e.alias("text")))
+    warn = F.transform("warnings", lambda w: F.struct(F.lit("warning").alias("level"), w["kind"].alias("text")))
+    none = F.expr("cast(array() as array<struct<level: string, text: string>>)")
+    return records.select("volume", "rec", F.explode(F.concat(F.coalesce(err, none), F.coalesce(warn, none))).alias("i")).select("volume", "rec", "i.level", "i.text")
 
 
 def line_places(lines: DataFrame, page: str = "page_number", order: str = "line_no") -> DataFrame:
