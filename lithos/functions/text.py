@@ -140,11 +140,14 @@ def font_style(name: Column) -> Column:
 
 def hex_codes(run: Column) -> Column:
     """16-bit codes of a run of hexadecimal digits; an odd run gives none."""
-    clean = F.regexp_replace(run, "\\s", "")
-    even = F.length(clean) % 4 == 0
-    n = (F.length(clean) / 4).cast("int")
-    at = F.when(even & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(at, lambda i: F.conv(F.substring(clean, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+
+    def codes(clean: Column) -> Column:
+        n = (F.length(clean) / 4).cast("int")
+        at = F.when((F.length(clean) % 4 == 0) & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(at, lambda i: F.conv(F.substring(clean, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+
+    # an array of one names the digits, which would be reckoned again for every code
+    return F.get(F.transform(F.array(F.regexp_replace(run, "\\s", "")), codes), F.lit(0))
 
 
 def fingerprint(text: Column) -> Column:
