@@ -53,22 +53,27 @@ def fuse(damage: DataFrame, ocr: DataFrame, least_iou: float = IOU, contain: flo
 
     A text box with that IoU with a damage box goes. A damage box that instead covers, or is covered by, a text box
     takes the extent of the one with most coverage, the first of equal ones; that text box goes too, and
-    damage boxes promoted to the same box are one. Damage boxes come first. Boxes meet on a grid.
+    damage boxes promoted to the same box are one. Boxes meet on a grid, once; what becomes of a box that meets another is told by windows over those pairs.
     """
+    sides = ("x1", "y1", "x2", "y2")
     d, o = prefixed(damage, "image", "idx", "d"), prefixed(ocr, "image", "idx", "o")
     a, b = Box.of("d_"), Box.of("o_")
-    pairs = meeting(d, o, "image", "d_", "o_").withColumn("iou", iou(a, b)).withColumn("cover", coverage(a, b))
-    pairs = pairs.where((F.col("iou") >= least_iou) | (F.col("cover") >= contain))
-    same = pairs.where(F.col("iou") >= least_iou).select("image", "o").distinct()
-    rest = pairs.where(F.col("iou") < least_iou).join(same, ["image", "o"], "left_anti")
-    best = F.row_number().over(Window.partitionBy("image", "d").orderBy(F.desc("cover"), "o"))
-    promoted = rest.withColumn("rn", best).where("rn = 1").select("image", "d", "o", *[F.col(f"o_{c}").alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
-    kept = d.join(promoted, ["image", "d"], "left").select("image", F.col("d").alias("idx"), *[F.coalesce(f"p_{c}", f"d_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], "o")
-    once = F.row_number().over(Window.partitionBy("image", F.coalesce("o", F.lit(-1) - F.col("idx"))).orderBy("idx"))
-    kept = kept.withColumn("rn", once).where("rn = 1").select("image", F.lit("damaged").alias("status"), "idx", "x1", "y1", "x2", "y2")
-    gone = same.unionByName(promoted.select("image", "o")).distinct().withColumnRenamed("o", "idx")
-    left = ocr.join(gone, ["image", "idx"], "left_anti").select("image", F.lit("intact").alias("status"), "idx", "x1", "y1", "x2", "y2")
-    return kept.unionByName(left)
+    # as an explosion of one row: as columns, each would be written out wherever it is used, in a method too long to be compiled
+    shares = F.inline(F.array(F.struct(iou(a, b).alias("iou"), coverage(a, b).alias("cover"))))
+    same = F.col("iou") >= least_iou
+    pairs = meeting(d, o, "image", "d_", "o_").select("*", shares).where(same | ((F.col("iou") < least_iou) & (F.col("cover") >= contain)))
+    of = lambda side: Window.partitionBy("image", side)
+    met = pairs.select("image", "d", "o", "cover", F.max(same).over(of("o")).alias("same"), *[F.col(f"o_{c}").alias(c) for c in sides])
+    best = F.row_number().over(of("d").orderBy("same", F.desc("cover"), "o"))
+    met = met.withColumn("best", best).where(F.col("same") | (F.col("best") == 1))
+    met = met.withColumn("n", F.row_number().over(of("o").orderBy("d")))
+    first = F.col("n") == 1
+    box = lambda damaged, idx, keep: F.struct(F.lit(damaged).alias("damaged"), F.col(idx).alias("idx"), *[F.when(keep, F.col(c)).alias(f"p_{c}") for c in sides], (~keep).alias("gone"))
+    told = F.filter(F.array(F.when(first, box(False, "o", F.lit(False))), F.when(~F.col("same"), box(True, "d", first))), lambda t: t.isNotNull())
+    told = met.select("image", F.explode(told).alias("t")).select("image", "t.*")
+    every = damage.select("image", F.lit(True).alias("damaged"), "idx", *sides).unionByName(ocr.select("image", F.lit(False).alias("damaged"), "idx", *sides))
+    left = every.join(told, ["image", "damaged", "idx"], "left").where(~F.coalesce("gone", F.lit(False)))
+    return left.select("image", F.when(F.col("damaged"), "damaged").otherwise("intact").alias("status"), "idx", *[F.coalesce(f"p_{c}", c).alias(c) for c in sides])
 
 
 def simple_order(boxes: DataFrame, group: str = "image", idx: str = "idx") -> DataFrame:

@@ -97,3 +97,15 @@ def test_contents_are_dealt_before_they_are_searched(spark):
     dealt = exchanges(got)
     assert "Broadcast" not in plan and dealt and not any("resource#" in x or "codes#" in x for x in dealt)
     assert plan.index("regexp_extract_all(content#") < plan.index("REPARTITION_BY_COL") and plan.count("regexp_extract_all(content#") == 1
+
+
+def test_fusion_meets_once(spark):
+    rows = lambda *b: spark.createDataFrame([(1, k, *map(float, r)) for k, r in enumerate(b)] + [(None, 0, 0.0, 0.0, 9.0, 9.0), (2, 0, None, 0.0, 9.0, 9.0)], "image int, idx int, x1 double, y1 double, x2 double, y2 double")
+    # one text box goes by its share alone, though a second damage box lies in it; two damage boxes become one text box, the first of equal ones
+    damage = rows((0, 0, 10, 10), (1, 1, 3, 3), (21, 21, 23, 23), (22, 22, 24, 24), (50, 50, 51, 51))
+    text = rows((0, 0, 10, 11), (20, 20, 30, 30), (20, 20, 30, 30), (70, 70, 80, 80))
+    got = B.fuse(damage, text)
+    assert sorted((r.status, r.idx, r.x1) for r in got.where("image = 1").collect()) == [("damaged", 0, 0.0), ("damaged", 1, 1.0), ("damaged", 2, 20.0), ("damaged", 4, 50.0), ("intact", 2, 20.0), ("intact", 3, 70.0)]
+    assert sorted((str(r.image), r.status, r.x1) for r in got.where("image is null or image = 2").collect()) == [("2", "damaged", None), ("2", "intact", None), ("None", "damaged", 0.0), ("None", "intact", 0.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len([x for x in plan.split("\n") if "Join" in x and "__cx" in x]) == 1
