@@ -192,57 +192,65 @@ def _bodies_of(text: str, todo: str):
     return run
 
 
-def _without(s: Slice, cuts: list) -> tuple[list, list]:
-    """Texts of a slice's rows without the cut lines, and the cuts as code-point spans. cuts: of each
-    row a list of (lo, hi, prev, next)."""
-    texts, spans = [], []
+def _grown(h: np.ndarray, at: np.ndarray, stop: np.ndarray, near: pa.ListArray, step: int) -> np.ndarray:
+    """Edges of cuts, moved line by line up to ``stop`` while the next line has the hash that ``near`` lists for it."""
+    offs, want = np.asarray(near.offsets), np.asarray(near.values)
+    n, live, k = np.diff(offs), np.arange(len(at)), 0
+    while len(live := live[(n[live] > k) & (at[live] != stop[live])]):
+        live = live[h[at[live] - (step < 0)] == want[offs[live] + k]]
+        at[live] += step
+        k += 1
+    return at
+
+
+def _without(s: Slice, row: np.ndarray, cuts: pa.StructArray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of a slice's rows without the cut lines, and the cuts as code-point spans: their number in each row, starts, ends. cuts: (lo, hi, prev, next),
+    each of the given row."""
     a, b, first, _ = lines(s)
-    h = SpanHasher(s.data)(a, b).view(np.int64) if len(a) else a
-    raw = s.data.tobytes()
+    h = SpanHasher(s.data)(a, b).view(np.int64)
+    lo, hi, prev, nxt = cuts.flatten()
+    change = np.zeros(len(a) + 1, np.int64)
+    np.add.at(change, _grown(h, first[row] + np.asarray(lo), first[row], prev, -1), 1)
+    np.add.at(change, _grown(h, first[row] + np.asarray(hi), first[row + 1], nxt, 1), -1)
+    d, e, of = runs(np.cumsum(change[:-1]) > 0, first)
+    count = np.diff(of)
+    mine = np.repeat(np.arange(s.rows), count)
+    x = a[d]
+    y = np.where(e < first[mine + 1], np.append(a, 0)[e], s.starts[mine + 1])
+    raw, texts = s.data.tobytes(), []
     for i in range(s.rows):
-        t0, t1 = int(s.starts[i]), int(s.starts[i + 1])
-        if not cuts[i]:
-            texts.append(raw[t0:t1])
-            spans.append([])
-            continue
-        l0, l1 = int(first[i]), int(first[i + 1])
-        gone = np.zeros(l1 - l0, bool)
-        for lo, hi, prev, nxt in cuts[i]:
-            while prev and lo > 0 and h[l0 + lo - 1] == prev[0]:
-                lo, prev = lo - 1, prev[1:]
-            while nxt and hi < l1 - l0 and h[l0 + hi] == nxt[0]:
-                hi, nxt = hi + 1, nxt[1:]
-            gone[lo:hi] = True
-        d = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-        cp = points(s.data[t0:t1])
-        parts, at, mine = [], t0, []
-        for lo, hi in zip(d[::2], d[1::2], strict=True):
-            x = int(a[l0 + lo])
-            y = int(a[l0 + hi]) if l0 + hi < l1 else t1
-            parts.append(raw[at:x])
-            mine.append({"start": int(cp[x - t0]), "end": int(cp[y - t0])})
-            at = y
-        parts.append(raw[at:t1])
-        text = b"".join(parts)
-        texts.append(text.rstrip() if mine and at == t1 else text)
-        spans.append(mine)
-    return texts, spans
+        t1 = int(s.starts[i + 1])
+        ends = [int(s.starts[i]), *y[of[i] : of[i + 1]].tolist()]
+        text = b"".join([raw[p:q] for p, q in zip(ends, [*x[of[i] : of[i + 1]].tolist(), t1], strict=True)])
+        texts.append(text.rstrip() if count[i] and ends[-1] == t1 else text)
+    cp = points(s.data)
+    base = cp[s.starts[mine]]
+    return texts, count, cp[x] - base, cp[y] - base
 
 
 def _cutter(text: str, todo: str, keep: list[str], removed: str):
     def run(batches):
         for batch in batches:
-            col = batch.column(text)
-            lists = batch.column(todo)
+            col, lists = batch.column(text), batch.column(todo)
+            at = np.flatnonzero(np.asarray(lists.value_lengths().fill_null(0)) > 0)  # other rows stay as they are
+            cuts = lists.take(pa.array(at))
+            offs = np.asarray(cuts.offsets)
             texts: list = []
-            spans: list = []
-            for s in slices(col):
-                cuts = [[(c["lo"], c["hi"], c["prev"], c["next"]) for c in x] if x else [] for x in lists.slice(s.first, s.rows).to_pylist()]
-                t, r = _without(s, cuts)
+            count, spans = np.zeros(len(col), np.int64), []
+            for s in slices(col.take(pa.array(at))):
+                q = offs[s.first : s.first + s.rows + 1]
+                t, n, *se = _without(s, np.repeat(np.arange(s.rows), np.diff(q)), cuts.values.slice(q[0], q[-1] - q[0]))
                 texts += t
-                spans += r
-            null = np.asarray(col.is_null())
-            made = {text: pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.binary()).cast(pa.string()), removed: pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
+                count[at[s.first : s.first + s.rows]] = n
+                spans.append(se)
+            place = np.arange(len(col))
+            place[at] = len(col) + np.arange(len(at))
+            se = [pa.array(np.concatenate([x[i] for x in spans] or [np.empty(0, np.int64)])) for i in (0, 1)]
+            ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            made = {
+                text: pa.concat_arrays([col, pa.array(texts, pa.binary()).cast(col.type)]).take(pa.array(place)),
+                removed: pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(se, ["start", "end"])),
+            }
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in [*keep, removed]], [*keep, removed])
 
     return run
