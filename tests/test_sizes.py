@@ -6,6 +6,7 @@ from lithos.operators import analytics as A
 from lithos.operators import boxes as B
 from lithos.operators import display as D
 from lithos.operators import missing as M
+from lithos.operators import reading
 from lithos.operators import relational as R
 from lithos.operators import segment as S
 from lithos.plans import boxes as Q
@@ -109,3 +110,15 @@ def test_fusion_meets_once(spark):
     assert sorted((str(r.image), r.status, r.x1) for r in got.where("image is null or image = 2").collect()) == [("2", "damaged", None), ("2", "intact", None), ("None", "damaged", 0.0), ("None", "intact", 0.0)]
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert len([x for x in plan.split("\n") if "Join" in x and "__cx" in x]) == 1
+
+
+def test_order_draws_no_needless_rectangles(spark, monkeypatch):
+    drawn, rectangle = [], reading.rectangle
+    monkeypatch.setattr(reading, "rectangle", lambda boxes: drawn.append(len(boxes)) or rectangle(boxes))
+    assert reading.reading_order([(0.0, 0.0, 9.0, 9.0)]) == [0] and reading.double_lines([(0, 9, 9, 19), (0, 0, 9, 9)], [1, 0]) == [1, 0] and not drawn
+    # upright sides after the first give the same rectangle, so only slanted ones are tried besides
+    assert reading.corners_of((0, 0, 8, 0, 8, 4, 0, 4)) == reading.hull({(0, 0), (8, 0), (8, 4), (0, 4)})
+    monkeypatch.undo()
+    rows = [(g, i, 20.0 * i, 0.0, 20.0 * i + 9, 9.0) for g in (1, 2, 3) for i in range(g)]
+    boxes = spark.createDataFrame(rows, "image int, idx int, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    assert sorted((r.image, r.idx, r.reading_pos) for r in reading.full_order(boxes).collect()) == [(g, i, g - i) for g in (1, 2, 3) for i in range(g)]
