@@ -122,3 +122,8 @@ def test_order_draws_no_needless_rectangles(spark, monkeypatch):
     rows = [(g, i, 20.0 * i, 0.0, 20.0 * i + 9, 9.0) for g in (1, 2, 3) for i in range(g)]
     boxes = spark.createDataFrame(rows, "image int, idx int, x1 double, y1 double, x2 double, y2 double").coalesce(1)
     assert sorted((r.image, r.idx, r.reading_pos) for r in reading.full_order(boxes).collect()) == [(g, i, g - i) for g in (1, 2, 3) for i in range(g)]
+
+
+def test_points_meet_spans_by_many_tasks(spark):
+    got = Q.range_join_intervals(spark, SF)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and len(exchanges(got)) == 2
