@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
-from .relational import interval_join
+from .relational import interval_join, running_sum
 
 #: A place in a volume as one number: page times this plus y in hundredths of a point.
 PAGE = 1_000_000
@@ -26,27 +26,30 @@ def place(page, y):
 
 def inscriptions(lines: DataFrame, title: str, label: str, page_count: int) -> DataFrame:
     """(volume, rec, ids, start, end): ids of the first labelled line and of the lines of digits and separators after it while the
-    value is empty or ends in / , or ;, in order and with repeats. An inscription ends where the next one starts."""
-    w = Window.partitionBy("volume").orderBy("line_no")
-    seen = w.rowsBetween(Window.unboundedPreceding, 0)
-    l = lines.withColumn("rec", F.sum(F.col("text").rlike(title).cast("int")).over(seen)).where("rec > 0")  # noqa: E741
-    rec = Window.partitionBy("volume", "rec").orderBy("line_no")
-    opens = F.col("text").rlike(label)
-    l = l.withColumn("value", F.when(opens, F.regexp_replace("text", label, "")))  # noqa: E741
-    l = l.withColumn("digits", F.col("text").rlike("^[0-9\\s/.,;–-]+$"))  # noqa: E741
+    value is empty or ends in / , or ;, in order and with repeats. An inscription ends where the next one starts. A volume may be of
+    any length: its titles are counted by blocks of lines, and all else happens inside a record."""
+    text = F.col("text")
+    l = lines.select("volume", "line_no", "text", text.rlike(title).alias("first"), text.rlike(label).alias("opens"), text.rlike("^[0-9\\s/.,;–-]+$").alias("digits"), place(F.col("page_number"), F.col("y0")).alias("at"))  # noqa: E741
+    value = F.when(F.col("opens"), F.regexp_replace("text", label, "")).when(F.col("digits"), text)
     # a line of white space leaves the value as it was
-    open_after = F.when(opens, F.rtrim("value").rlike("(^|[/,;])$")).when(F.col("digits"), F.rtrim("text").rlike("(^|[/,;])$")).otherwise(F.lit(False))
-    l = l.withColumn("goes_on", open_after).withColumn("label_no", F.min(F.when(opens, F.col("line_no"))).over(Window.partitionBy("volume", "rec")))  # noqa: E741
-    l = l.withColumn("before", F.lag("goes_on").over(rec))  # noqa: E741
-    after = F.col("line_no") > F.col("label_no")
-    stop = F.min(F.when(after & ~(F.col("digits") & F.coalesce("before", F.lit(False))), F.col("line_no"))).over(Window.partitionBy("volume", "rec"))
-    part = l.withColumn("stop", stop).where((F.col("line_no") >= F.col("label_no")) & (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))))
-    ids = part.groupBy("volume", "rec").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("value", "text").alias("t")))).alias("v"))
-    ids = ids.select("volume", "rec", F.transform(F.regexp_extract_all(F.array_join(F.transform("v", lambda x: x["t"]), " "), F.lit("[0-9]+"), 0), lambda i: normalize_key(i)).alias("ids"))
-    spans = l.groupBy("volume", "rec").agg(F.min(F.struct("line_no", place(F.col("page_number"), F.col("y0")).alias("at"))).alias("s"))
-    nxt = F.lead("start").over(Window.partitionBy("volume").orderBy("rec"))
-    spans = spans.select("volume", "rec", F.col("s.at").alias("start")).withColumn("end", F.coalesce(nxt, F.lit((page_count + 1) * PAGE)))
-    return spans.join(ids, ["volume", "rec"], "left").withColumn("ids", F.coalesce("ids", F.expr("cast(array() as array<string>)")))
+    goes_on = F.coalesce(F.rtrim("value").rlike("(^|[/,;])$"), F.lit(False))
+    l = l.select("volume", "line_no", F.col("first").cast("int").alias("first"), "opens", "digits", value.alias("value"), F.when(F.col("first"), F.col("at")).alias("at")).withColumn("goes_on", goes_on)  # noqa: E741
+    l = running_sum(l, "volume", "line_no", "first").withColumnRenamed("so_far", "rec").where("rec > 0")  # noqa: E741
+    # a title is the last line of the record before it as well, and tells its end
+    l = l.withColumn("turn", F.explode(F.when(F.col("first") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))  # noqa: E741
+    own = F.col("turn") == 0
+    flags = [F.when(own, F.col(c)).otherwise(F.lit(False)).alias(c) for c in ("opens", "digits", "goes_on")]
+    l = l.select("volume", (F.col("rec") - F.col("turn")).alias("rec"), "line_no", "first", *flags, F.when(own, F.col("value")).alias("value"), F.when(own, F.col("at")).alias("start"), F.when(~own, F.col("at")).alias("end")).where("rec > 0")  # noqa: E741
+    rec = Window.partitionBy("volume", "rec").orderBy("line_no")
+    seen = rec.rowsBetween(Window.unboundedPreceding, 0)
+    l = l.withColumn("label_no", F.min(F.when(F.col("opens"), F.col("line_no"))).over(seen)).withColumn("before", F.coalesce(F.lag("goes_on").over(rec), F.lit(False)))  # noqa: E741
+    stops = (F.col("line_no") > F.col("label_no")) & ~(F.col("digits") & F.col("before"))
+    l = l.withColumn("stopped", F.coalesce(F.max(stops).over(seen), F.lit(False)))  # noqa: E741
+    part = (F.col("line_no") >= F.col("label_no")) & ~F.col("stopped")
+    l = l.withColumn("part", F.coalesce(part, F.lit(False))).where("part or first = 1")  # noqa: E741
+    got = l.groupBy("volume", "rec").agg(F.array_sort(F.collect_list(F.when(F.col("part"), F.struct("line_no", F.col("value").alias("t"))))).alias("v"), F.min("start").alias("start"), F.min("end").alias("end"))
+    ids = F.transform(F.regexp_extract_all(F.array_join(F.transform("v", lambda x: x["t"]), " "), F.lit("[0-9]+"), 0), lambda i: normalize_key(i))
+    return got.select("volume", "rec", "start", F.coalesce("end", F.lit((page_count + 1) * PAGE)).alias("end"), ids.alias("ids"))
 
 
 def faces_of(records: DataFrame, pictures: DataFrame) -> DataFrame:

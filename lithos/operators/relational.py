@@ -148,6 +148,21 @@ def upsert(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     return winners(both.withColumn("first_seq", first), [key], [F.desc(seq)])
 
 
+#: Numbers of one block, where a group is dealt to many tasks by its order.
+BLOCK = 1 << 16
+
+
+def running_sum(df: DataFrame, group: str, order: str, value: str, block: int = BLOCK) -> DataFrame:
+    """Adds so_far: ``value`` summed from the first row of a group to this one, in the order of a column of integers. No task holds a
+    whole group: its blocks are summed first, and what lies before a block takes part in it as its first row."""
+    d = df.withColumn("__block", F.floor(F.col(order) / block))
+    earlier = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy(group, "__block").agg(F.sum(value).alias("__s")).select(group, "__block", F.sum("__s").over(earlier).alias(value))
+    both = d.withColumn("__own", F.lit(True)).unionByName(before.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    upto = Window.partitionBy(group, "__block").orderBy("__own", order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("so_far", F.sum(value).over(upto)).where("__own").drop("__own", "__block")
+
+
 def interval_join(points: DataFrame, spans: DataFrame, group: str, width: int, point: str = "at", start: str = "start", end: str = "end") -> DataFrame:
     """Points in half-open spans. Spans are dealt to bins of ``width``, so the join has an equality key; a
     span is copied once for each bin that it meets. Both sides are dealt by that key: were the spans broadcast, a small file of

@@ -163,7 +163,8 @@ SELECT volume, rec, array_to_string({_case(_IDS, _sql_text)}, ',') AS ids, rec *
 def inscription_ids(spark, sf):
     """Ids and places of records, from the lines of volumes; ids go on in lines of digits while the value is open."""
     k = F.col("o_orderkey")
-    o = load(spark, sf, "orders").select(k.alias("k"), F.concat(F.lit("V"), (F.col("o_custkey") % 20).cast("string")).alias("volume"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey")).alias("page_number"))
+    o = load(spark, sf, "orders").select(k.alias("k"), F.concat(F.lit("V"), (F.col("o_custkey") % 20).cast("string")).alias("volume"), F.lit(1).alias("one"))
+    o = R.running_sum(o, "volume", "k", "one").withColumnRenamed("so_far", "page_number")
     text = lambda t: F.concat(*[x for i, part in enumerate(t.split("{k}")) for x in ((F.col("k").cast("string"),) if i else ()) + ((F.lit(part),) if part else ())] or [F.lit("")])
     own = F.array()
     for n, parts in _LINES.items():

@@ -127,3 +127,22 @@ def test_order_draws_no_needless_rectangles(spark, monkeypatch):
 def test_points_meet_spans_by_many_tasks(spark):
     got = Q.range_join_intervals(spark, SF)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and len(exchanges(got)) == 2
+
+
+def test_volumes_are_dealt_by_blocks(spark):
+    b = R.BLOCK
+    rows = [(v, n, t) for v in ("v", "w", None) for n, t in ((b - 3, "stray"), (b - 2, "T 1"), (b - 1, "Ids: 5 /"), (b, " 06,"), (b + 1, None), (b + 2, "7"), (3 * b, "T 2"), (9 * b, "T 3"), (9 * b + 1, "Ids: 8"))]
+    lines = spark.createDataFrame([(*r, 1 + r[1] // b, 2.0) for r in rows], "volume string, line_no int, text string, page_number int, y0 double")
+    got = M.inscriptions(lines, "^T ", "^Ids: ", 99)
+    # by volume alone goes only what the blocks sum up to; lines go by block, then by record
+    dealt = [x.split("hashpartitioning(")[1].split(", ENSURE")[0] for x in exchanges(got)]
+    assert sum(x.count("#") == 1 for x in dealt) == 1 and any("__block#" in x for x in dealt) and any("rec#" in x for x in dealt)
+    at = lambda page: page * M.PAGE + 200
+    want = [(1, ["5", "6"], at(1), at(4)), (2, [], at(4), at(10)), (3, ["8"], at(10), 100 * M.PAGE)]
+    assert sorted(((str(r.volume), r.rec, r.ids, r.start, r.end) for r in got.collect())) == [(v, *w) for v in ("None", "v", "w") for w in want]
+
+
+def test_sums_run_over_blocks(spark):
+    rows = [(g, n, None if n == 4 else n % 3) for g in (1, 2, None) for n in (*range(-5, 20), 5000)]
+    got = R.running_sum(spark.createDataFrame(rows, "g int, n int, v int"), "g", "n", "v", 4)
+    assert sorted((str(r.g), r.n, r.so_far) for r in got.collect()) == sorted((str(g), n, sum(b or 0 for a, m, b in rows if a == g and m <= n)) for g, n, _ in rows)
