@@ -146,3 +146,15 @@ def test_sums_run_over_blocks(spark):
     rows = [(g, n, None if n == 4 else n % 3) for g in (1, 2, None) for n in (*range(-5, 20), 5000)]
     got = R.running_sum(spark.createDataFrame(rows, "g int, n int, v int"), "g", "n", "v", 4)
     assert sorted((str(r.g), r.n, r.so_far) for r in got.collect()) == sorted((str(g), n, sum(b or 0 for a, m, b in rows if a == g and m <= n)) for g, n, _ in rows)
+
+
+def test_pairs_of_one_place_lie_together(spark):
+    n = 2 * R.PACK + 40
+    points = spark.createDataFrame([(i % 3 if i else None, i, i % 4) for i in range(2 * n)] + [(1, None, 2), (1, 7, None)], "g int, id int, at int").coalesce(1)
+    spans = spark.createDataFrame([(1, 0, i, 0, 4) for i in range(n)] + [(1, 1, n, 2, 3), (1, 2, n, 3, 3), (None, 3, n, 0, 4), (2, 4, n, -9, 500)], "g int, kind int, span int, start int, end int")
+    got = [tuple(r) for r in R.interval_join(points, spans, "g", 200).collect()]
+    want = [(g, i, at, k, s, a, e) for g, i, at in map(tuple, points.collect()) for h, k, s, a, e in map(tuple, spans.collect()) if g is not None and g == h and at is not None and a <= at < e]
+    order = lambda r: [-1 if v is None else v for v in r]
+    assert sorted(got, key=order) == sorted(want, key=order) and len(want) > n * n // 2
+    # places change no more often than packed points meet packed spans
+    assert sum(a[2] != b[2] or a[0] != b[0] for a, b in zip(got, got[1:])) < 4 * 3 * 4 + 8
